@@ -6,7 +6,7 @@ k-grams it contains.  Equal windows have equal anchors at equal offsets, so
 
 1. each document gives its anchors (``anchor_packs``); an anchor that occurs
    once cannot belong to a repeated window;
-2. the anchors that recur go back to their documents (``feedback`` rows);
+2. the anchors that recur go back to their documents (back packs);
 3. documents cut the runs of windows that share a recurring anchor
    (super-windows) and deal them by anchor (``segment_packs``), so equal windows
    meet in one task and nothing else has to;
@@ -36,7 +36,7 @@ PLACE = np.uint64((1 << 28) - 1)
 PACK = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("dk", pa.int64()), ("body", pa.binary())])
 FEEDBACK = pa.schema([("dk", pa.int64()), ("body", pa.binary())])
 PACK_SQL = "part long, kind int, dk long, body binary"
-FEEDBACK_SQL = "dk long, body binary"
+BACK_SQL = "dk long, body binary"
 
 BODY, BACK = 0, 1
 
@@ -186,11 +186,39 @@ def groups_of(keys: np.ndarray):
     return order, first
 
 
-def back_rows(values: np.ndarray, dks: np.ndarray):
-    """Feedback rows: for each document key its recurring anchors."""
-    order, first = groups_of(dks)
-    values, dks = values[order], dks[order]
-    return [(int(dks[a]), values[a:b].tobytes()) for a, b in zip(first[:-1], first[1:]) if b > a]
+def back_packs(keys: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
+    """Packs that carry values (rows of 64-bit numbers) to their documents, dealt by document key."""
+    bucket = keys.view(np.uint64) % np.uint64(parts)
+    order = np.lexsort((keys, bucket))
+    keys, values, bucket = keys[order], values[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    out = []
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        body = joined(keys[x:y], np.ascontiguousarray(values[x:y]).reshape(-1).view(np.int64))
+        out.append((int(bucket[x]), BACK, 0, zstandard.compress(body, 1)))
+    return out
+
+
+def gathered(width: int):
+    """mapInArrow behind a shuffle by bucket: back packs -> one row (dk, body) per document; a value has ``width`` numbers."""
+
+    def go(arrow):
+        keys, values = [], []
+        for b in arrow:
+            for body in b.column(3).to_pylist():
+                k, v = taken(zstandard.decompress(body), (np.int64, np.int64))
+                keys.append(k)
+                values.append(v.reshape(-1, width))
+        if not keys:
+            return
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order, first = groups_of(key)
+        key, value = key[order], value[order]
+        for i in range(0, len(first) - 1, 10_000):
+            cut = first[i : i + 10_001].tolist()
+            yield pack_batch([(int(key[x]), value[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])], FEEDBACK)
+
+    return go
 
 
 def pack_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -217,7 +245,7 @@ def anchor_packs(kind, parts: int):
             known = values[order[first[:-1][sizes > 1]]]
             out = []
             if len(twice):
-                out += [(int(dk) % parts, BACK, dk, body) for dk, body in back_rows(values[twice], dks[doc[twice]])]
+                out += back_packs(dks[doc[twice]], values[twice], parts)
             bucket_1, bucket_2 = values[single] % np.uint64(parts), known % np.uint64(parts)
             o1, o2 = np.argsort(bucket_1, kind="stable"), np.argsort(bucket_2, kind="stable")
             cut1 = np.searchsorted(bucket_1[o1], np.arange(parts + 1, dtype=np.uint64))
@@ -248,34 +276,29 @@ def recurring(bodies: list[bytes]):
     return s[many], dks[order][many]
 
 
-def recurring_anchors(arrow):
-    """mapInArrow function behind the shuffle by bucket: packs -> feedback rows."""
-    bodies: dict[int, list[bytes]] = {}
-    for b in arrow:
-        out = []
-        for part, kind, dk, body in zip(*(c.to_pylist() for c in b.columns)):
-            if kind == BACK:
-                out.append((dk, body))
-            else:
-                bodies.setdefault(part, []).append(body)
-        if out:
-            yield pack_batch(out, FEEDBACK)
-    values, dks = [], []
-    for part in list(bodies):
-        v, d = recurring(bodies.pop(part))
-        values.append(v)
-        dks.append(d)
-    if values:
-        rows = back_rows(np.concatenate(values), np.concatenate(dks))
-        for i in range(0, len(rows), 20_000):
-            yield pack_batch(rows[i : i + 20_000], FEEDBACK)
-
-
-SPAN_SQL = "part long, kind int, dk long, body binary"
+def recurring_anchors(parts: int):
+    """mapInArrow function behind the shuffle by bucket: packs -> back packs."""
 
+    def go(arrow):
+        bodies: dict[int, list[bytes]] = {}
+        for b in arrow:
+            out = []
+            for part, kind, dk, body in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == BACK:
+                    out.append((part, BACK, dk, body))
+                else:
+                    bodies.setdefault(part, []).append(body)
+            if out:
+                yield pack_batch(out, PACK)
+        values, dks = [], []
+        for part in list(bodies):
+            v, d = recurring(bodies.pop(part))
+            values.append(v)
+            dks.append(d)
+        if values:
+            yield pack_batch(back_packs(np.concatenate(dks), np.concatenate(values), parts), PACK)
 
-def span_body(k1: int, start: int, end: int) -> bytes:
-    return np.array([k1, start, end], np.int64).tobytes()
+    return go
 
 
 class Segments:
@@ -283,10 +306,8 @@ class Segments:
 
     KINDS = (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint8, np.int64, np.uint8)
 
-    def __init__(self):
-        self.rows: list[tuple] = []
-
-    def body(self, rows: list[tuple]) -> bytes:
+    @staticmethod
+    def body(rows: list[tuple]) -> bytes:
         v, k1, dk, start, n, rep, text = zip(*rows)
         packed = zstandard.compress(b"".join(text), 1)
         return joined(np.array(v, np.uint64), *(np.array(x, np.int64) for x in (k1, dk, start, n)), np.array(rep, np.uint8), np.fromiter(map(len, text), np.int64, len(text)), np.frombuffer(packed, np.uint8))
@@ -310,8 +331,7 @@ def segment_packs(kind, parts: int, fold):
         for held in batches(arrow):
             docs = [x or b"" for x in column(held, "text")]
             k1s, dks = numbers(held, "k1").astype(np.int64).tolist(), numbers(held, "dk").astype(np.int64).tolist()
-            bodies = [y for x in column(held, "back") for y in x or []]
-            want = np.unique(np.frombuffer(b"".join(bodies), np.uint64))
+            want = np.unique(np.frombuffer(b"".join(column(held, "back")), np.uint64))
             doc, start, n, values, places = runs(kind, docs)
             keep = np.isin(values, want)
             same: dict[bytes, list] = {}
@@ -319,29 +339,28 @@ def segment_packs(kind, parts: int, fold):
             for i, a, m, v in zip(doc[keep].tolist(), start[keep].tolist(), n[keep].tolist(), values[keep].tolist()):
                 text = kind.cut(docs[i], places[i], a, a + m + w)
                 same.setdefault(text, []).append((v, k1s[i], dks[i], a, m, 0))
-            out, deal = [], {}
+            spans, deal = [], {}
             for text, rows in same.items():
                 sent, gone = fold(rows)
                 deal.setdefault(sent[0] % parts, []).append((*sent, text))
-                out += [(r[2] % parts, BACK, r[2], span_body(r[1], r[3], r[3] + r[4] + w)) for r in gone]
-            out = merged_spans(out)
-            out += [(p, BODY, 0, Segments().body(rows)) for p, rows in deal.items()]
-            for i in range(0, len(out), 20_000):
-                yield pack_batch(out[i : i + 20_000], PACK)
+                spans += [(r[1], r[2], r[3], r[3] + r[4] + w) for r in gone]
+            out = span_packs(spans, parts)
+            out += [(p, BODY, 0, Segments.body(rows)) for p, rows in deal.items()]
+            yield pack_batch(out, PACK)
 
     return go
 
 
-def merged_spans(rows: list[tuple]) -> list[tuple]:
-    """One row per document key: its spans in one body."""
-    by: dict[tuple, list[bytes]] = {}
-    for part, kind, dk, body in rows:
-        by.setdefault((part, kind, dk), []).append(body)
-    return [(*k, b"".join(v)) for k, v in by.items()]
+def span_packs(spans: list[tuple], parts: int) -> list[tuple]:
+    """Spans (k1, dk, start, end) as back packs."""
+    if not spans:
+        return []
+    rows = np.array(spans, np.int64)
+    return back_packs(rows[:, 1].copy(), rows[:, [0, 2, 3]], parts)
 
 
-def judged_segments(judge, window: int):
-    """mapInArrow function behind the shuffle: packs of super-windows -> span rows (dk, body).
+def judged_segments(judge, parts: int):
+    """mapInArrow function behind the shuffle: packs of super-windows -> back packs of spans.
 
     ``judge(rows)`` gets all super-windows of the task's buckets and yields (k1, dk, start, end).
     """
@@ -350,28 +369,23 @@ def judged_segments(judge, window: int):
         rows = []
         for b in arrow:
             out = []
-            for _, kind, dk, body in zip(*(c.to_pylist() for c in b.columns)):
+            for part, kind, dk, body in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == BACK:
-                    out.append((dk, body))
+                    out.append((part, BACK, dk, body))
                 else:
                     rows.extend(Segments.read(body))
             if out:
-                yield pack_batch(out, FEEDBACK)
-        spans: dict[int, list[bytes]] = {}
-        for k1, dk, a, b in judge(rows):
-            spans.setdefault(dk, []).append(span_body(k1, a, b))
-        got = [(dk, b"".join(x)) for dk, x in spans.items()]
-        for i in range(0, len(got), 20_000):
-            yield pack_batch(got[i : i + 20_000], FEEDBACK)
+                yield pack_batch(out, PACK)
+        yield pack_batch(span_packs(list(judge(rows)), parts), PACK)
 
     return go
 
 
-def covered(bodies: list[bytes] | None, k1: int, n: int) -> np.ndarray | None:
+def covered(body: bytes | None, k1: int, n: int) -> np.ndarray | None:
     """Which of the document's n symbols the spans cover; None if none."""
-    if not bodies:
+    if not body:
         return None
-    spans = np.frombuffer(b"".join(bodies), np.int64).reshape(-1, 3)
+    spans = np.frombuffer(body, np.int64).reshape(-1, 3)
     spans = spans[spans[:, 0] == k1]
     if not len(spans):
         return None

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from ._common import NULL_ID, WORD, fresh, n_parts, shared_path, small_batches, text_or_empty
-from .suffix_dedup import _base, spans_of
+from .suffix_dedup import _base, spans_of, with_id
 
 RUN_SQL = "part long, kind int, dk long, body binary"
 
@@ -76,9 +76,9 @@ class FingerprintIndex:
         return docs.select("dk", "text").mapInArrow(A.anchor_packs(self.kind, self.buckets), A.PACK_SQL)
 
     def joined(self, docs: DataFrame) -> DataFrame:
-        """Feedback (dk, body) for the batch and for old documents: fingerprints that meet."""
+        """Back packs for the batch and for old documents: fingerprints that meet."""
         new, old = self.packs(docs), self.history()
-        return self._dealt(new if old is None else new.union(old)).mapInArrow(A.recurring_anchors, A.FEEDBACK_SQL)
+        return self._dealt(new if old is None else new.union(old)).mapInArrow(A.recurring_anchors(self.buckets), A.PACK_SQL)
 
     def add(self, docs: DataFrame) -> None:
         """Write the batch as a run; compact if there are too many."""
@@ -239,7 +239,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: i
     base = _base(docs)
     spans = _spans(base, window, gram, batches)
     names = ["text", "k1", "spans", "n_words", "n_removed", "kept_sha256"]
-    rows = base.join(spans, "dk", "left").select("doc_id", "k1", "text", "spans")
+    rows = with_id(base.join(spans, "dk", "left"))
     return rows.mapInArrow(_kept_words(names, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -220,28 +220,33 @@ def _digests(arrow):
 
 
 def spans_of(base: DataFrame, kind, fold, judged, feedback: DataFrame) -> DataFrame:
-    """Documents (k1, dk, text) and their recurring anchors -> (dk, spans)."""
-    spark = base.sparkSession
-    parts = 4 * n_parts(spark)
-    back = feedback.groupBy("dk").agg(F.collect_list("body").alias("back"))
-    packs = base.join(back, "dk").select("k1", "dk", "text", "back").mapInArrow(A.segment_packs(kind, parts, fold), A.PACK_SQL)
-    found = packs.repartition(n_parts(spark), "part").mapInArrow(A.judged_segments(judged, kind.window), A.FEEDBACK_SQL)
-    return found.groupBy("dk").agg(F.collect_list("body").alias("spans"))
+    """Documents (k1, dk, text) and back packs of their recurring anchors -> (dk, spans)."""
+    n = n_parts(base.sparkSession)
+    back = feedback.repartition(n, "part").mapInArrow(A.gathered(1), A.BACK_SQL).withColumnRenamed("body", "back")
+    packs = base.join(back, "dk").select("k1", "dk", "text", "back").mapInArrow(A.segment_packs(kind, 4 * n, fold), A.PACK_SQL)
+    found = packs.repartition(n, "part").mapInArrow(A.judged_segments(judged, 4 * n), A.PACK_SQL)
+    return found.repartition(n, "part").mapInArrow(A.gathered(3), A.BACK_SQL).withColumnRenamed("body", "spans")
 
 
 def _base(docs: DataFrame) -> DataFrame:
+    """(k1, dk, text); both joins read the same shuffle of it."""
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("k1"), F.xxhash64(doc_id, text_or_empty()).alias("dk"), text_or_empty().alias("text"))
+    return docs.select(F.coalesce(doc_id, F.lit(NULL_ID)).alias("k1"), F.xxhash64(doc_id, text_or_empty()).alias("dk"), text_or_empty().alias("text"))
+
+
+def with_id(rows: DataFrame) -> DataFrame:
+    return rows.select(F.when(F.col("k1") != NULL_ID, F.col("k1")).alias("doc_id"), "k1", "text", "spans")
 
 
 def _removed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
-    kind, parts = A.Bytes(window, gram), 4 * n_parts(spark)
+    n, kind = n_parts(spark), A.Bytes(window, gram)
     base = _base(docs)
-    feedback = base.select("dk", "text").mapInArrow(A.anchor_packs(kind, parts), A.PACK_SQL).repartition(n_parts(spark), "part").mapInArrow(A.recurring_anchors, A.FEEDBACK_SQL)
+    packs = base.select("dk", "text").mapInArrow(A.anchor_packs(kind, 4 * n), A.PACK_SQL)
+    feedback = packs.repartition(n, "part").mapInArrow(A.recurring_anchors(4 * n), A.PACK_SQL)
     spans = spans_of(base, kind, first_kept, judge(window), feedback)
-    return base.join(spans, "dk", "left").select("doc_id", "k1", "text", "spans")
+    return with_id(base.join(spans, "dk", "left"))
 
 
 def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFrame:
