@@ -2,24 +2,75 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .substring_dedup import substring_dedup
-from .suffix_dedup import suffix_dedup_digest
+from . import bpe, embedding_dedup, html_extract, packing, quality, simhash, substring_dedup, suffix_dedup, token_count, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), spec, public_tokenizers.PATTERN)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_counts(_table(spark, sf_dir, "documents"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup_digest(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.suffix_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_substring_dedup,
+        op3_html_extraction,
+        op4_token_counts,
+        op5_simhash,
+        op6_url_filter,
+        op7_embedding_dedup,
+        op8_packing,
+        op9_quality_rules,
+        op10_suffix_dedup,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+#: Queries that SQL cannot express in full are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op7_embedding_dedup": embedding_dedup.ORACLE}
