@@ -3,10 +3,9 @@
 Encoding.  The distinct pre-tokens of a corpus are counted; the frequent ones (a
 bounded set) are encoded once and broadcast.  A task looks its texts' pre-tokens up
 there; those it misses, distinct per block of texts, are encoded on the way.
-Both are encoded by the same Spark expression: a word becomes an array of one-byte
-pieces, and a higher-order fold merges the adjacent pair of least rank until no
-pair has one.  Ranks come from a literal of the plan: hash buckets of (pieces,
-ranks), so a lookup reads a few entries instead of all.
+Both are encoded by the same Spark expression: a word becomes the array of its
+bytes, and a higher-order fold merges the adjacent pair of least rank until no
+pair has one.  Ranks come from a literal of the plan: a hash table in bytes, so a lookup reads two slots instead of all.
 
 Decoding concatenates the ids' binary pieces.
 
@@ -22,6 +21,7 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ from . import anchors as A
 from . import words as W
 from ._common import small_batches, text_or_empty
 
-BUCKETS = 1 << 15
-NONE = 2**31 - 1
 #: Characters of text in one block, whose missed words are encoded together.
 BLOCK_CHARS = 1 << 19
 
@@ -45,55 +43,127 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a foldable value: array of buckets by XXH64 (seed 42), each with its pieces and ranks."""
-    buckets: list[dict] = [{"k": [], "r": []} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        b = buckets[xxhash.xxh64_intdigest(piece, 42) % BUCKETS]
-        b["k"].append(base64.b64encode(piece).decode())
-        b["r"].append(rank)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<binary>,r:array<int>>>")
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoder(ranks: Column):
-    """word (binary column) -> array of ids, as an expression; ``ranks`` is a :func:`rank_literal` column."""
-
-    def bucket(piece: Column) -> Column:
-        h = F.xxhash64(piece)  # signed; the table uses the unsigned value, equal modulo a power of two
-        return F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int"))
-
-    def rank(piece: Column) -> Column:
-        return _let(piece, lambda x: _let(bucket(x), lambda b: F.coalesce(F.get(b["r"], (F.array_position(b["k"], x) - 1).cast("int")), F.lit(NONE))))
-
-    def merged(state: Column) -> Column:
-        p, r = state["p"], state["r"]
-        n = F.size(p)
-
-        def at(k: Column) -> Column:  # k: place of the least rank, from 1
-            def join(x: Column) -> Column:
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), x)))).otherwise(F.slice(r, 1, 0))
-                right = F.when(k + 2 <= n, F.array(rank(F.concat(x, F.get(p, k + 1))))).otherwise(F.slice(r, 1, 0))
-                pieces = F.concat(F.slice(p, F.lit(1), k - 1), F.array(x), F.slice(p, k + 2, n))
-                pairs = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, n))
-                return F.struct(pieces.alias("p"), pairs.alias("r"))
-
-            return _let(F.concat(F.get(p, k - 1), F.get(p, k)), join)
-
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), at)
-
-    def encode(word: Column) -> Column:
-        n = F.octet_length(word)
-        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        pair = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(word, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
-        start = F.struct(single.alias("p"), pair.alias("r"))
-        step = lambda s, _: F.when(F.coalesce(F.array_min(s["r"]), F.lit(NONE)) < NONE, merged(s)).otherwise(s)
-        fold = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s["p"], lambda x: rank(x)))
-        return _let(rank(word), lambda whole: F.when(n == 0, F.array().cast("array<int>")).when(whole < NONE, F.array(whole)).otherwise(fold))
+class RankMap:
+    """The rank map as a literal of the plan: a table of bytes, which a task reads without unpacking it.
+
+    An id or rank is ``width`` big-endian bytes, so ranks compare as bytes do.  A slot holds the
+    ids of an adjacent pair and the rank of its concatenation; a pair has its slot at one of
+    two places (cuckoo hashing), so a lookup reads at most two.  Pieces that merging never
+    builds, if there are any, are known as whole words.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        most = max(ranks.values(), default=0)
+        self.width = 2 if most < 0xFFFF else 3
+        if most >= 0xFFFFFF:
+            raise ValueError("ids have three bytes at most")
+        ids = {p: r.to_bytes(self.width, "big") for p, r in ranks.items()}
+        self.none = b"\xff" * self.width
+        pairs = {a + b: r for p, r in ids.items() for i in range(1, len(p)) if (a := ids.get(p[:i])) is not None and (b := ids.get(p[i:])) is not None}
+        self.slots, table = cuckoo(pairs, 3 * self.width)
+        single = [ids.get(bytes([i]), self.none) for i in range(256)]
+        self.exceptions = [(p, r) for p, r in ids.items() if len(p) > 1 and merged_alone(p, pairs, single) != [r]]
+        self.single, self.table = F.lit(b"".join(single)), F.lit(table)
+
+    def bound(self, body) -> Column:
+        """body(table) with the table as one value: the literal stands in the plan once."""
+        return _let(self.table, body)
+
+    def of_pair(self, table: Column, left: Column, right: Column) -> Column:
+        w = self.width
+
+        def at(k: Column) -> Column:
+            def found(h: Column) -> Column:
+                out = F.lit(self.none)
+                for shift in (24, 0):
+                    place = ((F.shiftright(h, shift) if shift else h).bitwiseAND(F.lit(LOW)) % self.slots * (3 * w) + 1).cast("int")
+                    out = F.when(F.substring(table, place, F.lit(2 * w)) == k, F.substring(table, place + 2 * w, F.lit(w))).otherwise(out)
+                return out
+
+            return _let(F.xxhash64(k), found)
+
+        return _let(F.concat(left, right), at)
+
+
+def merged_alone(word: bytes, pairs: dict[bytes, bytes], single: list[bytes]) -> list[bytes]:
+    """Ids of a word by merging alone: the same as the expression, for the few pieces that need it."""
+    ids = [single[b] for b in word]
+    while len(ids) > 1:
+        best = min((pairs.get(a + b, b"\xff\xff\xff\xff"), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
+        if len(best[0]) == 4:
+            break
+        ids[best[1] : best[1] + 2] = [best[0]]
+    return ids
+
+
+LOW = (1 << 36) - 1
+
+
+def cuckoo(entries: dict[bytes, bytes], size: int) -> tuple[int, bytes]:
+    """(slots, table): each key at one of two places, by 36 bits of its XXH64 (seed 42) from bit 0 and bit 24."""
+    slots = max(16, int(len(entries) / 0.42))
+    held: dict[int, bytes] = {}
+    places = {}
+    for key in entries:
+        h = xxhash.xxh64_intdigest(key, 42)
+        places[key] = ((h & LOW) % slots, (h >> 24 & LOW) % slots)
+    for key in entries:
+        at, kicks = places[key][0], 0
+        while True:
+            key, held[at] = held.get(at), key
+            if key is None:
+                break
+            one, two = places[key]
+            at = two if at == one else one
+            if (kicks := kicks + 1) > 2000:
+                raise ValueError("the table is too dense")
+    table = bytearray(b"\xff" * (slots * size))
+    for at, key in held.items():
+        table[at * size : (at + 1) * size] = key + entries[key]
+    return slots, bytes(table)
+
+
+def encoder(ranks: RankMap):
+    """(table, word as binary) -> array of ids, as an expression.
+
+    The state of the fold holds the pieces' ids and the ranks of adjacent pairs; a step merges
+    the first pair of least rank and looks up the two pairs that it makes.
+    """
+    empty, none, w = F.array().cast("array<binary>"), F.lit(ranks.none), ranks.width
+
+    def encode(table: Column, word: Column) -> Column:
+        def merged(state: Column) -> Column:
+            t, r = state["t"], state["r"]
+
+            def at(k: Column) -> Column:  # k: place of the least rank, from 1; the merged piece's id is that rank
+                def put(new: Column) -> Column:
+                    left = F.when(k > 1, F.array(ranks.of_pair(table, F.get(t, k - 2), new))).otherwise(empty)
+                    right = F.when(k + 1 < F.size(t), F.array(ranks.of_pair(table, new, F.get(t, k + 1)))).otherwise(empty)
+                    ids = F.concat(F.slice(t, F.lit(1), k - 1), F.array(new), F.slice(t, k + 2, F.size(t)))
+                    pairs = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(t)))
+                    return F.struct(ids.alias("t"), pairs.alias("r"))
+
+                return _let(F.get(r, k - 1), put)
+
+            return _let(F.array_position(r, F.array_min(r)).cast("int"), at)
+
+        def fold(ids: Column) -> Column:
+            rest = F.slice(ids, F.lit(1), F.size(ids) - 1)
+            pair = F.transform(rest, lambda x, i: ranks.of_pair(table, x, F.get(ids, i + 1)))
+            step = lambda s, _: F.when(F.coalesce(F.array_min(s["r"]), none) < none, merged(s)).otherwise(s)
+            return F.aggregate(rest, F.struct(ids.alias("t"), pair.alias("r")), step, lambda s: s["t"])
+
+        chars = F.decode(word, "ISO-8859-1")  # a character for each byte
+        single = _let(chars, lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(ranks.single, F.ascii(F.substring(c, i, F.lit(1))) * w + 1, F.lit(w))))
+        ids = F.when(F.octet_length(word) == 0, empty).otherwise(_let(single, fold))
+        for piece, rank in ranks.exceptions:
+            ids = F.when(word == F.lit(piece), F.array(F.lit(rank))).otherwise(ids)
+        return F.transform(ids, lambda x: F.conv(F.hex(x), 16, 10).cast("int"))
 
     return encode
 
@@ -197,14 +267,15 @@ def _blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -
     pattern = W.standard(pattern)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     top = W.frequent(W.word_counts(rows.select("text"), pattern), most)
-    encode = encoder(rank_literal(ranks))
-    got = top.select("word", encode(F.encode("word", "UTF-8")).alias("ids")).toArrow()
+    merges = RankMap(ranks)
+    encode = encoder(merges)
+    got = top.select("word", merges.bound(lambda t: encode(t, F.encode("word", "UTF-8"))).alias("ids")).toArrow()
     words, ids = got.column(0).to_pylist(), got.column(1).combine_chunks() if got.num_rows else None
     sizes = np.diff(ids.offsets.to_numpy()).astype(np.uint16).tobytes() if words else b""
     flat = ids.flatten().to_numpy().astype(np.uint32).tobytes() if words else b""
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, "\n\0".join(words), sizes, flat))
     blocks = rows.mapInArrow(_looked_up(pattern, sent), BLOCK_SQL)
-    return blocks.select("doc_ids", "sizes", "stream", F.transform("missed", encode).alias("found"))
+    return blocks.select("doc_ids", "sizes", "stream", merges.bound(lambda t: F.transform("missed", lambda w: encode(t, w))).alias("found"))
 
 
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = W.MOST_WORDS) -> DataFrame:
