@@ -96,7 +96,6 @@ def eligible_rank(df: DataFrame, ok: Column, order: list[Column]) -> DataFrame:
 
 def pareto(df: DataFrame, a: str, b: str) -> DataFrame:
     """Flag rows that no other row beats in both columns (lower is better), by one sorted pass."""
-    w = Window.orderBy(a).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    strictly = Window.orderBy(a).rangeBetween(Window.unboundedPreceding, -1e-12)
-    same = F.min(b).over(Window.partitionBy(a))
-    return df.withColumn("pareto", (F.col(b) == same) & (F.coalesce(F.min(b).over(strictly) > F.col(b), F.lit(True)))).drop("_w") if w is not None else df
+    least = df.groupBy(a).agg(F.min(b).alias("_own")).withColumn("_before", F.min("_own").over(Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1)))
+    flag = (F.col(b) == F.col("_own")) & F.coalesce(F.col("_before") > F.col(b), F.lit(True))
+    return df.join(least, a).withColumn("pareto", flag).drop("_own", "_before")
