@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 import uuid
 import zlib
 
@@ -198,11 +197,11 @@ BLOCK_SQL = "doc_ids array<long>, sizes array<long>, stream binary, missed array
 BLOCK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("stream", pa.binary()), ("missed", pa.list_(pa.binary()))])
 
 
-def _looked_up(pattern: str, sent):
+def _looked_up(made: tuple, sent):
     """mapInArrow: (doc_id, text) -> blocks of id streams with holes, and the words to fill them."""
 
     def go(arrow):
-        find, tier = re.compile(pattern).findall, _tier(sent)
+        find, tier = W.finder(made), _tier(sent)
         ids, sizes, stream, missed, chars = [], [], [], {}, 0
 
         def block():
@@ -264,9 +263,9 @@ def _blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -
     """(doc_ids, sizes, stream, found): id streams in blocks, with the ids of each block's missed words."""
     spark = docs.sparkSession
     small_batches(spark, 500)
-    pattern = W.standard(pattern)
+    made = W.splitter(pattern)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    top = W.frequent(W.word_counts(rows.select("text"), pattern), most)
+    top = W.frequent(W.word_counts(rows.select("text"), made), most)
     merges = RankMap(ranks)
     encode = encoder(merges)
     got = top.select("word", merges.bound(lambda t: encode(t, F.encode("word", "UTF-8"))).alias("ids")).toArrow()
@@ -274,7 +273,7 @@ def _blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -
     sizes = np.diff(ids.offsets.to_numpy()).astype(np.uint16).tobytes() if words else b""
     flat = ids.flatten().to_numpy().astype(np.uint32).tobytes() if words else b""
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, "\n\0".join(words), sizes, flat))
-    blocks = rows.mapInArrow(_looked_up(pattern, sent), BLOCK_SQL)
+    blocks = rows.mapInArrow(_looked_up(made, sent), BLOCK_SQL)
     return blocks.select("doc_ids", "sizes", "stream", merges.bound(lambda t: F.transform("missed", lambda w: encode(t, w))).alias("found"))
 
 

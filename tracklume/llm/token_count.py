@@ -62,11 +62,11 @@ def _table(sent) -> dict[str, int]:
     return _state["table"]
 
 
-def _counted(pattern: str, apart: str | None, sent, library):
+def _counted(made: tuple, apart: str | None, sent, library):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def go(arrow):
-        find, cut = re.compile(pattern).findall, re.compile(apart) if apart else None
+        find, cut = W.finder(made), re.compile(apart) if apart else None
         table = _table(sent)
         tokenizer, cache = _library(library)
         for b in arrow:
@@ -105,12 +105,12 @@ def token_counts(docs: DataFrame, tokenizer_json: str, pattern: str, limit: int
     spec = json.loads(tokenizer_json)
     added = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
     apart = "|".join(map(re.escape, added)) or None
-    pattern = W.standard(pattern)
+    made = W.splitter(pattern)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     library = spark.sparkContext.broadcast((uuid.uuid4().hex, tokenizer_json))
-    top = W.frequent(W.word_counts(rows.select("text"), pattern, apart), most)
+    top = W.frequent(W.word_counts(rows.select("text"), made, apart), most)
     got = top.mapInArrow(_encoded(library), "word string, n int").toArrow()
     sizes = got.column(1).to_pylist()
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, "\n\0".join(got.column(0).to_pylist()), bytes(sizes)))  # a word of 32 bytes has 32 tokens at most
-    out = rows.mapInArrow(_counted(pattern, apart, sent, library), "doc_id long, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(_counted(made, apart, sent, library), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

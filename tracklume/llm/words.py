@@ -23,11 +23,11 @@ MOST_WORDS, MOST_BYTES = 1 << 19, 32
 
 
 @cache
-def _ranges(kind: str) -> str:
-    """A character class's inside for a general category (L or N), as ranges."""
+def _ranges(*kinds: str) -> str:
+    """A character class's inside for general categories (by their first letters), as ranges."""
     out, first = [], None
     for c in range(0x110001):
-        inside = c < 0x110000 and not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == kind
+        inside = c < 0x110000 and not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)).startswith(kinds)
         if inside and first is None:
             first = c
         elif not inside and first is not None:
@@ -58,12 +58,41 @@ def standard(pattern: str) -> str:
     return "".join(out)
 
 
-def _counted(pattern: str, apart: str | None):
+def quick(pattern: str) -> str | None:
+    r"""The pattern in Python's own classes, several times as fast.  It splits a text alike unless the text has
+    a character of :func:`odd`: a number that is no digit counts as a letter there, and some controls as white space.
+    """
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)")
+    if re.search(r"\[[^\]]*\\p\{", out):
+        return None
+    return out.replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+
+
+def odd() -> str:
+    return f"[\x1c-\x1f{_ranges('Nl', 'No')}]"
+
+
+def splitter(pattern: str) -> tuple[str, str | None, str]:
+    """What :func:`finder` needs, made on the driver."""
+    return standard(pattern), quick(pattern), odd()
+
+
+def finder(made: tuple[str, str | None, str]):
+    """text -> its pre-tokens."""
+    exact, fast, odd_ = made
+    slow = re.compile(exact).findall
+    if fast is None:
+        return slow
+    all_, strange = re.compile(fast).findall, re.compile(odd_).search
+    return lambda text: slow(text) if strange(text) else all_(text)
+
+
+def _counted(made: tuple, apart: str | None):
     """mapInArrow: texts -> (word, n) with counts folded inside the task."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def go(arrow):
-        find, cut = re.compile(pattern).findall, re.compile(apart) if apart else None
+        find, cut = finder(made), re.compile(apart) if apart else None
         found: Counter = Counter()
         for b in arrow:
             for t in b.column(0).to_pylist():
@@ -78,9 +107,9 @@ def _counted(pattern: str, apart: str | None):
     return go
 
 
-def word_counts(texts: DataFrame, pattern: str, apart: str | None = None) -> DataFrame:
-    """One column of texts -> (word, n) over the whole corpus; ``apart`` matches what is cut out first."""
-    return texts.mapInArrow(_counted(pattern, apart), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(texts: DataFrame, made: tuple, apart: str | None = None) -> DataFrame:
+    """One column of texts -> (word, n) over the whole corpus; ``made`` is a :func:`splitter`, ``apart`` matches what is cut out first."""
+    return texts.mapInArrow(_counted(made, apart), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int = MOST_WORDS, longest: int = MOST_BYTES) -> DataFrame:
