@@ -172,10 +172,11 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, sample: int = 8192
 ORACLE = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-), ok AS (
-  SELECT vec_id, label, e FROM v
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), ok AS MATERIALIZED (
+  SELECT vec_id, label, e FROM (
+    SELECT vec_id, label, CASE WHEN label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM v)
+  WHERE e IS NOT NULL
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
