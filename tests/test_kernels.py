@@ -33,7 +33,7 @@ def test_imm_weights_sum_to_one():
 @pytest.mark.parametrize("seed", range(20))
 def test_assignment_is_optimal(seed):
     rng = np.random.default_rng(seed)
-    n, m = rng.integers(1, 6, 2)
+    n, m = rng.integers(1, 6, 2).tolist()
     c = rng.random((n, m))
     got = sum(c[i, j] for i, j in K.assignment(c))
     k = min(n, m)

@@ -1 +1 @@
-
+"""Joins, selection, aggregation, windows, trajectories, kernels."""
