@@ -24,13 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import fresh, shared_path, text_or_empty
+from ._common import fresh, text_or_empty
+from .simhash import _stored
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Feature -> (its value in whole units, the least margin above the upper quartile).
 FEATURES = {"symbols": 60, "dup_lines": 300, "word_length": 30, "repeats": 300}
 CELLS = 1000
+#: Groups (four numbers each) whose fences are broadcast; with more of them the join is an ordinary one.
+MOST_BROADCAST = 20_000
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -114,7 +117,10 @@ def fences(sketch: DataFrame, least_docs: int) -> DataFrame:
 
 
 def rated(docs: DataFrame, least_docs: int = 30, columns: list[str] | None = None) -> DataFrame:
-    """docs (``columns`` of them, all by default) with the counts, tl_failed and tl_kept."""
+    """docs (``columns`` of them, all by default) with the counts, tl_failed and tl_kept.
+
+    With all columns the counts are computed anew for the verdicts: texts are neither stored nor shuffled.
+    """
     keep = docs.columns if columns is None else columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -122,10 +128,12 @@ def rated(docs: DataFrame, least_docs: int = 30, columns: list[str] | None = Non
     rows = counts(inner, at["text"])
     failed = (F.col("tl_n_words") < 50) | (100 * F.col("tl_n_repeat_words") > 50 * F.col("tl_n_words"))
     rows = rows.select(*[at[c] for c in keep], *[c for c in rows.columns if c.startswith("tl_")], side("lang").alias("tl_lang"), side("source").alias("tl_source"), failed.alias("tl_failed"), *[u.alias(f"tl_{k}") for k, u in _units().items()])
-    path = shared_path(docs.sparkSession, "rated")
-    rows.write.parquet(path)  # the counts are dear and are read twice: for the sketches and for the verdicts
-    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
-    limits = fences(sketches(rows), least_docs)
+    if columns is not None:
+        # few narrow columns: the counts are dear and are read twice, for the sketches and for the verdicts
+        rows = _stored(rows, "rated")
+    limits = _stored(fences(sketches(rows), least_docs), "fences")
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
     judged = rows.join(limits, F.col("tl_lang").eqNullSafe(F.col("g_lang")) & F.col("tl_source").eqNullSafe(F.col("g_source")), "left")
     beyond = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"tl_{k}") > F.col(f"fence_{k}"), F.lit(False)) for k in FEATURES])
     names = [F.col(at[c]).alias(c) for c in keep]
