@@ -116,21 +116,15 @@ def fences(sketch: DataFrame, least_docs: int) -> DataFrame:
     return out.select(F.col("tl_lang").alias("g_lang"), F.col("tl_source").alias("g_source"), *[pick(k).alias(f"fence_{k}") for k in FEATURES])
 
 
-def rated(docs: DataFrame, least_docs: int = 30, columns: list[str] | None = None) -> DataFrame:
-    """docs (``columns`` of them, all by default) with the counts, tl_failed and tl_kept.
-
-    With all columns the counts are computed anew for the verdicts: texts are neither stored nor shuffled.
-    """
-    keep = docs.columns if columns is None else columns
+def rated(docs: DataFrame, least_docs: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns of docs (narrow ones: they are stored) with the counts, tl_failed and tl_kept."""
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     side = lambda c: F.col(at[c]).cast("string") if c in at else F.lit(None).cast("string")
     rows = counts(inner, at["text"])
     failed = (F.col("tl_n_words") < 50) | (100 * F.col("tl_n_repeat_words") > 50 * F.col("tl_n_words"))
     rows = rows.select(*[at[c] for c in keep], *[c for c in rows.columns if c.startswith("tl_")], side("lang").alias("tl_lang"), side("source").alias("tl_source"), failed.alias("tl_failed"), *[u.alias(f"tl_{k}") for k, u in _units().items()])
-    if columns is not None:
-        # few narrow columns: the counts are dear and are read twice, for the sketches and for the verdicts
-        rows = _stored(rows, "rated")
+    rows = _stored(rows, "rated")  # the counts are dear and are read twice: for the sketches and for the verdicts
     limits = _stored(fences(sketches(rows), least_docs), "fences")
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)
@@ -151,6 +145,14 @@ def quality_counts(docs: DataFrame, least_docs: int = 30) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, least_docs: int = 30) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
-    out = rated(docs, least_docs)
-    return out.where(F.col(fresh(docs, "kept")[0])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that no rule rejects, with all their columns.
+
+    Verdicts are stored without the texts, by 128 bits of hash of what they depend on; an anti join takes the rejected out.
+    """
+    a, b = fresh(docs, "ka", "kb")
+    parts = [F.col(f"`{c}`").cast("string") for c in ("text", "lang", "source") if c in docs.columns]
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(i), *[F.coalesce(p, F.lit("")) for p in parts], *[p.isNull() for p in parts]) for i, k in enumerate((a, b))})
+    narrow = keyed.select(*[c for c in ("text", "lang", "source") if c in docs.columns], a, b)
+    verdicts = rated(narrow, least_docs, [a, b])
+    rejected = verdicts.where(~F.col(fresh(narrow, "kept")[0])).select(a, b).distinct()
+    return keyed.join(rejected, [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
