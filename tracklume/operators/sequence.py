@@ -154,3 +154,24 @@ def voxel_clusters(df: DataFrame, keys: list[str], size: float, least: int) -> D
         return p[["sequence_id", "time_s", "key"]].assign(cluster=K.voxel_components(p[AXES].to_numpy(float), size, least))
 
     return _grouped(df, keys, ["key"], "sequence_id string, time_s double, key string, cluster long", kernel)
+
+
+def diversified(df: DataFrame, keys: list[str], score: str, radius: float, most: int) -> DataFrame:
+    """Per frame: greedy non-maximum suppression in space."""
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        keep = K.spatial_nms(p[AXES].to_numpy(float), p[score].to_numpy(float), radius, most)
+        return p.iloc[keep][["sequence_id", "time_s", "key"]].assign(pick=np.arange(1, len(keep) + 1))
+
+    return _grouped(df, keys, ["key"], "sequence_id string, time_s double, key string, pick long", kernel)
+
+
+def assigned_times(wanted: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
+    """Optimal one-to-one pairs of (sequence_id, time_s) rows of two tables."""
+
+    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.sort(a["time_s"].to_numpy(float)), np.sort(b["time_s"].to_numpy(float))
+        pairs = K.timestamp_assignment(x, y, tolerance)
+        return pd.DataFrame([(key[0], x[i], y[j]) for i, j in pairs], columns=["sequence_id", "time_s", "match_s"])
+
+    return wanted.groupBy("sequence_id").cogroup(found.groupBy("sequence_id")).applyInPandas(kernel, "sequence_id string, time_s double, match_s double")
