@@ -190,14 +190,14 @@ def interpolate_positions(spark, sf):
 
 
 @query(f"""WITH {MEASUREMENTS}, {BRACKET}, e AS (SELECT sequence_id, xm, x_m - xm AS rx, y_m - ym AS ry FROM near WHERE abs(tm - time_s) <= 200000)
-SELECT sequence_id, count(*) AS n, round(avg(rx), 6) AS mean_rx, round(avg(ry), 6) AS mean_ry, round(covar_samp(rx, rx), 4) AS cov_rx_rx, round(covar_samp(rx, ry), 4) AS cov_rx_ry, round(covar_samp(ry, ry), 4) AS cov_ry_ry
+SELECT sequence_id, count(*) AS n, round(avg(rx), 6) AS mean_rx, round(avg(ry), 6) AS mean_ry, round(covar_samp(rx, rx), 9) AS cov_rx_rx, round(covar_samp(rx, ry), 9) AS cov_rx_ry, round(covar_samp(ry, ry), 9) AS cov_ry_ry
 FROM e GROUP BY sequence_id HAVING count(*) > 1""")
 def empirical_covariance(spark, sf):
     a, b = _clicks(spark, sf)
     d = J.asof_nearest(a, b, ["sequence_id"], payload=["x_m", "y_m", "key"], order="key", tolerance=200_000.0).where("match IS NOT NULL")
     d = d.select("sequence_id", (F.col("x_m") - F.col("match.x_m")).alias("rx"), (F.col("y_m") - F.col("match.y_m")).alias("ry"))
     out = G.residual_covariance(d, ["sequence_id"], ["rx", "ry"]).where("n > 1")
-    return rounded(rounded(out, "mean_rx", "mean_ry"), "cov_rx_rx", "cov_rx_ry", "cov_ry_ry", n=4)
+    return rounded(rounded(out, "mean_rx", "mean_ry"), "cov_rx_rx", "cov_rx_ry", "cov_ry_ry", n=9)
 
 
 @query(f"""WITH {MEASUREMENTS}, {BRACKET}, ok AS (SELECT key, sequence_id, source, time_s, sqrt((x_m - xm) ** 2 + (y_m - ym) ** 2) AS d FROM near WHERE abs(tm - time_s) <= 300000)

@@ -40,11 +40,11 @@ def fit_time_offset(spark, sf):
     return C.best_offset(_sweep(spark, sf))
 
 
-@query(f"""WITH {MEASUREMENTS}, {BRACKET} SELECT sequence_id, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN avg(x_m - xm) * 0.5 ELSE 0 END, 6) AS shift_rx FROM near WHERE abs(tm - time_s) <= 200000 GROUP BY 1""")
+@query(f"""WITH {MEASUREMENTS}, {BRACKET} SELECT sequence_id, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN avg(x_m - xm) * 0.5 ELSE 0 END, 9) AS shift_rx FROM near WHERE abs(tm - time_s) <= 200000 GROUP BY 1""")
 def source_translation_fit(spark, sf):
     a, b = _clicks(spark, sf)
     d = J.asof_nearest(a, b, ["sequence_id"], payload=["x_m", "key"], order="key", tolerance=200_000.0).where("match IS NOT NULL")
-    return rounded(C.translations(d.select("sequence_id", (F.col("x_m") - F.col("match.x_m")).alias("rx")), ["sequence_id"], ["rx"], 3, 0.5), "shift_rx")
+    return rounded(C.translations(d.select("sequence_id", (F.col("x_m") - F.col("match.x_m")).alias("rx")), ["sequence_id"], ["rx"], 3, 0.5), "shift_rx", n=9)
 
 
 @query(f"""WITH {MEASUREMENTS}, {BRACKET}, p AS (SELECT sequence_id, key, time_s, abs(tm - time_s) AS dt, abs(x_m - xm) AS d FROM near WHERE abs(tm - time_s) <= 200000 AND abs(x_m - xm) <= 50)
