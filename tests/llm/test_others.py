@@ -83,6 +83,45 @@ def test_representatives(spark):
     assert simhash.keep_representatives(df.limit(0)).count() == 0
 
 
+def shingle_set(text, n=5):
+    w = text.split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def test_representatives_compare_shingle_sets(spark, monkeypatch):
+    rnd = random.Random(21)
+    texts, similarities = [], []
+    for k in range(600):
+        size = 64 if k % 2 else 304
+        w = [f"v{rnd.randint(0, 10**6)}" for _ in range(size)]
+        other, goal = list(w), rnd.uniform(0.6, 0.9)
+        while True:  # words are replaced until the similarity has come down to the goal
+            other[rnd.randrange(size)] = f"v{rnd.randint(0, 10**6)}"
+            x, y = shingle_set(" ".join(w)), shingle_set(" ".join(other))
+            if len(x & y) / len(x | y) <= goal:
+                break
+        texts += [" ".join(w), " ".join(other)]
+        similarities.append(len(x & y) / len(x | y))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_representatives(df).collect()}
+    assert all(2 * k in kept for k in range(600))
+    assert [k for k, s in enumerate(similarities) if s < 0.8 and 2 * k + 1 not in kept] == []
+    near = [k for k, s in enumerate(similarities) if s >= 0.8]
+    assert len(near) > 100 and sum(2 * k + 1 not in kept for k in near) >= 0.98 * len(near)
+    # a chain of candidates that is cut in many blocks: only the links count
+    monkeypatch.setattr(simhash, "SETS", 3)
+    w = [f"v{i}" for i in range(104)]
+    chain = []
+    for step in range(30):
+        for at in range(3 if step % 5 else 4):
+            w[(17 * step + 6 * at) % 104] = f"u{step}_{at}"
+        chain.append(" ".join(w))
+    sets = [shingle_set(t) for t in chain]
+    root = classes(30, [(i, j) for i in range(30) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8])
+    df = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_representatives(df).collect()) == sorted(set(root))
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(299, i) for i in range(100)] + [(None, 1), (4, 4)]
