@@ -238,6 +238,13 @@ def test_best_fit_picks_the_tightest_bin():
     assert [b for b, _ in places] == [0, 1, 2, 2, 1]
 
 
+def test_bin_sizes_are_chosen_by_what_waits():
+    places, bins = packing.best_fit([300] * 1000)
+    assert bins.count(1024) == 333 and bins.count(512) == 1  # three to a bin; the rest alone
+    _, bins = packing.best_fit([700] * 500 + [200] * 300)
+    assert len(set(bins)) > 1 and sum(s * (1 + s / packing.ATTENTION) for s in bins) < 500 * 1024 * (1 + 1024 / packing.ATTENTION)
+
+
 def test_url_rules(spark):
     urls = ["http://www.x.com/en/1", "http://com/en/", "http://a.example.com/en/77?q=1", "http://EXAMPLE.com/en/7", "http://x.net/de/1", "http://example.net/de/9", "http://b.example.net/de/8", "http://x.org/es/#a", "nohost.com/en/", None, "http://notcom/en/", "http://x.com?/en/", "x://y://z/en/", "http://x.com/EN/1"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").selectExpr("*", "'h' AS host", "1 AS tokens")

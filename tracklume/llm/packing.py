@@ -2,10 +2,10 @@
 
 Documents are dealt into shards of bounded size by a hash.  A shard is packed by
 best-fit decreasing: each piece goes into the open bin with the least room that
-holds it.  If none does, a bin is opened whose size has the least cost for each
-token it can still be filled with, over all permitted sizes at once; the cost of
-a size is ``size * (1 + size / attention)``.  In the end each bin is downsized to
-the smallest permitted size that holds its contents.
+holds it.  If none does, each permitted size is filled on trial with the lengths
+that still wait and that no earlier bin counts on, and a bin of the size with the
+least cost for each token placed is opened; the cost of a size is ``size * (1 + size / attention)``.  In the end each bin
+is downsized to the smallest permitted size that holds its contents.
 
 Defined results: a document longer than the largest size is cut into pieces of
 that size and a rest, nothing is dropped; a null or wordless text has length 0 and
@@ -30,14 +30,42 @@ SHARD = 8192
 
 def best_fit(lengths: list[int], sizes: tuple = SIZES, attention: int = ATTENTION):
     """(bin, offset) of each piece and the bins' sizes.  No length may exceed the largest size."""
-    sizes = tuple(sorted(sizes))
+    places, used, _ = _filled(lengths, tuple(sorted(sizes)), attention)
+    return places, [next(s for s in sorted(sizes) if s >= u) for u in used]
+
+
+def _filled(lengths: list[int], sizes: tuple, attention: int):
+    """(bin, offset) of each piece, and of each bin what it holds and the size it was opened with."""
     cost = {s: s * (1 + s / attention) for s in sizes}
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    left = sum(lengths)
+    waiting = [0] * (sizes[-1] + 1)  # pieces of each length that are not placed and that no open bin counts on
+    promised = [0] * (sizes[-1] + 1)  # those that one counts on
+    lens = 0  # bit n is set if a piece of length n waits
+    for n in lengths:
+        waiting[n] += 1
+        lens |= (n > 0) << n
     places: list[tuple[int, int]] = [(0, 0)] * len(lengths)
     used: list[int] = []
+    opened: list[int] = []
     room: dict[int, list[int]] = {}
     rooms = 0  # bit r is set if an open bin has room r
+
+    def trial(n: int, size: int) -> tuple[float, int, list[tuple[int, int]]]:
+        """Cost of a token in a bin that takes a piece of n, then always the longest waiting pieces that fit; its size; these pieces."""
+        r, least, taken = size - n, size, []
+        while r and (fit := lens & ((1 << min(r + 1, least)) - 1)):
+            least = fit.bit_length() - 1
+            taken.append((least, min(waiting[least], r // least)))
+            r -= least * taken[-1][1]
+        return cost[size] / max(1, size - r), size, taken
+
+    def promise(n: int, count: int) -> None:
+        nonlocal lens
+        waiting[n] -= count
+        promised[n] += count
+        if not waiting[n]:
+            lens &= ~(1 << n)
+
     for i in order:
         n = lengths[i]
         fit = rooms >> n
@@ -46,17 +74,24 @@ def best_fit(lengths: list[int], sizes: tuple = SIZES, attention: int = ATTENTIO
             k = room[r].pop()
             if not room[r]:
                 rooms &= ~(1 << r)
+            if not promised[n]:
+                promise(n, 1)
         else:
-            r = min((s for s in sizes if s >= n), key=lambda s: (cost[s] / max(1, min(s, left)), s))
+            if waiting[n]:
+                promise(n, 1)
+            _, r, taken = min(trial(n, s) for s in sizes if s >= n)
+            for other, count in taken:
+                promise(other, count)
             k = len(used)
             used.append(0)
+            opened.append(r)
+        promised[n] -= 1
         places[i] = (k, used[k])
         used[k] += n
-        left -= n
         r -= n
         room.setdefault(r, []).append(k)
         rooms |= 1 << r
-    return places, [next(s for s in sizes if s >= u) for u in used]
+    return places, used, opened
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("piece_start", pa.int64()), ("n_tokens", pa.int64()), ("shard", pa.int64()), ("bin", pa.int64()), ("bin_offset", pa.int64()), ("bin_size", pa.int64())])
