@@ -277,6 +277,18 @@ def test_mined_rules(spark):
         assert got[i] == ("block" if "pills" in u or ("casino" in u and "news" in u) else "allow"), u
 
 
+def test_mined_rules_of_many_tokens(spark):
+    # bad pages hold all of five tokens; of good pages each lacks one, so no part of four is sure
+    parts = [["pages", "other"], ["en", "de"], ["offer", "text"], ["win", "lose"], ["now", "then"]]
+    urls = ["http://site/" + "/".join(p[0] for p in parts)] * 100
+    for k, p in enumerate(parts):
+        urls += ["http://site/" + "/".join(q[1] if q is p else q[0] for q in parts)] * 60
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 100)) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, labels).collect()}
+    assert all(got[i] == ("block" if i < 100 else "allow") for i in range(len(urls)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <{root}><h1>{title}</h1><p><b>First &amp; <i>second</i></b><br>line {k}<p>Unclosed {k}<div class="ad">Buy</div><form><p>Mail</p></form>

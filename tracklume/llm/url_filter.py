@@ -55,7 +55,7 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, parts, keys))
 
 
-def mine(tokens: DataFrame, support: float, confidence: float, most_tokens: int) -> DataFrame:
+def mine(tokens: DataFrame, support: float, confidence: float) -> DataFrame:
     """(tokens array, bad boolean) -> rules (rule_id, items, confidence), least parts only."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -64,8 +64,7 @@ def mine(tokens: DataFrame, support: float, confidence: float, most_tokens: int)
     if rows.isEmpty():
         return tokens.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(rows)
-    sets = model.freqItemsets.where(F.size("items") <= most_tokens + 1)
-    sets = _stored(sets.select(F.sort_array("items").alias("items"), "freq"), "itemsets")  # at most what the support allows
+    sets = _stored(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "itemsets")  # at most what the support allows
     whole = sets.where(~F.array_contains("items", bad)).withColumnRenamed("freq", "n")
     with_bad = sets.where(F.array_contains("items", bad)).select(F.array_remove("items", bad).alias("items"), F.col("freq").alias("hits")).where(F.size("items") > 0)
     rules = with_bad.join(whole, "items").select("items", (F.col("hits") / F.col("n")).alias("confidence")).where(F.col("confidence") >= confidence)
@@ -75,7 +74,7 @@ def mine(tokens: DataFrame, support: float, confidence: float, most_tokens: int)
     return rules.join(wider.select("items").distinct(), "items", "left_anti").select(F.xxhash64("items").alias("rule_id"), "items", "confidence")
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = 0.002, confidence: float = 0.75, most_tokens: int = 3) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = 0.002, confidence: float = 0.75) -> DataFrame:
     """Pages (page_id, url) and labels (doc_id, quality, toxic) -> (page_id, host, path, rule, verdict).
 
     A page is bad if the document of its id is labelled toxic or of quality 0.
@@ -86,7 +85,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, suppo
     tokens = tokens_of(F.col("url"), F.col("host"), F.col("path"))
     # equal hosts, directories and keys give equal token sets: each set is matched once
     rows = rows.withColumn("tokens", F.sort_array(tokens))
-    found = _stored(mine(rows.join(known, "page_id").select("tokens", "bad"), support, confidence, most_tokens), "url_rules")
+    found = _stored(mine(rows.join(known, "page_id").select("tokens", "bad"), support, confidence), "url_rules")
     sets = rows.select("tokens").distinct().withColumn("set_id", F.xxhash64("tokens"))
     index = found.select("rule_id", F.size("items").alias("need"), F.explode("items").alias("token"))
     met = sets.select("set_id", F.explode("tokens").alias("token")).join(index, "token").groupBy("set_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
