@@ -5,6 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -34,10 +35,9 @@ def test_bpe(spark, most):
         ids = enc.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    if most == 5:
-        ids = bpe.bpe_encode(df, ranks, public_tokenizers.PATTERN, most)
-        out = ids.select("doc_id", bpe.decoded(F.col("ids"), bpe.piece_literal({p: r for p, r in ranks.items() if r < 300} | {b"?": max(ranks.values())})).alias("b"))
-        assert out.count() == len(data) + 1
+    pieces = bpe.piece_literal(ranks)
+    out = bpe.bpe_encode(df, ranks, public_tokenizers.PATTERN, most).select("doc_id", bpe.decoded(F.col("ids"), pieces).alias("b")).collect()
+    assert sorted([(r.doc_id, bytes(r.b)) for r in out], key=str) == sorted([(i, (t or "").encode()) for i, t in data + [data[2]]], key=str)
 
 
 def test_pieces_that_merging_never_builds(spark):
@@ -69,6 +69,8 @@ def test_empty(spark):
 
 
 def test_splitter_like_the_regex_module():
+    enc = tiktoken.Encoding("bytes", pat_str=r"\p{L}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    assert all(bool(enc.encode_ordinary(c)) == (c in words._members("L")) for c in "aé三٣²½Ⅷ\u1c89\U00016d40\U0001f389")
     split, want = words.finder(words.splitter(public_tokenizers.PATTERN)), regex.compile(public_tokenizers.PATTERN).findall
     rnd = random.Random(3)
     for _ in range(5000):
@@ -76,6 +78,19 @@ def test_splitter_like_the_regex_module():
         assert split(x) == want(x)
 
 
+def test_segments():
+    find = words.finder(words.splitter(public_tokenizers.PATTERN))
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab  '\n\t_-1²½Ⅷé\x1c\x85 三٣.s't") for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    got = words.Segments(pa.array(texts), words.splitter(public_tokenizers.PATTERN))
+    found, sizes = got.words()
+    ends, at = np.cumsum(sizes), 0
+    for text, n in zip(texts, got.sizes.tolist()):
+        assert [w for c in got.codes[at : at + n].tolist() for w in found[ends[c] - sizes[c] : ends[c]]] == find(text)
+        at += n
+    assert at == len(got.codes) and got.counts().sum() == at
+
+
 def test_rank_file():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = bpe.read_ranks(None, path)
