@@ -24,6 +24,68 @@ def test_filter_follows_a_line_and_gates_an_outlier():
     assert np.allclose(K.rts(t, got["mean"], got["cov"], 0.1, lag_s=100.0), smooth)
 
 
+def _many(rng):
+    sizes = [1, 5, 2, 9, 1, 30]
+    starts = np.cumsum([0, *sizes[:-1]])
+    t = np.concatenate([np.sort(rng.random(n) * 50) for n in sizes])
+    return starts, sizes, t
+
+
+@pytest.mark.parametrize("robust,gate", [("none", None), ("none", 4.0), ("student-t", None), ("huber", 9.0)])
+def test_many_sequences_are_filtered_as_each_alone(robust, gate):
+    rng = np.random.default_rng(3)
+    starts, sizes, t = _many(rng)
+    z = rng.normal(size=(len(t), 2)) * 40
+    got = K.cv_filter_many(t, z, starts, 5.0, 2.0, gate, robust=robust)
+    smooth = K.rts_many(t, got, starts, 2.0)
+    for a, n in zip(starts, sizes):
+        s = slice(a, a + n)
+        want = K.cv_filter(t[s], z[s], np.full(n, 5.0), 2.0, gate, robust=robust)
+        assert np.allclose(got["position"][s], want["mean"][:, :2]) and np.allclose(got["velocity"][s], want["mean"][:, 2:])
+        assert np.allclose(got["nis"][s], want["nis"]) and (got["accepted"][s] == want["accepted"]).all()
+        assert np.allclose(smooth[s], K.rts(t[s], want["mean"], want["cov"], 2.0)[:, :2], atol=1e-6)
+
+
+@pytest.mark.parametrize("pairs", [1, 1 << 22])
+def test_many_paths_as_each_alone(monkeypatch, pairs):
+    monkeypatch.setattr(K, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    starts, sizes, _ = _many(rng)
+    t = np.concatenate([np.sort(rng.integers(0, 8, n)) for n in sizes]).astype(float)
+    x, score = rng.normal(size=(len(t), 3)) * 3, rng.random(len(t))
+    new = np.isin(np.arange(len(t)), starts)
+    new[1:] |= t[1:] != t[:-1]
+    frames = np.flatnonzero(new)
+    first = np.searchsorted(frames, starts)
+    rows, post = K.viterbi_many(t, x, score, frames, first, 2.0), K.forward_backward_many(t, x, score, frames, first, 2.0)
+    ends = np.append(frames[1:], len(t))
+    for a, b in zip(first, [*first[1:], len(frames)]):
+        cut = [slice(frames[k], ends[k]) for k in range(a, b)]
+        times, parts, s = np.array([t[c.start] for c in cut]), [x[c] for c in cut], [score[c] for c in cut]
+        path = K.viterbi(times, parts, s, 2.0)
+        assert [c.start + k for c, k in zip(cut, path)] == [r for r in rows if cut[0].start <= r < cut[-1].stop]
+        assert np.allclose(np.concatenate(K.forward_backward(times, parts, s, 2.0)), post[cut[0].start : cut[-1].stop])
+
+
+def test_turns():
+    t = np.arange(30.0)
+    z = np.stack([100 * np.sin(0.1 * t), 100 * (1 - np.cos(0.1 * t))], 1)
+    got = K.imm_filter(t, z, np.full(30, 0.5), (1.0,), turns=(0.1, -0.1), turn_accel=0.5)
+    assert got["weight"][-1].argmax() == 1
+    assert np.allclose(K.turn_transition(1.0, 1e-12, 2), K.transition(1.0, 2))
+
+
+def test_jerk_and_local_lines():
+    t = np.arange(12.0)
+    x = np.stack([2 * t, t * 0], 1)
+    y = x.copy()
+    y[6] += 30
+    got = K.jerk_limited(t, y, 5.0, weight=100.0, rounds=3)
+    assert np.abs(got[6] - x[6]).max() < 20 and np.allclose(K.jerk_limited(t, x, 5.0), x)
+    assert np.allclose(K.local_linear(t, x, 3.0), x)
+    assert 5 < np.abs(K.local_linear(t, y, 3.0, most_m=10.0)[6] - y[6]).max() <= 10 + 1e-9
+
+
 def test_imm_weights_sum_to_one():
     t = np.arange(10.0)
     got = K.imm_filter(t, np.stack([t, t], 1), np.full(10, 1.0))

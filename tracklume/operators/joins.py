@@ -6,6 +6,8 @@ range and radius joins are equi-joins on buckets with a residual predicate.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,30 +91,60 @@ def radius_join(left: DataFrame, right: DataFrame, keys: list[str], radius: floa
     return l_.join(r, [*keys, "_c"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius).drop("_c")
 
 
-def branch_consensus(candidates: DataFrame, window_s: float, gate_m: float) -> DataFrame:
-    """Per candidate: neighbours of other sources in the same sequence, near in time and space.
+def near_pairs(df: DataFrame, keys: list[str], key: str, cells: dict[str, float], payload: list[str]) -> DataFrame:
+    """Each unordered pair of rows of equal keys whose ``cells`` columns differ by less than their widths in grid steps, once.
 
-    Needs sequence_id, key, time_s, source, candidate_branch and x_m, y_m, z_m.
+    ``cells`` names the columns that are gridded and their cell widths.  Of the neighbour cells only half are
+    visited, so one side stands in (3^n + 1) / 2 cells: few gridded columns for small groups, more for dense ones.
+    Columns of the second row get the suffix ``_r``; a residual predicate is the caller's.
     """
-    cols = ["sequence_id", "key", "time_s", "source", "candidate_branch", "x_m", "y_m", "z_m"]
-    pairs = band_join(candidates.select(cols), candidates.select(cols), ["sequence_id"], window_s).where("source <> source_r")
-    d = distance([F.col(c) for c in ("x_m", "y_m", "z_m")], [F.col(f"{c}_r") for c in ("x_m", "y_m", "z_m")])
-    near = pairs.withColumn("d", d).where(F.col("d") <= gate_m)
-    got = near.groupBy("key").agg(F.count(F.lit(1)).alias("neighbors"), F.countDistinct("source_r").alias("sources"), F.countDistinct("candidate_branch_r").alias("branches"), F.min("d").alias("nearest_m"))
-    return candidates.join(got, "key", "left").fillna(0, ["neighbors", "sources", "branches"])
+    at = F.struct(*[F.floor(F.col(c) / F.lit(float(w))).cast("long").alias(f"_{i}") for i, (c, w) in enumerate(cells.items())])
+    half = [o for o in product((-1, 0, 1), repeat=len(cells)) if o >= (0,) * len(cells)]
+    one = df.select(*keys, key, *payload, at.alias("_c"))
+    steps = F.array(*[F.struct(*[F.lit(k).cast("long").alias(f"_{i}") for i, k in enumerate(o)], F.lit(any(o)).alias("other")) for o in half])
+    two = one.select(*keys, *[F.col(c).alias(f"{c}_r") for c in (key, *payload)], "_c", F.explode(steps).alias("_o"))
+    two = two.withColumn("_c", F.struct(*[(F.col(f"_c._{i}") + F.col(f"_o._{i}")).alias(f"_{i}") for i in range(len(cells))])).withColumn("_o", F.col("_o.other"))
+    return one.join(two, [*keys, "_c"]).where(F.col("_o") | (F.col(key) < F.col(f"{key}_r"))).drop("_c", "_o")
+
+
+def radius_pairs(df: DataFrame, keys: list[str], key: str, radius: float, gridded: tuple = ("x_m", "y_m", "z_m"), axes: tuple = ("x_m", "y_m", "z_m")) -> DataFrame:
+    """Unordered pairs of one group within a distance, each once; ``gridded`` are the axes that cut the group into cells."""
+    d = distance([F.col(c) for c in axes], [F.col(f"{c}_r") for c in axes])
+    return near_pairs(df, keys, key, {c: radius for c in gridded}, list(axes)).withColumn("distance_m", d).where(F.col("distance_m") <= radius)
+
+
+def branch_consensus(candidates: DataFrame, window_s: float, gate_m: float, scale_m: float | None = None) -> DataFrame:
+    """Per candidate: neighbours of other sources in the same sequence, near in time and space, and a support score
+    (sources found / (1 + nearest distance / scale)).
+
+    Needs sequence_id, key, time_s, source, candidate_branch and x_m, y_m, z_m.  A pair is found once, in a cell of time and x, and counts for both.
+    """
+    axes = ["x_m", "y_m", "z_m"]
+    pairs = near_pairs(candidates, ["sequence_id"], "key", {"time_s": max(window_s, 1e-9), "x_m": gate_m}, list(dict.fromkeys(["time_s", "source", "candidate_branch", *axes])))
+    d = distance([F.col(c) for c in axes], [F.col(f"{c}_r") for c in axes])
+    near = pairs.where("source <> source_r").where(F.abs(F.col("time_s") - F.col("time_s_r")) <= window_s).withColumn("d", d).where(F.col("d") <= gate_m)
+    side = lambda own, other: F.struct(F.col(f"key{own}").alias("key"), F.col(f"source{other}").alias("s"), F.col(f"candidate_branch{other}").alias("b"))
+    both = near.select("d", F.explode(F.array(side("", "_r"), side("_r", ""))).alias("p")).select("p.*", "d")
+    # sets of sources and branches are small; two distinct counts would expand every row threefold
+    got = both.groupBy("key").agg(F.count(F.lit(1)).alias("neighbors"), F.size(F.collect_set("s")).cast("long").alias("sources"), F.size(F.collect_set("b")).cast("long").alias("branches"), F.min("d").alias("nearest_m"))
+    out = candidates.join(got, "key", "left").fillna(0, ["neighbors", "sources", "branches"])
+    return out.withColumn("consensus_score", F.col("sources") / (1 + F.coalesce("nearest_m", F.lit(0.0)) / (scale_m or gate_m)))
 
 
 def temporal_support(candidates: DataFrame, max_gap: float, max_speed: float) -> DataFrame:
-    """Per candidate: nearest candidate of the sequence's previous and next frame that speed allows."""
+    """Per candidate: nearest candidate of the sequence's previous and next frame that speed allows.
+
+    Each candidate stands in its two neighbour frames, so one join serves both directions.
+    """
+    axes = ["x_m", "y_m", "z_m"]
     w = Window.partitionBy("sequence_id").orderBy("time_s")
-    c = candidates.withColumn("frame", F.dense_rank().over(w))
-    out = c.select("key", "sequence_id", "frame", "time_s", "x_m", "y_m", "z_m")
-    for name, step in (("backward", -1), ("forward", 1)):
-        o = c.select("sequence_id", (F.col("frame") - step).alias("frame"), F.col("time_s").alias("t_o"), *[F.col(a).alias(f"{a}_o") for a in ("x_m", "y_m", "z_m")])
-        d = distance([F.col(a) for a in ("x_m", "y_m", "z_m")], [F.col(f"{a}_o") for a in ("x_m", "y_m", "z_m")])
-        gap = F.abs(F.col("t_o") - F.col("time_s"))
-        near = out.select("key", "sequence_id", "frame", "time_s", "x_m", "y_m", "z_m").join(o, ["sequence_id", "frame"]).withColumn("d", d).where((gap <= max_gap) & (F.col("d") <= gap * max_speed))
-        out = out.join(near.groupBy("key").agg(F.min("d").alias(f"{name}_m")), "key", "left")
+    c = candidates.select("sequence_id", "key", "time_s", *axes).withColumn("frame", F.dense_rank().over(w))
+    o = c.select("sequence_id", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step"), "frame", F.col("time_s").alias("t_o"), *[F.col(a).alias(f"{a}_o") for a in axes]).withColumn("frame", F.col("frame") + F.col("step"))
+    d = distance([F.col(a) for a in axes], [F.col(f"{a}_o") for a in axes])
+    gap = F.abs(F.col("t_o") - F.col("time_s"))
+    near = c.join(o, ["sequence_id", "frame"], "left").withColumn("d", F.when((gap <= max_gap) & (d <= gap * max_speed), d))
+    side = lambda step: F.min(F.when(F.col("step") == step, F.col("d")))
+    out = near.groupBy("key", "sequence_id", "frame", "time_s", *axes).agg(side(1).alias("backward_m"), side(-1).alias("forward_m"))
     return out.withColumn("support", F.when(F.col("backward_m").isNotNull(), 1).otherwise(0) + F.when(F.col("forward_m").isNotNull(), 1).otherwise(0))
 
 

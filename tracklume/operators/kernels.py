@@ -127,10 +127,91 @@ def rts(t: np.ndarray, mean: np.ndarray, cov: np.ndarray, accel_std: float, lag_
     return np.array([back(int(ends[i]), i)[i] for i in range(n)])
 
 
-def imm_filter(t: np.ndarray, z: np.ndarray, std: np.ndarray, accels: tuple = (1.0, 4.0, 12.0), dwell_s: float = 10.0) -> dict[str, np.ndarray]:
-    """Interacting multiple models: constant-velocity modes of several accelerations, exponential mode switching."""
+def _steps_of(starts: np.ndarray, n: int):
+    """Rows by their place within their sequence: arrays of rows, one per step, of the sequences that are long enough."""
+    sizes = np.diff(np.append(starts, n))
+    order = np.argsort(-sizes, kind="stable")
+    sizes, first = sizes[order], starts[order]
+    for k in range(int(sizes[0]) if len(sizes) else 0):
+        yield first[: int(np.searchsorted(-sizes, -k, "left"))] + k
+
+
+def cv_filter_many(t: np.ndarray, z: np.ndarray, starts: np.ndarray, std_m: float, accel_std: float = 4.0, gate: float | None = None, velocity_std: float = 15.0, robust: str = "none") -> dict[str, np.ndarray]:
+    """:func:`cv_filter` of many sequences at once, step by step.
+
+    Axes share their noise, so one 2x2 covariance (position, velocity) serves all axes of a sequence.
+    """
+    n, d = z.shape
+    x, v = z.copy(), np.zeros_like(z)
+    p = np.tile([std_m**2, 0.0, velocity_std**2], (n, 1))
+    out = {"position": x, "velocity": v, "cov": p, "nis": np.zeros(n), "accepted": np.ones(n, bool)}
+    q, r0 = accel_std**2, std_m**2
+    for k, rows in enumerate(_steps_of(starts, n)):
+        if not k:
+            continue
+        dt = np.maximum(0.0, t[rows] - t[rows - 1])
+        p00, p01, p11 = p[rows - 1].T
+        p00, p01, p11 = p00 + 2 * dt * p01 + dt * dt * p11 + q * dt**3 / 3, p01 + dt * p11 + q * dt * dt / 2, p11 + q * dt
+        at, speed = x[rows - 1] + dt[:, None] * v[rows - 1], v[rows - 1]
+        miss = z[rows] - at
+        nis = (miss * miss).sum(1) / (p00 + r0)
+        ok = np.ones(len(rows), bool) if gate is None else nis <= gate
+        if robust == "student-t":
+            scale = np.maximum(1.0, (4.0 + nis) / (4.0 + d))
+        elif robust == "huber":
+            scale = np.maximum(1.0, np.sqrt(nis) / 2.0)
+        else:
+            scale = 1.0
+        r = r0 * scale
+        g0, g1 = np.where(ok, p00 / (p00 + r), 0.0), np.where(ok, p01 / (p00 + r), 0.0)
+        x[rows], v[rows] = at + g0[:, None] * miss, speed + g1[:, None] * miss
+        p[rows] = np.stack([(1 - g0) * p00, (1 - g0) * p01, p11 - g1 * p01], 1)
+        out["nis"][rows], out["accepted"][rows] = nis, ok
+    return out
+
+
+def rts_many(t: np.ndarray, got: dict[str, np.ndarray], starts: np.ndarray, accel_std: float) -> np.ndarray:
+    """Rauch-Tung-Striebel smoothing of :func:`cv_filter_many`'s records: positions."""
+    x, v, p = got["position"].copy(), got["velocity"].copy(), got["cov"]
+    q = accel_std**2
+    for rows in list(_steps_of(starts, len(t)))[:0:-1]:
+        rows = rows - 1  # each has a successor
+        dt = t[rows + 1] - t[rows]
+        p00, p01, p11 = p[rows].T
+        a, b, c = p00 + 2 * dt * p01 + dt * dt * p11 + q * dt**3 / 3 + 1e-12, p01 + dt * p11 + q * dt * dt / 2, p11 + q * dt + 1e-12
+        det = a * c - b * b
+        u0, u1 = p00 + dt * p01, p01 + dt * p11  # covariance of now with next: [[u0, p01], [u1, p11]]
+        g = [[(u0 * c - p01 * b) / det, (p01 * a - u0 * b) / det], [(u1 * c - p11 * b) / det, (p11 * a - u1 * b) / det]]
+        dx, dv = x[rows + 1] - got["position"][rows] - dt[:, None] * got["velocity"][rows], v[rows + 1] - got["velocity"][rows]
+        x[rows] += g[0][0][:, None] * dx + g[0][1][:, None] * dv
+        v[rows] += g[1][0][:, None] * dx + g[1][1][:, None] * dv
+    return x
+
+
+def turn_transition(dt: float, rate: float, dims: int) -> np.ndarray:
+    """Constant turn of the first two axes at a fixed rate (rad/s); the other axes move straight."""
+    f = transition(dt, dims)
+    if dims < 2 or abs(rate) < 1e-9:
+        return f
+    s, c = math.sin(rate * dt), math.cos(rate * dt)
+    f[0:2, dims : dims + 2] = [[s / rate, -(1 - c) / rate], [(1 - c) / rate, s / rate]]
+    f[dims : dims + 2, dims : dims + 2] = [[c, -s], [s, c]]
+    return f
+
+
+def mode_switching(k: int, dt: float, dwell_s: float) -> np.ndarray:
+    """Modes stay with probability exp(-dt / dwell) and else move to each other mode alike."""
+    stay = math.exp(-dt / dwell_s)
+    move = np.full((k, k), (1 - stay) / max(1, k - 1))
+    np.fill_diagonal(move, stay if k > 1 else 1.0)
+    return move
+
+
+def imm_filter(t: np.ndarray, z: np.ndarray, std: np.ndarray, accels: tuple = (1.0, 4.0, 12.0), dwell_s: float = 10.0, turns: tuple = (), turn_accel: float = 4.0) -> dict[str, np.ndarray]:
+    """Interacting multiple models: constant-velocity modes of several accelerations, and modes that turn at fixed rates."""
     n, d = z.shape
-    k = len(accels)
+    modes = [(0.0, a) for a in accels] + [(w, turn_accel) for w in turns]
+    k = len(modes)
     h = np.hstack([np.eye(d), np.zeros((d, d))])
     means = np.repeat(np.concatenate([z[0], np.zeros(d)])[None], k, 0)
     covs = np.repeat(np.diag(np.concatenate([np.full(d, std[0] ** 2), np.full(d, 225.0)]))[None], k, 0)
@@ -139,24 +220,20 @@ def imm_filter(t: np.ndarray, z: np.ndarray, std: np.ndarray, accels: tuple = (1
     for i in range(n):
         if i:
             dt = max(0.0, float(t[i] - t[i - 1]))
-            stay = math.exp(-dt / dwell_s)
-            move = np.full((k, k), (1 - stay) / max(1, k - 1))
-            np.fill_diagonal(move, stay if k > 1 else 1.0)
+            move = mode_switching(k, dt, dwell_s)
             prior = weight @ move
             mix = move * weight[:, None] / prior[None, :]
             mixed = mix.T @ means
-            f = transition(dt, d)
-            new_m, new_c, like = [], [], np.empty(k)
-            for j in range(k):
-                diff = means - mixed[j]
-                c = np.einsum("i,ijk->jk", mix[:, j], covs + diff[:, :, None] * diff[:, None, :])
-                m, c = f @ mixed[j], f @ c @ f.T + process_noise(dt, accels[j], d)
-                r, s = z[i] - h @ m, h @ c @ h.T + np.eye(d) * std[i] ** 2
-                like[j] = -0.5 * (r @ np.linalg.solve(s, r) + np.linalg.slogdet(2 * math.pi * s)[1])
-                gain = c @ h.T @ np.linalg.inv(s)
-                new_m.append(m + gain @ r)
-                new_c.append(c - gain @ s @ gain.T)
-            means, covs = np.array(new_m), np.array(new_c)
+            diff = means[None, :, :] - mixed[:, None, :]
+            spread = np.einsum("ij,iab->jab", mix, covs) + np.einsum("ij,jia,jib->jab", mix, diff, diff)
+            f = np.stack([turn_transition(dt, w, d) for w, _ in modes])
+            noise = np.stack([process_noise(dt, a, d) for _, a in modes])
+            m, c = np.einsum("jab,jb->ja", f, mixed), f @ spread @ f.transpose(0, 2, 1) + noise
+            r, s = z[i] - m[:, :d], c[:, :d, :d] + np.eye(d) * std[i] ** 2
+            inv = np.linalg.inv(s)
+            like = -0.5 * (np.einsum("ja,jab,jb->j", r, inv, r) + np.linalg.slogdet(2 * math.pi * s)[1])
+            gain = c @ h.T @ inv
+            means, covs = m + np.einsum("jab,jb->ja", gain, r), c - gain @ s @ gain.transpose(0, 2, 1)
             w = prior * np.exp(like - like.max())
             weight = w / w.sum()
         out["mean"][i], out["weight"][i] = weight @ means, weight
@@ -186,7 +263,9 @@ def viterbi(times: np.ndarray, frames: list[np.ndarray], scores: list[np.ndarray
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+    m = np.where(np.isfinite(m), m, 0.0)
+    with np.errstate(divide="ignore"):
+        return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
 def forward_backward(times: np.ndarray, frames: list[np.ndarray], scores: list[np.ndarray], speed: float) -> list[np.ndarray]:
@@ -206,6 +285,88 @@ def forward_backward(times: np.ndarray, frames: list[np.ndarray], scores: list[n
     return out
 
 
+#: Numbers of a block of transition scores.
+PAIRS = 1 << 22
+
+
+def _frame_steps(frames: np.ndarray, first: np.ndarray, n: int):
+    """Blocks of sequences; of each block a list of steps: (sequences of the block that reach it, rows of their candidates, mask).
+
+    A block's padded transitions hold at most ``PAIRS`` numbers (one sequence may exceed it alone).
+    """
+    ends = np.append(frames[1:], n)
+    sizes, lengths = ends - frames, np.diff(np.append(first, len(frames)))
+    widest = np.maximum.reduceat(sizes, first) if len(first) else np.zeros(0, int)
+    order = np.lexsort((-lengths, widest))
+    at = 0
+    while at < len(order):
+        last = at + 1
+        while last < len(order) and (last + 1 - at) * int(widest[order[last]]) ** 2 <= PAIRS:
+            last += 1
+        block = order[at:last]
+        block = block[np.argsort(-lengths[block], kind="stable")]
+        steps = []
+        for k in range(int(lengths[block[0]])):
+            f = first[block[lengths[block] > k]] + k
+            width = int(sizes[f].max())
+            inside = np.arange(width) < sizes[f][:, None]
+            steps.append((np.where(inside, frames[f][:, None] + np.arange(width), frames[f][:, None]), inside))
+        yield steps
+        at = last
+
+
+def _moves(t: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, speed: float, kind: np.ndarray | None = None, switch: float = 0.0) -> np.ndarray:
+    """Log scores of moving from candidates a (rows, by sequence) to b: Gaussian in speed, a penalty for another source."""
+    dt = np.maximum(t[b[:, :1]] - t[a[:, :1]], 1e-9)[:, :, None]
+    v2 = ((x[b][:, None, :, :] - x[a][:, :, None, :]) ** 2).sum(-1) / dt**2
+    out = -0.5 * v2 / speed**2
+    return out if kind is None or not switch else out - switch * (kind[b][:, None, :] != kind[a][:, :, None])
+
+
+def viterbi_many(t: np.ndarray, x: np.ndarray, score: np.ndarray, frames: np.ndarray, first: np.ndarray, speed: float) -> np.ndarray:
+    """Rows of the best path of each sequence; ties go to the first candidate."""
+    out = []
+    for steps in _frame_steps(frames, first, len(t)):
+        back: list[np.ndarray] = []
+        best = np.where(steps[0][1], score[steps[0][0]], -np.inf)
+        finals: list[np.ndarray] = []
+        for (a, _), (b, inside) in zip(steps, steps[1:]):
+            m = len(b)
+            finals.append(best[m:].argmax(1))
+            total = best[:m, :, None] + _moves(t, x, a[:m], b, speed)
+            back.append(total.argmax(1))
+            best = np.where(inside, total.max(1) + score[b], -np.inf)
+        finals.append(best.argmax(1))
+        at = np.zeros(0, int)
+        for k in range(len(steps) - 1, -1, -1):  # sequences that end at a step join there
+            at = np.concatenate([np.take_along_axis(back[k], at[:, None], 1)[:, 0] if k < len(back) else at, finals[k]])
+            out.append(np.take_along_axis(steps[k][0], at[:, None], 1)[:, 0])
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, int)
+
+
+def forward_backward_many(t: np.ndarray, x: np.ndarray, score: np.ndarray, frames: np.ndarray, first: np.ndarray, speed: float, kind: np.ndarray | None = None, switch: float = 0.0) -> np.ndarray:
+    """Posterior of each row in its frame, in log space, for many sequences."""
+    out = np.zeros(len(t))
+    for steps in _frame_steps(frames, first, len(t)):
+        fwd = [np.where(steps[0][1], score[steps[0][0]], -np.inf)]
+        moves = []
+        for (a, _), (b, inside) in zip(steps, steps[1:]):
+            moves.append(_moves(t, x, a[: len(b)], b, speed, kind, switch))
+            fwd.append(np.where(inside, _lse(fwd[-1][: len(b), :, None] + moves[-1], 1) + score[b], -np.inf))
+        bwd = np.zeros((0, 0))
+        for k in range(len(steps) - 1, -1, -1):
+            rows, inside = steps[k]
+            here = np.zeros(rows.shape)
+            if len(bwd):
+                b, ok = steps[k + 1]
+                here[: len(b)] = _lse(moves[k] + np.where(ok, bwd + score[b], -np.inf)[:, None, :], 2)
+            total = np.where(inside, fwd[k] + here, -np.inf)
+            e = np.exp(total - total.max(1, keepdims=True))
+            out[rows[inside]] = (e / e.sum(1, keepdims=True))[inside]
+            bwd = here
+    return out
+
+
 # --- repair and smoothing
 
 def speed_limit(t: np.ndarray, x: np.ndarray, most: float) -> np.ndarray:
@@ -256,6 +417,57 @@ def regularized(t: np.ndarray, x: np.ndarray, weight: float, huber: float = np.i
     return y
 
 
+def jerk_limited(t: np.ndarray, x: np.ndarray, most: float, weight: float = 10.0, least_m: float = 1.0, most_m: float | None = None, rounds: int = 1, blend: float = 1.0) -> np.ndarray:
+    """Rows in a stretch of four whose jerk exceeds the limit move towards the trajectory of least third differences."""
+    x, n = x.copy(), len(t)
+    if n < 4:
+        return x
+    gaps = np.maximum(np.diff(t), 1e-9)
+
+    def differences(y: np.ndarray) -> np.ndarray:
+        v = np.diff(y, axis=0) / gaps[:, None]
+        a = np.diff(v, axis=0) / ((gaps[1:] + gaps[:-1]) / 2)[:, None]
+        return np.diff(a, axis=0) / np.maximum((t[3:] - t[:-3]) / 3, 1e-9)[:, None]
+
+    d = differences(np.eye(n))
+    smooth = np.linalg.inv(np.eye(n) + weight * (d.T @ d) / max(1e-12, np.abs(d).max() ** 2)) if n <= 64 else None
+    for _ in range(rounds):
+        hot = np.sqrt((differences(x) ** 2).sum(1)) > most
+        if not hot.any():
+            break
+        rows = np.zeros(n, bool)
+        for k in range(4):
+            rows[k : n - 3 + k] |= hot
+        new = smooth @ x if smooth is not None else np.linalg.solve(np.eye(n) + weight * (d.T @ d) / max(1e-12, np.abs(d).max() ** 2), x)
+        step = new - x
+        far = np.sqrt((step * step).sum(1))
+        if most_m is not None:
+            step *= np.minimum(1.0, most_m / np.maximum(far, 1e-12))[:, None]
+        rows &= far >= least_m
+        if not rows.any():
+            break
+        x[rows] += blend * step[rows]
+    return x
+
+
+def local_linear(t: np.ndarray, x: np.ndarray, window_s: float = 15.0, blend: float = 1.0, most_m: float = 10.0, least: int = 3) -> np.ndarray:
+    """Weighted straight-line fits around each row (Gaussian weights of half the window's width) at the row's time."""
+    lo, hi = np.searchsorted(t, t - window_s, "left"), np.searchsorted(t, t + window_s, "right")
+    out = x.copy()
+    for i in np.flatnonzero(hi - lo >= least).tolist():
+        s = slice(int(lo[i]), int(hi[i]))
+        d = t[s] - t[i]
+        w = np.exp(-0.5 * (d / (window_s / 2)) ** 2)
+        s0, s1, s2 = w.sum(), (w * d).sum(), (w * d * d).sum()
+        y0, y1 = w @ x[s], (w * d) @ x[s]
+        det = s0 * s2 - s1 * s1
+        fit = (s2 * y0 - s1 * y1) / det if det > 1e-12 * max(1.0, s0 * s2) else y0 / s0
+        step = blend * (fit - x[i])
+        far = float(np.sqrt((step * step).sum()))
+        out[i] = x[i] + step * (min(1.0, most_m / far) if far else 0.0)
+    return out
+
+
 def geometric_median(x: np.ndarray, w: np.ndarray, rounds: int = 64, tolerance: float = 1e-4) -> np.ndarray:
     """Weiszfeld's iteration in the form that stays defined on a data point (Vardi and Zhang, 2000)."""
     y = (w[:, None] * x).sum(0) / w.sum()
@@ -422,6 +634,25 @@ def voxel_components(xyz: np.ndarray, size: float, least: int) -> np.ndarray:
     return label
 
 
+def linked(t: np.ndarray, x: np.ndarray, window_s: float, gate_m: float) -> np.ndarray:
+    """Component (least row) of each row, rows sorted by time: links join rows near in time and space; candidates come from a window, so no full matrix."""
+    parent = np.arange(len(t))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
+
+    ends = np.searchsorted(t, t + window_s, "right")
+    for i in range(len(t)):
+        rows = np.arange(i + 1, ends[i])
+        for j in rows[((x[rows] - x[i]) ** 2).sum(1) <= gate_m**2].tolist():
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(t))], int)
+
+
 def spatial_nms(xyz: np.ndarray, score: np.ndarray, radius: float, most: int) -> list[int]:
     """Greedy selection by score: a row within the radius of a kept one goes; ties go to the first."""
     kept: list[int] = []

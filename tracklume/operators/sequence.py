@@ -1,125 +1,278 @@
-"""Kernels applied per sequence: one sorted group in, rows out."""
+"""Kernels over whole sequences: rows are dealt by sequence, sorted, and stream through Arrow batches.
+
+A batch holds many sequences; a kernel takes all of them at once and works along their
+steps, vectorised over sequences.  A sequence that crosses batches is held until it is whole,
+so a task's memory grows with its longest sequence, not with its partition.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
 
 AXES = ["x_m", "y_m", "z_m"]
 
 
-def _grouped(df: DataFrame, keys: list[str], order: list[str], schema: str, kernel) -> DataFrame:
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernel(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """First rows of the runs of equal keys (null equals null)."""
+    new = np.zeros(table.num_rows, bool)
+    if table.num_rows:
+        new[0] = True
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def streamed(df: DataFrame, keys: list[str], order: list[str], schema: str, kernel: Callable[[pa.Table, np.ndarray], pa.Table]) -> DataFrame:
+    """kernel(table, first rows of its sequences) over whole sequences, sorted; it gives the columns of ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+    made = to_arrow_schema(kind)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def done(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(parts).combine_chunks()
+            out = kernel(table, starts_of(table, keys))
+            yield from out.select(made.names).cast(made).to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            cut = int(starts_of(table, keys)[-1])
+            if held and cut == 0 and len(starts_of(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table.slice(0, 1)]), keys)) == 1:
+                held.append(table)  # still the same sequence
+                continue
+            if held or cut:
+                yield from done([*held, table.slice(0, cut)])
+            held = [table.slice(cut)]
+        if held:
+            yield from done(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(go, kind)
+
+
+def _numbers(table: pa.Table, *names: str) -> np.ndarray:
+    """Columns as one array of doubles, a null as NaN."""
+    return np.stack([table.column(n).cast(pa.float64()).to_numpy() for n in names], 1) if len(names) > 1 else table.column(names[0]).cast(pa.float64()).to_numpy()
+
+
+def _with(table: pa.Table, names: list[str], **columns) -> pa.Table:
+    out = table.select(names)
+    for name, values in columns.items():
+        out = out.append_column(name, values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values))
+    return out
+
 
-    return df.groupBy(*keys).applyInPandas(go, schema)
+def _each(starts: np.ndarray, n: int) -> Iterator[slice]:
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+        yield slice(a, b)
+
+
+ID = ["sequence_id", "time_s", "key"]
+
+
+def _id_schema(df: DataFrame) -> str:
+    return f"sequence_id string, time_s double, key {df.schema['key'].dataType.simpleString()}"
 
 
 def cv_track(df: DataFrame, axes: list[str], std_m: float, accel_std: float, gate_probability: float | None = None, smooth: bool = False, robust: str = "none") -> DataFrame:
     """(sequence_id, time_s, key, axes) -> filtered or smoothed positions, NIS and decision per row."""
     gate = K.chi2_quantile(gate_probability, len(axes)) if gate_probability else None
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        t, z = p["time_s"].to_numpy(float), p[axes].to_numpy(float)
-        got = K.cv_filter(t, z, np.full(len(p), std_m), accel_std, gate, robust=robust)
-        mean = K.rts(t, got["mean"], got["cov"], accel_std) if smooth else got["mean"]
-        out = p[["sequence_id", "time_s", "key"]].copy()
-        for i, a in enumerate(axes):
-            out[f"state_{a}"] = mean[:, i]
-        return out.assign(nis=got["nis"], accepted=got["accepted"])
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, z = _numbers(p, "time_s"), _numbers(p, *axes).reshape(p.num_rows, len(axes))
+        got = K.cv_filter_many(t, z, starts, std_m, accel_std, gate, robust=robust)
+        mean = K.rts_many(t, got, starts, accel_std) if smooth else got["position"]
+        return _with(p, ID, **{f"state_{a}": mean[:, i] for i, a in enumerate(axes)}, nis=got["nis"], accepted=got["accepted"])
 
     state = ", ".join(f"state_{a} double" for a in axes)
-    kind = df.schema["key"].dataType.simpleString()
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], f"sequence_id string, time_s double, key {kind}, {state}, nis double, accepted boolean", kernel)
+    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, {state}, nis double, accepted boolean", kernel)
 
 
-def imm_track(df: DataFrame, axes: list[str], std_m: float, accels: tuple = (1.0, 4.0, 12.0)) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        got = K.imm_filter(p["time_s"].to_numpy(float), p[axes].to_numpy(float), np.full(len(p), std_m), accels)
-        out = p[["sequence_id", "time_s", "key"]].copy()
-        for i, a in enumerate(axes):
-            out[f"state_{a}"] = got["mean"][:, i]
-        return out.assign(mode=got["weight"].argmax(1), mode_weight=got["weight"].max(1))
+def imm_track(df: DataFrame, axes: list[str], std_m: float, accels: tuple = (1.0, 4.0, 12.0), turns: tuple = ()) -> DataFrame:
+    """Interacting constant-velocity modes, and constant-turn modes (rates in rad/s, needs two axes or more)."""
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, z = _numbers(p, "time_s"), _numbers(p, *axes).reshape(p.num_rows, len(axes))
+        mean, weight = np.empty((len(t), 2 * len(axes))), np.empty((len(t), len(accels) + len(turns)))
+        for s in _each(starts, len(t)):
+            got = K.imm_filter(t[s], z[s], np.full(s.stop - s.start, std_m), accels, turns=turns)
+            mean[s], weight[s] = got["mean"], got["weight"]
+        return _with(p, ID, **{f"state_{a}": mean[:, i] for i, a in enumerate(axes)}, mode=weight.argmax(1), mode_weight=weight.max(1))
 
-    kind = df.schema["key"].dataType.simpleString()
     state = ", ".join(f"state_{a} double" for a in axes)
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], f"sequence_id string, time_s double, key {kind}, {state}, mode long, mode_weight double", kernel)
+    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, {state}, mode long, mode_weight double", kernel)
 
 
-def _frames(p: pd.DataFrame, score: str, scale: float):
-    groups = [g for _, g in p.groupby("time_s", sort=True)]
-    return groups, np.array([g["time_s"].iloc[0] for g in groups]), [g[AXES].to_numpy(float) for g in groups], [g[score].to_numpy(float) / scale for g in groups]
+def _frame_rows(p: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows of the frames (equal sequence and time), and each sequence's first frame."""
+    t = _numbers(p, "time_s")
+    new = np.zeros(len(t), bool)
+    new[starts] = True
+    new[1:] |= t[1:] != t[:-1]
+    frames = np.flatnonzero(new)
+    return frames, np.searchsorted(frames, starts)
 
 
 def viterbi_path(df: DataFrame, score: str, scale: float, speed: float) -> DataFrame:
     """The best path's candidate of every frame."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        groups, times, xyz, s = _frames(p, score, scale)
-        return pd.concat([g.iloc[[k]][["sequence_id", "time_s", "key"]] for g, k in zip(groups, K.viterbi(times, xyz, s, speed))])
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        frames, first = _frame_rows(p, starts)
+        rows = K.viterbi_many(_numbers(p, "time_s"), _numbers(p, *AXES), _numbers(p, score) / scale, frames, first, speed)
+        return p.select(ID).take(pa.array(rows))
 
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], "sequence_id string, time_s double, key string", kernel)
+    return streamed(df, ["sequence_id"], ["time_s", "key"], "sequence_id string, time_s double, key string", kernel)
 
 
-def forward_backward_prior(df: DataFrame, score: str, scale: float, speed: float) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        groups, times, xyz, s = _frames(p, score, scale)
-        return pd.concat([g[["sequence_id", "time_s", "key"]].assign(posterior=q) for g, q in zip(groups, K.forward_backward(times, xyz, s, speed))])
+def forward_backward_prior(df: DataFrame, score: str, scale: float, speed: float, switch: float = 0.0, source: str | None = None) -> DataFrame:
+    """Posterior of every candidate along its sequence; ``switch`` is a penalty (log) for changing the source."""
 
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], "sequence_id string, time_s double, key string, posterior double", kernel)
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        frames, first = _frame_rows(p, starts)
+        kind = p.column(source).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) if source else None
+        return _with(p, ID, posterior=K.forward_backward_many(_numbers(p, "time_s"), _numbers(p, *AXES), _numbers(p, score) / scale, frames, first, speed, kind, switch))
 
+    return streamed(df, ["sequence_id"], ["time_s", "key"], "sequence_id string, time_s double, key string, posterior double", kernel)
 
-def speed_limited(df: DataFrame, axes: list[str], most: float) -> DataFrame:
-    kind = df.schema["key"].dataType.simpleString()
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        x = K.speed_limit(p["time_s"].to_numpy(float), p[axes].to_numpy(float), most)
-        return p[["sequence_id", "time_s", "key"]].assign(**{a: x[:, i] for i, a in enumerate(axes)})
+def per_sequence(df: DataFrame, axes: list[str], f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """f(times, positions) -> positions, for each sequence."""
 
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], f"sequence_id string, time_s double, key {kind}, " + ", ".join(f"{a} double" for a in axes), kernel)
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, x = _numbers(p, "time_s"), _numbers(p, *axes).reshape(p.num_rows, len(axes))
+        out = np.concatenate([f(t[s], x[s]).reshape(-1, len(axes)) for s in _each(starts, len(t))]) if len(t) else x
+        return _with(p, ID, **{a: out[:, i] for i, a in enumerate(axes)})
 
+    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, " + ", ".join(f"{a} double" for a in axes), kernel)
 
-def vertical_repair(df: DataFrame, axis: str, most_speed: float, neighbour_speed: float, residual: float) -> DataFrame:
-    kind = df.schema["key"].dataType.simpleString()
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        z = K.vertical_spikes(p["time_s"].to_numpy(float), p[axis].to_numpy(float), most_speed, neighbour_speed, residual)
-        return p[["sequence_id", "time_s", "key"]].assign(**{axis: z})
+def speed_limited(df: DataFrame, axes: list[str], most: float) -> DataFrame:
+    return per_sequence(df, axes, lambda t, x: K.speed_limit(t, x, most))
 
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], f"sequence_id string, time_s double, key {kind}, {axis} double", kernel)
+
+def vertical_repair(df: DataFrame, axis: str, most_speed: float, neighbour_speed: float, residual: float, rounds: int = 1) -> DataFrame:
+    def f(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = x[:, 0]
+        for _ in range(rounds):
+            new = K.vertical_spikes(t, z, most_speed, neighbour_speed, residual)
+            if np.array_equal(new, z):
+                break
+            z = new
+        return z
+
+    return per_sequence(df, [axis], f)
 
 
 def regularized(df: DataFrame, axes: list[str], weight: float, huber: float) -> DataFrame:
-    kind = df.schema["key"].dataType.simpleString()
+    return per_sequence(df, axes, lambda t, x: K.regularized(t, x, weight, huber))
+
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        x = K.regularized(p["time_s"].to_numpy(float), p[axes].to_numpy(float), weight, huber)
-        return p[["sequence_id", "time_s", "key"]].assign(**{a: x[:, i] for i, a in enumerate(axes)})
+def jerk_limited(df: DataFrame, axes: list[str], most: float, weight: float = 10.0, least_m: float = 1.0, most_m: float | None = None, rounds: int = 1, blend: float = 1.0) -> DataFrame:
+    """Rows whose jerk exceeds the limit move towards the trajectory of least third differences."""
+    return per_sequence(df, axes, lambda t, x: K.jerk_limited(t, x, most, weight, least_m, most_m, rounds, blend))
 
-    return _grouped(df, ["sequence_id"], ["time_s", "key"], f"sequence_id string, time_s double, key {kind}, " + ", ".join(f"{a} double" for a in axes), kernel)
+
+def local_linear(df: DataFrame, axes: list[str], window_s: float = 15.0, blend: float = 1.0, most_m: float = 10.0, least: int = 3) -> DataFrame:
+    """Kernel regression of first order in a window around each row; corrections are bounded."""
+    return per_sequence(df, axes, lambda t, x: K.local_linear(t, x, window_s, blend, most_m, least))
 
 
 def geometric_median(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        m = K.geometric_median(p[AXES].to_numpy(float), p[weight].to_numpy(float))
-        return p.iloc[[0]][keys].assign(**dict(zip(AXES, m)))
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        x, w = _numbers(p, *AXES), _numbers(p, weight)
+        m = np.array([K.geometric_median(x[s], w[s]) for s in _each(starts, len(w))]).reshape(-1, 3)
+        return _with(p.take(pa.array(starts)), keys, **{a: m[:, i] for i, a in enumerate(AXES)})
+
+    return streamed(df, keys, [weight, *AXES], "sequence_id string, time_s double, x_m double, y_m double, z_m double", kernel)
+
 
-    return _grouped(df, keys, keys, "sequence_id string, time_s double, x_m double, y_m double, z_m double", kernel)
+def voxel_clusters(df: DataFrame, keys: list[str], size: float, least: int) -> DataFrame:
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = _numbers(p, *AXES)
+        return _with(p, ID, cluster=np.concatenate([K.voxel_components(x[s], size, least) for s in _each(starts, len(x))]))
+
+    return streamed(df, keys, ["key"], "sequence_id string, time_s double, key string, cluster long", kernel)
+
+
+def diversified(df: DataFrame, keys: list[str], score: str, radius: float, most: int) -> DataFrame:
+    """Per frame: greedy non-maximum suppression in space."""
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        x, v = _numbers(p, *AXES), _numbers(p, score)
+        rows, picks = [], []
+        for s in _each(starts, len(v)):
+            keep = K.spatial_nms(x[s], v[s], radius, most)
+            rows += [s.start + k for k in keep]
+            picks += range(1, len(keep) + 1)
+        return _with(p.take(pa.array(rows, pa.int64())), ID, pick=np.array(picks, np.int64))
+
+    return streamed(df, keys, ["key"], "sequence_id string, time_s double, key string, pick long", kernel)
+
+
+def merged_clusters(df: DataFrame, window_s: float, gate_m: float) -> DataFrame:
+    """Candidates near in time and space are linked; a component of two sources or more becomes one row (score-weighted mean, at its first time)."""
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, x, w = _numbers(p, "time_s"), _numbers(p, *AXES), np.maximum(_numbers(p, "score"), 1e-9)
+        source = p.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        heads, means, sizes, kinds = [], [], [], []
+        for s in _each(starts, len(t)):
+            root = K.linked(t[s], x[s], window_s, gate_m)
+            for r in np.unique(root).tolist():
+                rows = s.start + np.flatnonzero(root == r)
+                if len(n := np.unique(source[rows])) >= 2:
+                    heads.append(int(rows[0]))
+                    means.append((w[rows, None] * x[rows]).sum(0) / w[rows].sum())
+                    sizes.append(len(rows))
+                    kinds.append(len(n))
+        m = np.array(means).reshape(-1, 3)
+        return _with(p.take(pa.array(heads, pa.int64())), ID, **{a: m[:, i] for i, a in enumerate(AXES)}, members=pa.array(sizes, pa.int64()), sources=pa.array(kinds, pa.int64()))
+
+    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, x_m double, y_m double, z_m double, members long, sources long", kernel)
+
+
+def two_sided(a: DataFrame, b: DataFrame, order: list[str], schema: str, kernel: Callable[[str, pd.DataFrame, pd.DataFrame], list[tuple]]) -> DataFrame:
+    """Rows from kernel(sequence, a's rows, b's rows) for each sequence of either table.
+
+    Both sides travel as one sorted table: a cogroup of tables with a common ancestor loses columns when its result is only counted.
+    """
+    both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def go(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        rows = []
+        for s in _each(starts, p.num_rows):
+            one = p.slice(s.start, s.stop - s.start).to_pandas()
+            left, right = (one[one["_side"] == k].drop(columns="_side").reset_index(drop=True) for k in (0, 1))
+            rows += kernel(one["sequence_id"].iloc[0], left, right)
+        return pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)})
+
+    return streamed(both, ["sequence_id"], ["_side", *order], schema, go)
 
 
 def mot_scores(truth: DataFrame, guess: DataFrame, gate: float) -> DataFrame:
-    """Truth and estimates (sequence_id, time_s, track, axes) -> matches, misses, false alarms, switches per sequence."""
-    schema = "sequence_id string, frames long, truth_n long, guess_n long, matches long, switches long, mean_distance double"
+    """Truth and estimates (sequence_id, time_s, track, axes) -> matches, misses, false alarms, switches, MOTA per sequence."""
+    schema = "sequence_id string, frames long, truth_n long, guess_n long, matches long, misses long, false_alarms long, switches long, mean_distance double, mota double"
 
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: str, a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
         times = sorted(set(a["time_s"]) | set(b["time_s"]))
-        at = {k: g for k, g in a.sort_values("track").groupby("time_s")}
-        bt = {k: g for k, g in b.sort_values("track").groupby("time_s")}
-        none_a, none_b = a.iloc[:0], b.iloc[:0]
-        fa, fb = [at.get(t, none_a) for t in times], [bt.get(t, none_b) for t in times]
+        at, bt = dict(list(a.groupby("time_s"))), dict(list(b.groupby("time_s")))
+        fa, fb = [at.get(t, a.iloc[:0]) for t in times], [bt.get(t, b.iloc[:0]) for t in times]
         got = K.matched_frames([g[AXES].to_numpy(float) for g in fa], [g[AXES].to_numpy(float) for g in fb], gate)
         last, switches, dist = {}, 0, []
         for x, y, pairs in zip(fa, fb, got):
@@ -128,9 +281,11 @@ def mot_scores(truth: DataFrame, guess: DataFrame, gate: float) -> DataFrame:
                 switches += last.get(tt, tp) != tp
                 last[tt] = tp
                 dist.append(d)
-        return pd.DataFrame([(key[0], len(times), len(a), len(b), len(dist), switches, float(np.mean(dist)) if dist else None)], columns=[c.split()[0] for c in schema.split(", ")])
+        misses, extra = len(a) - len(dist), len(b) - len(dist)
+        return [(key, len(times), len(a), len(b), len(dist), misses, extra, switches, float(np.mean(dist)) if dist else None, 1 - (misses + extra + switches) / len(a) if len(a) else None)]
 
-    return truth.groupBy("sequence_id").cogroup(guess.groupBy("sequence_id")).applyInPandas(kernel, schema)
+    columns = ["sequence_id", "time_s", "track", *AXES]
+    return two_sided(truth.select(columns), guess.select(columns), ["time_s", "track"], schema, kernel)
 
 
 def hota_scores(truth: DataFrame, guess: DataFrame) -> DataFrame:
@@ -139,39 +294,23 @@ def hota_scores(truth: DataFrame, guess: DataFrame) -> DataFrame:
     schema = "sequence_id string, " + ", ".join(f"{n} {'double' if n in names[:5] else 'long'}" for n in names)
     box = ["x", "y", "w", "h"]
 
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        at, bt = {k: g for k, g in a.sort_values("id").groupby("frame")}, {k: g for k, g in b.sort_values("id").groupby("frame")}
+    def kernel(key: str, a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
+        at, bt = dict(list(a.groupby("frame"))), dict(list(b.groupby("frame")))
         frames = sorted(set(at) | set(bt))
         fa, fb = [at.get(t, a.iloc[:0]) for t in frames], [bt.get(t, b.iloc[:0]) for t in frames]
         got = K.hota([x["id"].to_numpy() for x in fa], [x["id"].to_numpy() for x in fb], [K.iou_matrix(x[box].to_numpy(float), y[box].to_numpy(float)) for x, y in zip(fa, fb)])
-        return pd.DataFrame([(key[0], *(got[n] for n in names))], columns=["sequence_id", *names])
-
-    return truth.groupBy("sequence_id").cogroup(guess.groupBy("sequence_id")).applyInPandas(kernel, schema)
-
-
-def voxel_clusters(df: DataFrame, keys: list[str], size: float, least: int) -> DataFrame:
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        return p[["sequence_id", "time_s", "key"]].assign(cluster=K.voxel_components(p[AXES].to_numpy(float), size, least))
-
-    return _grouped(df, keys, ["key"], "sequence_id string, time_s double, key string, cluster long", kernel)
-
-
-def diversified(df: DataFrame, keys: list[str], score: str, radius: float, most: int) -> DataFrame:
-    """Per frame: greedy non-maximum suppression in space."""
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        keep = K.spatial_nms(p[AXES].to_numpy(float), p[score].to_numpy(float), radius, most)
-        return p.iloc[keep][["sequence_id", "time_s", "key"]].assign(pick=np.arange(1, len(keep) + 1))
+        return [(key, *(got[n] for n in names))]
 
-    return _grouped(df, keys, ["key"], "sequence_id string, time_s double, key string, pick long", kernel)
+    columns = ["sequence_id", "frame", "id", *box]
+    return two_sided(truth.select(columns), guess.select(columns), ["frame", "id"], schema, kernel)
 
 
 def assigned_times(wanted: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
     """Optimal one-to-one pairs of (sequence_id, time_s) rows of two tables."""
 
-    def kernel(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.sort(a["time_s"].to_numpy(float)), np.sort(b["time_s"].to_numpy(float))
-        pairs = K.timestamp_assignment(x, y, tolerance)
-        return pd.DataFrame([(key[0], x[i], y[j]) for i, j in pairs], columns=["sequence_id", "time_s", "match_s"])
+    def kernel(key: str, a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
+        x, y = a["time_s"].to_numpy(float), b["time_s"].to_numpy(float)
+        return [(key, float(x[i]), float(y[j])) for i, j in K.timestamp_assignment(x, y, tolerance)]
 
-    return wanted.groupBy("sequence_id").cogroup(found.groupBy("sequence_id")).applyInPandas(kernel, "sequence_id string, time_s double, match_s double")
+    columns = ["sequence_id", "time_s"]
+    return two_sided(wanted.select(columns), found.select(columns), ["time_s"], "sequence_id string, time_s double, match_s double", kernel)

@@ -112,3 +112,10 @@ def trailing_median(df: DataFrame, keys: list[str], order: list[str], value: str
 def keep_last_time(df: DataFrame, keys: list[str], time: str, ordinal: str) -> DataFrame:
     w = Window.partitionBy(*keys, time).orderBy(F.col(ordinal).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def mode_blocks(df: DataFrame, keys: list[str], order: list[str], mode: str, value: str, gap: float, time: str = "time_s") -> DataFrame:
+    """Contiguous rows of one mode without long gaps: block number, rows, start, end, mean and worst value."""
+    s = segments(df, keys, order, gap, time, state=F.col(mode))
+    g = s.groupBy(*keys, F.col("segment").alias("block"), mode)
+    return g.agg(F.count(F.lit(1)).alias("frames"), F.min(time).alias("start_s"), F.max(time).alias("end_s"), F.avg(value).alias("mean"), F.max(value).alias("worst"))

@@ -231,16 +231,15 @@ def temporal_consensus(spark, sf):
 SELECT key, count(*) AS n, round(avg(x_m), 6) AS mean_x FROM hit GROUP BY key""")
 def interval_join(spark, sf):
     a, b = _clicks(spark, sf)
-    b = b.groupBy("sequence_id", "time_s").agg(F.max_by("x_m", "key").alias("x_m"))
-    d = J.band_join(a.select("sequence_id", "time_s", "key"), b, ["sequence_id"], 50_000.0)
+    b = b.groupBy("sequence_id", "time_s").agg(F.max_by("x_m", "key").alias("x_m"), F.max("key").alias("key"))
+    d = J.interval_groups(a.select("sequence_id", "time_s", "key"), b, ["sequence_id"], 50_000.0).where("NOT fallback")
     return d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x_m_r")).alias("mean_x"))
 
 
 @query(f"""WITH {CANDIDATES} SELECT a.sequence_id, a.time_s, count(*) AS pairs, round(min(sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2 + (a.z_m - b.z_m) ** 2)), 6) AS nearest_m
 FROM cand a JOIN cand b ON a.sequence_id = b.sequence_id AND a.time_s = b.time_s AND a.key < b.key AND sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2 + (a.z_m - b.z_m) ** 2) <= 5 GROUP BY 1, 2""")
 def spatial_radius_join(spark, sf):
-    c = candidates(spark, sf).select("sequence_id", "time_s", "key", "x_m", "y_m", "z_m")
-    d = J.radius_join(c, c, ["sequence_id", "time_s"], 5.0).where("key < key_r")
+    d = J.radius_pairs(candidates(spark, sf), ["sequence_id", "time_s"], "key", 5.0, gridded=("x_m",))  # a frame has few rows
     return d.groupBy("sequence_id", "time_s").agg(F.count(F.lit(1)).alias("pairs"), r6(F.min("distance_m")).alias("nearest_m"))
 
 

@@ -326,8 +326,8 @@ def geometric_median_ensemble(spark, sf):
 
 @query()
 def multi_object_scores(spark, sf):
-    c = candidates(spark, sf).where("candidate_branch = 'F'")
-    truth = c.select("sequence_id", "time_s", F.col("source").alias("track"), "x_m", "y_m", "z_m", "key")
+    c = candidates(spark, sf)
+    truth = c.select(F.concat_ws("/", "sequence_id", "candidate_branch").alias("sequence_id"), "time_s", F.col("source").alias("track"), "x_m", "y_m", "z_m", "key")
     truth = S.best_per_frame(truth, ["sequence_id", "time_s", "track"], [F.col("key")]).drop("key")
     return Q.mot_scores(truth, truth.withColumn("x_m", F.col("x_m") + 0.5), 2.0)
 

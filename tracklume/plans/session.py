@@ -11,9 +11,14 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Bytes of an Arrow batch for Python workers, where the session leaves Spark's own default.
+BATCH_BYTES = "16m"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Add the package to the job once per application, so workers find it whatever their path."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId not in _sent:
         top = Path(__file__).resolve().parent.parent
