@@ -96,6 +96,10 @@ def test_pointclouds(spark, tmp_path):
 
 def test_back_references():
     assert P.lzf_decompress(bytes([2]) + b"abc" + bytes([(4 << 5), 2]), 9) == b"abcabcabc"
+    assert P.lzf_decompress(bytes([0]) + b"z" + bytes([(7 << 5), 3, 0]), 13) == b"z" * 13
+    for bad in (bytes([2]) + b"abc" + bytes([(4 << 5), 3]), bytes([5]) + b"ab", bytes([(7 << 5)]), bytes([0]) + b"a"):
+        with pytest.raises(ValueError):
+            P.lzf_decompress(bad, 9)
 
 
 def test_sinks(spark, tmp_path):
@@ -107,3 +111,40 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "t"), header=True).count() == 2
     with pytest.raises(Exception):
         sinks.official_rows(df.withColumn("state_x_m", F.lit(None).cast("double"))).collect()
+
+
+def test_exports(spark, tmp_path):
+    from tracklume.sources import exports as X
+
+    nested = {"meta": {"n": 2}, "data": {"items": [{"sequence": "007", "time_s": 1.5, "gt_x": 1, "gt_y": 2, "gt_z": 3}, {"sequence": "007", "time_s": "bad", "gt_x": 1, "gt_y": 2, "gt_z": 3}]}}
+    (tmp_path / "t.json").write_text(json.dumps(nested))
+    assert [tuple(r) for r in X.read_truth_table(spark, str(tmp_path / "t.json")).select("sequence_id", "time_s", "x_m").collect()] == [("007", 1.5, 1.0)]
+    assert X.records_of({"a": [1, 2], "b": [3, 4]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 4}] and X.records_of([]) == []
+    np.save(tmp_path / "c.npy", np.array([[0.0, 1, 2, 3], [1.0, 4, 5, 6]]))
+    assert X.read_candidate_table(spark, str(tmp_path / "c.npy")).count() == 2
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("r.csv", 'Sequence,Timestamp,Position,Classification\ns,0.5,"(1, 2, -3.5)",2\n')
+    row = X.read_results(spark, str(tmp_path / "r.zip")).first()
+    assert (row.sequence_id, row.time_s, row.z_m, row.label) == ("s", 0.5, -3.5, 2)
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("a/seq1.txt", "1,1,0,0,5,5,0.9,1,1\n2,1,0,0,5,5,0.9,1,1\n")
+    assert [(r.sequence_id, r.frame_id) for r in X.read_prediction_archive(spark, str(tmp_path / "p.zip")).orderBy("frame_id").collect()] == [("seq1", 1), ("seq1", 2)]
+    with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
+        z.writestr("../x.txt", "1")
+    with pytest.raises(Exception, match="unsafe"):
+        X.members(spark, str(tmp_path / "u.zip")).collect()
+    (tmp_path / "root" / "s1").mkdir(parents=True)
+    for name in ("candidates.csv", "gt_truth.csv", "0001.pcd"):
+        (tmp_path / "root" / "s1" / name).write_text("x")
+    (tmp_path / "root" / "s2.csv").write_text("x")
+    got = {r.sequence_id: r for r in X.sequence_manifest(X.discover_sequences(spark, str(tmp_path / "root"))).collect()}
+    assert got["s1"].complete and len(got["s1"].points) == 1 and not got["s2"].complete
+
+
+@pytest.mark.parametrize("row", ["1,1,inf,0,5,5,0.9,1,1", "1,1,0,0,NaN,5,0.9,1,1", "1,1,0,0,5,5,-Infinity,1,1", "0,1,0,0,5,5,0.9,1,1"])
+def test_bad_detections_fail(spark, tmp_path, row):
+    from tracklume.sources import readers
+
+    (tmp_path / "s.txt").write_text(row.replace("inf,", "Infinity,") + "\n")
+    with pytest.raises(Exception):
+        readers.read_detections(spark, str(tmp_path / "s.txt")).collect()

@@ -17,25 +17,38 @@ PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short":
 ROS_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 8: "f8"}
 
 
+class _Bytes:
+    """A reader that fails where the data ends too early."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = memoryview(data), 0
+
+    def take(self, n: int) -> memoryview:
+        if self.at + n > len(self.data):
+            raise ValueError("LZF data end inside a run")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def byte(self) -> int:
+        return self.take(1)[0]
+
+
 def lzf_decompress(data: bytes, size: int) -> bytes:
-    """LibLZF: literal runs and back references."""
-    out, i = bytearray(), 0
-    while i < len(data):
-        c = data[i]
-        i += 1
-        if c < 32:
-            out += data[i : i + c + 1]
-            i += c + 1
-        else:
-            n = c >> 5
-            if n == 7:
-                n += data[i]
-                i += 1
-            at = len(out) - ((c & 31) << 8) - data[i] - 1
-            i += 1
-            for _ in range(n + 2):
-                out.append(out[at])
-                at += 1
+    """LibLZF: a control byte below 32 begins a literal run, any other a reference (length in its top three bits) to what stands before."""
+    source, out = _Bytes(data), bytearray()
+    while source.at < len(data):
+        control = source.byte()
+        if control < 32:
+            out += source.take(control + 1)
+            continue
+        length = (control >> 5) + 2
+        if length == 9:
+            length += source.byte()
+        back = ((control & 31) << 8 | source.byte()) + 1
+        if back > len(out):
+            raise ValueError("LZF reference before the start")
+        piece = bytes(out[-back:][:length])
+        out += (piece * (-(-length // len(piece))))[:length]  # a reference may overlap what it makes
     if len(out) != size:
         raise ValueError("LZF data of another length")
     return bytes(out)

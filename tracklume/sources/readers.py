@@ -154,7 +154,15 @@ def read_candidates(spark: SparkSession, path: str, **defaults) -> DataFrame:
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
     """Nine-column detection text, one file per sequence; a row that breaks the format fails the query."""
     d = spark.read.schema(DETECTION).csv(path, mode="FAILFAST").withColumn("sequence_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", ""))
-    ok = F.expr("frame_id > 0 AND object_id > 0 AND width > 0 AND height > 0 AND visibility BETWEEN 0 AND 1") & ~F.isnan("x1") & ~F.isnan("y1") & ~F.isnan("confidence")
+    return checked_detections(d)
+
+
+def checked_detections(d: DataFrame) -> DataFrame:
+    """Fails on ids that are not positive, boxes without size and numbers that are not finite."""
+    finite = F.lit(True)
+    for c in ("x1", "y1", "width", "height", "confidence"):
+        finite = finite & (F.abs(F.col(c)) < float("inf"))  # neither infinite nor NaN, which sorts above infinity
+    ok = F.expr("frame_id > 0 AND object_id > 0 AND width > 0 AND height > 0 AND visibility BETWEEN 0 AND 1") & finite
     return d.where(F.coalesce(ok, F.lit(False)) | F.raise_error(F.concat(F.lit("bad detection in "), F.col("sequence_id"))).cast("boolean"))
 
 
