@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import re
 from collections import Counter
 
@@ -344,3 +345,64 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, SMALL)
     same(whole.toPandas(), seen.toPandas())
     assert json.dumps(whole.columns)
+
+
+def varied(k, n=30):
+    rnd = random.Random(k)
+    return " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("root", ["article", "main", "div"])
+def test_html_template_inside_the_content(spark, root):
+    """A block that stands on all pages of a host is template even inside the article, under any class; varying blocks stay."""
+    page = "<html><body><div class='q1'>Same top</div><{r}><h1>{t}</h1><div class='x7f'><span>Share this page with all your friends now</span></div><p>{a}</p><div class='related-work'><p>{b}</p></div><div class='related-posts'><p>{c}</p></div><p class='social'>{d}</p></{r}></body></html>"
+    texts = {k: [varied(10 * k + i) for i in range(5)] for k in range(6)}
+    pages = [(k, f"http://h.example/{k}", page.format(r=root, t=t[0], a=t[1], b=t[2], c=t[3], d=t[4])) for k, t in texts.items()]
+    for k, r in extracted(spark, pages).items():
+        t = texts[k]
+        assert r.text == "\n".join([t[0], t[1], t[2], t[4]]) and r.n_chars == len(r.text)
+
+
+def test_html_copies_do_not_make_template(spark):
+    """Mirrors of one article are no evidence: their text stays."""
+    body = "".join(f"<p>{varied(i)}</p>" for i in range(8))
+    pages = [(k, f"http://h.example/{k}", f"<html><body><article>{body}<p>{varied(100 + k, 5)}</p></article></body></html>") for k in range(6)]
+    for k, r in extracted(spark, pages).items():
+        assert r.text.split("\n") == [varied(i) for i in range(8)] + [varied(100 + k, 5)]
+
+
+def test_html_hostile_pages():
+    deep = "<div>" * 100_000 + "text" + "</div>" * 100_000
+    quotes = "<a \"" * 100_000
+    for html, want in ((deep, "text"), ("<a " * 350_000 + ">", ""), (quotes, None), ("<p>a</p>" + "<i" * 200_000, None), ("<blockquote>" * 50_000 + "x" + "</p>" * 50_000, "x"), ("<p>x<script>" * 20_000, "x"), ("<!--" * 100_000, "")):
+        start = time.time()
+        tree = html_extract._tree(html)
+        got = html_extract.main_text(tree, [html_extract._tree(html + "<p>other</p>"), html_extract._tree("<div>" * 50 + "b")])
+        assert time.time() - start < 20
+        assert want is None or got == want
+
+
+def test_html_matching_is_the_largest():
+    """Sizes against the recursion on the definition."""
+
+    def size(a, b):
+        if a.tag != b.tag:
+            return 0
+        x, y = ([k for k in n.kids if isinstance(k, html_extract.Node)] for n in (a, b))
+        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                m[i + 1][j + 1] = max(m[i][j] + size(p, q), m[i][j + 1], m[i + 1][j])
+        return 1 + m[-1][-1]
+
+    rnd = random.Random(8)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rnd.choices(("div", "section", "ul"), k=rnd.randint(0, 3))) if depth else ""
+
+    for _ in range(60):
+        a, b = html_extract._tree(tree(3)), html_extract._tree(tree(3))
+        pairs = html_extract._aligned(a, b)
+        assert html_extract._matched(a, b, {}) == len(pairs) <= size(a, b)
+        assert len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == len(pairs) and all(p.tag == q.tag for p, q in pairs)
+        assert len(pairs) >= 0.9 * size(a, b)  # runs of one structure are matched one by one
