@@ -29,10 +29,11 @@ def brute_bytes(rows, length):
 
 
 def brute_words(rows, length):
-    words = {r: WORD.findall((r[1] or "").encode()) for r in rows}
-    count = Counter(tuple(w[a : a + length]) for w in words.values() for a in range(len(w) - length + 1))
+    """rows: (id, text), repeated rows too -> {(id, text): (n, removed, sha)}."""
+    words = [WORD.findall((r[1] or "").encode()) for r in rows]
+    count = Counter(tuple(w[a : a + length]) for w in words for a in range(len(w) - length + 1))
     out = {}
-    for (doc_id, text), w in words.items():
+    for (doc_id, text), w in zip(rows, words):
         gone = bytearray(len(w))
         for a in range(len(w) - length + 1):
             if count[tuple(w[a : a + length])] > 1:
@@ -72,13 +73,30 @@ def test_bytes(spark, seed):
     )
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 4])
 def test_words(spark, batches):
     rows = corpus(7)
-    df = spark.createDataFrame(rows + [rows[12]], "doc_id long, text string").withColumnRenamed("missing", "x")
+    rows += [rows[12], (3, "a lone row " * 20), (60, " ".join(f"q{i}" for i in range(30))), (60, " ".join(f"q{i}" for i in range(30))), (61, "short row"), (61, "short row"), (None, "null id " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("missing", "x")
     got = substring_dedup.substring_dedup(df, window=12, gram=4, batches=batches).collect()
     want = brute_words(rows, 12)
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((i, *want[i, t or ""]) for i, t in rows + [rows[12]])
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((i, *want[i, t or ""]) for i, t in rows)
+    assert want[60, rows[-5][1]][1] == 30  # a row that stands twice recurs as a whole
+
+
+def test_later_batches_meet_the_history(spark, tmp_path):
+    rows = [r for r in corpus(9) if r[0] is not None]
+    want = brute_words(rows, 12)
+    old, new = rows[:25], rows[25:]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    first = substring_dedup.FingerprintIndex(spark, str(tmp_path / "ix"), window=12, gram=4, most_runs=1)
+    substring_dedup.substring_dedup(frame(old), index=first, batches=2).count()
+    assert first.compactions == 1
+    again = substring_dedup.FingerprintIndex(spark, str(tmp_path / "ix"))
+    assert (again.window, again.runs, len(again.texts)) == (12, first.runs, 2)
+    got = substring_dedup.substring_dedup(frame(new), index=again, batches=1).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((i, *want[i, t or ""]) for i, t in new)
+    assert "Exchange" not in again._bodies(again.runs[0], "a").hint("merge").join(again._bodies(again.runs[-1], "b").hint("merge"), "part")._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "Exchange")
 
 
 def test_remove_repeats_keeps_columns(spark):
@@ -95,20 +113,20 @@ def test_empty_table(spark):
 
 
 def test_index_compacts(spark):
-    index = substring_dedup.FingerprintIndex(spark, window=12, gram=4, most_runs=2)
-    base = suffix_dedup._base(spark.createDataFrame(corpus(1), "doc_id long, text string"))
-    for k in range(4):
-        index.add(base.where(f"pmod(dk, 4) = {k}"))
-    assert len(index.runs) <= 2
-    whole = substring_dedup.FingerprintIndex(spark, window=12, gram=4)
-    whole.add(base)
-    a = {r.part: set() for r in index.history().collect()}
     from tracklume.llm.anchors import ANCHORS, taken
 
     def postings(ix):
-        return sorted(x for r in ix.history().collect() for v, d, _ in [taken(r.body, ANCHORS)] for x in zip(v.tolist(), d.tolist()))
+        rows = [r for at in ix.runs for r in ix._bodies(at, "body").collect()]
+        return sorted(x for r in rows for v, d, _ in [taken(r.body, ANCHORS)] for x in zip(v.tolist(), d.tolist()))
 
-    assert a and {v for v, _ in postings(index)} >= {v for v, _ in postings(whole)}
+    base = suffix_dedup._base(spark.createDataFrame(corpus(1), "doc_id long, text string"))
+    index = substring_dedup.FingerprintIndex(spark, window=12, gram=4, most_runs=2)
+    for k in range(5):
+        index.add(base.where(f"pmod(dk, 5) = {k}"))
+    assert len(index.runs) <= 2 and index.compactions >= 1
+    whole = substring_dedup.FingerprintIndex(spark, window=12, gram=4)
+    whole.add(base)
+    assert {v for v, _ in postings(index)} >= {v for v, _ in postings(whole)} and postings(index)
 
 
 def test_intervals_by_brute_force():

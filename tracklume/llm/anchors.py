@@ -381,12 +381,16 @@ def judged_segments(judge, parts: int):
     return go
 
 
-def covered(body: bytes | None, k1: int, n: int) -> np.ndarray | None:
-    """Which of the document's n symbols the spans cover; None if none."""
+def covered(body: bytes | None, k1: int, n: int, window: int) -> np.ndarray | None:
+    """Which of the document's n symbols the spans cover; None if none.  A span that ends beyond the document means all of it, if it has a window."""
     if not body:
         return None
     spans = np.frombuffer(body, np.int64).reshape(-1, 3)
     spans = spans[spans[:, 0] == k1]
+    if (spans[:, 2] > n).any():
+        if n >= window:
+            return np.ones(n, bool)
+        spans = spans[spans[:, 2] <= n]
     if not len(spans):
         return None
     steps = np.zeros(n + 1, np.int64)

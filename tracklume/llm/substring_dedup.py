@@ -1,16 +1,19 @@
 """Incremental removal of repeated word passages with a log-structured fingerprint index.
 
-The index is a set of immutable runs.  A run holds, for each bucket, the sorted
-window fingerprints of one batch of documents with the documents that have them.
-Every window of ``window`` words has one: the least hash of its 8-word grams
-(see :mod:`anchors`), so equal windows have equal fingerprints.  Adding a batch
-merge-joins its sorted fingerprints with those of all runs, bucket by bucket;
-fingerprints that meet are candidates, in the new documents and in the old
-ones.  Candidates are verified on the words themselves.  The batch is then
-written as a new run, and runs are compacted into one when there are too many.
-
-Defined results: a null text has no words; rows equal in id and text count as
-one document; a null id is a document id like any other; an empty table gives
+The index is a set of immutable runs.  A run is a table bucketed by a fingerprint's bucket
+that holds, for each bucket, one sorted array of the window fingerprints of one batch of
+documents with the documents that have them.  Every window of ``window`` words has one: the
+least hash of its 8-word grams (see :mod:`anchors`), so equal windows have equal fingerprints.
+A new batch is written as a run and merge-joined with the older runs, bucket by bucket: they have the
+same bucketing, so the history is read in place and never shuffled or sorted again.
+Fingerprints that meet are candidates, in the new documents and in the old ones; candidates
+are verified on the words themselves.  When there are too many runs they are merged into one, again bucket by bucket.
+
+A manifest beside the runs names them, so an index can be opened again and later batches
+deduplicated against it; it then keeps its documents too, for their words are what is verified.
+
+Defined results: a null text has no words; each row counts, so of equal rows every
+window recurs; a null id is a document id like any other; an empty table gives
 an empty result.  Columns other than doc_id and text pass through
 :func:`remove_repeats` unchanged.
 """
@@ -18,6 +21,9 @@ an empty result.  Columns other than doc_id and text pass through
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +31,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from ._common import NULL_ID, WORD, fresh, n_parts, shared_path, small_batches, text_or_empty
+from ._common import NULL_ID, WORD, fresh, n_parts, shared_path, text_or_empty
 from .suffix_dedup import _base, spans_of, with_id
 
-RUN_SQL = "part long, kind int, dk long, body binary"
+#: The key of documents is 64 bits of a hash; places also hold the id, so documents of equal keys are told apart by it.
+DOCS_SQL = "k1 long, dk long, text string"
 
 
-def _sorted_run(arrow):
-    """Packs of one batch, behind the shuffle by bucket -> one sorted body per bucket."""
-    bodies: dict[int, list[bytes]] = {}
-    for b in arrow:
-        for part, kind, dk, body in zip(*(c.to_pylist() for c in b.columns)):
-            if kind == A.BODY:
-                bodies.setdefault(part, []).append(body)
-    for part in sorted(bodies):
-        yield A.pack_batch([(part, A.BODY, 0, _merged(bodies.pop(part)))], A.PACK)
+def _sorted_run(parts: int):
+    """mapInArrow behind the shuffle by bucket: packs of one batch -> one sorted body per bucket; packs that go back pass through."""
+
+    def go(arrow):
+        bodies: dict[int, list[bytes]] = {}
+        for b in arrow:
+            back = []
+            for part, kind, dk, body in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == A.BODY:
+                    bodies.setdefault(part, []).append(body)
+                else:
+                    back.append((part, kind, dk, body))
+            if back:
+                yield A.pack_batch(back, A.PACK)
+        for part in sorted(bodies):
+            yield A.pack_batch([(part, A.BODY, 0, _merged(bodies.pop(part)))], A.PACK)
+
+    return go
 
 
 def _merged(bodies: list[bytes]) -> bytes:
@@ -50,45 +66,137 @@ def _merged(bodies: list[bytes]) -> bytes:
     return A.joined(values[order], dks[order], np.unique(np.concatenate([g[2] for g in got])))
 
 
+def _inside(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(sorted_, values)
+    return sorted_[np.minimum(at, len(sorted_) - 1)] == values
+
+
+def meeting(new: bytes, old: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Merge join of a bucket: (fingerprints, documents) of the new run that recur in it or in an old one, and those of the old runs that the new one has."""
+    values, dks, known = A.taken(new, A.ANCHORS)
+    hit = _inside(known, values)
+    twin = values[1:] == values[:-1]
+    hit[1:] |= twin
+    hit[:-1] |= twin
+    out = []
+    for body in old:
+        v, d, k = A.taken(body, A.ANCHORS)
+        hit |= _inside(v, values) | _inside(k, values)
+        back = _inside(values, v) | _inside(known, v)
+        out.append((v[back], d[back]))
+    out.append((values[hit], dks[hit]))
+    return np.concatenate([v for v, _ in out]), np.concatenate([d for _, d in out])
+
+
+def _joined(parts: int):
+    """mapInArrow: (new body, old bodies) of each bucket -> back packs."""
+
+    def go(arrow):
+        for b in arrow:
+            for new, *old in zip(*(c.to_pylist() for c in b.columns)):
+                values, dks = meeting(new, [x for x in old if x is not None])
+                yield A.pack_batch(A.back_packs(dks, values, parts), A.PACK)
+
+    return go
+
+
+def _compacted(arrow):
+    """mapInArrow: (part, bodies) -> one body of each bucket."""
+    for b in arrow:
+        for part, *bodies in zip(*(c.to_pylist() for c in b.columns)):
+            yield A.pack_batch([(part, A.BODY, 0, _merged([x for x in bodies if x is not None]))], A.PACK)
+
+
 class FingerprintIndex:
-    """Runs in a folder that all executors share; one writer at a time."""
+    """Runs in a folder that all executors share; one writer at a time.  A folder that holds an index is opened, with its own parameters."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 35, gram: int = 8, most_runs: int = 8, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 35, gram: int = 8, most_runs: int = 2, buckets: int | None = None, keep_texts: bool | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "fingerprints")
-        self.kind, self.most_runs = A.Words(window, gram), most_runs
-        self.buckets = buckets or 4 * n_parts(spark)
-        self.runs: list[str] = []
-        self._next = 0
-
-    def _write(self, rows: DataFrame) -> str:
-        at = f"{self.path}/run_{self._next:06d}"
-        self._next += 1
-        rows.write.parquet(at)
+        found = self._read()
+        self.window, self.gram = found.get("window", window), found.get("gram", gram)
+        self.buckets, self.most_runs = found.get("buckets", buckets or n_parts(spark)), most_runs
+        self.keep_texts = found.get("keep_texts", path is not None if keep_texts is None else keep_texts)
+        self.runs: list[str] = found.get("runs", [])
+        self.texts: list[str] = found.get("texts", [])
+        self.kind = A.Words(self.window, self.gram)
+        self._name = f"fingerprints_{uuid.uuid4().hex}"
+        self.compactions = found.get("compactions", 0)
+
+    def _read(self) -> dict:
+        """The newest manifest; a manifest is a file of its own and is never changed."""
+        fs, at = self._fs(f"{self.path}/manifest")
+        if not fs.exists(at):
+            return {}
+        newest = max(str(s.getPath().getName()) for s in fs.listStatus(at))
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{newest}").first()[0])
+
+    def _fs(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _commit(self) -> None:
+        state = {k: getattr(self, k) for k in ("window", "gram", "buckets", "keep_texts", "runs", "texts", "compactions")}
+        number = len(self.texts) + len(self.runs) + 2 * self.compactions
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{number:09d}_{uuid.uuid4().hex}")
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        """rows hold a bucket's records together, so each task writes one file of its bucket."""
+        at = f"{self.path}/{name}_{uuid.uuid4().hex}"
+        table = f"{self._name}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "part").sortBy("part").option("path", at).saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
         return at
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(n_parts(self.spark), "part")
+    def _run(self, at: str) -> DataFrame:
+        """A run as a bucketed table."""
+        table = f"{self._name}_{at.rsplit('_', 1)[1]}"
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"CREATE TABLE {table} ({A.PACK_SQL.replace('part long', 'part BIGINT').replace('dk long', 'dk BIGINT')}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        return self.spark.table(table)
 
-    def history(self) -> DataFrame | None:
-        return self.spark.read.schema(RUN_SQL).parquet(*self.runs) if self.runs else None
+    def _bodies(self, at: str, name: str) -> DataFrame:
+        return self._run(at).where(F.col("kind") == A.BODY).select("part", F.col("body").alias(name))
 
     def packs(self, docs: DataFrame) -> DataFrame:
         return docs.select("dk", "text").mapInArrow(A.anchor_packs(self.kind, self.buckets), A.PACK_SQL)
 
-    def joined(self, docs: DataFrame) -> DataFrame:
-        """Back packs for the batch and for old documents: fingerprints that meet."""
-        new, old = self.packs(docs), self.history()
-        return self._dealt(new if old is None else new.union(old)).mapInArrow(A.recurring_anchors(self.buckets), A.PACK_SQL)
-
-    def add(self, docs: DataFrame) -> None:
-        """Write the batch as a run; compact if there are too many."""
-        self.runs.append(self._write(self._dealt(self.packs(docs)).mapInArrow(_sorted_run, RUN_SQL)))
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Write the batch (k1, dk, text) as a run; gives the back packs of its documents and of old ones whose fingerprints meet."""
+        run = self._write(self.packs(docs).repartition(self.buckets, "part").mapInArrow(_sorted_run(self.buckets), A.PACK_SQL), "run")
+        if self.keep_texts:
+            at = f"{self.path}/texts_{uuid.uuid4().hex}"
+            docs.select("k1", "dk", "text").write.parquet(at)
+            self.texts.append(at)
+        new = self._bodies(run, "new").hint("merge")
+        both = reduce(lambda d, k: d.join(self._bodies(self.runs[k], f"old{k}").hint("merge"), "part", "left"), range(len(self.runs)), new)
+        found = both.drop("part").mapInArrow(_joined(self.buckets), A.PACK_SQL)
+        back = self._run(run).where(F.col("kind") == A.BACK).unionByName(found)
+        self.runs.append(run)
         if len(self.runs) > self.most_runs:
+            back = back.checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else back
             self.compact()
+        self._commit()
+        return back
 
     def compact(self) -> None:
-        if len(self.runs) > 1:
-            self.runs = [self._write(self._dealt(self.history()).mapInArrow(_sorted_run, RUN_SQL))]
+        """All runs as one, merged bucket by bucket where they lie; the old runs stay until the folder is cleared."""
+        if len(self.runs) < 2:
+            return
+        every = self._bodies(self.runs[0], "b0").hint("merge")
+        for k, at in enumerate(self.runs[1:], 1):
+            every = every.join(self._bodies(at, f"b{k}").hint("merge"), "part", "full_outer")
+        self.runs = [self._write(every.mapInArrow(_compacted, A.PACK_SQL), "run")]
+        self.compactions += 1
+
+    def documents(self) -> DataFrame:
+        """All documents that were added (k1, dk, text)."""
+        if not self.texts:
+            return self.spark.createDataFrame([], DOCS_SQL)
+        return self.spark.read.schema(DOCS_SQL).parquet(*self.texts)
 
 
 def _all_removed(rows: list[tuple]):
@@ -176,7 +284,7 @@ def hash_of(word: bytes, seen: dict) -> int:
     return got
 
 
-def _kept_words(names: list[str], digest: bool):
+def _kept_words(names: list[str], digest: bool, window: int):
     """Apply spans: documents with spans -> counts and kept text."""
 
     def go(arrow):
@@ -187,7 +295,7 @@ def _kept_words(names: list[str], digest: bool):
                 n_words, n_removed, kept = [], [], []
                 for k1, doc, spans in zip(k1s, docs, A.column(held, names[2])):
                     words = WORD.findall(doc or b"")
-                    gone = A.covered(spans, k1, len(words))
+                    gone = A.covered(spans, k1, len(words), window)
                     n_words.append(len(words))
                     n_removed.append(0 if gone is None else int(gone.sum()))
                     if gone is not None:
@@ -206,56 +314,60 @@ def _kept_words(names: list[str], digest: bool):
     return go
 
 
-def candidates(base: DataFrame, index: FingerprintIndex, batches: list) -> DataFrame:
-    """Add the batches one after the other; the feedback for all their documents."""
-    found = None
-    for k, where in enumerate(batches):
-        docs = base if where is None else base.where(where)
-        new = index.joined(docs)
-        found = new if found is None else found.union(new)
-        if k + 1 < len(batches):
-            index.add(docs)
-    return found
-
-
 def _batch_filters(n: int) -> list:
     return [None] if n < 2 else [F.pmod(F.col("dk"), F.lit(n)) == k for k in range(n)]
 
 
-def _spans(base: DataFrame, window: int, gram: int, batches: int) -> DataFrame:
-    index = FingerprintIndex(base.sparkSession, window=window, gram=gram)
-    feedback = candidates(base, index, _batch_filters(batches))
-    return spans_of(base, index.kind, _all_removed, _judge(window), feedback)
+#: A span that covers a whole document.
+WHOLE = 1 << 62
+
+
+def _spans(base: DataFrame, index: FingerprintIndex, batches: int) -> DataFrame:
+    """(dk, spans) of the documents (k1, dk, text), which enter the index batch by batch."""
+    known = index.documents() if index.keep_texts and index.texts else None
+    found = reduce(DataFrame.unionByName, [index.add(base if where is None else base.where(where)) for where in _batch_filters(batches)])
+    every = base if known is None else base.unionByName(known)
+    spans = spans_of(every, index.kind, _all_removed, _judge(index.window), found)
+    # rows equal in id and text: each stands elsewhere too
+    twice = every.groupBy("k1", "dk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dk", "k1")
+    whole = twice.groupBy("dk").agg(F.array_join(F.transform(F.collect_set("k1"), lambda k: F.concat(*[F.hex(_little_endian(x)) for x in (k, F.lit(0), F.lit(WHOLE))])), "").alias("whole"))
+    both = spans.join(whole, "dk", "full_outer")
+    return both.select("dk", F.concat(F.coalesce("spans", F.lit(b"")), F.coalesce(F.unhex("whole"), F.lit(b""))).alias("spans"))
+
+
+def _little_endian(x):
+    """A long as its eight bytes, the lowest first."""
+    return F.unhex(F.array_join(F.transform(F.array(*[F.shiftrightunsigned(x.cast("long"), 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]), lambda b: F.lpad(F.hex(b), 2, "0")), ""))
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
     """Documents (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256).
 
     Each word goes that a window of ``window`` words covers whose word sequence starts
     anywhere else.  The table enters the index in ``batches`` batches (by a hash of the
-    row), each joined with the runs before it.
+    row), each joined with the runs before it.  An ``index`` that holds earlier documents
+    counts these too; it gives the window.
     """
-    small_batches(docs.sparkSession)
     base = _base(docs)
-    spans = _spans(base, window, gram, batches)
+    index = index or FingerprintIndex(docs.sparkSession, window=window, gram=gram)
     names = ["text", "k1", "spans", "n_words", "n_removed", "kept_sha256"]
-    rows = with_id(base.join(spans, "dk", "left"))
-    return rows.mapInArrow(_kept_words(names, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = with_id(base.join(_spans(base, index, batches), "dk", "left"))
+    return rows.mapInArrow(_kept_words(names, True, index.window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
     """The same documents with all their columns; texts lose their repeated passages.
 
     A text that loses nothing is unchanged; else its kept words are joined by one space.
     A null text stays null.
     """
-    small_batches(docs.sparkSession)
     k1, dk, spans_, n, gone, kept = fresh(docs, "k1", "dk", "spans", "n", "gone", "kept")
     doc_id = F.col("doc_id").cast("long")
     base = docs.select("*", F.coalesce(doc_id, F.lit(NULL_ID)).alias(k1), F.xxhash64(doc_id, text_or_empty()).alias(dk))
-    spans = _spans(base.select(F.col(k1).alias("k1"), F.col(dk).alias("dk"), text_or_empty().alias("text")), window, gram, batches)
+    index = index or FingerprintIndex(docs.sparkSession, window=window, gram=gram)
+    spans = _spans(base.select(F.col(k1).alias("k1"), F.col(dk).alias("dk"), text_or_empty().alias("text")), index, batches)
     rows = base.join(spans.select(F.col("dk").alias(dk), F.col("spans").alias(spans_)), dk, "left").drop(dk)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"{n} long, {gone} long, {kept} string"])
-    out = rows.mapInArrow(_kept_words(["text", k1, spans_, n, gone, kept], False), schema)
+    out = rows.mapInArrow(_kept_words(["text", k1, spans_, n, gone, kept], False, index.window), schema)
     return out.select(*[F.col(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

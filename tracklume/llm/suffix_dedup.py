@@ -201,7 +201,7 @@ def _kept(arrow):
             docs, k1s = [x or b"" for x in A.column(held, "text")], A.numbers(held, "k1").tolist()
             out = []
             for doc_id, k1, doc, spans in zip(A.column(held, "doc_id"), k1s, docs, A.column(held, "spans")):
-                gone = A.covered(spans, k1, len(doc))
+                gone = A.covered(spans, k1, len(doc), 0)
                 if gone is None:
                     out.append((doc_id, len(doc), 0, 0, doc))
                     continue
