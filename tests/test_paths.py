@@ -197,7 +197,7 @@ def test_bootstrap_draws(spark):
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "k string, i int, v double")
     got = E.block_bootstrap(df, ["k"], ["i"], "v", 10, 300).first()
     blocks = [values[i : min(i + 10, 95)] for i in range(0, 95, 10)]
-    draws = spark.range(1, 301).selectExpr("id AS r", "explode(sequence(1L, 10L)) AS s").selectExpr("r", "pmod(xxhash64(0, 'g', cast(r AS int), s), 10L) AS b").collect()
+    draws = spark.range(1, 301).selectExpr("id AS r", "explode(sequence(1L, 10L)) AS s").selectExpr("r", "cast(floor(conv(substring(md5(concat_ws('|', '0', 'g', r, s)), 1, 8), 16, 10) / 4294967296D * 10) AS long) AS b").collect()
     by = {}
     for d in draws:
         by.setdefault(d.r, []).extend(blocks[d.b])

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import distance
 from . import aggregates as G
+from .calibrate import draw
 from .joins import asof_nearest, interpolated
 
 AXES = ["x_m", "y_m", "z_m"]
@@ -119,15 +120,15 @@ def block_bootstrap(df: DataFrame, keys: list[str], order: list[str], value: str
     """Interval of a mean from contiguous blocks drawn with replacement.
 
     A block is a sum and a count, so a resample is an aggregate of blocks, not of rows: each block
-    is drawn as often as seeded hashes of (resample, draw) point to it.
+    is drawn as often as seeded hashes of (resample, slot) point to it.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     block = F.floor((F.row_number().over(w) - 1) / size)
     b = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).withColumn("block", block).groupBy(*keys, "block").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
     total = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), (F.sum("s") / F.sum("c")).alias("estimate"), F.sum("c").alias("n"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], "resample", "slot"), F.col("blocks")).alias("block")
+    drawn_block = F.floor(draw(seed, *[F.col(k) for k in keys], F.col("resample"), F.col("slot")) * F.col("blocks")).cast("long").alias("block")
     slots = total.select(*keys, "blocks", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    slots = slots.select(*keys, "blocks", "resample", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("slot")).select(*keys, "resample", draw)
+    slots = slots.select(*keys, "blocks", "resample", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("slot")).select(*keys, "resample", drawn_block)
     drawn = slots.groupBy(*keys, "resample", "block").agg(F.count(F.lit(1)).alias("times"))
     means = drawn.join(b, [*keys, "block"]).groupBy(*keys, "resample").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("c"))).alias("m"))
     tail = (1 - confidence) / 2

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, parse
+from .calibrate import draw
 from .joins import asof_nearest
 from .select import best_per_frame
 
@@ -130,7 +131,7 @@ def perturbed(df: DataFrame, key: list[str], axes: list[str], seed: int, drop: f
     """Rows dropped, moved, shifted in time and joined by false ones, by seeded hashes of their keys: the same on any partitioning."""
 
     def uniform(salt: str) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(k) for k in key]), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        return draw(seed, F.lit(salt), *[F.col(k) for k in key]) + 0.5 / (1 << 32)
 
     def normal(salt: str) -> Column:
         return F.sqrt(-2 * F.log(uniform(salt + "a"))) * F.cos(2 * F.pi() * uniform(salt + "b"))

@@ -9,6 +9,7 @@ from ..functions import geo, parse
 from ..operators import aggregates as G
 from ..operators import calibrate as C
 from ..operators import joins as J
+from ..operators import kernels as K
 from ..operators import select as S
 from ..operators import sequence as Q
 from ..operators import trajectories as T
@@ -88,16 +89,22 @@ def constrained_configs(spark, sf):
     return longs(rounded(C.feasible_rank(candidates(spark, sf), ["source", "candidate_branch"], F.col("x_m"), F.col("z_m") <= 8), "objective"), "rank")
 
 
-@query()
+def draw_sql(*parts: str) -> str:
+    """The hash draw of ``calibrate.draw`` in SQL."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"""WITH {CANDIDATES}, v AS (SELECT sequence_id, source AS label, count(*) AS c FROM cand GROUP BY 1, 2), m AS (SELECT sequence_id, label FROM v QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY c DESC, label) = 1)
+SELECT sequence_id, label, (row_number() OVER (PARTITION BY label ORDER BY {draw_sql("'0'", "sequence_id")}, sequence_id) - 1) % 5 AS fold FROM m""")
 def stratified_folds(spark, sf):
     c = candidates(spark, sf)
     strata = G.class_vote(c.withColumnRenamed("source", "label"), ["sequence_id"], "label", F.lit(1.0))
-    return C.folds(strata, "sequence_id", "label", 5)
+    return longs(C.folds(strata, "sequence_id", "label", 5), "fold")
 
 
-@query()
+@query(f"""WITH {MEASUREMENTS}, b AS (SELECT *, CAST(floor((time_s - min(time_s) OVER (PARTITION BY sequence_id)) / 86400) AS BIGINT) AS b FROM meas) SELECT key FROM b WHERE time_s IS NULL OR {draw_sql("'7'", "sequence_id", "b")} >= 0.2""")
 def drop_measurement_bursts(spark, sf):
-    return C.drop_bursts(measurements(spark, sf), ["sequence_id"], 0.2, 86_400.0, 7)
+    return C.drop_bursts(measurements(spark, sf), ["sequence_id"], 0.2, 86_400.0, 7).select("key")
 
 
 @query(f"WITH {CANDIDATES} SELECT key, x_m * 2.5 AS cov_xx, y_m * 2.5 AS association_cov_yy, z_m FROM cand")
@@ -274,19 +281,47 @@ def _single(spark, sf):
     return W.keep_last_time(trajectories(spark, sf), ["sequence_id"], "time_s", "key")
 
 
-@query()
-def cv_kalman(spark, sf):
-    return Q.cv_track(_single(spark, sf), ["x_m"], 25.0, 0.5, 0.99)
+ONE = "one AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY time_s, key) AS i FROM (SELECT sequence_id, time_s, key, x_m FROM traj QUALIFY row_number() OVER (PARTITION BY sequence_id, time_s ORDER BY key DESC) = 1))"
 
 
-@query()
+def cv_sql(gate: float | None, scale: str = "1") -> str:
+    """The constant-velocity filter of one axis as a recursion over rows: std 25, acceleration 0.5."""
+    ok = "true" if gate is None else f"nis <= {gate!r}"
+    return f"""{ONE}, kf AS (
+  SELECT sequence_id, i, time_s, key, x_m AS x, 0.0::DOUBLE AS v, 625.0::DOUBLE AS a, 0.0::DOUBLE AS b, 225.0::DOUBLE AS c, 0.0::DOUBLE AS nis, true AS accepted FROM one WHERE i = 1
+  UNION ALL
+  SELECT sequence_id, i, time_s, key, CASE WHEN ok THEN xp + a / (a + r) * m ELSE xp END, CASE WHEN ok THEN v + b / (a + r) * m ELSE v END,
+         CASE WHEN ok THEN (1 - a / (a + r)) * a ELSE a END, CASE WHEN ok THEN (1 - a / (a + r)) * b ELSE b END, CASE WHEN ok THEN c - b / (a + r) * b ELSE c END, nis, ok
+  FROM (SELECT *, {ok} AS ok, 625.0 * {scale} AS r FROM (SELECT *, m * m / (a + 625.0) AS nis FROM (
+    SELECT o.sequence_id, o.i, o.time_s, o.key, k.x + dt * k.v AS xp, k.v, o.x_m - k.x - dt * k.v AS m, k.a + 2 * dt * k.b + dt * dt * k.c + 0.25 * dt ** 3 / 3 AS a, k.b + dt * k.c + 0.25 * dt * dt / 2 AS b, k.c + 0.25 * dt AS c
+    FROM (SELECT k.*, n.time_s - k.time_s AS dt FROM kf k JOIN one n ON n.sequence_id = k.sequence_id AND n.i = k.i + 1) k JOIN one o ON o.sequence_id = k.sequence_id AND o.i = k.i + 1))))"""
+
+
+def _track(df):
+    return df.select("sequence_id", "time_s", "key", *[r6(c, 5).alias(c) for c in df.columns if c.startswith("state_")], r6("nis", 5).alias("nis"), "accepted")
+
+
+@query(f"WITH RECURSIVE {TRAJECTORIES}, {cv_sql(K.chi2_quantile(0.99, 1))} SELECT sequence_id, time_s, key, round(x, 5) AS state_x_m, round(nis, 5) AS nis, accepted FROM kf")
+def cv_kalman(spark, sf):
+    return _track(Q.cv_track(_single(spark, sf), ["x_m"], 25.0, 0.5, 0.99))
+
+
+@query(f"""WITH RECURSIVE {TRAJECTORIES}, {cv_sql(None)}, sm AS (
+  SELECT sequence_id, i, key, time_s, x, v FROM kf WHERE (sequence_id, i) IN (SELECT (sequence_id, max(i)) FROM kf GROUP BY sequence_id)
+  UNION ALL
+  SELECT f.sequence_id, f.i, f.key, f.time_s, f.x + ((u0 * pc - f.b * pb) * dx + (f.b * pa - u0 * pb) * dv) / det, f.v + ((u1 * pc - f.c * pb) * dx + (f.c * pa - u1 * pb) * dv) / det
+  FROM (SELECT *, pa * pc - pb * pb AS det, a + dt * b AS u0, b + dt * c AS u1, nx - x - dt * v AS dx, nv - v AS dv FROM (
+    SELECT f.*, s.time_s - f.time_s AS dt, s.x AS nx, s.v AS nv, f.a + 2 * (s.time_s - f.time_s) * f.b + (s.time_s - f.time_s) ** 2 * f.c + 0.25 * (s.time_s - f.time_s) ** 3 / 3 + 1e-12 AS pa,
+           f.b + (s.time_s - f.time_s) * f.c + 0.25 * (s.time_s - f.time_s) ** 2 / 2 AS pb, f.c + 0.25 * (s.time_s - f.time_s) + 1e-12 AS pc
+    FROM sm s JOIN kf f ON f.sequence_id = s.sequence_id AND f.i = s.i - 1)) f)
+SELECT sequence_id, time_s, key, round(x, 4) AS state_x_m FROM sm""")
 def cv_rts_smooth(spark, sf):
-    return Q.cv_track(_single(spark, sf), ["x_m"], 25.0, 0.5, None, True)
+    return Q.cv_track(_single(spark, sf), ["x_m"], 25.0, 0.5, None, True).select("sequence_id", "time_s", "key", r6("state_x_m", 4).alias("state_x_m"))
 
 
-@query()
+@query(f"WITH RECURSIVE {TRAJECTORIES}, {cv_sql(None, 'greatest(1.0, (4.0 + nis) / 5.0)')} SELECT sequence_id, time_s, key, round(x, 5) AS state_x_m, round(nis, 5) AS nis, accepted FROM kf")
 def cv_student_t(spark, sf):
-    return Q.cv_track(_single(spark, sf), ["x_m"], 25.0, 0.5, None, False, "student-t")
+    return _track(Q.cv_track(_single(spark, sf), ["x_m"], 25.0, 0.5, None, False, "student-t"))
 
 
 @query()
@@ -304,14 +339,21 @@ def forward_backward_prior(spark, sf):
     return Q.forward_backward_prior(candidates(spark, sf), "score", 20_000.0, 10.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRAJECTORIES}, {ONE}, fw AS (SELECT sequence_id, i, key, time_s, x_m AS x FROM one WHERE i = 1
+  UNION ALL SELECT o.sequence_id, o.i, o.key, o.time_s, f.x + sign(o.x_m - f.x) * least(abs(o.x_m - f.x), 2.0 * (o.time_s - f.time_s)) FROM fw f JOIN one o ON o.sequence_id = f.sequence_id AND o.i = f.i + 1),
+bw AS (SELECT sequence_id, i, key, time_s, x FROM fw WHERE (sequence_id, i) IN (SELECT (sequence_id, max(i)) FROM fw GROUP BY sequence_id)
+  UNION ALL SELECT f.sequence_id, f.i, f.key, f.time_s, b.x + sign(f.x - b.x) * least(abs(f.x - b.x), 2.0 * (b.time_s - f.time_s)) FROM bw b JOIN fw f ON f.sequence_id = b.sequence_id AND f.i = b.i - 1)
+SELECT key, round(x, 6) AS x_m FROM bw""")
 def speed_limit_projection(spark, sf):
-    return Q.speed_limited(_single(spark, sf), ["x_m"], 2.0)
+    return Q.speed_limited(_single(spark, sf), ["x_m"], 2.0).select("key", r6("x_m").alias("x_m"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRAJECTORIES}, {ONE}, nb AS (SELECT *, lead(x_m) OVER w AS x1, lead(time_s) OVER w AS t1 FROM one WINDOW w AS (PARTITION BY sequence_id ORDER BY i)), gs AS (SELECT sequence_id, i, key, time_s, x_m AS z FROM nb WHERE i = 1
+  UNION ALL SELECT n.sequence_id, n.i, n.key, n.time_s, CASE WHEN t1 IS NOT NULL AND (abs(n.x_m - g.z) / (n.time_s - g.time_s) > 1.0 OR abs(x1 - n.x_m) / (t1 - n.time_s) > 1.0) AND abs(x1 - g.z) / (t1 - g.time_s) <= 0.5
+    AND abs(n.x_m - (g.z + (x1 - g.z) * (n.time_s - g.time_s) / (t1 - g.time_s))) > 15.0 THEN g.z + (x1 - g.z) * (n.time_s - g.time_s) / (t1 - g.time_s) ELSE n.x_m END FROM gs g JOIN nb n ON n.sequence_id = g.sequence_id AND n.i = g.i + 1)
+SELECT key, round(z, 6) AS x_m FROM gs""")
 def vertical_spike_repair(spark, sf):
-    return Q.vertical_repair(_single(spark, sf), "x_m", 1.0, 0.5, 15.0)
+    return Q.vertical_repair(_single(spark, sf), "x_m", 1.0, 0.5, 15.0).select("key", r6("x_m").alias("x_m"))
 
 
 @query()

@@ -13,7 +13,7 @@ from ..operators import select as S
 from ..operators import sequence as Q
 from ..operators import windows as W
 from .reference import BRACKET, _clicks, longs, query, r6, rounded
-from .reference_more import ORACLE, RESAMPLE, TEMPLATE, _single, _with_truth
+from .reference_more import ORACLE, RESAMPLE, TEMPLATE, _single, _with_truth, draw_sql
 from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, table, trajectories
 
 XY = ["x_m", "y_m"]
@@ -95,10 +95,13 @@ def class_audit(spark, sf):
     return rounded(E.class_audit(candidates(spark, sf).withColumn("guess", guess), "source", "guess"), "recall", "precision")
 
 
-@query()
+@query(f"""WITH {CANDIDATES}, b AS (SELECT source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY time_s, key) - 1) / 20) AS BIGINT) AS block, x_m FROM cand), g AS (SELECT source, block, sum(x_m) AS s, count(*) AS c FROM b GROUP BY 1, 2),
+t AS (SELECT source, count(*) AS blocks, sum(s) / sum(c) AS estimate, sum(c)::BIGINT AS n FROM g GROUP BY 1), d AS (SELECT source, r, CAST(floor({draw_sql("'0'", "source", "r", "slot")} * blocks) AS BIGINT) AS block FROM (SELECT source, blocks, r, unnest(range(1, blocks + 1)) AS slot FROM t, range(1, 101) x(r))),
+m AS (SELECT d.source, r, sum(s) / sum(c) AS m FROM d JOIN g ON g.source = d.source AND g.block = d.block GROUP BY 1, 2)
+SELECT source, n, blocks, round(estimate, 6) AS estimate, round(lower, 6) AS lower, round(upper, 6) AS upper FROM t JOIN (SELECT source, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM m GROUP BY 1) USING (source)""")
 def bootstrap_interval(spark, sf):
-    """Blocks of 20 rows of each source; hashes differ from DuckDB's, so it is tested against the same draws in plain Python."""
-    return E.block_bootstrap(candidates(spark, sf), ["source"], ["time_s", "key"], "x_m", 20, 200)
+    """Blocks of 20 rows of each source."""
+    return rounded(E.block_bootstrap(candidates(spark, sf), ["source"], ["time_s", "key"], "x_m", 20, 100), "estimate", "lower", "upper")
 
 
 @query()
@@ -419,9 +422,16 @@ def shifted_window(spark, sf):
     return N.in_truth_window(N.shifted(N.shifted(a, 1.5), 1.5), b, ["sequence_id"], 100.0).select("key", r6("time_s").alias("time_s"))
 
 
-@query()
+def _u(salt: str) -> str:
+    return f"({draw_sql(chr(39) + '7' + chr(39), chr(39) + salt + chr(39), 'key')} + 0.5 / 4294967296.0)"
+
+
+@query(f"""WITH {CANDIDATES}, k AS (SELECT * FROM cand WHERE {_u('drop')} >= 0.1)
+SELECT key, round(x_m + sqrt(-2 * ln({_u('x_ma')})) * cos(2 * pi() * {_u('x_mb')}), 5) AS x_m, round(time_s + 0.5 * (2 * {_u('t')} - 1), 6) AS time_s, false AS is_false FROM k
+UNION ALL SELECT key, round(x_m + 100 * (2 * {_u('fx_m')} - 1), 5), round(time_s, 6), true FROM k WHERE {_u('false')} < 0.05""")
 def perturbed_radar(spark, sf):
-    return N.perturbed(candidates(spark, sf), ["key"], E.AXES, 7, 0.1, 1.0, 0.5, 0.05)
+    d = N.perturbed(candidates(spark, sf), ["key"], E.AXES, 7, 0.1, 1.0, 0.5, 0.05)
+    return d.select("key", r6("x_m", 5).alias("x_m"), r6("time_s").alias("time_s"), "is_false")
 
 
 # --- fitted corrections
