@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from ._common import NULL_ID, n_parts, small_batches, text_or_empty
+from ._common import NULL_ID, n_parts, text_or_empty
 
 #: Bytes of text in one index; a larger group of super-windows is cut finer first.
 BLOCK = 1 << 20
 
 
-def _sorted_suffixes(codes: np.ndarray, ends: np.ndarray, depth: int):
-    """Suffix array by the first ``depth`` symbols, terminators (0) ordered by place."""
+def _sorted_suffixes(codes: np.ndarray, ends: np.ndarray):
+    """Suffix array by prefix doubling, terminators (0) ordered by place: the full order, whatever length is asked for later."""
     n = len(codes)
     width = 7  # symbols of 9 bits in a key
     key = np.zeros(n, np.uint64)
@@ -52,25 +52,23 @@ def _sorted_suffixes(codes: np.ndarray, ends: np.ndarray, depth: int):
     alone = short[sa]
     new |= alone
     new[1:] |= alone[:-1]
-    rank = np.empty(n + depth + 1, np.int64)
-    rank[n:] = 0
+    rank = np.empty(n, np.int64)
     rank[sa] = np.cumsum(new)
     h = width
-    while h < depth:
-        step = min(h, depth - h)
+    while True:
         # only members of undivided groups move, and only inside their group
         single = new & np.concatenate([new[1:], [True]])
         at = np.flatnonzero(~single)
         if not len(at):
             break
         members = sa[at]
-        pair = (rank[members].astype(np.uint64) << np.uint64(32)) | rank[members + step].astype(np.uint64)
+        pair = (rank[members].astype(np.uint64) << np.uint64(32)) | rank[members + h].astype(np.uint64)  # they share h symbols, none a terminator
         order = np.argsort(pair)
         sa[at] = members[order]
         p = pair[order]
         new[at] |= np.concatenate([[True], p[1:] != p[:-1]])
         rank[sa] = np.cumsum(new)
-        h += step
+        h *= 2
     return sa
 
 
@@ -84,7 +82,7 @@ def shared_prefix_intervals(texts: list[bytes], length: int):
     codes = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     codes[firsts[1:] - 1] = 0
     ends = np.repeat(firsts[1:] - 1, sizes)
-    sa = _sorted_suffixes(codes, ends, length)
+    sa = _sorted_suffixes(codes, ends)
     bwt = codes[sa - 1]
     bwt[np.isin(sa, firsts[:-1])] = 0  # nothing precedes a text
     # LF and the previous row with the same character
@@ -240,7 +238,6 @@ def with_id(rows: DataFrame) -> DataFrame:
 
 def _removed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     n, kind = n_parts(spark), A.Bytes(window, gram)
     base = _base(docs)
     packs = base.select("dk", "text").mapInArrow(A.anchor_packs(kind, 4 * n), A.PACK_SQL)
@@ -255,9 +252,9 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFram
     Each byte covered by a ``window``-byte string that also starts earlier (smaller id, or
     same document and earlier start) goes.  ``gram`` is a power of two below ``window``.
     """
-    return _removed(docs, window, gram).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _removed(docs, window, gram).mapInArrow(A.in_pieces(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def suffix_dedup_digest(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFrame:
     """As :func:`suffix_dedup`, with the SHA-256 of what is kept in place of the bytes."""
-    return _removed(docs, window, gram).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _removed(docs, window, gram).mapInArrow(A.in_pieces(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
