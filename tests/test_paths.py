@@ -263,3 +263,30 @@ def test_normalising_edges(spark):
     with pytest.raises(Exception, match="more than one split"):
         N.split_manifest(twice).collect()
     assert A.adaptive_scale(F.lit(4.0)) is not None
+
+
+def test_assigned_support_is_one_to_one(spark):
+    rows = [("s", 0.0, "a", 0.0), ("s", 0.0, "b", 1.0), ("s", 1.0, "c", 0.9), ("s", 1.0, "d", 5.0), ("s", 9.0, "e", 1.0), ("t", 1.0, "f", 0.0)]
+    df = spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], "sequence_id string, time_s double, key string, x_m double, y_m double, z_m double")
+    got = {r.key: (r.backward_m, r.forward_m) for r in Q.assigned_support(df, 2.0, 4.5).collect()}
+    # both could take c; most pairs comes first
+    assert got["a"][1] == pytest.approx(0.9) and got["b"][1] == pytest.approx(4.0) and got["c"][0] == pytest.approx(0.9) and got["d"][0] == pytest.approx(4.0)
+    assert got["e"] == (None, None) and got["f"] == (None, None)
+
+
+def test_population_in_sequences(spark):
+    box = "sequence_id string, frame long, id long, x double, y double, w double, h double"
+    p = spark.createDataFrame([("s", 1, 7, 0.0, 0.0, 10.0, 10.0), ("s", 1, 8, 90.0, 0.0, 10.0, 10.0), ("s", 4, 7, 3.0, 0.0, 10.0, 10.0), ("s", 9, 7, 8.0, 0.0, 10.0, 10.0)], box)
+    seeds = spark.createDataFrame([("s", 1, 100, 1.0, 0.0, 10.0, 10.0), ("u", 1, 5, 0.0, 0.0, 1.0, 1.0)], box)
+    got = sorted((r.frame, r.id, r.x, r.filled) for r in Q.fixed_population(p, seeds, 0.5, 2).collect())
+    assert got == [(1, 100, 0.0, False), (2, 100, 1.0, True), (3, 100, 2.0, True), (4, 100, 3.0, False), (9, 100, 8.0, False)]
+
+
+def test_lagged_smoothing_sees_no_further():
+    t = np.arange(20.0)
+    x = np.random.default_rng(1).normal(size=(20, 2))
+    whole = K.lagged(t, x, 5.0, np.inf, 100.0)
+    assert np.allclose(whole, K.regularized(t, x, 5.0))
+    y = x.copy()
+    y[15:] += 50
+    assert np.allclose(K.lagged(t, x, 5.0, np.inf, 3.0)[:12], K.lagged(t, y, 5.0, np.inf, 3.0)[:12])

@@ -26,6 +26,13 @@ def errors_at_estimates(estimates: DataFrame, truth: DataFrame, keys: list[str],
     return _errors(d, axes, "match.{}").drop("match")
 
 
+def labelled(features: DataFrame, truth: DataFrame, keys: list[str], good_m: float, max_delta: float, axes: list[str] = AXES) -> DataFrame:
+    """Features with their distance to the truth nearest in time and whether it is good; null where there is no truth near enough."""
+    d = asof_nearest(features, truth, keys, payload=[*axes, "key"], order="key", tolerance=max_delta)
+    d = d.withColumn("residual_m", distance([F.col(a) for a in axes], [F.col(f"match.{a}") for a in axes])).drop("match")
+    return d.withColumn("good", F.col("residual_m") <= good_m)
+
+
 def errors_at_times(estimates: DataFrame, truth: DataFrame, keys: list[str], axes: list[str] = AXES, max_delta: float | None = None) -> DataFrame:
     """Each estimate against the truth's line at its time; none outside the truth's span."""
     d = interpolated(estimates, truth.select(*keys, "time_s", *axes, "key"), keys, axes, max_delta=max_delta, order="key")

@@ -417,6 +417,12 @@ def regularized(t: np.ndarray, x: np.ndarray, weight: float, huber: float = np.i
     return y
 
 
+def lagged(t: np.ndarray, x: np.ndarray, weight: float, huber: float, lag_s: float) -> np.ndarray:
+    """:func:`regularized` where each row sees the rows up to ``lag_s`` behind it."""
+    ends = np.searchsorted(t, t + lag_s, "right")
+    return np.stack([regularized(t[: int(e)], x[: int(e)], weight, huber)[i] for i, e in enumerate(ends)]) if len(t) else x
+
+
 def jerk_limited(t: np.ndarray, x: np.ndarray, most: float, weight: float = 10.0, least_m: float = 1.0, most_m: float | None = None, rounds: int = 1, blend: float = 1.0) -> np.ndarray:
     """Rows in a stretch of four whose jerk exceeds the limit move towards the trajectory of least third differences."""
     x, n = x.copy(), len(t)

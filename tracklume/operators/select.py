@@ -83,6 +83,18 @@ def ambiguity(df: DataFrame, scale: float, score: str = "score") -> DataFrame:
     )
 
 
+def diversity_cap(df: DataFrame, most: int, per_source: int = 1, per_branch: int = 1, score: str = "score") -> DataFrame:
+    """At most ``most`` rows a frame: the best of each source and branch are reserved, the rest is filled by score.
+
+    Where more rows are reserved than fit, the first of rare sources and branches go before those of common ones.
+    """
+    order = [F.col(score).desc(), F.col("key")]
+    r = ranked(ranked(df, [*FRAME, "source"], order, "_s"), [*FRAME, "candidate_branch"], order, "_b")
+    size = lambda *k: F.count(F.lit(1)).over(Window.partitionBy(*FRAME, *k))
+    r = r.withColumn("reserved", (F.col("_s") <= per_source) | (F.col("_b") <= per_branch)).withColumn("_rare", F.when(F.col("reserved"), F.least(size("source"), size("candidate_branch"))).otherwise(0))
+    return ranked(r, FRAME, [F.col("reserved").desc(), F.col("_rare"), *order], "pick").where(F.col("pick") <= most).drop("_s", "_b", "_rare")
+
+
 def leaderboard(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows ranked 1..n; a leaderboard is small, one row per method."""
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -192,6 +192,68 @@ def local_linear(df: DataFrame, axes: list[str], window_s: float = 15.0, blend:
     return per_sequence(df, axes, lambda t, x: K.local_linear(t, x, window_s, blend, most_m, least))
 
 
+def robust_map(df: DataFrame, axes: list[str], weight: float, huber: float, lag_s: float | None = None) -> DataFrame:
+    """Smoothing by reweighted least squares; with a lag each row sees no further ahead than that."""
+    return per_sequence(df, axes, lambda t, x: K.regularized(t, x, weight, huber) if lag_s is None else K.lagged(t, x, weight, huber, lag_s))
+
+
+def rts_ensemble(df: DataFrame, keys: list[str], axes: list[str], std_m: float, accel_std: float, weight: str = "weight") -> DataFrame:
+    """Inputs of one time as their weighted mean, then a filter and its smoother along the sequence."""
+    w = F.col(weight)
+    mean = df.groupBy(*keys).agg(*[(F.sum(w * F.col(a)) / F.sum(w)).alias(a) for a in axes], F.min("key").alias("key"))
+    return cv_track(mean, axes, std_m, accel_std, None, True)
+
+
+def assigned_support(df: DataFrame, max_gap: float, max_speed: float) -> DataFrame:
+    """Per candidate: the partner's distance in the previous and next frame, where candidates of neighbouring frames are paired one to one (most pairs, then least distance)."""
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, x = _numbers(p, "time_s"), _numbers(p, *AXES)
+        frames, first = _frame_rows(p, starts)
+        ends = np.append(frames[1:], len(t))
+        back, ahead = np.full(len(t), np.nan), np.full(len(t), np.nan)
+        opens = set(first.tolist())
+        for k in range(1, len(frames)):
+            dt = t[frames[k]] - t[frames[k - 1]]
+            if k in opens or dt > max_gap:
+                continue
+            a, b = slice(frames[k - 1], ends[k - 1]), slice(frames[k], ends[k])
+            for i, j, d in K.matched_frames([x[a]], [x[b]], max_speed * dt)[0]:
+                ahead[a.start + i], back[b.start + j] = d, d
+        return _with(p, ID, backward_m=pa.array(back, mask=np.isnan(back)), forward_m=pa.array(ahead, mask=np.isnan(ahead)))
+
+    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, backward_m double, forward_m double", kernel)
+
+
+def fixed_population(df: DataFrame, seeds: DataFrame, least_iou: float = 0.5, most_gap: int = 1) -> DataFrame:
+    """Predicted boxes (sequence_id, frame, id, x, y, w, h) relabelled by the seeds of the first frame; births go, gaps of ``most_gap`` frames are filled on the line."""
+    from .paths import fixed_population as relabel
+
+    box = ["x", "y", "w", "h"]
+
+    def kernel(key: str, a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
+        parts = [g for _, g in a.groupby("frame", sort=True)]
+        got = relabel([g[box].to_numpy(float) for g in parts], [g["id"].to_numpy() for g in parts], b[box].to_numpy(float), b["id"].to_numpy(), least_iou)
+        rows: list[tuple] = []
+        last: dict[int, tuple] = {}
+        for g, ids in zip(parts, got):
+            for i, values in zip(ids.tolist(), g[["frame", *box]].to_numpy(float)):
+                if i < 0:
+                    continue
+                old = last.get(i)
+                if old is not None and 1 < values[0] - old[0] <= most_gap + 1:
+                    for f in range(int(old[0]) + 1, int(values[0])):
+                        w = (f - old[0]) / (values[0] - old[0])
+                        rows.append((key, f, int(i), *(float(o + w * (v - o)) for o, v in zip(old[1:], values[1:])), True))
+                rows.append((key, int(values[0]), int(i), *map(float, values[1:]), False))
+                last[i] = tuple(values)
+        return rows
+
+    columns = ["sequence_id", "frame", "id", *box]
+    schema = "sequence_id string, frame long, id long, x double, y double, w double, h double, filled boolean"
+    return two_sided(df.select(columns), seeds.select(columns), ["frame", "id"], schema, kernel)
+
+
 def geometric_median(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
     def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
         x, w = _numbers(p, *AXES), _numbers(p, weight)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import association as A
+from ..operators import calibrate as C
 from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators import normalize as N
@@ -501,3 +502,50 @@ def ranking_quality(spark, sf):
 @query()
 def cross_sensor_clusters(spark, sf):
     return Q.merged_clusters(candidates(spark, sf), 0.5, 6.0)
+
+
+# --- caps, labels, populations
+
+@query(f"""WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, time_s, source ORDER BY score DESC, key) AS s, row_number() OVER (PARTITION BY sequence_id, time_s, candidate_branch ORDER BY score DESC, key) AS b, count(*) OVER (PARTITION BY sequence_id, time_s, source) AS ns, count(*) OVER (PARTITION BY sequence_id, time_s, candidate_branch) AS nb FROM cand),
+p AS (SELECT *, s <= 1 OR b <= 1 AS reserved, CASE WHEN s <= 1 OR b <= 1 THEN least(ns, nb) ELSE 0 END AS rare FROM r) SELECT key, reserved, row_number() OVER (PARTITION BY sequence_id, time_s ORDER BY reserved DESC, rare, score DESC, key) AS pick FROM p QUALIFY pick <= 3""")
+def diversity_cap(spark, sf):
+    return longs(S.diversity_cap(candidates(spark, sf), 3).select("key", "reserved", "pick"), "pick")
+
+
+@query(f"""WITH {MEASUREMENTS}, {BRACKET} SELECT key, round(CASE WHEN abs(tm - time_s) <= 200000 THEN sqrt((x_m - xm) ** 2 + (y_m - ym) ** 2) END, 6) AS residual_m, CASE WHEN abs(tm - time_s) <= 200000 THEN sqrt((x_m - xm) ** 2 + (y_m - ym) ** 2) <= 40 END AS good FROM near""")
+def labelled_clusters(spark, sf):
+    a, b = _clicks(spark, sf)
+    return E.labelled(a, b, ["sequence_id"], 40.0, 200_000.0, XY).select("key", r6("residual_m").alias("residual_m"), "good")
+
+
+@query(f"""WITH {CANDIDATES}, r AS (SELECT x_m - 5 * y_m AS e FROM cand), m AS (SELECT quantile_cont(e, 0.5) AS m FROM r), d AS (SELECT quantile_cont(abs(e - m), 0.5) AS d FROM r, m) SELECT count(*) AS n, round(avg(e), 6) AS shift_e FROM r, m, d WHERE abs(e - m) <= 3 * 1.4826 * d""")
+def estimate_calibration(spark, sf):
+    return rounded(C.estimate_shift(candidates(spark, sf).select((F.col("x_m") - 5 * F.col("y_m")).alias("e")), ["e"]), "shift_e")
+
+
+@query()
+def assigned_temporal_support(spark, sf):
+    return Q.assigned_support(candidates(spark, sf), 2.0, 5.0)
+
+
+@query()
+def rts_ensemble(spark, sf):
+    return Q.rts_ensemble(candidates(spark, sf).withColumn("weight", 1 + F.col("z_m")), FRAME, ["x_m", "y_m", "z_m"], 10.0, 5.0)
+
+
+@query()
+def robust_map_smoothing(spark, sf):
+    return Q.robust_map(_single(spark, sf), ["x_m"], 1e4, 100.0, 200.0)
+
+
+def _boxes(spark, sf):
+    c = S.best_per_frame(candidates(spark, sf), [*FRAME, "source"], [F.col("key")])
+    return c.select("sequence_id", F.col("time_s").cast("long").alias("frame"), F.ascii("source").cast("long").alias("id"), F.col("x_m").alias("x"), (F.ascii("source") * 20.0).alias("y"), F.lit(80.0).alias("w"), F.lit(15.0).alias("h"))
+
+
+@query()
+def fixed_population(spark, sf):
+    b = _boxes(spark, sf)
+    first = b.groupBy("sequence_id").agg(F.min("frame").alias("f"))
+    seeds = b.join(first, "sequence_id").where("frame = f").drop("f").withColumn("id", F.col("id") + 1000)
+    return Q.fixed_population(b, seeds, 0.3, 2)
