@@ -290,6 +290,26 @@ def test_mined_rules_of_many_tokens(spark):
     assert all(got[i] == ("block" if i < 100 else "allow") for i in range(len(urls)))
 
 
+def test_mined_rules_hold_on_pages_not_seen(spark):
+    """Rules of one half of the labels against the other half: precision and recall; chance alone makes no rules."""
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for i in range(4000):
+        bad = rnd.random() < 0.2
+        spam = rnd.random() < (0.9 if bad else 0.02)
+        rows.append((i, f"http://h{rnd.randint(0, 40)}.example/{rnd.choice(['a', 'b', 'c'])}/{'casino' if spam else rnd.choice(['news', 'blog'])}/{rnd.randint(0, 9)}", bad))
+        if i % 2:
+            labels.append((i, 0 if bad else 1, 0))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.filter_urls(pages, frame(labels), rules=()).collect()}
+    unseen = [(got[i], bad) for i, _, bad in rows if i % 2 == 0]
+    hits = sum(a and b for a, b in unseen)
+    assert hits / sum(a for a, _ in unseen) > 0.85 and hits / sum(b for _, b in unseen) > 0.8
+    chance = [(i, int(rnd.random() < 0.8), 0) for i, _, _ in rows if i % 2]
+    assert not any(r.verdict == "block" for r in url_filter.filter_urls(pages, frame(chance), rules=()).collect())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <{root}><h1>{title}</h1><p><b>First &amp; <i>second</i></b><br>line {k}<p>Unclosed {k}<div class="ad">Buy</div><form><p>Mail</p></form>

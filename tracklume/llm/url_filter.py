@@ -29,6 +29,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
+#: Bad pages that a mined rule rests on at the least: fewer are chance.
+LEAST = 10
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,15 +58,19 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, parts, keys))
 
 
-def mine(tokens: DataFrame, support: float, confidence: float) -> DataFrame:
-    """(tokens array, bad boolean) -> rules (rule_id, items, confidence), least parts only."""
+def mine(tokens: DataFrame, support: float, confidence: float, least: int = LEAST) -> DataFrame:
+    """(tokens array, bad boolean) -> rules (rule_id, items, confidence), least parts only.
+
+    A rule rests on ``support`` of the labelled pages and on ``least`` bad ones at the least.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     bad = "!bad"
     rows = tokens.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(bad))).otherwise(F.col("tokens")).alias("items"))
-    if rows.isEmpty():
+    n = rows.count()
+    if n < least:
         return tokens.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=0.0).fit(rows)
     sets = _stored(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "itemsets")  # at most what the support allows
     whole = sets.where(~F.array_contains("items", bad)).withColumnRenamed("freq", "n")
     with_bad = sets.where(F.array_contains("items", bad)).select(F.array_remove("items", bad).alias("items"), F.col("freq").alias("hits")).where(F.size("items") > 0)
