@@ -60,8 +60,9 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
         for p in parts:
             yield pd.DataFrame({"line": [json.dumps({str(k): v for k, v in r.items()}) for c in p["content"] for r in records_of(json.loads(bytes(c)))]}, dtype=object)
 
-    lines = files.mapInPandas(go, "line string")
-    return stripped(spark.read.json(lines.select("line").rdd.map(lambda r: r.line), primitivesAsString=True))
+    rows = files.mapInPandas(go, "line string").select(F.from_json("line", "map<string, string>").alias("m"))
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("m"))).distinct().collect())  # a table's columns
+    return stripped(rows.select(*[F.col("m").getItem(n).alias(n) for n in names]))
 
 
 def read_arrays(spark: SparkSession, path: str, columns: tuple[str, ...] = ("time_s", "x_m", "y_m", "z_m")) -> DataFrame:
