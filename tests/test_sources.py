@@ -116,7 +116,7 @@ def test_sinks(spark, tmp_path):
 def test_exports(spark, tmp_path):
     from tracklume.sources import exports as X
 
-    nested = {"meta": {"n": 2}, "data": {"items": [{"sequence": "007", "time_s": 1.5, "gt_x": 1, "gt_y": 2, "gt_z": 3}, {"sequence": "007", "time_s": "bad", "gt_x": 1, "gt_y": 2, "gt_z": 3}]}}
+    nested = {"meta": {"n": 2}, "data": {"items": [{"sequence": "007", "time_s": 1.5, "pos_x": 1, "pos_y": 2, "pos_z": 3}, {"sequence": "007", "time_s": "bad", "pos_x": 1, "pos_y": 2, "pos_z": 3}]}}
     (tmp_path / "t.json").write_text(json.dumps(nested))
     assert [tuple(r) for r in X.read_truth_table(spark, str(tmp_path / "t.json")).select("sequence_id", "time_s", "x_m").collect()] == [("007", 1.5, 1.0)]
     assert X.records_of({"a": [1, 2], "b": [3, 4]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 4}] and X.records_of([]) == []

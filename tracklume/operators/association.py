@@ -16,8 +16,8 @@ FRAME = ["sequence_id", "time_s"]
 
 #: Thresholds of the update policy.
 POLICY = {
-    "soften_nis": 9.0, "skip_nis": 25.0, "anchor_soften_nis": 12.0, "anchor_skip_nis": 50.0, "entropy_soften": 0.8, "entropy_defer": 1.6,
-    "effective_candidates_soften": 3.0, "effective_candidates_defer": 6.0, "max_covariance_scale": 25.0, "recovery_miss_streak": 3.0,
+    "soften_nis": 16.0, "skip_nis": 36.0, "anchor_soften_nis": 16.0, "anchor_skip_nis": 25.0, "entropy_soften": 1.0, "entropy_defer": 1.35,
+    "effective_candidates_soften": 2.0, "effective_candidates_defer": 3.0, "recovery_miss_streak": 2.0, "max_covariance_scale": 25.0,
 }
 
 

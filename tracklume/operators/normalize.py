@@ -10,13 +10,14 @@ from .calibrate import draw
 from .joins import asof_nearest
 from .select import best_per_frame
 
-#: Other names of the canonical truth columns.
+# Other names of the canonical truth columns.
+PARTS = "{0} pos_{0} position_{0} center_{0} bbox_center_{0} c{0} p{0} point.{0} position.{0} pose.position.{0} pose.pose.position.{0} translation.{0} transform.translation.{0} center.position.{0} bbox.center.position.{0} bbox.center.{0} location.{0} coordinates.{0}"
 TRUTH_ALIASES = {
-    "sequence_id": ("sequence", "seq", "sequence_name", "scene", "scene_id"),
-    "x_m": ("x", "pos_x", "position_x", "px", "gt_x"),
-    "y_m": ("y", "pos_y", "position_y", "py", "gt_y"),
-    "z_m": ("z", "pos_z", "position_z", "pz", "gt_z"),
-    "class_name": ("class", "label", "category", "uav_type", "type"),
+    "sequence_id": ("sequence", "seq", "scene", "scene_id", "clip", "clip_id"),
+    "x_m": (*PARTS.format("x").split(), "east_m"),
+    "y_m": (*PARTS.format("y").split(), "north_m"),
+    "z_m": (*PARTS.format("z").split(), "up_m"),
+    "class_name": ("uav_type", "class", "label", "category", "class_id"),
 }
 
 

@@ -250,12 +250,12 @@ def merged_truth(spark, sf):
 
 # --- association
 
-@query(f"""WITH {CANDIDATES}, v AS (SELECT key, CASE WHEN y_m < 9 THEN x_m / 1.5 END AS nis, x_m AS anchor, z_m / 4 AS ent, y_m AS eff, z_m AS miss FROM cand),
-w AS (SELECT *, coalesce(nis >= 25, false) OR anchor >= 50 OR ent >= 1.6 OR eff >= 6 AS hard, coalesce(nis >= 9, false) OR anchor >= 12 OR ent >= 0.8 OR eff >= 3 AS soft FROM v)
-SELECT key, CASE WHEN hard THEN CASE WHEN miss >= 3 THEN 'defer' ELSE 'skip' END WHEN soft THEN 'soften' ELSE 'apply' END AS action,
-round(CASE WHEN NOT hard AND soft THEN least(greatest(1, CASE WHEN nis >= 9 THEN nis / 9 ELSE 1 END, CASE WHEN anchor >= 12 THEN anchor / 12 ELSE 1 END, CASE WHEN ent >= 0.8 THEN 1 + ent / 0.8 ELSE 1 END, CASE WHEN eff >= 3 THEN eff / 3 ELSE 1 END), 25) ELSE 1 END, 6)::DOUBLE AS covariance_scale FROM w""")
+@query(f"""WITH {CANDIDATES}, v AS (SELECT key, CASE WHEN y_m < 9 THEN x_m * 0.8 END AS nis, x_m / 2 AS anchor, z_m / 5 AS ent, 1 + y_m / 5 AS eff, z_m AS miss FROM cand),
+w AS (SELECT *, coalesce(nis >= 36, false) OR anchor >= 25 OR ent >= 1.35 OR eff >= 3 AS hard, coalesce(nis >= 16, false) OR anchor >= 16 OR ent >= 1 OR eff >= 2 AS soft FROM v)
+SELECT key, CASE WHEN hard THEN CASE WHEN miss >= 2 THEN 'defer' ELSE 'skip' END WHEN soft THEN 'soften' ELSE 'apply' END AS action,
+round(CASE WHEN NOT hard AND soft THEN least(greatest(1, CASE WHEN nis >= 16 THEN nis / 16 ELSE 1 END, CASE WHEN anchor >= 16 THEN anchor / 16 ELSE 1 END, CASE WHEN ent >= 1 THEN 1 + ent ELSE 1 END, CASE WHEN eff >= 2 THEN eff / 2 ELSE 1 END), 25) ELSE 1 END, 6)::DOUBLE AS covariance_scale FROM w""")
 def update_policy(spark, sf):
-    d = candidates(spark, sf).select("key", F.when(F.col("y_m") < 9, F.col("x_m") / 1.5).alias("nis"), F.col("x_m").alias("anchor_nis"), (F.col("z_m") / 4).alias("entropy"), F.col("y_m").alias("effective"), F.col("z_m").alias("miss_streak"))
+    d = candidates(spark, sf).select("key", F.when(F.col("y_m") < 9, F.col("x_m") * 0.8).alias("nis"), (F.col("x_m") / 2).alias("anchor_nis"), (F.col("z_m") / 5).alias("entropy"), (1 + F.col("y_m") / 5).alias("effective"), F.col("z_m").alias("miss_streak"))
     return A.update_policy(d).select("key", "action", r6("covariance_scale").alias("covariance_scale"))
 
 
@@ -386,7 +386,7 @@ def sequence_pool_selector(spark, sf):
 @query("""SELECT o_orderkey AS key, CASE WHEN o_orderkey % 9 = 0 THEN 'default' ELSE CAST(o_custkey AS VARCHAR) END AS sequence_id, o_totalprice AS x_m, o_custkey::DOUBLE AS time_s FROM orders WHERE o_orderkey % 5 <> 0""")
 def normalized_truth(spark, sf):
     o = table(spark, sf, "orders")
-    raw = o.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 9 == 0, " nan ").otherwise(F.col("o_custkey").cast("string")).alias("Seq"), F.when(F.col("o_orderkey") % 5 == 0, "inf").otherwise(F.col("o_totalprice").cast("string")).alias("gt_x"), F.lit("1").alias("Y"), F.lit(2.0).alias("pz"), F.col("o_custkey").cast("string").alias("time_s"))
+    raw = o.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 9 == 0, " nan ").otherwise(F.col("o_custkey").cast("string")).alias("Seq"), F.when(F.col("o_orderkey") % 5 == 0, "inf").otherwise(F.col("o_totalprice").cast("string")).alias("pos_x"), F.lit("1").alias("Y"), F.lit(2.0).alias("pz"), F.col("o_custkey").cast("string").alias("time_s"))
     return N.normalize_truth(raw).select("key", "sequence_id", "x_m", "time_s")
 
 
