@@ -246,6 +246,29 @@ def test_bin_sizes_are_chosen_by_what_waits():
     assert len(set(bins)) > 1 and sum(s * (1 + s / packing.ATTENTION) for s in bins) < 500 * 1024 * (1 + 1024 / packing.ATTENTION)
 
 
+def test_bins_cost_near_the_optimum():
+    """Against every partition of small inputs into bins."""
+    sizes, attention = (8, 16, 32), 64
+    cost = {s: s * (1 + s / attention) for s in sizes}
+
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            for k in range(len(rest)):
+                yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+            yield [[items[0]], *rest]
+
+    rnd, ratios = random.Random(3), []
+    for _ in range(60):
+        lengths = [rnd.randint(1, 20) for _ in range(rnd.randint(1, 6))]
+        best = min(sum(cost[min(s for s in sizes if s >= sum(b))] for b in p) for p in partitions(lengths) if all(sum(b) <= 32 for b in p))
+        _, bins = packing.best_fit(lengths, sizes, attention)
+        ratios.append(sum(cost[b] for b in bins) / best)
+    assert min(ratios) >= 1 - 1e-12 and max(ratios) < 1.7 and sum(ratios) / len(ratios) < 1.15
+
+
 def test_url_rules(spark):
     urls = ["http://www.x.com/en/1", "http://com/en/", "http://a.example.com/en/77?q=1", "http://EXAMPLE.com/en/7", "http://x.net/de/1", "http://example.net/de/9", "http://b.example.net/de/8", "http://x.org/es/#a", "nohost.com/en/", None, "http://notcom/en/", "http://x.com?/en/", "x://y://z/en/", "http://x.com/EN/1"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").selectExpr("*", "'h' AS host", "1 AS tokens")

@@ -137,16 +137,28 @@ def runs(kind, docs: list[bytes], want: set | None = None):
     return owner[which], starts - firsts[which], ends - starts, h[(low[starts] & PLACE).astype(np.int64)], places
 
 
+def pieces(arrow, size: int = BATCH_BYTES, rows: int = 1000):
+    """Arrow batches cut to about so many bytes and rows at most, whatever the session's batch size is."""
+    for b in arrow:
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def in_pieces(go, size: int = BATCH_BYTES, rows: int = 1000):
+    """A mapInArrow function over such pieces."""
+    return lambda arrow: go(pieces(arrow, size, rows))
+
+
 def batches(arrow, size: int = BATCH_BYTES):
     """Lists of Arrow batches with about so many bytes."""
     held, n = [], 0
-    for b in arrow:
-        if b.num_rows:
-            held.append(b)
-            n += b.nbytes
-            if n >= size:
-                yield held
-                held, n = [], 0
+    for b in pieces(arrow, size):
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield held
+            held, n = [], 0
     if held:
         yield held
 

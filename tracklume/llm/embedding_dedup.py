@@ -6,9 +6,9 @@
 3. A vector also visits every cell that can hold a vector within the angle of
    the threshold: y at home in cell d satisfies y.(c_d - c_h) >= 0, so x can only
    be near it if x.(c_h - c_d) / |c_h - c_d| <= sin(angle).  That is exact, not a
-   probe of a few cells.
+   probe of a few cells.  Of two cells the lower one's vectors visit the higher one's.
 4. A cell's home vectors and visitors meet in blocks of bounded size, however
-   many there are; a block gives each visitor's number of links and a spanning
+   many there are; a block gives both sides' numbers of links and a spanning
    forest of them, never the pairs.
 5. Components join the forests; the least id of each is kept.
 
@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from ._common import n_parts, small_batches
 from .components import components
 from .simhash import _stored
 
 #: Home vectors, and visitors, of one block.
 BLOCK = 2048
+#: A row in a cell: a vector of a lower cell, one that lives there, and its second appearance as its own cell's visitor.
+GUEST, HOME, SELF = 0, 1, 2
 SLACK = 1e-9
 
 
@@ -58,7 +59,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def _cells(centres: dict[int, np.ndarray], cosine: float):
     """mapInArrow: (id, label, n, v) -> one row for each cell that a vector is at home in or visits."""
-    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.binary()), ("n", pa.int64()), ("v", pa.binary())])
+    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("kind", pa.int32()), ("id", pa.binary()), ("n", pa.int64()), ("v", pa.binary())])
     reach = math.sin(math.acos(cosine)) + SLACK
 
     def go(arrow):
@@ -77,14 +78,14 @@ def _cells(centres: dict[int, np.ndarray], cosine: float):
                 apart = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 0))
                 gap = sims[np.arange(len(x)), home][:, None] - sims
                 far = apart[home]
-                visits = (gap <= reach * far) | (far < 1e-12)
+                visits = ((gap <= reach * far) | (far < 1e-12)) & (np.arange(len(c)) >= home[:, None])
                 r, cell = np.nonzero(visits)
                 out = []
                 for i, d in zip(r.tolist(), cell.tolist()):
                     k = at[i]
-                    out.append((labels[k], dim, d, False, ids[k], ns[k], x[i].tobytes()))
                     if d == home[i]:
-                        out.append((labels[k], dim, d, True, ids[k], ns[k], x[i].tobytes()))
+                        out.append((labels[k], dim, d, HOME, ids[k], ns[k], x[i].tobytes()))
+                    out.append((labels[k], dim, d, SELF if d == home[i] else GUEST, ids[k], ns[k], x[i].tobytes()))
                 for i in range(0, len(out), 5000):
                     yield A.pack_batch(out[i : i + 5000], schema)
 
@@ -96,9 +97,9 @@ def _block_links(cosine: float):
     schema = pa.schema([("id", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def go(table: pa.Table) -> pa.Table:
-        rows = table.select(["home", "id", "n", "v"]).to_pydict()
-        home = [i for i, h in enumerate(rows["home"]) if h]
-        guests = [i for i, h in enumerate(rows["home"]) if not h]
+        rows = table.select(["kind", "id", "n", "v"]).to_pydict()
+        home = [i for i, k in enumerate(rows["kind"]) if k == HOME]
+        guests = [i for i, k in enumerate(rows["kind"]) if k != HOME]
         if not home or not guests:
             return schema.empty_table()
         x = np.frombuffer(b"".join(rows["v"][i] for i in guests)).reshape(len(guests), -1)
@@ -109,7 +110,8 @@ def _block_links(cosine: float):
             if (own := place.get(rows["id"][i])) is not None:
                 near[k, own] = False
         n = np.array([rows["n"][i] for i in home], np.int64)
-        links = near @ n
+        m = np.array([rows["n"][i] if rows["kind"][i] == GUEST else 0 for i in guests], np.int64)  # a cell's own pairs are met from both sides
+        links, links_h = near @ n, m @ near
         # least label over links, to and fro, until nothing changes
         gl, hl = np.arange(len(guests)), np.arange(len(home)) + len(guests)
         a, b = np.nonzero(near)
@@ -123,7 +125,7 @@ def _block_links(cosine: float):
         name = [rows["id"][i] for i in guests] + [rows["id"][i] for i in home]
         some_g, some_h = near.any(axis=1), near.any(axis=0)
         ids = [name[i] for i in np.flatnonzero(some_g)] + [name[len(guests) + i] for i in np.flatnonzero(some_h)]
-        count = np.concatenate([links[some_g], np.zeros(int(some_h.sum()), np.int64)])
+        count = np.concatenate([links[some_g], links_h[some_h]])
         roots = [name[i] for i in np.concatenate([gl[some_g], hl[some_h]])]
         return pa.table([pa.array(ids, pa.binary()), pa.array(count), pa.array(roots, pa.binary())], schema=schema)
 
@@ -133,7 +135,6 @@ def _block_links(cosine: float):
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, sample: int = 8192, cell_size: int = 1000, most_cells: int = 256) -> DataFrame:
     """(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept)."""
     spark = vectors.sparkSession
-    small_batches(spark, 5000)
     v = F.col("embedding").cast("array<double>")
     label = F.col("label").cast("string")
     finite = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
@@ -149,14 +150,15 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.93, sample: int = 8192
     for dim in {len(x) for x in taken}:
         x = _unit(np.array([t for t in taken if len(t) == dim]))
         centres[dim] = spherical_kmeans(x, max(1, min(most_cells, len(x), n // cell_size)))
-    cells = _stored(one.select("id", "label", "n", "v").mapInArrow(_cells(centres, cosine), "label string, dim int, cell int, home boolean, id binary, n long, v binary"), "cells")
+    cells = _stored(one.select("id", "label", "n", "v").mapInArrow(A.in_pieces(_cells(centres, cosine), rows=5000), "label string, dim int, cell int, kind int, id binary, n long, v binary"), "cells")
     key = ["label", "dim", "cell"]
-    sizes = cells.groupBy(key).agg(F.count(F.when(F.col("home"), 1)).alias("hs"), F.count(F.when(~F.col("home"), 1)).alias("gs")).select(*key, F.ceil(F.col("hs") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("gs") / BLOCK).cast("int").alias("gb"))
+    lives = F.col("kind") == HOME
+    sizes = cells.groupBy(key).agg(F.count(F.when(lives, 1)).alias("hs"), F.count(F.when(~lives, 1)).alias("gs")).select(*key, F.ceil(F.col("hs") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("gs") / BLOCK).cast("int").alias("gb"))
     dealt = cells.join(sizes.where("hb > 0 and gb > 0"), key)
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("gb"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("home"), F.col("gb")).otherwise(F.col("hb")) - 1)
+    own = F.pmod(F.xxhash64("id"), F.when(lives, F.col("hb")).otherwise(F.col("gb"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(lives, F.col("gb")).otherwise(F.col("hb")) - 1)
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-    dealt = dealt.select(*key, F.when(F.col("home"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("j"), "home", "id", "n", "v")
+    dealt = dealt.select(*key, F.when(lives, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(lives, F.col("other")).otherwise(F.col("own")).alias("j"), "kind", "id", "n", "v")
     found = _stored(dealt.groupBy(*key, "i", "j").applyInArrow(_block_links(cosine), "id binary, links long, root binary"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

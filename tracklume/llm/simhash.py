@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from ._common import WORD, fresh, mixed, n_parts, shared_path, small_batches, text_or_empty
+from ._common import WORD, fresh, mixed, n_parts, shared_path, text_or_empty
 from .components import components
 
 #: Shingles of one document that are counted at once.
@@ -302,9 +302,8 @@ def linked(fps: DataFrame, most: int, width: int, segments: int, bits: int, as_s
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, width: int = 1) -> DataFrame:
     """Documents (doc_id, text) -> (doc_id, fp binary)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_fingerprints("text", "fp", words, seed, width), "doc_id long, fp binary")
+    return rows.mapInArrow(A.in_pieces(_fingerprints("text", "fp", words, seed, width)), "doc_id long, fp binary")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -381,14 +380,18 @@ def _compared(words: int, seed: int, width: int, most: int, similarity: float):
 
 
 def verified(texts: DataFrame, candidates: DataFrame, words: int, seed: int, width: int, most: int, similarity: float) -> DataFrame:
-    """Candidates (node, root) and a text of each node (fp, text) -> (node, root) by the Jaccard similarity of shingle sets."""
+    """Candidates (node, root, o) and texts (fp, o, text) -> (node, root) by the Jaccard similarity of shingle sets.
+
+    (node, o) names the row whose text stands for the node.  The groups' keys go to the texts, so
+    only texts that are compared are moved, once.
+    """
     blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SETS).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = candidates.join(blocks, "root").select("node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    rows = dealt.join(texts, dealt.node == texts.fp).select("root", "i", "j", "fp", "text")
+    dealt = candidates.join(blocks, "root").select("node", "o", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("fp"), "o")
+    rows = dealt.join(texts, ["fp", "o"]).dropDuplicates(["fp", "o", "root", "i", "j"]).select("root", "i", "j", "fp", "text")
     grouped = rows.repartition(n_parts(texts.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return components(grouped.mapInArrow(_compared(words, seed, width, most, similarity), "a binary, b binary"))
+    return components(grouped.mapInArrow(A.in_pieces(_compared(words, seed, width, most, similarity)), "a binary, b binary"))
 
 
 def bits_for(similarity: float, width: int) -> int:
@@ -412,12 +415,10 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     and above 0.999 from 0.9.  Texts without words are not duplicates of one another and all stay; of
     rows of one group with equal least id, the first by a hash of the text stays, and of equal rows one.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    fp, order, least, at = fresh(docs, "fp", "order", "least", "text")
+    fp, order, at = fresh(docs, "fp", "order", "text")
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select("*", text_or_empty().alias(at)).mapInArrow(
-        _fingerprints(at, fp, words, seed, width, True), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{fp} binary"])
+        A.in_pieces(_fingerprints(at, fp, words, seed, width, True)), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{fp} binary"])
     )
     rows = _stored(rows, "fingerprinted")
     empty = F.hex(fp).rlike("^0+$")
@@ -425,13 +426,12 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     first = some.groupBy("fp").agg(F.min("o").alias("o"))
     most = bits_for(similarity, width)
     candidates = linked(first, most, width, segments, bits, True)
-    wanted = first.join(candidates, first.fp == candidates.node).select("fp", "o")
+    wanted = first.join(candidates, first.fp == candidates.node).select("node", "root", "o")
     texts = rows.where(~empty).select(F.col(fp).alias("fp"), F.struct(doc_id.isNull().alias("n"), doc_id.alias("i"), F.xxhash64(text_or_empty()).alias("h")).alias("o"), text_or_empty().alias("text"))
-    texts = texts.join(wanted, ["fp", "o"]).dropDuplicates(["fp", "o"]).select("fp", "text")
-    classes = verified(texts, candidates, words, seed, width, most, similarity)
+    classes = verified(texts, wanted, words, seed, width, most, similarity)
     named = first.join(classes, first.fp == classes.node, "left").select("fp", "o", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct("o", "fp")).alias("b")).select(F.col("b.fp").alias("fp"), F.col("b.o").alias("o"))
-    kept = rows.where(~empty).join(best.select(F.col("fp").alias(fp), F.col("o").alias(least)), fp)
-    kept = kept.withColumn(order, F.struct(doc_id.isNull().alias("n"), doc_id.alias("i"), F.xxhash64(text_or_empty()).alias("h"))).where(F.col(order) == F.col(least))
-    kept = kept.drop(order, least).dropDuplicates(["doc_id", fp])
+    # joined by the row's own key beside the fingerprint, so copies of one text do not meet in one task
+    named_rows = rows.where(~empty).withColumn(order, F.struct(doc_id.isNull().alias("n"), doc_id.alias("i"), F.xxhash64(text_or_empty()).alias("h")))
+    kept = named_rows.join(best.select(F.col("fp").alias(fp), F.col("o").alias(order)), [fp, order]).dropDuplicates([fp, order])
     return kept.select(docs.columns).unionByName(rows.where(empty).select(docs.columns))

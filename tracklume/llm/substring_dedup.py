@@ -352,7 +352,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: i
     index = index or FingerprintIndex(docs.sparkSession, window=window, gram=gram)
     names = ["text", "k1", "spans", "n_words", "n_removed", "kept_sha256"]
     rows = with_id(base.join(_spans(base, index, batches), "dk", "left"))
-    return rows.mapInArrow(_kept_words(names, True, index.window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(A.in_pieces(_kept_words(names, True, index.window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
@@ -369,5 +369,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, batches: in
     rows = base.join(spans.select(F.col("dk").alias(dk), F.col("spans").alias(spans_)), dk, "left").drop(dk)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"{n} long, {gone} long, {kept} string"])
-    out = rows.mapInArrow(_kept_words(["text", k1, spans_, n, gone, kept], False, index.window), schema)
+    out = rows.mapInArrow(A.in_pieces(_kept_words(["text", k1, spans_, n, gone, kept], False, index.window)), schema)
     return out.select(*[F.col(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
