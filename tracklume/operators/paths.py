@@ -380,8 +380,7 @@ def mixture_map(times: np.ndarray, x: np.ndarray, sigma: np.ndarray, score: np.n
         spread = np.bincount(frame, w * ((x - mean[frame]) ** 2).sum(1), n) / x.shape[1]
         precision = 1 / np.maximum(np.bincount(frame, w * sigma**2, n) + spread, 1e-12)
         band = penalty.copy()
-        band[0] += precision
-        band[0] += max(band[0].mean(), 1.0) * 1e-10
+        band[0] += precision  # positive, so the system is definite
         new = banded_solve(band, precision[:, None] * mean)
         bend = (penalty[0][:, None] * new * new).sum() + 2 * sum((penalty[k][: n - k, None] * new[: n - k] * new[k:]).sum() for k in (1, 2))
         objective = float((precision[:, None] * (new - mean) ** 2).sum() + bend)

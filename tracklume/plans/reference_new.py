@@ -34,12 +34,13 @@ def _results(spark, sf):
 
 @query(f"""WITH {MEASUREMENTS}, {BRACKET}, m AS (SELECT *, coalesce(abs(time_s - tm) <= 200000, false) AS ok, sqrt((x_m - xm) ** 2 + (y_m - ym) ** 2) AS e FROM near)
 SELECT sequence_id, count(*) FILTER (ok) AS matched_n, count(*) FILTER (NOT ok AND tm IS NOT NULL) AS time_delta_exceeded_n, count(*) FILTER (tm IS NULL) AS missing_sequence_truth_n,
-round(avg(e * e) FILTER (ok), 6) AS mse, round(avg(e) FILTER (ok), 6) AS ade, round(arg_max(e, (time_s, key)) FILTER (ok), 6) AS fde, round(avg(CASE WHEN {LABEL.format('x_m')} = {LABEL.format('xm')} THEN 1.0 ELSE 0.0 END) FILTER (ok), 6) AS label_accuracy
+round(avg(e * e) FILTER (ok), 9) AS mse, round(avg(e) FILTER (ok), 9) AS ade, round(arg_max(e, (time_s, key)) FILTER (ok), 9) AS fde, round(avg(CASE WHEN {LABEL.format('x_m')} = {LABEL.format('xm')} THEN 1.0 ELSE 0.0 END) FILTER (ok), 6) AS label_accuracy
 FROM m GROUP BY GROUPING SETS ((), (sequence_id))""")
 def result_evaluation(spark, sf):
     a, b = _results(spark, sf)
     out = E.result_scores(E.nearest_matches(a, b, 200_000.0, XY))
-    return rounded(out.select("sequence_id", "matched_n", "time_delta_exceeded_n", "missing_sequence_truth_n", "mse", "ade", "fde", "label_accuracy"), "mse", "ade", "fde", "label_accuracy")
+    out = out.select("sequence_id", "matched_n", "time_delta_exceeded_n", "missing_sequence_truth_n", "mse", "ade", "fde", "label_accuracy")
+    return rounded(rounded(out, "mse", "ade", "fde", n=9), "label_accuracy")
 
 
 def _aligned(spark, sf):
@@ -224,13 +225,13 @@ def sequence_gate_blend(spark, sf):
 
 
 @query(f"""WITH {TRAJECTORIES}, tmpl AS (SELECT sequence_id, t::DOUBLE AS time_s FROM (SELECT sequence_id, unnest(range(CAST(floor(min(time_s) / 90) AS BIGINT), CAST(ceil(max(time_s) / 90) AS BIGINT) + 1)) * 90 AS t FROM traj GROUP BY 1)), {RESAMPLE.replace(TEMPLATE + ', ', '').split(', rs AS')[0].rstrip().rstrip(',').split('rs AS (')[0].rstrip().rstrip(',')}
-SELECT sequence_id, time_s, round(CASE WHEN t0 = time_s THEN x0 WHEN t0 IS NULL THEN x1 WHEN t1 IS NULL THEN x0 WHEN t1 - t0 > 200 THEN CASE WHEN time_s - t0 <= t1 - time_s THEN x0 ELSE x1 END ELSE x0 + (x1 - x0) * (time_s - t0) / (t1 - t0) END, 6) AS x_m,
+SELECT sequence_id, time_s, round(CASE WHEN t0 = time_s THEN x0 WHEN t0 IS NULL THEN x1 WHEN t1 IS NULL THEN x0 WHEN t1 - t0 > 200 THEN CASE WHEN time_s - t0 <= t1 - time_s THEN x0 ELSE x1 END ELSE x0 + (x1 - x0) * (time_s - t0) / (t1 - t0) END, 9) AS x_m,
 CASE WHEN t0 = time_s THEN 'exact' WHEN t0 IS NULL OR t1 IS NULL THEN 'held' WHEN t1 - t0 > 200 THEN 'nearest' ELSE 'linear' END AS mode FROM pv JOIN nx USING (sequence_id, time_s)""")
 def trajectory_completion(spark, sf):
     t = trajectories(spark, sf)
     g = t.groupBy("sequence_id").agg(F.floor(F.min("time_s") / 90).alias("a"), F.ceil(F.max("time_s") / 90).alias("b"))
     grid = g.select("sequence_id", F.explode(F.sequence("a", "b")).alias("k")).select("sequence_id", (F.col("k") * 90).cast("double").alias("time_s"))
-    return rounded(R.completed(t, grid, ["x_m"], 200.0), "x_m")
+    return rounded(R.completed(t, grid, ["x_m"], 200.0), "x_m", n=9)
 
 
 @query(f"""WITH {CANDIDATES}, sh(source, d) AS (VALUES ('A', 2.0), ('N', -1.0)), fr(f) AS (VALUES (0.0), (0.5), (1.0))
@@ -356,11 +357,11 @@ def _sigma(spark, sf):
 
 @query(f"""WITH {CANDIDATES}, s AS (SELECT *, 1 + z_m AS sg, score / 20000 AS sc FROM cand), st AS (SELECT sequence_id, time_s, arg_min(x_m, (-(sc - ln(sg)), key)) AS sx, arg_min(y_m, (-(sc - ln(sg)), key)) AS sy, arg_min(z_m, (-(sc - ln(sg)), key)) AS sz FROM s GROUP BY 1, 2),
 r AS (SELECT *, sqrt((x_m - sx) ** 2 + (y_m - sy) ** 2 + (z_m - sz) ** 2) / sg AS u FROM s JOIN st USING (sequence_id, time_s)), w AS (SELECT *, exp(sc - CASE WHEN u <= 3 THEN 0.5 * u * u ELSE 3 * (u - 1.5) END - ln(sg)) AS e FROM r),
-p AS (SELECT sequence_id, time_s, sum(e * x_m) / sum(e) AS x, sum(e * y_m) / sum(e) AS y, sum(e * z_m) / sum(e) AS z FROM w GROUP BY 1, 2) SELECT sequence_id, time_s, round(x, 4) AS x_m, round(y, 4) AS y_m, round(z, 4) AS z_m FROM p""")
+p AS (SELECT sequence_id, time_s, sum(e * x_m) / sum(e) AS x, sum(e * y_m) / sum(e) AS y, sum(e * z_m) / sum(e) AS z FROM w GROUP BY 1, 2) SELECT sequence_id, time_s, round(x, 6) AS x_m, round(y, 6) AS y_m, round(z, 6) AS z_m FROM p""")
 def mixture_map_one_round(spark, sf):
     """Without smoothing and with one round each frame is the responsibility-weighted mean: SQL can state this case."""
     d = A.mixture_map(_sigma(spark, sf), 0.0, scale=20_000.0, rounds=1)
-    return d.select(*FRAME, *[F.round(f"state_{a}", 4).alias(a) for a in E.AXES])
+    return d.select(*FRAME, *[F.round(f"state_{a}", 6).alias(a) for a in E.AXES])
 
 
 @query()
