@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_extract, packing, quality, simhash, substring_dedup, suffix_dedup, token_count, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_extract, packing, quality, resampling, simhash, substring_dedup, suffix_dedup, token_count, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,8 +81,11 @@ QUERIES = {
         op8_packing,
         op9_quality_rules,
         op10_suffix_dedup,
+        op11_whitening,
+        op12_exact_dedup,
+        op13_resampling,
     )
 }
 
 #: Queries that SQL cannot express in full are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op7_embedding_dedup": embedding_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_embedding_dedup": embedding_dedup.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE, "op13_resampling": resampling.ORACLE}
