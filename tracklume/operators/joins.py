@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import distance
+from .slices import LEAST, carried, sliced, with_carried
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,11 +22,12 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def brackets(left: DataFrame, right: DataFrame, keys: list[str], time: str = "time_s", payload: list[str] | None = None, order: str | None = None) -> DataFrame:
+def brackets(left: DataFrame, right: DataFrame, keys: list[str], time: str = "time_s", payload: list[str] | None = None, order: str | None = None, slices: int | None = None, least: int = LEAST) -> DataFrame:
     """left with structs ``prev`` and ``next``: right's rows around each time (prev at or before, next after).
 
     Right rows of equal key and time: the greatest ``order`` stays (the last row wins).
-    Null or NaN times match nothing.
+    Null or NaN times match nothing.  With ``slices`` a key with a large share of all rows is cut at quantiles
+    of its times, and each slice gets its neighbours' edge rows: no task holds such a key whole.
     """
     payload = payload if payload is not None else [c for c in right.columns if c not in (*keys, time)]
     row = F.struct(F.col(time).alias("t"), *[F.col(c) for c in payload])
@@ -34,15 +36,27 @@ def brackets(left: DataFrame, right: DataFrame, keys: list[str], time: str = "ti
     l_ = left.select(*keys, time, F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
     both = r.select(*keys, time, F.lit(0).alias("_tag"), "_r", F.lit(None).cast(l_.schema["_l"].dataType).alias("_l"))
     both = both.unionByName(l_.select(*keys, time, F.lit(1).alias("_tag"), F.lit(None).cast(both.schema["_r"].dataType).alias("_r"), "_l"))
-    w = Window.partitionBy(*keys).orderBy(time, "_tag")
+    parts = list(keys)
+    if slices:
+        both = sliced(both, keys, time, slices, least, F.col("_tag") == 1)
+        parts.append("_slice")
+    w = Window.partitionBy(*parts).orderBy(time, "_tag")
     prev = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     nxt = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("prev", prev).withColumn("next", nxt).where("_tag = 1").select("_l.*", "prev", "next")
-
-
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str = "time_s", payload: list[str] | None = None, order: str | None = None, tolerance: float | None = None) -> DataFrame:
+    out = both.withColumn("prev", prev).withColumn("next", nxt).where("_tag = 1")
+    if slices:
+        of_right = F.when(F.col("_tag") == 0, F.col(time))
+        edges = both.groupBy(*parts).agg(F.min_by("_r", of_right).alias("_first"), F.max_by("_r", of_right).alias("_last"))
+        out = with_carried(out, carried(edges, keys, "_first", "_last"), keys)
+        out = out.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after"))
+    known = F.col(time).isNotNull() & ~F.isnan(time)
+    out = out.withColumn("prev", F.when(known, F.col("prev"))).withColumn("next", F.when(known, F.col("next")))
+    return out.select("_l.*", "prev", "next")
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str = "time_s", payload: list[str] | None = None, order: str | None = None, tolerance: float | None = None, slices: int | None = None, least: int = LEAST) -> DataFrame:
     """left with ``match``: right's row nearest in time (ties: the earlier); null beyond the tolerance."""
-    b = brackets(left, right, keys, time, payload, order)
+    b = brackets(left, right, keys, time, payload, order, slices, least)
     before, after = F.col(time) - F.col("prev.t"), F.col("next.t") - F.col(time)
     best = F.when(F.col("next").isNotNull() & (F.col("prev").isNull() | (after < before)), F.col("next")).otherwise(F.col("prev"))
     out = b.withColumn("match", best)
@@ -51,10 +65,10 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str =
     return out.drop("prev", "next")
 
 
-def interpolated(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], time: str = "time_s", max_delta: float | None = None, order: str | None = None) -> DataFrame:
+def interpolated(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], time: str = "time_s", max_delta: float | None = None, order: str | None = None, slices: int | None = None, least: int = LEAST) -> DataFrame:
     """left with ``<value>_at``: right's values, linear between its samples; null outside of their span
     and where the nearer sample is further than ``max_delta``."""
-    b = brackets(left, right, keys, time, values, order)
+    b = brackets(left, right, keys, time, values, order, slices, least)
     t0, t1, t = F.col("prev.t"), F.col("next.t"), F.col(time)
     near = F.least(t - t0, F.coalesce(t1 - t, F.lit(float("inf"))))
     ok = t0.isNotNull() & (t1.isNotNull() | (t0 == t))
