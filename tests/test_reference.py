@@ -4,7 +4,7 @@ import pytest
 from comparing import same
 from conftest import SMALL
 
-from tracklume.plans import reference, reference_extra, reference_more, reference_new  # noqa: F401
+from tracklume.plans import reference, reference_extra, reference_more, reference_new, reference_scale  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(reference.ORACLES))
