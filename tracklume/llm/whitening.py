@@ -9,7 +9,7 @@ Entries become whole numbers, x = floor(scale * c) + offset.
    double holds exactly while a sum stays below 2**53, whatever the order of the rows.  The
    rest of the mean, less than one half, is taken off afterwards in exact arithmetic.  Rows
    are summed in ``SHARDS`` groups first, so no task takes a row from every other task.
-3. The driver has one row per shard, of dims * (dims + 1) / 2 numbers.  It assembles the covariance and
+3. The driver has ``SHARDS`` times dims * (dims + 1) / 2 numbers.  It assembles the covariance and
    calls LAPACK's symmetric solver.
 4. Tasks project their vectors by matrix products.  The same aggregation over the
    whitened values measures how far their covariance is from the identity.
@@ -74,20 +74,24 @@ def sums_of(rows: DataFrame) -> tuple[int, int, list[int]]:
     return dims, sizes[1], [sum((p[i] << 32) + p[dims + i] for p in parts) for i in range(dims)]
 
 
-def pair_sums(rows: DataFrame, columns: list[Column]) -> tuple[list[Fraction], list[list[Fraction]]]:
-    """Sums of the columns and of the products of every pair of them, in one aggregation."""
-    k = len(columns)
-    rows = rows.select(*[c.cast("double").alias(f"y{i}") for i, c in enumerate(columns)])
-    singles = [F.expr(f"sum(y{i}) AS s{i}") for i in range(k)]
-    pairs = [F.expr(f"sum(y{i} * y{j}) AS p{i}_{j}") for i in range(k) for j in range(i, k)]
-    parts = _by_shard(rows, [*singles, *pairs])
-    total = [sum((Fraction(p[i]) for p in parts if p[i] is not None), Fraction(0)) for i in range(k + len(pairs))]
-    upper, at = [[Fraction(0)] * k for _ in range(k)], k
+def pair_sums(rows: DataFrame, k: int) -> tuple[list[Fraction], list[list[Fraction]]]:
+    """Sums of the first k entries of the arrays ``y`` and of the products of every pair of them, in one aggregation.
+
+    A row stands once for each first dimension i, and the generated expression of a distance d sums y[i] * y[i + d]:
+    k expressions are compiled, k * (k + 1) / 2 of them at once are too many and would be interpreted.
+    """
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")
+    rows = rows.select(F.slice("y", 1, k).alias("y"), firsts, F.pmod(F.spark_partition_id(), F.lit(SHARDS)).alias("shard"))
+    sums = [F.expr("sum(get(y, i)) AS s"), *[F.expr(f"sum(get(y, i) * get(y, i + {d})) AS p{d}") for d in range(k)]]
+    singles, upper = [Fraction(0)] * k, [[Fraction(0)] * k for _ in range(k)]
+    for _, i, s, *products in rows.groupBy("shard", "i").agg(*sums).collect():  # at most SHARDS * k rows
+        singles[i] += Fraction(s)
+        for d, p in enumerate(products[: k - i]):
+            upper[i][i + d] += Fraction(p)
     for i in range(k):
-        for j in range(i, k):
-            upper[i][j] = upper[j][i] = total[at]
-            at += 1
-    return total[:k], upper
+        for j in range(i):
+            upper[i][j] = upper[j][i]
+    return singles, upper
 
 
 def covariance_of(n: int, singles: list[Fraction], pairs: list[list[Fraction]]) -> np.ndarray:
@@ -150,7 +154,8 @@ def whiten(vectors: DataFrame, name: str = "embedding", most: int = 32, scale: i
         return vectors.sparkSession.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double, deviation_wide string")
     rows = rows.where(F.size("x") == dims)
     # the centre may have any size, so it is taken off before numbers become doubles
-    singles, pairs = pair_sums(rows, [F.col("x")[i] - F.lit(round(Fraction(s, n))) for i, s in enumerate(sums)])
+    centre = F.array(*[F.lit(round(Fraction(s, n))).cast("long") for s in sums])
+    singles, pairs = pair_sums(rows.select(F.zip_with("x", centre, lambda e, c: (e - c).cast("double")).alias("y")), dims)
     covariance = covariance_of(n, singles, pairs)
     values, turn = components_of(covariance, most)
     trace = float(np.trace(covariance))
@@ -161,7 +166,7 @@ def whiten(vectors: DataFrame, name: str = "embedding", most: int = 32, scale: i
     error = None
     if k:
         # whitened values are centred by what they are; what rounding leaves of their mean is taken off too
-        spread = covariance_of(n, *pair_sums(out, [F.col("w")[i] for i in range(k)]))
+        spread = covariance_of(n, *pair_sums(out.select(F.col("w").alias("y")), k))
         error = float(np.abs(spread - np.eye(k)).max())
     explained = [float(e) / trace if trace > 0 else None for e in values]
     at = F.col("component") - 1
