@@ -143,3 +143,32 @@ def test_intervals_by_brute_force():
                 seen.add(t[a : a + length])
         which, at = suffix_dedup.later_windows(texts, length)
         assert list(zip(which.tolist(), at.tolist())) == want
+
+
+@pytest.mark.parametrize("most_runs", [1, 2, 4, 5, 8])
+def test_an_index_reopened_after_each_batch_keeps_its_state(spark, tmp_path, most_runs):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    frame = lambda rows: substring_dedup._base(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = set(t.name for t in spark.catalog.listTables())
+    for k in range(10):
+        index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "ix"), window=12, gram=4, most_runs=most_runs, buckets=2)
+        assert (index.commits, len(index.texts), index.most_runs) == (k, k, most_runs) and len(index.runs) <= most_runs
+        index.add(frame([(k, text(k))])).count()
+    last = substring_dedup.FingerprintIndex(spark, str(tmp_path / "ix"))
+    assert (last.runs, last.texts, last.compactions, last.commits) == (index.runs, index.texts, index.compactions, 10)
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(99, text(9)), (98, text(4)), (97, text(50))], "doc_id long, text string"), index=last, batches=1).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {99: 20, 98: 20, 97: 0}
+    assert set(t.name for t in spark.catalog.listTables()) == before
+
+
+def test_a_commit_is_whole_or_absent(spark, tmp_path):
+    at = str(tmp_path / "ix")
+    make = lambda: substring_dedup.FingerprintIndex(spark, at, window=12, gram=4, buckets=2)
+    frame = substring_dedup._base(spark.createDataFrame([(1, "a b c " * 9)], "doc_id long, text string"))
+    one, other = make(), make()
+    one.add(frame).count()
+    (tmp_path / "ix" / "manifest" / "_half").write_text("{")  # what a writer that died leaves
+    assert make().runs == one.runs
+    with pytest.raises(RuntimeError):
+        other.add(frame)
+    assert make().runs == one.runs

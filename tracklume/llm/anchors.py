@@ -119,6 +119,8 @@ def runs(kind, docs: list[bytes], want: set | None = None):
     del parts
     h = gram_hashes(symbols, kind.gram)
     # the leftmost least gram: high bits of the hash, then the place; windows over a document's end are masked below
+    if len(h) > int(PLACE):
+        raise ValueError(f"one batch holds {len(h)} symbols; places have {int(PLACE).bit_length()} bits")
     low = sliding_min((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), need - kind.gram + 1)
     ok = np.zeros(len(low) + 1, bool)
     edge = np.zeros(len(low) + 1, bool)

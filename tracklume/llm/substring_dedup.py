@@ -117,21 +117,20 @@ class FingerprintIndex:
         self.spark, self.path = spark, path or shared_path(spark, "fingerprints")
         found = self._read()
         self.window, self.gram = found.get("window", window), found.get("gram", gram)
-        self.buckets, self.most_runs = found.get("buckets", buckets or n_parts(spark)), most_runs
+        self.buckets, self.most_runs = found.get("buckets", buckets or n_parts(spark)), found.get("most_runs", most_runs)
         self.keep_texts = found.get("keep_texts", path is not None if keep_texts is None else keep_texts)
         self.runs: list[str] = found.get("runs", [])
         self.texts: list[str] = found.get("texts", [])
         self.kind = A.Words(self.window, self.gram)
-        self._name = f"fingerprints_{uuid.uuid4().hex}"
         self.compactions = found.get("compactions", 0)
+        self.commits = found.get("commits", 0)
 
     def _read(self) -> dict:
-        """The newest manifest; a manifest is a file of its own and is never changed."""
+        """The newest manifest; a manifest is one file and is never changed."""
         fs, at = self._fs(f"{self.path}/manifest")
-        if not fs.exists(at):
-            return {}
-        newest = max(str(s.getPath().getName()) for s in fs.listStatus(at))
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/{newest}").first()[0])
+        names = [str(s.getPath().getName()) for s in fs.listStatus(at)] if fs.exists(at) else []
+        newest = max((n for n in names if n.isdigit()), default=None, key=int)
+        return {} if newest is None else json.loads(self.spark.read.text(f"{self.path}/manifest/{newest}", wholetext=True).first()[0])
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -139,24 +138,37 @@ class FingerprintIndex:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def _commit(self) -> None:
-        state = {k: getattr(self, k) for k in ("window", "gram", "buckets", "keep_texts", "runs", "texts", "compactions")}
-        number = len(self.texts) + len(self.runs) + 2 * self.compactions
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{number:09d}_{uuid.uuid4().hex}")
+        """Writes the state as the next manifest: a file under another name, then one rename.
+
+        A writer that dies before the rename leaves the manifest before it in force; a number that exists
+        already is another writer's, and an error.
+        """
+        self.commits += 1
+        state = {k: getattr(self, k) for k in ("window", "gram", "buckets", "most_runs", "keep_texts", "runs", "texts", "compactions", "commits")}
+        fs, final = self._fs(f"{self.path}/manifest/{self.commits:012d}")
+        _, part = self._fs(f"{self.path}/manifest/_{uuid.uuid4().hex}")
+        out = fs.create(part, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(part, final):
+            raise RuntimeError(f"{self.path}: another writer has committed {self.commits}")
 
     def _write(self, rows: DataFrame, name: str) -> str:
         """rows hold a bucket's records together, so each task writes one file of its bucket."""
         at = f"{self.path}/{name}_{uuid.uuid4().hex}"
-        table = f"{self._name}_{uuid.uuid4().hex}"
+        table = f"fingerprints_{uuid.uuid4().hex}"
         rows.write.bucketBy(self.buckets, "part").sortBy("part").option("path", at).saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
         return at
 
     def _run(self, at: str) -> DataFrame:
-        """A run as a bucketed table."""
-        table = f"{self._name}_{at.rsplit('_', 1)[1]}"
-        if not self.spark.catalog.tableExists(table):
-            self.spark.sql(f"CREATE TABLE {table} ({A.PACK_SQL.replace('part long', 'part BIGINT').replace('dk long', 'dk BIGINT')}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.buckets} BUCKETS LOCATION '{at}'")
-        return self.spark.table(table)
+        """A run as a bucketed table.  Its name leaves the catalog at once; the plan keeps files and buckets."""
+        table = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} ({A.PACK_SQL.replace('part long', 'part BIGINT').replace('dk long', 'dk BIGINT')}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        found = self.spark.table(table)
+        found.schema  # resolved
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
 
     def _bodies(self, at: str, name: str) -> DataFrame:
         return self._run(at).where(F.col("kind") == A.BODY).select("part", F.col("body").alias(name))
