@@ -138,11 +138,6 @@ def test_repairs():
     assert np.allclose(K.geometric_median(np.array([[0.0, 0], [0, 0], [9, 9]]), np.ones(3)), 0, atol=1e-3)
 
 
-def test_voxels():
-    xyz = np.array([[0.1, 0, 0], [1.1, 0, 0], [2.1, 0, 0], [9, 9, 9]])
-    assert K.voxel_components(xyz, 1.0, 2).tolist() == [0, 0, 0, -1]
-
-
 def test_suppression_and_time_assignment():
     xyz = np.array([[0.0, 0, 0], [1, 0, 0], [9, 0, 0]])
     assert K.spatial_nms(xyz, np.array([1.0, 2, 0]), 3.0, 5) == [1, 2]

@@ -610,54 +610,6 @@ def hota(ids_t: list[np.ndarray], ids_p: list[np.ndarray], ious: list[np.ndarray
     }
 
 
-def voxel_components(xyz: np.ndarray, size: float, least: int) -> np.ndarray:
-    """Label of each point: 26-connected occupied voxels with at least ``least`` points, else -1."""
-    cells = np.floor(xyz / size).astype(int)
-    at: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cells)):
-        at.setdefault(c, []).append(i)
-    label = np.full(len(xyz), -1)
-    seen: set[tuple] = set()
-    n = 0
-    for start in at:
-        if start in seen:
-            continue
-        seen.add(start)
-        todo, members = [start], []
-        while todo:
-            c = todo.pop()
-            members += at[c]
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    for dz in (-1, 0, 1):
-                        k = (c[0] + dx, c[1] + dy, c[2] + dz)
-                        if k in at and k not in seen:
-                            seen.add(k)
-                            todo.append(k)
-        if len(members) >= least:
-            label[members] = n
-            n += 1
-    return label
-
-
-def linked(t: np.ndarray, x: np.ndarray, window_s: float, gate_m: float) -> np.ndarray:
-    """Component (least row) of each row, rows sorted by time: links join rows near in time and space; candidates come from a window, so no full matrix."""
-    parent = np.arange(len(t))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
-
-    ends = np.searchsorted(t, t + window_s, "right")
-    for i in range(len(t)):
-        rows = np.arange(i + 1, ends[i])
-        for j in rows[((x[rows] - x[i]) ** 2).sum(1) <= gate_m**2].tolist():
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(len(t))], int)
-
 
 def spatial_nms(xyz: np.ndarray, score: np.ndarray, radius: float, most: int) -> list[int]:
     """Greedy selection by score: a row within the radius of a kept one goes; ties go to the first."""

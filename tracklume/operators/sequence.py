@@ -263,14 +263,6 @@ def geometric_median(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return streamed(df, keys, [weight, *AXES], "sequence_id string, time_s double, x_m double, y_m double, z_m double", kernel)
 
 
-def voxel_clusters(df: DataFrame, keys: list[str], size: float, least: int) -> DataFrame:
-    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
-        x = _numbers(p, *AXES)
-        return _with(p, ID, cluster=np.concatenate([K.voxel_components(x[s], size, least) for s in _each(starts, len(x))]))
-
-    return streamed(df, keys, ["key"], "sequence_id string, time_s double, key string, cluster long", kernel)
-
-
 def diversified(df: DataFrame, keys: list[str], score: str, radius: float, most: int) -> DataFrame:
     """Per frame: greedy non-maximum suppression in space."""
 
@@ -286,28 +278,6 @@ def diversified(df: DataFrame, keys: list[str], score: str, radius: float, most:
     return streamed(df, keys, ["key"], "sequence_id string, time_s double, key string, pick long", kernel)
 
 
-def merged_clusters(df: DataFrame, window_s: float, gate_m: float) -> DataFrame:
-    """Candidates near in time and space are linked; a component of two sources or more becomes one row (score-weighted mean, at its first time)."""
-
-    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
-        t, x, w = _numbers(p, "time_s"), _numbers(p, *AXES), np.maximum(_numbers(p, "score"), 1e-9)
-        source = p.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-        heads, means, sizes, kinds = [], [], [], []
-        for s in _each(starts, len(t)):
-            root = K.linked(t[s], x[s], window_s, gate_m)
-            for r in np.unique(root).tolist():
-                rows = s.start + np.flatnonzero(root == r)
-                if len(n := np.unique(source[rows])) >= 2:
-                    heads.append(int(rows[0]))
-                    means.append((w[rows, None] * x[rows]).sum(0) / w[rows].sum())
-                    sizes.append(len(rows))
-                    kinds.append(len(n))
-        m = np.array(means).reshape(-1, 3)
-        return _with(p.take(pa.array(heads, pa.int64())), ID, **{a: m[:, i] for i, a in enumerate(AXES)}, members=pa.array(sizes, pa.int64()), sources=pa.array(kinds, pa.int64()))
-
-    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, x_m double, y_m double, z_m double, members long, sources long", kernel)
-
-
 def two_sided(a: DataFrame, b: DataFrame, order: list[str], schema: str, kernel: Callable[[str, pd.DataFrame, pd.DataFrame], list[tuple]]) -> DataFrame:
     """Rows from kernel(sequence, a's rows, b's rows) for each sequence of either table.
 

@@ -379,8 +379,3 @@ def hota_scores(spark, sf):
     c = S.best_per_frame(candidates(spark, sf), ["sequence_id", "time_s", "source"], [F.col("key")])
     b = c.select("sequence_id", F.col("time_s").cast("long").alias("frame"), F.ascii("source").cast("long").alias("id"), F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
     return Q.hota_scores(b, b.withColumn("x", F.col("x") + 2.0))
-
-
-@query()
-def voxel_clusters(spark, sf):
-    return Q.voxel_clusters(candidates(spark, sf), ["sequence_id"], 6.0, 3)

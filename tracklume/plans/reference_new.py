@@ -500,11 +500,6 @@ def ranking_quality(spark, sf):
     return rounded(M.ranking_quality(_with_truth(spark, sf), "score", "e", 2), "hit_rate", "chosen_m", "best_k_m", "best_m")
 
 
-@query()
-def cross_sensor_clusters(spark, sf):
-    return Q.merged_clusters(candidates(spark, sf), 0.5, 6.0)
-
-
 # --- caps, labels, populations
 
 @query(f"""WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, time_s, source ORDER BY score DESC, key) AS s, row_number() OVER (PARTITION BY sequence_id, time_s, candidate_branch ORDER BY score DESC, key) AS b, count(*) OVER (PARTITION BY sequence_id, time_s, source) AS ns, count(*) OVER (PARTITION BY sequence_id, time_s, candidate_branch) AS nb FROM cand),

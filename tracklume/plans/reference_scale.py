@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import components as N
 from ..operators import joins as J
 from ..operators import scan
+from ..operators import select as S
+from ..operators import tracking_scores as TS
 from ..operators import windows as W
-from .reference import query, r6
+from .reference import longs, query, r6, rounded
 from .reference_more import cv_sql
-from .views import MEASUREMENTS, TRAJECTORIES, measurements, trajectories
+from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, trajectories
 
 # --- one key over many tasks
 
@@ -62,3 +65,92 @@ def cv_filter_scan(spark, sf):
 SELECT sequence_id, key, round(x, 4) AS state_x_m FROM sm""")
 def cv_smooth_scan(spark, sf):
     return scan.cv_smooth(_long(spark, sf), ["x_m"], 25.0, 0.5, slices=16, least=100).select("sequence_id", "key", r6("state_x_m", 4).alias("state_x_m"))
+
+
+# --- components
+
+FRAME = ["sequence_id", "time_s"]
+REACH = """reach AS (SELECT {node} AS a, {node} AS b FROM {nodes} UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)"""
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, p AS (SELECT *, floor(x_m / 3) AS cx, floor(y_m / 3) AS cy, floor(z_m / 3) AS cz FROM cand),
+vox AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sequence_id, time_s, cx, cy, cz) AS v FROM (SELECT sequence_id, time_s, cx, cy, cz, count(*) AS n, min(key) AS least FROM p GROUP BY ALL)),
+link AS MATERIALIZED (SELECT a.v AS a, b.v AS b FROM vox a JOIN vox b ON a.sequence_id = b.sequence_id AND a.time_s = b.time_s AND a.v <> b.v AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1),
+{REACH.format(node='v', nodes='vox')}, root AS (SELECT a AS v, min(b) AS root FROM reach GROUP BY a),
+size AS (SELECT root, sum(n) AS points, min(least) AS cluster FROM vox JOIN root USING (v) GROUP BY root HAVING sum(n) >= 3)
+SELECT p.key, s.cluster, CAST(s.points AS BIGINT) AS points FROM p JOIN vox USING (sequence_id, time_s, cx, cy, cz) JOIN root USING (v) LEFT JOIN size s ON s.root = root.root""")
+def voxel_clusters(spark, sf):
+    return N.voxel_clusters(candidates(spark, sf), FRAME, 3.0, 3).select("key", "cluster", F.col("cluster_points").alias("points"))
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY key) AS v FROM cand), tm AS (SELECT DISTINCT sequence_id, time_s AS anchor_s FROM cand),
+near AS MATERIALIZED (SELECT t.anchor_s, c.*, CAST(t.anchor_s AS BIGINT) * 10000000 + v AS node FROM tm t JOIN c ON c.sequence_id = t.sequence_id AND abs(c.time_s - t.anchor_s) <= 1),
+link AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM near a JOIN near b ON a.sequence_id = b.sequence_id AND a.anchor_s = b.anchor_s AND a.v <> b.v
+  AND (a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2 + (a.z_m - b.z_m) ** 2 <= 4),
+{REACH.format(node='node', nodes='near')}, root AS MATERIALIZED (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+comp AS (SELECT root, any_value(sequence_id) AS sequence_id, any_value(anchor_s) AS anchor_s, count(*) AS n, list(v ORDER BY v) AS vs, sum(time_s * score) / sum(score) AS time_s, sum(x_m * score) / sum(score) AS x_m, sum(y_m * score) / sum(score) AS y_m,
+  sum(z_m * score) / sum(score) AS z_m, sum(score) AS confidence, max(x_m) - min(x_m) AS ex, max(y_m) - min(y_m) AS ey, max(z_m) - min(z_m) AS ez FROM near JOIN root USING (node) GROUP BY root HAVING count(*) > 1 AND count(DISTINCT source) > 1),
+once AS (SELECT * FROM comp QUALIFY row_number() OVER (PARTITION BY vs ORDER BY anchor_s) = 1)
+SELECT sequence_id, anchor_s, n, round(time_s, 6) AS time_s, round(x_m, 6) AS x_m, round(y_m, 6) AS y_m, round(z_m, 6) AS z_m, round(confidence, 4) AS confidence, round(greatest(sqrt(ex * ex + ey * ey), 0.5), 6) AS std_xy_m, greatest(ez, 0.5) AS std_z_m FROM once""")
+def cross_sensor_clusters(spark, sf):
+    out = N.cross_sensor_clusters(candidates(spark, sf), 1.0, 2.0)
+    return rounded(rounded(longs(out, "n"), "time_s", "x_m", "y_m", "z_m", "std_xy_m"), "confidence", n=4).select("sequence_id", "anchor_s", "n", "time_s", "x_m", "y_m", "z_m", "confidence", "std_xy_m", "std_z_m")
+
+
+# --- tracking scores from mergeable counts
+
+BOXES = """tru AS MATERIALIZED (SELECT sequence_id, CAST(time_s AS BIGINT) AS frame, ascii(source) AS id, x_m AS x, y_m AS y FROM cand QUALIFY row_number() OVER (PARTITION BY sequence_id, time_s, source ORDER BY key) = 1),
+gue AS MATERIALIZED (SELECT sequence_id, frame, CASE WHEN frame % 5 <> 0 THEN id WHEN id = 65 THEN 78 WHEN id = 78 THEN 82 ELSE 65 END AS id, x + 2 + id / 100.0::DOUBLE AS x, y FROM tru WHERE frame % 7 <> 0)"""
+
+
+def _scored_boxes(spark, sf):
+    c = S.best_per_frame(candidates(spark, sf), [*FRAME, "source"], [F.col("key")])
+    b = c.select("sequence_id", F.col("time_s").cast("long").alias("frame"), F.ascii("source").cast("long").alias("id"), F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
+    other = F.when(F.col("id") == 65, 78).when(F.col("id") == 78, 82).otherwise(65)
+    g = b.where("frame % 7 <> 0").withColumn("x", F.col("x") + 2 + F.col("id") / 100).withColumn("id", F.when(F.col("frame") % 5 != 0, F.col("id")).otherwise(other))
+    return b, g
+
+
+def _option(t: int) -> str:
+    return f"o{t} AS MATERIALIZED (SELECT sequence_id, frame, p, w FROM weighed WHERE t = {t} UNION ALL SELECT DISTINCT sequence_id, frame, NULL, 0.0 FROM pair)"
+
+
+def _identity(t: int) -> str:
+    return f"i{t} AS MATERIALIZED (SELECT sequence_id, p, ovl AS n, ovl + {_TIE} AS w FROM ali WHERE t = {t} AND ovl > 0 UNION ALL SELECT DISTINCT sequence_id, NULL, 0, 0.0 FROM ali)"
+
+
+_TIE = "((t * 31 + p * 17 + t * p * 7) % 97) * (1e-9 / 97)"
+#: The best of all one-to-one choices for three identities, by trying each.
+_DISTINCT = "coalesce(a.p <> b.p, true) AND coalesce(a.p <> c.p, true) AND coalesce(b.p <> c.p, true)"
+SCORES = f"""pair AS MATERIALIZED (SELECT *, i / (200 - i) AS s FROM (SELECT t.sequence_id, t.frame, t.id AS t, g.id AS p,
+  greatest(0.0, least(t.x, g.x) + 10 - greatest(t.x, g.x)) * greatest(0.0, least(t.y, g.y) + 10 - greatest(t.y, g.y)) AS i FROM tru t JOIN gue g USING (sequence_id, frame)) WHERE i > 0),
+shared AS (SELECT *, s / (sum(s) OVER (PARTITION BY sequence_id, frame, t) + sum(s) OVER (PARTITION BY sequence_id, frame, p) - s) AS part FROM pair),
+nt AS (SELECT sequence_id, id AS t, count(*) AS n_t FROM tru GROUP BY 1, 2), np AS (SELECT sequence_id, id AS p, count(*) AS n_p FROM gue GROUP BY 1, 2),
+ali AS MATERIALIZED (SELECT sequence_id, t, p, n_t, n_p, ovl, aligned / (n_t + n_p - aligned) AS jaccard FROM
+  (SELECT sequence_id, t, p, sum(part) AS aligned, count(*) FILTER (s >= 0.5 - 1e-9) AS ovl FROM shared GROUP BY 1, 2, 3) JOIN nt USING (sequence_id, t) JOIN np USING (sequence_id, p)),
+weighed AS MATERIALIZED (SELECT pair.*, jaccard * s + {_TIE} AS w FROM pair JOIN ali USING (sequence_id, t, p)), {_option(65)}, {_option(78)}, {_option(82)},
+best AS (SELECT sequence_id, frame, a.p AS pa, b.p AS pb, c.p AS pc FROM o65 a JOIN o78 b USING (sequence_id, frame) JOIN o82 c USING (sequence_id, frame) WHERE {_DISTINCT}
+  QUALIFY row_number() OVER (PARTITION BY sequence_id, frame ORDER BY a.w + b.w + c.w DESC) = 1),
+chosen AS (SELECT pair.* FROM pair JOIN best USING (sequence_id, frame) WHERE (t = 65 AND p = pa) OR (t = 78 AND p = pb) OR (t = 82 AND p = pc)),
+alp AS (SELECT k / 20.0::DOUBLE AS alpha FROM range(1, 20) r(k)),
+hit AS (SELECT sequence_id, alpha, t, p, count(*) AS hits, sum(s) AS loc FROM chosen JOIN alp ON s >= alpha - 1e-9 GROUP BY 1, 2, 3, 4),
+per AS (SELECT sequence_id, alpha, sum(hits) AS tp, sum(hits * hits / greatest(1, n_t + n_p - hits)) AS ass, sum(loc) AS loc FROM hit JOIN ali USING (sequence_id, t, p) GROUP BY 1, 2),
+tot AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(a.n, 0) AS n_truth, coalesce(b.n, 0) AS n_guess FROM (SELECT sequence_id, count(*) AS n FROM tru GROUP BY 1) a FULL JOIN (SELECT sequence_id, count(*) AS n FROM gue GROUP BY 1) b USING (sequence_id)),
+tab AS (SELECT sequence_id, alpha, sum(coalesce(tp, 0)) AS tp, sum(coalesce(ass, 0)) AS ass, sum(coalesce(loc, 0)) AS loc, sum(n_truth) AS n_truth, sum(n_guess) AS n_guess FROM (tot CROSS JOIN alp) LEFT JOIN per USING (sequence_id, alpha) GROUP BY GROUPING SETS ((sequence_id, alpha), (alpha))),
+met AS (SELECT *, tp / greatest(1, n_truth + n_guess - tp) AS det, ass / greatest(1, tp) AS assoc, CASE WHEN tp > 0 THEN loc / tp ELSE 1 END AS place FROM tab), {_identity(65)}, {_identity(78)}, {_identity(82)},
+idt AS (SELECT sequence_id, a.n + b.n + c.n AS id_tp FROM i65 a JOIN i78 b USING (sequence_id) JOIN i82 c USING (sequence_id) WHERE {_DISTINCT} QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY a.w + b.w + c.w DESC) = 1),
+ids AS (SELECT sequence_id, sum(id_tp) AS id_tp FROM idt GROUP BY GROUPING SETS ((sequence_id), ())),
+scores AS (SELECT m.sequence_id, avg(sqrt(det * assoc)) AS hota, min_by(sqrt(det * assoc), alpha) AS hota_low, avg(det) AS det_a, avg(assoc) AS ass_a, avg(place) AS loc_a, any_value(coalesce(id_tp, 0)) AS id_tp, any_value(2 * coalesce(id_tp, 0) / (n_truth + n_guess)) AS idf1
+ FROM met m LEFT JOIN ids ON m.sequence_id IS NOT DISTINCT FROM ids.sequence_id GROUP BY m.sequence_id)"""
+
+
+@query(f"WITH {CANDIDATES}, {BOXES}, {SCORES} SELECT sequence_id, round(hota, 6) AS hota, round(hota_low, 6) AS hota_low, round(det_a, 6) AS det_a, round(ass_a, 6) AS ass_a, round(loc_a, 6) AS loc_a, CAST(id_tp AS BIGINT) AS id_tp, round(idf1, 6) AS idf1 FROM scores")
+def pooled_tracking_scores(spark, sf):
+    out = TS.lts_scores(*_scored_boxes(spark, sf))
+    return rounded(out.select("sequence_id", "hota", "hota_low", "det_a", "ass_a", "loc_a", "id_tp", "idf1"), "hota", "hota_low", "det_a", "ass_a", "loc_a", "idf1")
+
+
+@query(f"WITH {CANDIDATES}, {BOXES}, {SCORES} SELECT count(*) AS n, round(avg(hota_low), 6) AS hota_low, round(avg(idf1), 6) AS idf1 FROM scores")
+def organiser_tracking_means(spark, sf):
+    out = TS.organiser_means(TS.lts_scores(*_scored_boxes(spark, sf)))
+    return rounded(out.withColumnRenamed("rows", "n"), "hota_low", "idf1")
