@@ -333,6 +333,44 @@ def test_mined_rules_hold_on_pages_not_seen(spark):
     assert not any(r.verdict == "block" for r in url_filter.filter_urls(pages, frame(chance), rules=()).collect())
 
 
+@pytest.mark.parametrize("keys", [8, 30])
+def test_mining_ends_where_pages_share_many_keys(spark, keys):
+    rnd = random.Random(keys)
+    query = "&".join(f"k{j}={{}}" for j in range(keys))
+    rows = [(i, f"http://s{i % 3}.example/{rnd.choice('ab')}/{'casino' if i % 4 == 0 else 'news'}?{query}") for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(150)]
+    start = time.time()
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=()).collect()}
+    assert time.time() - start < 60
+    assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(200))
+
+
+def test_mined_rules_are_those_of_the_definition(spark):
+    """Which token sets are blocked, against every combination of tokens."""
+    from itertools import combinations
+
+    rnd = random.Random(17)
+    for _ in range(3):
+        rows = []
+        for _ in range(150):
+            t = {x for x in "abcdef" if rnd.random() < 0.5}
+            t |= {"g", "h"} if "a" in t else set()  # always together
+            bad = rnd.random() < (0.95 if {"a", "b"} <= t or {"c", "d", "e"} <= t else 0.2)
+            rows.append((sorted(t), bad))
+        need = max(10, 150 * 0.05)
+        rules = []
+        for size in range(1, 9):
+            for items in map(set, combinations("abcdefgh", size)):
+                n, hits = sum(items <= set(t) for t, _ in rows), sum(items <= set(t) and b for t, b in rows)
+                if hits >= need and hits / n >= 0.75 and not any(r < items and sure >= hits / n for r, sure in rules):
+                    rules.append((items, hits / n))
+        found, classes = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.05, 0.75)
+        found, of = found.collect(), {r.token: r.cls for r in classes.collect()}
+        blocks = lambda t: any(all(c in {of.get(x) for x in t} for c in r["items"]) for r in found)
+        every = [set(x) for k in range(9) for x in combinations("abcdefgh", k)]
+        assert [blocks(t) for t in every] == [any(r <= t for r, _ in rules) for t in every] and rules
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <{root}><h1>{title}</h1><p><b>First &amp; <i>second</i></b><br>line {k}<p>Unclosed {k}<div class="ad">Buy</div><form><p>Mail</p></form>
