@@ -463,6 +463,43 @@ def test_html_hostile_pages():
         assert want is None or got == want
 
 
+def test_html_wide_pages():
+    """Alternating kids, a megabyte and more: the work grows with the length."""
+    for n in (20_000, 60_000):
+        one = "".join(f"<p>x{k}</p><div><b>y{k}</b></div>" for k in range(n // 2))
+        other = "".join(f"<div>z{k}</div><p>w{k}</p><ul><li>v</ul>" for k in range(n // 3))
+        start = time.time()
+        tree = html_extract._tree(f"<article>{one}</article>")
+        got = html_extract.main_text(tree, [html_extract._tree(f"<article>{other}</article>"), html_extract._tree(f"<article>{other[len(other) // 2 :]}</article>")])
+        assert time.time() - start < 30 and got.count("\n") == n - 1
+    # every parent is wide, so pairs of pairs are met
+    deep = "".join("<section>" + "".join(f"<p>{i}</p><div></div>" for i in range(60)) + "<i></i></section><hr><table></table>" for _ in range(60))
+    start = time.time()
+    html_extract._aligned(html_extract._tree(deep), html_extract._tree(deep.replace("<i></i>", "<pre></pre>")[900:]))
+    assert time.time() - start < 30
+
+
+def test_html_matching_finds_its_way_in_wide_parents():
+    """Rows with an insertion and a gap: all but the odd ones are paired with their likes."""
+    kinds = ["<p>{}</p>", "<div><p>{}</p></div>", "<ul><li>{}</li></ul>"]
+    rnd = random.Random(5)
+    order = [rnd.randrange(3) for _ in range(900)]
+    page = [kinds[k].format(f"t{i}") for i, k in enumerate(order)]
+    other = page[:100] + ["<table></table>", "<pre>new</pre>"] * 8 + page[100:500] + page[520:]
+    pairs = html_extract._aligned(html_extract._tree("".join(page)), html_extract._tree("".join(other)))
+    same_ = sum(html_extract._own(p) == html_extract._own(q) != "" for p, q in pairs)
+    assert same_ >= 0.95 * 880
+
+
+def test_html_constant_text_between_varying_blocks(spark):
+    """Headings and sentences that all pages share belong to the text; a constant box does not."""
+    page = "<html><body><article><h1>{}</h1><h2>Ingredients</h2><ul><li>salt</li><li>{}</li></ul><h2>Method</h2><p>{} area is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> units</p><p>Serve warm.</p><div class='zz'><p>Get our letter every week</p></div></article></body></html>"
+    texts = {k: [varied(20 * k + i) for i in range(3)] for k in range(6)}
+    for k, r in extracted(spark, [(k, f"http://h.example/{k}", page.format(*t)) for k, t in texts.items()]).items():
+        t = texts[k]
+        assert r.text.split("\n") == [t[0], "Ingredients", "salt", t[1], "Method", f"{t[2]} area is x=2 units", "Serve warm."]
+
+
 def test_html_matching_is_the_largest():
     """Sizes against the recursion on the definition."""
 
@@ -484,6 +521,6 @@ def test_html_matching_is_the_largest():
     for _ in range(60):
         a, b = html_extract._tree(tree(3)), html_extract._tree(tree(3))
         pairs = html_extract._aligned(a, b)
-        assert html_extract._matched(a, b, {}) == len(pairs) <= size(a, b)
+        assert html_extract._matched(a, b) == len(pairs) <= size(a, b)
         assert len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == len(pairs) and all(p.tag == q.tag for p, q in pairs)
         assert len(pairs) >= 0.9 * size(a, b)  # runs of one structure are matched one by one
