@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import components as N
 from ..operators import joins as J
+from ..operators import kernels as K
 from ..operators import scan
 from ..operators import select as S
+from ..operators import sketches as SK
+from ..operators import spread as SP
 from ..operators import tracking_scores as TS
 from ..operators import windows as W
 from .reference import longs, query, r6, rounded
@@ -154,3 +159,84 @@ def pooled_tracking_scores(spark, sf):
 def organiser_tracking_means(spark, sf):
     out = TS.organiser_means(TS.lts_scores(*_scored_boxes(spark, sf)))
     return rounded(out.withColumnRenamed("rows", "n"), "hota_low", "idf1")
+
+
+# --- mergeable sketches
+
+GAMMA = SK.gamma_of(SK.ACCURACY)
+_BUCKET = f"CASE WHEN {{v}} = 0 THEN 0 ELSE ceil(ln(abs({{v}})) / {math.log(GAMMA)!r}::DOUBLE) END"
+
+
+def _sketched(value: str, keys: str, rows: str) -> str:
+    return f"""sk AS (SELECT {keys}, sign({value}) AS side, CAST({_BUCKET.format(v=value)} AS INT) AS bucket, count(*) AS n FROM {rows} GROUP BY 1, 2, 3),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY side, side * bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM sk)"""
+
+
+_MID = f"max(side * pow({GAMMA!r}::DOUBLE, bucket) * {2 / (1 + GAMMA)!r}::DOUBLE) FILTER (upto - n < {{r}} AND {{r}} <= upto)"
+
+
+@query(f"""WITH {CANDIDATES}, c AS (SELECT source, abs(x_m - 25) + y_m / 10 AS e FROM cand), {_sketched('e', 'source', 'c')},
+q AS (SELECT source, {_MID.format(r='greatest(1, ceil(0.5 * total))')} AS p50, {_MID.format(r='greatest(1, ceil(0.95 * total))')} AS p95 FROM cum GROUP BY 1)
+SELECT source, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse, round(max(e), 6) AS max, round(any_value(p50), 6) AS p50, round(any_value(p95), 6) AS p95 FROM c JOIN q USING (source) GROUP BY source""")
+def sketched_error_summary(spark, sf):
+    d = candidates(spark, sf).withColumn("e", F.abs(F.col("x_m") - 25) + F.col("y_m") / 10)
+    return rounded(SK.error_summary(d, ["source"], "e").select("source", "n", "mean", "rmse", "max", "p50", "p95"), "mean", "rmse", "max", "p50", "p95")
+
+
+@query(f"""WITH {TRAJECTORIES}, {_sketched('x_m', 'phase', 'traj')}, k AS (SELECT *, least(total, greatest(1, CAST(ceil((total + 1) * 0.9) AS BIGINT))) AS k FROM cum)
+SELECT phase, CAST(any_value(total) AS BIGINT) AS n, CAST(any_value(k) AS BIGINT) AS k, round(max(CASE WHEN side > 0 THEN pow({GAMMA!r}::DOUBLE, bucket) ELSE 0 END) FILTER (upto - n < k AND k <= upto), 6) AS radius FROM k GROUP BY phase""")
+def sketched_conformal_radius(spark, sf):
+    return rounded(SK.conformal_radius(trajectories(spark, sf), ["phase"], "x_m", 0.1).select("phase", "n", "k", "radius"), "radius")
+
+
+_NIS = "x_m * x_m / 625 + y_m * y_m / 25"
+
+
+@query(f"""WITH {CANDIDATES}, c AS (SELECT source, {_NIS} AS e FROM cand), {_sketched('e', 'source', 'c')}, q AS (SELECT source, {_MID.format(r='greatest(1, ceil(0.95 * total))')} AS p95 FROM cum GROUP BY 1)
+SELECT source, count(*) AS n, round(avg(e), 6) AS mean, round(avg(CASE WHEN e <= {K.chi2_quantile(0.9, 2)!r} THEN 1.0 ELSE 0.0 END), 6) AS inside_90, round(any_value(p95), 6) AS p95 FROM c JOIN q USING (source) GROUP BY source""")
+def sketched_nis_reliability(spark, sf):
+    d = candidates(spark, sf).withColumn("e", F.col("x_m") * F.col("x_m") / 625 + F.col("y_m") * F.col("y_m") / 25)
+    return rounded(SK.nis_reliability(d, ["source"], "e", {"90": K.chi2_quantile(0.9, 2)}).select("source", "n", "mean", "inside_90", "p95"), "mean", "inside_90", "p95")
+
+
+# --- score against distance
+
+_APART = "sqrt((r.x - {b}.x) * (r.x - {b}.x) + (r.y - {b}.y) * (r.y - {b}.y) + (r.z - {b}.z) * (r.z - {b}.z))"
+_BEST = "list_sort(list_transform(left_, lambda r: {'u': -(r.norm + {W} * (1 - exp(-least(r.d, {CAP}) / {SCALE}))), 's': -r.score, 'key': r.key, 'r': r}))[1].r"
+
+
+def _greedy_sql(start: str, weight: float, scale: float, cap: float) -> str:
+    """Rounds of the choice: ``start`` has sequence_id, time_s, left_ (items with distances d) and need."""
+    best = _BEST.replace("{W}", f"{weight}::DOUBLE").replace("{CAP}", f"{cap}::DOUBLE").replace("{SCALE}", f"{scale}::DOUBLE")
+    rest = f"list_transform(list_filter(left_, lambda r: r.key <> b.key), lambda r: {{'score': r.score, 'norm': r.norm, 'key': r.key, 'x': r.x, 'y': r.y, 'z': r.z, 'd': least(r.d, {_APART.format(b='b')})}})"
+    return f"""rounds AS (SELECT sequence_id, time_s, 1 AS step, need, left_, {best} AS b FROM {start} WHERE need > 0 AND len(left_) > 0
+  UNION ALL SELECT sequence_id, time_s, step + 1, need, left_, {best} AS b FROM (SELECT sequence_id, time_s, step, need, {rest} AS left_ FROM rounds) WHERE step < need AND len(left_) > 0)"""
+
+
+_ITEM = "{'score': score, 'norm': norm, 'key': key, 'x': x_m, 'y': y_m, 'z': z_m, 'd': d}"
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, p AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, time_s, source ORDER BY score DESC, key) <= 1 OR row_number() OVER (PARTITION BY sequence_id, time_s, candidate_branch ORDER BY score DESC, key) <= 1 AS prot,
+  CASE WHEN max(score) OVER f > min(score) OVER f THEN (score - min(score) OVER f) / (max(score) OVER f - min(score) OVER f) ELSE 0 END AS norm FROM cand WINDOW f AS (PARTITION BY sequence_id, time_s)),
+n AS MATERIALIZED (SELECT *, count(*) FILTER (prot) OVER (PARTITION BY sequence_id, time_s) AS np, count(*) OVER (PARTITION BY sequence_id, time_s) AS nn FROM p),
+pool AS (SELECT a.*, CASE WHEN np >= 5 THEN 1e300 ELSE coalesce((SELECT min(sqrt((a.x_m - c.x_m) * (a.x_m - c.x_m) + (a.y_m - c.y_m) * (a.y_m - c.y_m) + (a.z_m - c.z_m) * (a.z_m - c.z_m))) FROM n c WHERE c.prot AND c.sequence_id = a.sequence_id AND c.time_s = a.time_s), 1e300) END AS d
+  FROM n a WHERE (np >= 5 AND prot) OR (np < 5 AND NOT prot)),
+start AS MATERIALIZED (SELECT sequence_id, time_s, any_value(CASE WHEN np >= 5 THEN 5 ELSE least(5 - np, nn - np) END) AS need, any_value(np) AS np, list({_ITEM}) AS left_ FROM pool GROUP BY 1, 2), {_greedy_sql('start', 1.0, 10.0, 50.0)}
+SELECT sequence_id, time_s, key, row_number() OVER (PARTITION BY sequence_id, time_s ORDER BY score DESC, key) AS rank, 'protected' AS reason, NULL::DOUBLE AS min_distance_m FROM n WHERE prot AND np < 5
+UNION ALL SELECT r.sequence_id, r.time_s, b.key, CASE WHEN np >= 5 THEN step ELSE np + step END, CASE WHEN np >= 5 THEN 'protected_cap' ELSE 'spatial_fill' END, CASE WHEN b.d < 1e300 THEN round(b.d, 6) END FROM rounds r JOIN start USING (sequence_id, time_s)""")
+def spatial_diversity_cap(spark, sf):
+    return rounded(longs(SP.spatial_cap(candidates(spark, sf), 5), "rank"), "min_distance_m")
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, g0 AS (SELECT sequence_id, time_s, source AS key, max(x_m) AS score, arg_max({{'x_m': x_m, 'y_m': y_m, 'z_m': z_m}}, x_m) AS a, list({{'s': -x_m, 'key': key, 'x': x_m, 'y': y_m, 'z': z_m}}) AS l FROM cand GROUP BY 1, 2, 3),
+g1 AS (SELECT sequence_id, time_s, key, score, list_sort(l)[1].x AS x_m, list_sort(l)[1].y AS y_m, list_sort(l)[1].z AS z_m, 1e300 AS d, CASE WHEN max(score) OVER f > min(score) OVER f THEN (score - min(score) OVER f) / (max(score) OVER f - min(score) OVER f) ELSE 0 END AS norm,
+  exp((score - max(score) OVER f) / 10.0::DOUBLE) AS e, count(*) OVER f AS nn FROM g0 WINDOW f AS (PARTITION BY sequence_id, time_s)),
+g2 AS MATERIALIZED (SELECT *, (1 - 0.02::DOUBLE) * e / sum(e) OVER (PARTITION BY sequence_id, time_s) + 0.02::DOUBLE / nn AS p FROM g1),
+g3 AS MATERIALIZED (SELECT *, row_number() OVER w AS i, sum(p) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM g2 WINDOW w AS (PARTITION BY sequence_id, time_s ORDER BY p DESC, key)),
+start AS MATERIALIZED (SELECT sequence_id, time_s, least(greatest(count(*) FILTER (upto < 0.8 - 1e-12) + 1, 1), 2, count(*)) AS need, list({_ITEM}) AS left_ FROM g3 GROUP BY 1, 2), {_greedy_sql('start', 0.5, 5.0, 30.0)},
+own AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, time_s, source ORDER BY x_m DESC, key) AS sibling_rank FROM cand)
+SELECT o.key, r.step AS group_rank, o.sibling_rank, CAST(r.need AS BIGINT) AS budget, round(g.upto, 6) AS retained_mass FROM rounds r JOIN own o ON o.sequence_id = r.sequence_id AND o.time_s = r.time_s AND o.source = r.b.key AND o.sibling_rank <= 2
+JOIN g3 g ON g.sequence_id = r.sequence_id AND g.time_s = r.time_s AND g.i = r.need""")
+def posterior_mass_groups(spark, sf):
+    out = SP.group_mass_topk(candidates(spark, sf), "source", 0.8, 1, 2, 2, temperature=10.0, score="x_m")
+    return rounded(longs(out.select("key", "group_rank", "sibling_rank", "budget", "retained_mass"), "group_rank", "sibling_rank", "budget"), "retained_mass")
