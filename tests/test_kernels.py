@@ -138,9 +138,6 @@ def test_repairs():
     assert np.allclose(K.geometric_median(np.array([[0.0, 0], [0, 0], [9, 9]]), np.ones(3)), 0, atol=1e-3)
 
 
-def test_suppression_and_time_assignment():
+def test_suppression():
     xyz = np.array([[0.0, 0, 0], [1, 0, 0], [9, 0, 0]])
     assert K.spatial_nms(xyz, np.array([1.0, 2, 0]), 3.0, 5) == [1, 2]
-    # greedy would pair 1.0 with 1.1 and leave 1.4 alone
-    assert K.timestamp_assignment(np.array([1.0, 1.4]), np.array([1.1, 0.7]), 0.35) == [(0, 1), (1, 0)]
-    assert K.timestamp_assignment(np.array([]), np.array([1.0]), 1.0) == []

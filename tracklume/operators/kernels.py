@@ -620,22 +620,3 @@ def spatial_nms(xyz: np.ndarray, score: np.ndarray, radius: float, most: int) ->
         if all(((xyz[i] - xyz[j]) ** 2).sum() > radius**2 for j in kept):
             kept.append(int(i))
     return kept
-
-
-def timestamp_assignment(wanted: np.ndarray, found: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of times within the tolerance: most pairs, then least total difference.
-
-    Times within a tolerance of one another form chains; each chain is solved by itself.
-    """
-    times = np.concatenate([wanted, found])
-    order = np.argsort(times, kind="stable")
-    chain = np.empty(len(times), int)
-    chain[order] = np.concatenate([[0], np.cumsum(np.diff(times[order]) > tolerance)]) if len(times) else []
-    out = []
-    for c in np.unique(chain):
-        i, j = np.flatnonzero(chain[: len(wanted)] == c), np.flatnonzero(chain[len(wanted) :] == c)
-        if len(i) and len(j):
-            d = np.abs(wanted[i][:, None] - found[j][None, :])
-            cost = np.where(d <= tolerance, d - (tolerance + 1) * (min(d.shape) + 1), np.inf)
-            out += [(int(i[a]), int(j[b])) for a, b in assignment(cost)]
-    return sorted(out)

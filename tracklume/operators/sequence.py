@@ -335,14 +335,3 @@ def hota_scores(truth: DataFrame, guess: DataFrame) -> DataFrame:
 
     columns = ["sequence_id", "frame", "id", *box]
     return two_sided(truth.select(columns), guess.select(columns), ["frame", "id"], schema, kernel)
-
-
-def assigned_times(wanted: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
-    """Optimal one-to-one pairs of (sequence_id, time_s) rows of two tables."""
-
-    def kernel(key: str, a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
-        x, y = a["time_s"].to_numpy(float), b["time_s"].to_numpy(float)
-        return [(key, float(x[i]), float(y[j])) for i, j in K.timestamp_assignment(x, y, tolerance)]
-
-    columns = ["sequence_id", "time_s"]
-    return two_sided(wanted.select(columns), found.select(columns), ["time_s"], "sequence_id string, time_s double, match_s double", kernel)

@@ -10,7 +10,7 @@ from ..operators import kernels as K
 from ..operators import select as S
 from ..operators import sequence as Q
 from ..operators import windows as W
-from .reference import _clicks, longs, query, r6
+from .reference import longs, query, r6
 from .views import CANDIDATES, TRAJECTORIES, candidates, trajectories
 
 ORDER = "(PARTITION BY sequence_id ORDER BY time_s, key"
@@ -83,9 +83,3 @@ def assignment_usage(spark, sf):
 @query()
 def spatial_diversity(spark, sf):
     return Q.diversified(candidates(spark, sf), S.FRAME, "score", 8.0, 4)
-
-
-@query()
-def optimal_timestamp_assignment(spark, sf):
-    a, b = _clicks(spark, sf)
-    return Q.assigned_times(a.select("sequence_id", "time_s"), b.select("sequence_id", "time_s"), 50_000.0)

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import components as N
 from ..operators import joins as J
 from ..operators import kernels as K
+from ..operators import matching as MT
 from ..operators import scan
 from ..operators import select as S
 from ..operators import sketches as SK
 from ..operators import spread as SP
 from ..operators import tracking_scores as TS
 from ..operators import windows as W
-from .reference import longs, query, r6, rounded
+from .reference import _clicks, longs, query, r6, rounded
 from .reference_more import cv_sql
 from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, trajectories
 
@@ -240,3 +241,44 @@ JOIN g3 g ON g.sequence_id = r.sequence_id AND g.time_s = r.time_s AND g.i = r.n
 def posterior_mass_groups(spark, sf):
     out = SP.group_mass_topk(candidates(spark, sf), "source", 0.8, 1, 2, 2, temperature=10.0, score="x_m")
     return rounded(longs(out.select("key", "group_rank", "sibling_rank", "budget", "retained_mass"), "group_rank", "sibling_rank", "budget"), "retained_mass")
+
+
+# --- matching of times
+
+CHAINS = """side AS (SELECT sequence_id, time_s, key, CASE source WHEN 'click' THEN 0 ELSE 1 END AS s FROM meas WHERE source IN ('click', 'purchase')),
+gap AS (SELECT *, CASE WHEN time_s - lag(time_s) OVER (PARTITION BY sequence_id ORDER BY time_s, s, key) > 40000 THEN 1 ELSE 0 END AS g FROM side),
+chain AS (SELECT *, sum(g) OVER (PARTITION BY sequence_id ORDER BY time_s, s, key ROWS UNBOUNDED PRECEDING) AS ch FROM gap),
+num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sequence_id, ch, s ORDER BY time_s, key) AS i FROM chain)"""
+
+
+@query(f"""WITH RECURSIVE {MEASUREMENTS}, {CHAINS}, opt AS MATERIALIZED (SELECT w.sequence_id, w.ch, w.i, f.i AS j, abs(f.time_s - w.time_s) AS d, w.key, f.key AS fk FROM num w JOIN num f ON f.sequence_id = w.sequence_id AND f.ch = w.ch AND w.s = 0 AND f.s = 1 AND abs(f.time_s - w.time_s) <= 40000
+  UNION ALL SELECT sequence_id, ch, i, NULL, 0, key, NULL FROM num WHERE s = 0),
+st AS (SELECT DISTINCT sequence_id, ch, 0::BIGINT AS i, 0::BIGINT AS j, 0 AS n, 0.0::DOUBLE AS d, []::STRUCT(k BIGINT, m BIGINT)[] AS picks FROM num WHERE s = 0
+  UNION ALL SELECT st.sequence_id, st.ch, o.i, coalesce(o.j, st.j), st.n + CASE WHEN o.j IS NULL THEN 0 ELSE 1 END, st.d + o.d, CASE WHEN o.j IS NULL THEN picks ELSE list_append(picks, {{'k': o.key, 'm': o.fk}}) END
+  FROM st JOIN opt o ON o.sequence_id = st.sequence_id AND o.ch = st.ch AND o.i = st.i + 1 AND (o.j IS NULL OR o.j > st.j)),
+best AS (SELECT sequence_id, unnest(picks) AS p FROM (SELECT * FROM st WHERE (sequence_id, ch, i) IN (SELECT (sequence_id, ch, max(i)) FROM num WHERE s = 0 GROUP BY sequence_id, ch) QUALIFY row_number() OVER (PARTITION BY sequence_id, ch ORDER BY n DESC, d) = 1))
+SELECT sequence_id, p.k AS key, p.m AS match_key FROM best""")
+def optimal_timestamp_assignment(spark, sf):
+    a, b = _clicks(spark, sf)
+    return MT.optimal_times(a, b, ["sequence_id"], 40_000.0).select("sequence_id", "key", "match_key")
+
+
+_TRACK = "CASE WHEN CAST(sequence_id AS INT) % 5 = 0 OR key % 3 = 0 THEN {none} ELSE 't' || (key % {n}) END"
+
+
+@query(f"""WITH RECURSIVE {MEASUREMENTS}, sub AS (SELECT *, {_TRACK.format(none='NULL', n=3)} AS track FROM meas WHERE source = 'click'), tru AS (SELECT *, {_TRACK.format(none='NULL', n=2)} AS track FROM meas WHERE source = 'purchase'),
+tracks AS (SELECT DISTINCT sequence_id, track FROM tru WHERE track IS NOT NULL), rule AS (SELECT t.sequence_id, coalesce(count(DISTINCT k.track), 0) > 1 OR coalesce(bool_or(k.track IN (SELECT track FROM sub WHERE sub.sequence_id = t.sequence_id)), false) AS strict FROM (SELECT DISTINCT sequence_id FROM tru) t LEFT JOIN tracks k USING (sequence_id) GROUP BY 1),
+pre AS (SELECT s.*, CASE WHEN r.sequence_id IS NULL THEN 'missing_sequence_truth' WHEN strict AND k.track IS NULL THEN 'track_id_mismatch' END AS why, CASE WHEN strict THEN s.track ELSE '' END AS grp FROM sub s LEFT JOIN rule r USING (sequence_id) LEFT JOIN tracks k ON k.sequence_id = s.sequence_id AND k.track = s.track),
+pred AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sequence_id, grp ORDER BY key) AS n FROM pre WHERE why IS NULL),
+pool AS MATERIALIZED (SELECT t.sequence_id, CASE WHEN strict THEN track ELSE '' END AS grp, list({{'t': time_s, 'key': key, 'x': x_m, 'y': y_m}}) AS l FROM tru t JOIN rule USING (sequence_id) WHERE NOT strict OR track IS NOT NULL GROUP BY 1, 2),
+go AS (SELECT p.sequence_id, p.grp, 0::BIGINT AS n, 0::BIGINT AS key, NULL::STRUCT(t DOUBLE, "key" BIGINT, x DOUBLE, y DOUBLE) AS pick, false AS near, []::BIGINT[] AS used, l FROM (SELECT DISTINCT sequence_id, grp FROM pred) p JOIN pool USING (sequence_id, grp)
+  UNION ALL SELECT sequence_id, grp, n, key, CASE WHEN b.d <= 40000 THEN b.r END, near, CASE WHEN b.d <= 40000 THEN list_append(used, b.r.key) ELSE used END, l FROM (
+    SELECT g.sequence_id, g.grp, p.n, p.key, g.used, g.l, list_sort(list_transform(list_filter(g.l, lambda r: NOT list_contains(g.used, r.key)), lambda r: {{'d': abs(r.t - p.time_s), 't': r.t, 'k': r.key, 'r': r}}))[1] AS b,
+      list_min(list_transform(g.l, lambda r: abs(r.t - p.time_s))) <= 40000 AS near FROM go g JOIN pred p ON p.sequence_id = g.sequence_id AND p.grp = g.grp AND p.n = g.n + 1))
+SELECT s.key, g.pick IS NOT NULL AS matched, CASE WHEN g.pick IS NULL THEN coalesce(s.why, CASE WHEN g.near THEN 'duplicate_truth_match' ELSE 'time_gate' END) END AS reason, g.pick.key AS truth_key, round(sqrt((s.x_m - g.pick.x) ** 2 + (s.y_m - g.pick.y) ** 2), 6) AS error_2d_m
+FROM pre s LEFT JOIN go g ON g.n > 0 AND g.sequence_id = s.sequence_id AND g.key = s.key""")
+def submission_matches(spark, sf):
+    a, b = _clicks(spark, sf)
+    track = lambda n: F.when((F.col("sequence_id").cast("int") % 5 == 0) | (F.col("key") % 3 == 0), F.lit("nan")).otherwise(F.concat(F.lit("t"), F.col("key") % n))
+    out = MT.match_submission(a.withColumn("track_id", track(3)), b.withColumn("track_id", track(2)), 40_000.0, ("x_m", "y_m"))
+    return rounded(out.select("key", "matched", "reason", "truth_key", "error_2d_m"), "error_2d_m")
