@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklume.operators import joins, kernels, scan, slices
+from tracklume.operators import banded, joins, kernels, scan, slices
 
 
 def test_slices_bound_a_hot_key(spark):
@@ -87,3 +87,21 @@ def test_scan_edges(spark):
     got = {r.key: r for r in scan.cv_smooth(df, ["x_m"], 1.0, 1.0, slices=4, least=0).collect()}
     assert set(got) == {1, 2, 6} and got[6].state_x_m == 4.0
     assert scan.cv_filter(df.limit(0), ["x_m"], 1.0, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("cut,huber", [(12, None), (7, 1.5)])
+def test_elimination_equals_the_dense_solution(spark, cut, huber):
+    rows, seen = [], set()
+    for r in walk(4, 45, cut + 50):
+        if (r[0], r[1]) not in seen:
+            seen.add((r[0], r[1]))
+            rows.append(r)
+    rows += [("one", 3.0, 9_000_000, 1.0, 2.0), ("two", 3.0, 9_000_001, 1.0, 2.0), ("two", 4.0, 9_000_002, 5.0, 2.0), (None, 1.0, 9_000_003, 1.0, 1.0), ("two", None, 9_000_004, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sequence_id string, time_s double, key long, x_m double, y_m double").repartition(3)
+    got = {r.key: (r.x_m, r.y_m) for r in banded.smoothed(df, ["x_m", "y_m"], 3.0, huber=huber, rounds=2, slices=cut, least=10).collect()}
+    assert len(got) == len(rows) - 1
+    for s in {r[0] for r in rows}:
+        own = sorted(r for r in rows if r[0] == s and r[1] is not None)
+        want = kernels.regularized(np.array([r[1] for r in own]), np.array([r[3:] for r in own]), 3.0, np.inf if huber is None else huber, rounds=2)
+        for r, x in zip(own, want):
+            assert np.allclose(got[r[2]], x, rtol=1e-6, atol=1e-6), (s, r, got[r[2]], x)

@@ -10,6 +10,7 @@ from ..functions.geo import distance
 from . import aggregates as G
 from .calibrate import draw
 from .joins import asof_nearest, interpolated
+from .matching import optimal_times
 
 AXES = ["x_m", "y_m", "z_m"]
 
@@ -68,20 +69,20 @@ def nearest_matches(results: DataFrame, truth: DataFrame, max_delta: float, axes
 
 
 def aligned_matches(results: DataFrame, truth: DataFrame, tolerance: float, axes: list[str] = AXES) -> DataFrame:
-    """Truth rows in time order, one to one with results of the same time (within a tolerance).
+    """Truth rows one to one with results whose time differs by no more than the tolerance: most pairs, then least difference.
 
-    Equal times are numbered on both sides, so the n-th truth of a time takes its n-th result: no
-    loop and no pairs.  Times count as equal within half a tolerance of the same multiple of it.
-    Rows without a partner stay, with ``missing_prediction``, ``extra_prediction`` (no truth at
-    that time) or ``duplicate_prediction`` (more results than truth there).
+    Rows without a partner stay, with ``missing_prediction``, ``extra_prediction`` (no truth within the tolerance) or
+    ``duplicate_prediction`` (truth there has other results).  Keys must be unique within a sequence of either side.
     """
-    step = F.round(F.col("time_s") / F.lit(max(tolerance, 1e-9))).cast("long")
-    number = F.row_number().over(Window.partitionBy("sequence_id", "_t").orderBy("time_s", "key"))
-    side = lambda d, tag: d.withColumn("_t", step).withColumn("_n", number).select("sequence_id", "_t", "_n", F.struct("time_s", "key", "label", *axes).alias(tag))
-    t, r = side(truth, "truth"), side(results, "result")
-    known = t.groupBy("sequence_id", "_t").agg(F.count(F.lit(1)).alias("_k"))
-    both = t.join(r, ["sequence_id", "_t", "_n"], "full_outer").join(known, ["sequence_id", "_t"], "left")
-    reason = F.when(F.col("result").isNull(), "missing_prediction").when(F.col("truth").isNull(), F.when(F.col("_k").isNull(), "extra_prediction").otherwise("duplicate_prediction"))
+    side = lambda d, tag: d.select("sequence_id", F.col("key").alias(f"_{tag}"), F.struct("time_s", "key", "label", *axes).alias(tag))
+    pairs = optimal_times(truth, results, ["sequence_id"], tolerance).select("sequence_id", F.col("key").alias("_truth"), F.col("match_key").alias("_result"))
+    # the truth around each result, partner or not
+    near = asof_nearest(results.select("sequence_id", "time_s", "key"), truth.select("sequence_id", "time_s", F.lit(1).alias("one")), ["sequence_id"], payload=["one"], tolerance=tolerance)
+    known = near.select("sequence_id", F.col("key").alias("_result"), F.col("match").isNotNull().alias("_k"))
+    results = side(results, "result").join(known, ["sequence_id", "_result"]).join(pairs, ["sequence_id", "_result"], "left")
+    both = side(truth, "truth").join(results.where("_truth IS NOT NULL"), ["sequence_id", "_truth"], "left").select("sequence_id", "truth", "result", "_k")
+    both = both.unionByName(results.where("_truth IS NULL").select("sequence_id", F.lit(None).cast(both.schema["truth"].dataType).alias("truth"), "result", "_k"))
+    reason = F.when(F.col("result").isNull(), "missing_prediction").when(F.col("truth").isNull(), F.when(F.col("_k"), "duplicate_prediction").otherwise("extra_prediction"))
     far = lambda names: distance([F.col(f"result.{a}") for a in names], [F.col(f"truth.{a}") for a in names])
     return both.select(
         "sequence_id", F.coalesce("truth.time_s", "result.time_s").alias("time_s"), F.coalesce("truth.key", "result.key").alias("key"), reason.isNull().alias("matched"), reason.alias("reason"),
@@ -168,18 +169,23 @@ def risk_summary(folds: DataFrame, keys: list[str], metric: str, aversion: float
     return g.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("risk", "mean", *keys)))
 
 
-def artifact_checks(df: DataFrame, required: list[str], keys: list[str], time: str = "time_s", most_missing: float = 0.05) -> DataFrame:
-    """One row per check of a run's table: column present, share of missing values, times that do not go back."""
+def artifact_checks(df: DataFrame, required: list[str], keys: list[str], time: str = "time_s", most_missing: float = 0.05, ordinal: str | None = None) -> DataFrame:
+    """One row per check of a run's table: column present, share of missing values, times that do not go back.
+
+    The order of times is checked along ``ordinal`` (rows of a table have no order of their own); without it the check is there with
+    neither value nor verdict.
+    """
     absent = [c for c in required if c not in df.columns]
     there = [c for c in required if c in df.columns]
     missing = lambda c: (F.col(c).isNull() | F.isnan(F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).isNull())
-    w = Window.partitionBy(*keys).orderBy("_ordinal") if "_ordinal" in df.columns else None
+    w = Window.partitionBy(*keys).orderBy(ordinal) if ordinal else None
     d = df.withColumn("_back", (F.col(time) < F.lag(time).over(w)) if w is not None else F.lit(False))
     aggs = [F.avg(missing(c).cast("double")).alias(f"missing_{c}") for c in there]
     one = d.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("_back"), 1)).alias("back"), *aggs)
-    check = lambda name, value, ok: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
-    checks = [check("rows", F.col("rows"), F.col("rows") > 0), check("time_order", F.col("back"), F.col("back") == 0)]
-    checks += [check(f"missing:{c}", F.col(f"missing_{c}"), F.col(f"missing_{c}") <= most_missing) for c in there]
+    check = lambda name, value, ok: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), ok.cast("boolean").alias("ok"))
+    order = check("time_order", F.col("back"), F.col("back") == 0) if ordinal else check("time_order", F.lit(None), F.lit(None))
+    checks = [check("rows", F.col("rows"), F.col("rows") > 0), order]
+    checks += [check(f"missing:{c}", F.col(f"missing_{c}"), F.coalesce(F.col(f"missing_{c}") <= most_missing, F.lit(False))) for c in there]
     checks += [check(f"absent:{c}", F.lit(1), F.lit(False)) for c in absent]
     return one.select(F.inline(F.array(*checks)))
 

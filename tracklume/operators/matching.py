@@ -40,7 +40,7 @@ def ordered_assignment(wanted: np.ndarray, found: np.ndarray, tolerance: float)
             gap = abs(float(found[j] - t))
             up, take = old[j - a + 1], (old[j - a][0] + 1, old[j - a][1] - gap) if gap <= tolerance else (-1, 0.0)
             top = max(up, left, take)
-            row.append(2 if top == take else 0 if top == up else 1)
+            row.append(1 if top == left else 0 if top == up else 2)  # of equal choices the later rows are left out
             best[j + 1] = left = top
         choice.append(row)
     out, i, j = [], len(wanted) - 1, len(best) - 1

@@ -12,6 +12,7 @@ import math
 import numpy as np
 
 from . import kernels as K
+from .kernels import banded_solve
 
 
 def _move(a: np.ndarray, b: np.ndarray, dt: float, speed: float) -> np.ndarray:
@@ -318,29 +319,6 @@ def _system(times: np.ndarray, smoothness: float) -> np.ndarray:
     return band
 
 
-def banded_solve(band: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """A symmetric positive definite system of five bands by its LDL' factors: linear in the rows."""
-    n = band.shape[1]
-    d, l1, l2 = np.zeros(n), np.zeros(n), np.zeros(n)
-    for i in range(n):
-        d[i] = band[0, i] - (l1[i - 1] ** 2 * d[i - 1] if i else 0.0) - (l2[i - 2] ** 2 * d[i - 2] if i > 1 else 0.0)
-        l1[i] = (band[1, i] - (l1[i - 1] * l2[i - 1] * d[i - 1] if i else 0.0)) / d[i]
-        l2[i] = band[2, i] / d[i]
-    y = rhs.astype(float).copy()
-    for i in range(n):
-        if i:
-            y[i] -= l1[i - 1] * y[i - 1]
-        if i > 1:
-            y[i] -= l2[i - 2] * y[i - 2]
-    y /= d[:, None]
-    for i in range(n - 1, -1, -1):
-        if i + 1 < n:
-            y[i] -= l1[i] * y[i + 1]
-        if i + 2 < n:
-            y[i] -= l2[i] * y[i + 2]
-    return y
-
-
 def responsibilities(x: np.ndarray, sigma: np.ndarray, score: np.ndarray, frame: np.ndarray, state: np.ndarray, labels: tuple = (), balance: float = 0.0, huber: float = 3.0, floor: float = 0.0) -> np.ndarray:
     """Weight of each candidate in its frame: softmax of score - robust residual - log sigma, drawn towards equal label masses."""
     r = np.sqrt(((x - state[frame]) ** 2).sum(1)) / sigma

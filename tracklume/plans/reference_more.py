@@ -356,11 +356,6 @@ def vertical_spike_repair(spark, sf):
     return Q.vertical_repair(_single(spark, sf), "x_m", 1.0, 0.5, 15.0).select("key", r6("x_m").alias("x_m"))
 
 
-@query()
-def trajectory_regularizer(spark, sf):
-    return Q.regularized(_single(spark, sf), ["x_m"], 1e4, 100.0)
-
-
 @query()
 def geometric_median_ensemble(spark, sf):
     return Q.geometric_median(candidates(spark, sf).withColumn("weight", 1 + F.col("z_m")), S.FRAME, "weight")

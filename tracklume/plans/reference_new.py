@@ -106,10 +106,16 @@ def bootstrap_interval(spark, sf):
     return rounded(E.block_bootstrap(candidates(spark, sf), ["source"], ["time_s", "key"], "x_m", 20, 100), "estimate", "lower", "upper")
 
 
-@query()
+@query(f"""WITH {CANDIDATES}, s AS (SELECT source AS method, sequence_id, avg(x_m) AS objective, avg(y_m) AS guard FROM cand GROUP BY 1, 2), d AS (SELECT s.*, s.objective - b.objective AS gain, s.guard - b.guard AS g FROM s JOIN s b ON b.method = 'A' AND b.sequence_id = s.sequence_id),
+blk AS (SELECT method, row_number() OVER (PARTITION BY method ORDER BY sequence_id) - 1 AS block, gain FROM d), tot AS (SELECT method, count(*) AS n FROM blk GROUP BY 1),
+slot AS (SELECT method, n, unnest(range(1, n + 1)) AS s FROM tot), mean AS (SELECT method, r, avg(gain) AS m FROM (SELECT method, r, CAST(floor({draw_sql("'0'", "method", "r", "s")} * n) AS BIGINT) AS block FROM slot, range(1, 501) a(r)) JOIN blk USING (method, block) GROUP BY 1, 2), low AS (SELECT method, quantile_cont(m, 0.025) AS lower FROM mean GROUP BY 1),
+g AS (SELECT method, count(*) AS sequences, avg(gain) AS mean_gain, avg(g) AS guard_gain FROM d GROUP BY 1), t AS (SELECT *, concat_ws(';', CASE WHEN sequences < 10 THEN 'incomplete' END, CASE WHEN mean_gain <= 0 THEN 'no_gain' END, CASE WHEN lower < 0 THEN 'uncertain_gain' END, CASE WHEN guard_gain < -1.0 THEN 'guard_guard' END) AS reasons FROM g JOIN low USING (method)),
+u AS (SELECT *, reasons = '' AND method <> 'A' AS accepted FROM t)
+SELECT method, sequences, round(mean_gain, 6) AS mean_gain, round(guard_gain, 6) AS guard_gain, round(lower, 6) AS lower, reasons, accepted, CASE WHEN accepted THEN row_number() OVER (PARTITION BY accepted ORDER BY mean_gain DESC, method) END AS rank FROM u""")
 def guarded_tournament(spark, sf):
     s = candidates(spark, sf).groupBy(F.col("source").alias("method"), "sequence_id").agg(F.avg("x_m").alias("objective"), F.avg("y_m").alias("guard"))
-    return E.guarded_tournament(s, "A", "objective", {"guard": 1.0}, 10)
+    out = E.guarded_tournament(s, "A", "objective", {"guard": 1.0}, 10)
+    return longs(rounded(out, "mean_gain", "guard_gain", "lower"), "rank")
 
 
 @query(f"""WITH {CANDIDATES}, f AS (SELECT source, candidate_branch, avg(x_m) AS m FROM cand GROUP BY 1, 2), g AS (SELECT source, count(*) AS folds, avg(m) AS mean, quantile_cont(m, 0.9) AS tail FROM f GROUP BY 1)
@@ -119,10 +125,10 @@ def risk_aggregates(spark, sf):
     return longs(rounded(E.risk_summary(f, ["source"], "m", 0.5, 0.9), "mean", "tail", "risk"), "rank")
 
 
-@query("""SELECT 'rows' AS check, count(*)::DOUBLE AS value, count(*) > 0 AS ok FROM events UNION ALL SELECT 'time_order', 0, true
+@query("""SELECT 'rows' AS check, count(*)::DOUBLE AS value, count(*) > 0 AS ok FROM events UNION ALL SELECT 'time_order', count(*) FILTER (back)::DOUBLE, count(*) FILTER (back) = 0 FROM (SELECT ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS back FROM events)
 UNION ALL SELECT 'missing:value', round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 6), avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) <= 0.05 FROM events UNION ALL SELECT 'absent:speed', 1, false""")
 def run_artifact_checks(spark, sf):
-    return rounded(E.artifact_checks(table(spark, sf, "events").withColumnRenamed("ts", "time_s"), ["value", "speed"], ["user_id"]), "value")
+    return rounded(E.artifact_checks(table(spark, sf, "events").withColumnRenamed("ts", "time_s"), ["value", "speed"], ["user_id"], ordinal="event_id"), "value")
 
 
 @query("""WITH m AS (SELECT CASE n_regionkey WHEN 0 THEN 'train.' WHEN 1 THEN 'heldout.' ELSE 'notes.' END || n_nationkey AS path, n_name AS value FROM nation)
@@ -487,13 +493,6 @@ def learned_association(spark, sf):
     return M.scored(model, d, ["x_m", "y_m", "z_m"]).select("key", "model_score")
 
 
-@query()
-def candidate_uncertainty(spark, sf):
-    d = _labelled(spark, sf)
-    model = M.fit_uncertainty(d, ["x_m", "y_m", "z_m"], "e")
-    return M.predicted_sigma(model, d, ["x_m", "y_m", "z_m"]).select("key", "predicted_sigma_m")
-
-
 @query(f"""WITH {CANDIDATES}, {ORACLE}, f AS (SELECT sequence_id, time_s, min(e) FILTER (rk = 1) AS chosen, min(e) FILTER (rk <= 2) AS b2, min(e) AS best FROM oc GROUP BY 1, 2)
 SELECT sequence_id, count(*) AS frames, round(avg(CASE WHEN chosen <= best THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(chosen), 6) AS chosen_m, round(avg(b2), 6) AS best_k_m, round(avg(best), 6) AS best_m FROM f GROUP BY GROUPING SETS ((), (sequence_id))""")
 def ranking_quality(spark, sf):

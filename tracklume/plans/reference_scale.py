@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import banded
 from ..operators import components as N
+from ..operators import fits as FT
 from ..operators import joins as J
 from ..operators import kernels as K
 from ..operators import matching as MT
@@ -16,9 +18,9 @@ from ..operators import sketches as SK
 from ..operators import spread as SP
 from ..operators import tracking_scores as TS
 from ..operators import windows as W
-from .reference import _clicks, longs, query, r6, rounded
-from .reference_more import cv_sql
-from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, trajectories
+from .reference import PROBS, _clicks, _probabilities, longs, query, r6, rounded
+from .reference_more import _single, cv_sql
+from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, table, trajectories
 
 # --- one key over many tasks
 
@@ -282,3 +284,88 @@ def submission_matches(spark, sf):
     track = lambda n: F.when((F.col("sequence_id").cast("int") % 5 == 0) | (F.col("key") % 3 == 0), F.lit("nan")).otherwise(F.concat(F.lit("t"), F.col("key") % n))
     out = MT.match_submission(a.withColumn("track_id", track(3)), b.withColumn("track_id", track(2)), 40_000.0, ("x_m", "y_m"))
     return rounded(out.select("key", "matched", "reason", "truth_key", "error_2d_m"), "error_2d_m")
+
+
+# --- penalised second differences
+
+ELIMINATED = """one AS MATERIALIZED (SELECT *, row_number() OVER w AS i, time_s - lag(time_s) OVER w AS b, lag(time_s) OVER w - lag(time_s, 2) OVER w AS a, lag(x_m) OVER w AS before FROM (SELECT sequence_id, time_s, key, x_m FROM traj QUALIFY row_number() OVER (PARTITION BY sequence_id, time_s ORDER BY key DESC) = 1) WINDOW w AS (PARTITION BY sequence_id ORDER BY time_s)),
+gap AS MATERIALIZED (SELECT *, b / a AS r, pow(b * (a + b) / 2, 2) / {weight} AS q FROM one),
+down AS (SELECT sequence_id, i, key, x_m AS m1, before AS m2, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 1.0::DOUBLE AS p22 FROM one WHERE i = 2
+  UNION ALL SELECT sequence_id, i, key, n1 + s11 / (s11 + 1) * (z - n1), n2 + s12 / (s11 + 1) * (z - n1), s11 - s11 / (s11 + 1) * s11, s12 - s12 / (s11 + 1) * s11, s22 - s12 / (s11 + 1) * s12 FROM (
+    SELECT g.sequence_id, g.i, g.key, g.x_m AS z, (1 + r) * m1 - r * m2 AS n1, m1 AS n2, (1 + r) * (1 + r) * p11 - 2 * (1 + r) * r * p12 + r * r * p22 + q AS s11, (1 + r) * p11 - r * p12 AS s12, p11 AS s22 FROM down d JOIN gap g ON g.sequence_id = d.sequence_id AND g.i = d.i + 1)),
+up AS (SELECT sequence_id, i, key, m1 AS x1, m2 AS x2 FROM down WHERE (sequence_id, i) IN (SELECT (sequence_id, max(i)) FROM down GROUP BY sequence_id)
+  UNION ALL SELECT sequence_id, i, key, m1 + ((f1 * s22 - g1 * s12) * d1 + (g1 * s11 - f1 * s12) * d2) / det, m2 + ((f2 * s22 - g2 * s12) * d1 + (g2 * s11 - f2 * s12) * d2) / det FROM (SELECT *, s11 * s22 - s12 * s12 AS det FROM (
+    SELECT d.*, u.x1 - ((1 + r) * m1 - r * m2) AS d1, u.x2 - m1 AS d2, (1 + r) * p11 - r * p12 AS f1, p11 AS g1, (1 + r) * p12 - r * p22 AS f2, p12 AS g2,
+      (1 + r) * (1 + r) * p11 - 2 * (1 + r) * r * p12 + r * r * p22 + q AS s11, (1 + r) * p11 - r * p12 AS s12, p11 AS s22 FROM up u JOIN down d ON d.sequence_id = u.sequence_id AND d.i = u.i - 1 JOIN gap g ON g.sequence_id = d.sequence_id AND g.i = d.i + 1)))
+SELECT o.key, round(CASE WHEN o.i > 1 THEN u.x1 WHEN s.key IS NULL THEN o.x_m ELSE s.x2 END, 4) AS x_m FROM one o LEFT JOIN up u ON u.sequence_id = o.sequence_id AND u.i = o.i LEFT JOIN up s ON s.sequence_id = o.sequence_id AND s.i = 2"""
+
+
+@query(f"WITH RECURSIVE {TRAJECTORIES}, {ELIMINATED.format(weight='1e4::DOUBLE')}")
+def trajectory_regularizer(spark, sf):
+    return banded.smoothed(_single(spark, sf), ["x_m"], 1e4, slices=16, least=100).select("key", r6("x_m", 4).alias("x_m"))
+
+
+@query(f"WITH RECURSIVE {LONG}, {ELIMINATED.format(weight='1e3::DOUBLE')}")
+def long_trajectory_smoothing(spark, sf):
+    return banded.smoothed(_long(spark, sf), ["x_m"], 1e3, slices=16, least=100).select("key", r6("x_m", 4).alias("x_m"))
+
+
+# --- Newton steps, ridge moments, nested hold-outs
+
+def _newton_sql(steps: int) -> str:
+    """Steps of the temperature's inverse, unrolled."""
+    out = ["b0 AS (SELECT 1.0::DOUBLE AS b)"]
+    for k in range(steps):
+        out.append(f"""t{k} AS (SELECT l, y, (SELECT b FROM b{k}) AS b FROM lg), e{k} AS (SELECT l, y, list_transform(l, lambda x: exp((x - list_max(l)) * b)) AS e FROM t{k}),
+m{k} AS (SELECT l[y] AS own, list_sum(list_transform(list_zip(e, l), lambda v: v[1] * v[2])) / list_sum(e) AS m, list_sum(list_transform(list_zip(e, l), lambda v: v[1] * v[2] * v[2])) / list_sum(e) AS s FROM e{k}),
+b{k + 1} AS MATERIALIZED (SELECT least(greatest((SELECT b FROM b{k}) - avg(m - own) / avg(s - m * m), 0.05), 20.0) AS b FROM m{k})""")
+    return ", ".join(out)
+
+
+@query(f"""WITH {PROBS}, lg AS MATERIALIZED (SELECT list_transform(p, lambda x: ln(greatest(x, 1e-9))) AS l, label % 10 + 1 AS y FROM pn WHERE label % 10 < len(p)), {_newton_sql(10)}
+SELECT (SELECT count(*) FROM lg) AS n, round(1 / b, 6) AS temperature FROM b10""")
+def temperature_newton(spark, sf):
+    got = FT.temperature(_probabilities(spark, sf), "p", F.col("label") % 10)
+    return spark.range(1).select(F.lit(got["n"]).alias("n"), r6(F.lit(got["temperature"])).alias("temperature"))
+
+
+def _logit_sql(steps: int) -> str:
+    out = ["c0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(steps):
+        out.append(f"""p{k} AS (SELECT x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM xy, c{k}), h{k} AS (SELECT sum(p - y) AS g0, sum((p - y) * x) AS g1, sum(p * (1 - p)) AS h0, sum(p * (1 - p) * x) AS h1, sum(p * (1 - p) * x * x) AS h2 FROM p{k}),
+c{k + 1} AS MATERIALIZED (SELECT a - (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b - (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM c{k}, h{k})""")
+    return ", ".join(out)
+
+
+@query(f"""WITH {CANDIDATES}, xy AS (SELECT x_m / 50 AS x, CASE WHEN score > 38000 * (x_m / 50) * (0.5 + y_m / 10) THEN 1.0 ELSE 0.0 END AS y FROM cand), {_logit_sql(10)}
+SELECT c.key, round(1 / (1 + exp(-(a + b * c.x_m / 50))), 6) AS p FROM cand c, c10""")
+def platt_newton(spark, sf):
+    d = candidates(spark, sf).withColumn("x", F.col("x_m") / 50).withColumn("y", (F.col("score") > 38000 * (F.col("x_m") / 50) * (0.5 + F.col("y_m") / 10)).cast("double"))
+    model = FT.logistic(d, ["x"], "y")
+    return d.select("key", r6(FT.logistic_score(model, ["x"])).alias("p"))
+
+
+RIDGE = """m AS (SELECT count(*) AS n, avg(t) AS my, avg(x) AS mx, avg(z) AS mz, stddev_pop(x) AS sx, stddev_pop(z) AS sz, covar_pop(x, t) AS cx, covar_pop(z, t) AS cz, covar_pop(x, z) AS xz FROM f),
+w AS (SELECT *, n + 1.0 AS d, n * xz / (sx * sz) AS o, n * cx / sx AS bx, n * cz / sz AS bz FROM m), s AS (SELECT *, (d * bx - o * bz) / (d * d - o * o) AS wx, (d * bz - o * bx) / (d * d - o * o) AS wz FROM w)"""
+
+
+@query(f"""WITH {CANDIDATES}, f AS (SELECT key, x_m AS x, z_m AS z, ln(1 + abs(x_m - 5 * y_m)) AS t FROM cand), {RIDGE}
+SELECT key, round(least(greatest(exp(my + wx * (x - mx) / sx + wz * (z - mz) / sz) - 1, 1), 30), 6) AS predicted_sigma_m FROM f, s""")
+def candidate_uncertainty(spark, sf):
+    d = candidates(spark, sf).withColumn("e", F.abs(F.col("x_m") - 5 * F.col("y_m")))
+    return rounded(FT.candidate_sigma(d, ["x_m", "z_m"], "e").select("key", "predicted_sigma_m"), "predicted_sigma_m")
+
+
+@query(f"""WITH {CANDIDATES}, f AS (SELECT key, x_m AS x, z_m AS z, ln(pow(x_m - 5 * y_m, 2) + 1e-6) AS t FROM cand), {RIDGE} SELECT key, round(exp((my + wx * (x - mx) / sx + wz * (z - mz) / sz) / 2), 6) AS noise_std FROM f, s""")
+def heteroscedastic_noise(spark, sf):
+    d = candidates(spark, sf).withColumn("e", F.col("x_m") - 5 * F.col("y_m"))
+    return rounded(FT.noise_scale(d, ["x_m", "z_m"], "e").select("key", "noise_std"), "noise_std")
+
+
+@query(f"""WITH {CANDIDATES}, o AS (SELECT sequence_id AS g, count(*) AS n, sum(x_m - 5 * y_m) AS s, sum((x_m - 5 * y_m) ** 2) AS q FROM cand GROUP BY 1), t AS (SELECT sum(n) AS tn, sum(s) AS ts FROM o), st(k) AS (VALUES (0.0::DOUBLE), (10.0), (1000.0), (100000.0)),
+i AS (SELECT h.g AS h, k, avg(sqrt((v.q - 2 * b * v.s + v.n * b * b) / v.n)) AS r FROM (SELECT v.g, v.n, v.s, v.q, h.g AS hg, k, (ts - v.s - h.s) / (tn - v.n - h.n + k) AS b FROM o v, o h, t, st WHERE v.g <> h.g) v JOIN o h ON h.g = v.hg GROUP BY 1, 2),
+c AS (SELECT h, k, r FROM i QUALIFY row_number() OVER (PARTITION BY h ORDER BY r, k) = 1)
+SELECT g AS sequence_id, k AS strength, round(r, 6) AS inner_rmse, round((ts - s) / (tn - n + k), 6) AS correction, round(sqrt((q - 2 * (ts - s) / (tn - n + k) * s + n * ((ts - s) / (tn - n + k)) ** 2) / n), 6) AS heldout_rmse FROM o JOIN c ON c.h = o.g, t""")
+def nested_heldout_tuning(spark, sf):
+    d = candidates(spark, sf).withColumn("e", F.col("x_m") - 5 * F.col("y_m"))
+    return rounded(FT.nested_holdout(d, "sequence_id", "e", [0.0, 10.0, 1000.0, 100000.0]).drop("raw_rmse"), "inner_rmse", "correction", "heldout_rmse")
