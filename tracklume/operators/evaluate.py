@@ -221,3 +221,20 @@ def candidate_pools(pools: DataFrame, reference: DataFrame, names: list[str], to
     every = frames.withColumn("pool", F.explode(F.array(*[F.lit(n) for n in names])))
     d = every.join(f, ["pool", "sequence_id", "time_s"], "left")
     return d.withColumn("absent", F.col("best").isNull()).withColumn("delta", F.col("best") - F.col("reference_error"))
+
+
+def relabelled(results: DataFrame, source: DataFrame, mode: str = "by-key", max_delta: float | None = None) -> DataFrame:
+    """results (sequence_id, time_s, key, label) with ``source_label`` and ``source_delta_s`` of another table (sequence_id, time_s, key, label).
+
+    ``by-key``: the row of the same sequence and time (of several, the one of the greatest key); ``by-nearest-time``: the nearest row of the sequence, within
+    ``max_delta`` if that is given (ties: the earlier); ``by-sequence-majority``: the sequence's commonest label (ties: the first).
+    """
+    if mode == "by-sequence-majority":
+        m = G.class_vote(source, ["sequence_id"], "label", F.lit(1.0)).select("sequence_id", F.col("label").alias("source_label"))
+        return results.join(m, "sequence_id", "left").withColumn("source_delta_s", F.lit(None).cast("double"))
+    if mode not in ("by-key", "by-nearest-time"):
+        raise ValueError(f"unknown mode {mode!r}")
+    d = asof_nearest(results, source.select("sequence_id", "time_s", F.col("label").alias("other"), "key"), ["sequence_id"], payload=["other", "key"], order="key", tolerance=0.0 if mode == "by-key" else None)
+    delta = F.col("match.t") - F.col("time_s")
+    label = F.col("match.other") if max_delta is None else F.when(F.abs(delta) <= max_delta, F.col("match.other"))
+    return d.withColumn("source_label", label).withColumn("source_delta_s", delta).drop("match")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import brackets
+
 
 def weighted_mean(df: DataFrame, keys: list[str], values: list[str], weight: str = "weight") -> DataFrame:
     w = F.col(weight)
@@ -70,3 +72,30 @@ def temporal_spikes(df: DataFrame, keys: list[str], order: list[str], value: str
     fast = (F.abs(v - F.col("_p")) > max_speed * (t - F.col("_tp"))) & (F.abs(F.col("_n") - v) > max_speed * (F.col("_tn") - t))
     spike = F.coalesce(fast & (F.abs(v - line) > max_residual), F.lit(False))
     return d.withColumn("spike", spike).withColumn("repaired", F.when(spike, line).otherwise(v)).drop("_p", "_n", "_tp", "_tn")
+
+
+def at_frames(frames: DataFrame, anchors: DataFrame, keys: list[str], axes: list[str], std_m: float, max_gap: float | None = None, max_speed: float | None = None, std_scale: float = 1.0, gap_std: float = 0.0, slices: int | None = None) -> DataFrame:
+    """Anchors of stable segments carried to frame times: (keys, time_s, key) -> frames with axes, interpolated, gap_s, nearest_dt_s, speed, std.
+
+    A frame needs anchors on both sides (or one at its time), no further apart than ``max_gap`` and no faster than ``max_speed``;
+    other frames go.  The variance of an interpolated row is (std * scale)^2 + (gap_std * time to the nearest anchor)^2.
+    Anchors of one time: the one of the greatest ``key`` counts.
+    """
+    d = brackets(frames, anchors.select(*keys, "time_s", *axes, "key"), keys, payload=[*axes, "key"], order="key", slices=slices)
+    t0, t1, t = F.col("prev.t"), F.col("next.t"), F.col("time_s")
+    exact = F.coalesce(t0 == t, F.lit(False))
+    gap = F.when(~exact, t1 - t0)
+    far = F.sqrt(sum(((F.col(f"next.{a}") - F.col(f"prev.{a}")) * (F.col(f"next.{a}") - F.col(f"prev.{a}")) for a in axes), F.lit(0.0)))
+    d = d.withColumn("interpolated", ~exact).withColumn("gap_s", gap).withColumn("speed", F.when(~exact, far / gap)).withColumn("nearest_dt_s", F.when(exact, 0.0).otherwise(F.least(t - t0, t1 - t)))
+    keep = exact | (t0.isNotNull() & t1.isNotNull())
+    if max_gap is not None:
+        keep = keep & (exact | (F.col("gap_s") <= max_gap))
+    if max_speed is not None:
+        keep = keep & (exact | (F.col("speed") <= max_speed))
+    d = d.where(keep)
+    more = F.col("nearest_dt_s") * F.lit(gap_std)
+    std = F.when(exact, F.lit(float(std_m))).otherwise(F.sqrt(F.lit((std_m * std_scale) ** 2) + more * more))
+    share = (t - t0) / (t1 - t0)
+    at = {a: F.when(exact, F.col(f"prev.{a}")).otherwise(F.col(f"prev.{a}") + (F.col(f"next.{a}") - F.col(f"prev.{a}")) * share) for a in axes}
+    own = [c for c in frames.columns if c not in axes]
+    return d.select(*own, *[v.alias(a) for a, v in at.items()], "interpolated", "gap_s", "speed", "nearest_dt_s", std.alias("std_m"))

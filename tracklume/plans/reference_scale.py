@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..operators import association as AS
 from ..operators import banded
 from ..operators import components as N
+from ..operators import evaluate as E
 from ..operators import fits as FT
 from ..operators import joins as J
 from ..operators import kernels as K
@@ -17,8 +19,9 @@ from ..operators import select as S
 from ..operators import sketches as SK
 from ..operators import spread as SP
 from ..operators import tracking_scores as TS
+from ..operators import trajectories as T
 from ..operators import windows as W
-from .reference import PROBS, _clicks, _probabilities, longs, query, r6, rounded
+from .reference import BRACKET, PROBS, _clicks, _probabilities, longs, query, r6, rounded
 from .reference_more import _single, cv_sql
 from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, table, trajectories
 
@@ -369,3 +372,37 @@ SELECT g AS sequence_id, k AS strength, round(r, 6) AS inner_rmse, round((ts - s
 def nested_heldout_tuning(spark, sf):
     d = candidates(spark, sf).withColumn("e", F.col("x_m") - 5 * F.col("y_m"))
     return rounded(FT.nested_holdout(d, "sequence_id", "e", [0.0, 10.0, 1000.0, 100000.0]).drop("raw_rmse"), "inner_rmse", "correction", "heldout_rmse")
+
+
+# --- anchors at frame times, labels of another table, template snap, adaptive noise
+
+
+@query(f"""WITH {MEASUREMENTS}, {BRACKET}, a AS (SELECT *, t0 = time_s AS exact, t1 - t0 AS gap, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / (t1 - t0) AS speed FROM br WHERE t0 = time_s OR (t0 IS NOT NULL AND t1 IS NOT NULL))
+SELECT key, round(CASE WHEN exact THEN x0 ELSE x0 + (x1 - x0) * (time_s - t0) / (t1 - t0) END, 6) AS x_m, NOT exact AS interpolated, round(CASE WHEN exact THEN 5.0 ELSE sqrt(100 + (0.0001 * least(time_s - t0, t1 - time_s)) ** 2) END, 6) AS std_m
+FROM a WHERE exact OR (gap <= 400000 AND speed <= 0.001)""")
+def stable_segments_at_frames(spark, sf):
+    a, b = _clicks(spark, sf)
+    out = T.at_frames(a.select("sequence_id", "time_s", "key"), b, ["sequence_id"], ["x_m", "y_m"], 5.0, 400_000.0, 0.001, 2.0, 0.0001)
+    return rounded(out.select("key", "x_m", "interpolated", "std_m"), "x_m", "std_m")
+
+
+@query(f"""WITH {MEASUREMENTS}, {BRACKET} SELECT key, CASE WHEN abs(tm - time_s) <= 150000 THEN CASE WHEN xm > 50 THEN 'a' ELSE 'b' END END AS source_label, round(tm - time_s, 6) AS source_delta_s FROM near""")
+def relabel_by_nearest_time(spark, sf):
+    a, b = _clicks(spark, sf)
+    label = F.when(F.col("x_m") > 50, "a").otherwise("b")
+    out = E.relabelled(a.select("sequence_id", "time_s", "key"), b.withColumn("label", label), "by-nearest-time", 150_000.0)
+    return rounded(out.select("key", "source_label", "source_delta_s"), "source_delta_s")
+
+
+@query(f"""WITH {CANDIDATES}, l AS (SELECT sequence_id, time_s, max_by(candidate_branch, key) AS source_label FROM cand WHERE source = 'A' GROUP BY 1, 2) SELECT key, source_label FROM cand LEFT JOIN l USING (sequence_id, time_s) WHERE source <> 'A'""")
+def relabel_by_key(spark, sf):
+    c = candidates(spark, sf)
+    out = E.relabelled(c.where("source <> 'A'").select("sequence_id", "time_s", "key"), c.where("source = 'A'").withColumn("label", F.col("candidate_branch")), "by-key")
+    return out.select("key", "source_label")
+
+
+@query(f"""WITH {CANDIDATES}, f AS (SELECT sequence_id, time_s, avg(x_m * x_m / 850 + y_m * y_m / 35) / 2 AS ratio FROM cand GROUP BY 1, 2) SELECT sequence_id, time_s, round(least(greatest(pow(greatest(ratio, 1e-12), 0.5), 0.25), 4.0), 6) AS noise_scale FROM f""")
+def adaptive_noise_scale(spark, sf):
+    nis = F.col("x_m") * F.col("x_m") / 850 + F.col("y_m") * F.col("y_m") / 35
+    f = candidates(spark, sf).groupBy(*FRAME).agg((F.avg(nis) / 2).alias("ratio"))
+    return f.select(*FRAME, r6(AS.adaptive_scale(F.col("ratio"))).alias("noise_scale"))
