@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from ..operators import spread as SP
 from ..operators import tracking_scores as TS
 from ..operators import trajectories as T
 from ..operators import windows as W
+from ..operators.stored import shared_folder
+from ..sources.point_source import points_reader
 from .reference import BRACKET, PROBS, _clicks, _probabilities, longs, query, r6, rounded
 from .reference_more import _single, cv_sql
 from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, table, trajectories
@@ -406,3 +409,15 @@ def adaptive_noise_scale(spark, sf):
     nis = F.col("x_m") * F.col("x_m") / 850 + F.col("y_m") * F.col("y_m") / 35
     f = candidates(spark, sf).groupBy(*FRAME).agg((F.avg(nis) / 2).alias("ratio"))
     return f.select(*FRAME, r6(AS.adaptive_scale(F.col("ratio"))).alias("noise_scale"))
+
+
+# --- point files: written, and read by blocks
+
+
+@query(f"WITH {CANDIDATES} SELECT x_m, count(*) AS n, sum(y_m) AS y, sum(z_m) AS z FROM cand GROUP BY x_m")
+def point_files_by_blocks(spark, sf):
+    at = f"{shared_folder(spark)}/points_{uuid.uuid4().hex}"
+    points_reader(spark)
+    candidates(spark, sf).select("x_m", "y_m", "z_m").write.format("points").mode("append").save(at)
+    d = spark.read.format("points").schema("x_m double, y_m double, z_m double").option("block", 1 << 17).load(at)
+    return d.groupBy("x_m").agg(F.count(F.lit(1)).alias("n"), F.sum("y_m").alias("y"), F.sum("z_m").alias("z"))
