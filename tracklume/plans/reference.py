@@ -14,6 +14,7 @@ from ..operators import joins as J
 from ..operators import select as S
 from ..operators import trajectories as T
 from ..operators import windows as W
+from ..sources import readers
 from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, table, trajectories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,10 +75,12 @@ def _raw(spark, sf):
 
 
 @query(f"""WITH {RAW}
-SELECT key, CASE WHEN source IS NULL OR lower(trim(source)) IN ('', 'nan', 'none', '<na>', 'null', 'nat') THEN 'candidate' ELSE trim(source) END AS source,
-       TRY_CAST(x AS DOUBLE) AS x_m FROM raw WHERE isfinite(TRY_CAST(x AS DOUBLE))""")
+SELECT CAST(key AS VARCHAR) AS track_id, CASE WHEN source IS NULL OR lower(trim(source)) IN ('', 'nan', 'none', '<na>', 'null', 'nat') THEN 'candidate' ELSE trim(source) END AS source,
+       TRY_CAST(x AS DOUBLE) AS x_m, coalesce(time_ms / 1000.0, sec + nanosec / 1e9)::DOUBLE AS time_s, 'default' AS sequence_id, 1.0::DOUBLE AS confidence FROM raw WHERE isfinite(TRY_CAST(x AS DOUBLE))""")
 def normalize_candidates(spark, sf):
-    return _raw(spark, sf).select("key", parse.text_or(F.col("source"), "candidate").alias("source"), parse.finite(F.col("x")).alias("x_m")).where("x_m IS NOT NULL")
+    aliased = _raw(spark, sf).select(F.col("key").alias("ID"), F.col("source").alias("Sensor"), F.col("x").alias("East_M"), F.lit(" 2 ").alias("y"), F.lit("3.5").alias("position.z"), F.col("time_ms").alias("Timestamp_ms"), F.col("sec"), F.col("nanosec"))
+    out = readers.normalize_candidates(aliased, default_source="candidate", default_sequence="default")
+    return out.select("track_id", "source", "x_m", "time_s", "sequence_id", "confidence")
 
 
 @query(f"WITH {RAW} SELECT key, coalesce(time_ms / 1000.0, sec + nanosec / 1e9)::DOUBLE AS time_s FROM raw")
@@ -227,13 +230,13 @@ def temporal_consensus(spark, sf):
     return rounded(J.temporal_support(candidates(spark, sf), 2.0, 5.0).select("key", "backward_m", "forward_m"), "backward_m", "forward_m")
 
 
-@query(f"""WITH {MEASUREMENTS}, {CLICKS}, hit AS (SELECT c.key, b.x_m FROM click c JOIN buy b ON c.sequence_id = b.sequence_id AND abs(c.time_s - b.time_s) <= 50000)
-SELECT key, count(*) AS n, round(avg(x_m), 6) AS mean_x FROM hit GROUP BY key""")
+@query(f"""WITH {MEASUREMENTS}, {BRACKET}, hit AS (SELECT c.key, b.x_m FROM click c JOIN buy b ON c.sequence_id = b.sequence_id AND abs(c.time_s - b.time_s) <= 50000)
+SELECT key, false AS fallback, count(*) AS n, round(avg(x_m), 6) AS mean_x FROM hit GROUP BY key UNION ALL SELECT key, true, 1, round(xm, 6) FROM near WHERE tm IS NOT NULL AND key NOT IN (SELECT key FROM hit)""")
 def interval_join(spark, sf):
     a, b = _clicks(spark, sf)
     b = b.groupBy("sequence_id", "time_s").agg(F.max_by("x_m", "key").alias("x_m"), F.max("key").alias("key"))
-    d = J.interval_groups(a.select("sequence_id", "time_s", "key"), b, ["sequence_id"], 50_000.0).where("NOT fallback")
-    return d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x_m_r")).alias("mean_x"))
+    d = J.interval_groups(a.select("sequence_id", "time_s", "key"), b, ["sequence_id"], 50_000.0)
+    return d.groupBy("key", "fallback").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x_m_r")).alias("mean_x"))
 
 
 @query(f"""WITH {CANDIDATES} SELECT a.sequence_id, a.time_s, count(*) AS pairs, round(min(sqrt((a.x_m - b.x_m) ** 2 + (a.y_m - b.y_m) ** 2 + (a.z_m - b.z_m) ** 2)), 6) AS nearest_m

@@ -14,6 +14,7 @@ from ..operators import select as S
 from ..operators import sequence as Q
 from ..operators import trajectories as T
 from ..operators import windows as W
+from ..sources import sinks
 from .reference import BRACKET, CLICKS, STATS, SUMMARY, _clicks, longs, query, r6, rounded
 from .views import CANDIDATES, MEASUREMENTS, TRAJECTORIES, candidates, measurements, table, trajectories
 
@@ -261,11 +262,12 @@ def flight_phases(spark, sf):
     return d.select("key", phase.alias("phase"))
 
 
-@query("SELECT o_orderkey AS key, format('({:.2f}, {:.2f}, 0.00)', o_totalprice, -o_totalprice) AS position, CAST(o_custkey % 4 AS INT) AS classification FROM orders")
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS sequence, o_orderkey AS timestamp, '(' || o_totalprice || ', ' || -o_totalprice || ', 0.0)' AS position, CAST(CASE WHEN o_custkey % 4 = 3 THEN 2 ELSE o_custkey % 4 END AS INT) AS classification FROM orders""")
 def official_result_rows(spark, sf):
-    """The submission sink's rows."""
-    o = table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("key"), F.format_string("(%.2f, %.2f, 0.00)", "o_totalprice", -F.col("o_totalprice")).alias("position"), (F.col("o_custkey") % 4).cast("int").alias("classification"))
+    """The rows that the submission sink writes; a missing class is its default."""
+    o, k = table(spark, sf, "orders"), F.col("o_custkey") % 4
+    states = o.select(F.col("o_custkey").cast("string").alias("sequence_id"), F.col("o_orderkey").alias("time_s"), F.col("o_totalprice").alias("state_x_m"), (-F.col("o_totalprice")).alias("state_y_m"), F.lit(0.0).alias("state_z_m"), F.when(k < 3, k).alias("classification"))
+    return sinks.official_rows(states, 2).toDF("sequence", "timestamp", "position", "classification")
 
 
 @query("SELECT o_orderkey AS key, o_totalprice AS x, -1.5::DOUBLE AS z FROM orders")

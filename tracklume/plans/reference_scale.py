@@ -15,6 +15,7 @@ from ..operators import fits as FT
 from ..operators import joins as J
 from ..operators import kernels as K
 from ..operators import matching as MT
+from ..operators import repair as R
 from ..operators import scan
 from ..operators import select as S
 from ..operators import sketches as SK
@@ -421,3 +422,22 @@ def point_files_by_blocks(spark, sf):
     candidates(spark, sf).select("x_m", "y_m", "z_m").write.format("points").mode("append").save(at)
     d = spark.read.format("points").schema("x_m double, y_m double, z_m double").option("block", 1 << 17).load(at)
     return d.groupBy("x_m").agg(F.count(F.lit(1)).alias("n"), F.sum("y_m").alias("y"), F.sum("z_m").alias("z"))
+
+
+# --- results on a template's times
+
+SNAP = """tmpl AS (SELECT sequence_id, t::DOUBLE AS time_s FROM (SELECT sequence_id, unnest(range(CAST(floor(min(time_s) / 90) AS BIGINT), CAST(ceil(max(time_s) / 90) AS BIGINT) + 1)) * 90 AS t FROM traj GROUP BY 1)),
+own AS MATERIALIZED (SELECT sequence_id, time_s, max_by(x_m, key) AS x FROM traj WHERE CAST(sequence_id AS BIGINT) % 3 <> 0 GROUP BY 1, 2),
+pv AS (SELECT t.sequence_id, t.time_s, o.time_s AS t0, o.x AS x0 FROM tmpl t ASOF LEFT JOIN own o ON t.sequence_id = o.sequence_id AND t.time_s >= o.time_s), nx AS (SELECT t.sequence_id, t.time_s, o.time_s AS t1, o.x AS x1 FROM tmpl t ASOF LEFT JOIN own o ON t.sequence_id = o.sequence_id AND t.time_s < o.time_s),
+lab AS (SELECT sequence_id, source AS label FROM (SELECT sequence_id, source, count(*) AS n FROM traj WHERE CAST(sequence_id AS BIGINT) % 3 <> 0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY n DESC, source) = 1)"""
+
+
+@query(f"""WITH {TRAJECTORIES}, {SNAP} SELECT sequence_id, time_s, label, round(CASE WHEN t0 = time_s THEN x0 WHEN t0 IS NULL AND t1 IS NULL THEN 0 WHEN t0 IS NULL THEN x1 WHEN t1 IS NULL THEN x0 WHEN t1 - t0 > 200 THEN CASE WHEN time_s - t0 <= t1 - time_s THEN x0 ELSE x1 END ELSE x0 + (x1 - x0) * (time_s - t0) / (t1 - t0) END, 9) AS x_m,
+CASE WHEN t0 = time_s THEN 'exact' WHEN t0 IS NULL AND t1 IS NULL THEN 'empty' WHEN t0 IS NULL OR t1 IS NULL THEN 'held' WHEN t1 - t0 > 200 THEN 'nearest' ELSE 'linear' END AS mode FROM pv JOIN nx USING (sequence_id, time_s) LEFT JOIN lab USING (sequence_id)""")
+def template_snap(spark, sf):
+    """Results of two thirds of the sequences on a template of all: the rest has no results."""
+    t = trajectories(spark, sf)
+    g = t.groupBy("sequence_id").agg(F.floor(F.min("time_s") / 90).alias("a"), F.ceil(F.max("time_s") / 90).alias("b"))
+    grid = g.select("sequence_id", F.explode(F.sequence("a", "b")).alias("k")).select("sequence_id", (F.col("k") * 90).cast("double").alias("time_s"))
+    results = t.where(F.col("sequence_id").cast("long") % 3 != 0).withColumn("label", F.col("source"))
+    return rounded(R.snapped(results, grid, ["x_m"], 200.0).select("sequence_id", "time_s", "label", "x_m", "mode"), "x_m", n=9)
