@@ -148,3 +148,39 @@ def test_bad_detections_fail(spark, tmp_path, row):
     (tmp_path / "s.txt").write_text(row.replace("inf,", "Infinity,") + "\n")
     with pytest.raises(Exception):
         readers.read_detections(spark, str(tmp_path / "s.txt")).collect()
+
+
+def test_root_and_variants(spark, tmp_path):
+    top = tmp_path / "archive" / "v1" / "RF Sensor and Radar"
+    for name in ("Opt1/a.csv", "Opt1/a_rerun.csv", "Opt1/b_rerun.csv", "Opt1/radar_data.json", "Opt2/vehicleOut.txt", "Opt3/readme.md"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("x")
+    root = R.find_root(spark, str(tmp_path))
+    assert root.endswith("/archive/v1/RF Sensor and Radar") and R.find_root(spark, root) == root
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "empty").mkdir()
+        (tmp_path / "empty" / "x.csv").write_text("x")
+        R.find_root(spark, str(tmp_path / "empty"))
+    tail = lambda p: p and p.rsplit("/", 1)[-1]
+    of = lambda v: {r.flight: (tail(r.rf), r.rf_variant, tail(r.radar), tail(r.truth)) for r in R.discover_flights(spark, root, v).collect()}
+    assert of("auto") == {"Opt1": ("a_rerun.csv", "rerun", "radar_data.json", None), "Opt2": (None, None, None, "vehicleOut.txt")}
+    assert of("original")["Opt1"] == ("a.csv", "original", "radar_data.json", None) and of("rerun")["Opt1"] == ("a_rerun.csv", "rerun", None, None)
+    with pytest.raises(ValueError):
+        of("newest")
+
+
+def test_split_manifests(spark, tmp_path):
+    forms = {
+        "a.json": '{"Train": ["s1", 2, null, "nan"], "val": [{"Name": "s3"}]}',
+        "b.json": '{"version": 3, "splits": {"train": {"sequences": [{"sequence_id": "s1"}, {"id": "2"}]}, "val": {"s3": {"frames": 4}}}}',
+        "c.json": '{"sequences": [{"scene": "s1", "Subset": "train"}, {"scene": "2", "subset": "train"}, {"scene": "s3", "subset": "val"}, {"scene": "s4"}]}',
+        "d.yaml": "splits:\n  train: [s1, 2]\n  val:\n    - seq: s3\n",
+        "e.csv": "id,partition\ns1,train\n2, Train \ns3,val\n",
+    }
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text)
+        assert sorted(map(tuple, R.read_split_manifest(spark, str(tmp_path / name)).collect())) == [("2", "train"), ("s1", "train"), ("s3", "val")], name
+    for text in ("[]", '{"train": []}', "3"):
+        (tmp_path / "none.json").write_text(text)
+        with pytest.raises(ValueError):
+            R.read_split_manifest(spark, str(tmp_path / "none.json"))

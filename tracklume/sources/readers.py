@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, parse
+from ..operators import normalize
 
 TRUTH = "sample int, longitude double, latitude double, altitude_m double, attitude_raw string, velocity_raw string, battery double, timestamp_raw string, field9 string, field10 string"
 DETECTION = "frame_id int, object_id int, x1 double, y1 double, width double, height double, confidence double, class_id int, visibility double"
@@ -188,13 +191,106 @@ def verify_manifest(spark: SparkSession, path: str, expected: DataFrame) -> Data
     return d.select("path", status.alias("status"))
 
 
-def discover_flights(spark: SparkSession, path: str) -> DataFrame:
-    """Folders with an RF CSV, a radar JSON log or a truth text: one row per flight."""
+#: Names of a manifest's sequence, split and list fields, fields that are no splits, and texts that name nothing.
+SEQUENCE_FIELDS = ("sequence_id", "sequence", "seq", "scene", "scene_id", "id", "name")
+SPLIT_FIELDS = ("split", "subset", "partition", "fold", "set")
+LIST_FIELDS = ("sequence_ids", "sequences", "ids", "items", "sequence_names")
+ABOUT_FIELDS = ("schema", "version", "description", "metadata", "meta")
+NOTHING = ("", "nan", "none", "<na>", "nat")
+
+
+def _field(entry: dict, names: tuple) -> str | None:
+    """The first of these fields, in any case, that has a text or number."""
+    low = {str(k).lower(): v for k, v in entry.items()}
+    texts = (str(low[n]).strip() for n in names if isinstance(low.get(n), (str, int, float)) and not isinstance(low.get(n), bool))
+    return next((t for t in texts if t.lower() not in NOTHING), None)
+
+
+def _ids(values: object) -> list[str]:
+    """Sequence names in what stands under a split: a list of names or rows, a mapping by name, or an object with a list."""
+    if isinstance(values, dict):
+        if own := _field(values, SEQUENCE_FIELDS):
+            return [own]
+        low = {str(k).lower(): v for k, v in values.items()}
+        inner = next((low[n] for n in LIST_FIELDS if n in low), None)
+        if inner is not None:
+            return _ids(inner)
+        return [(_field(v, SEQUENCE_FIELDS) if isinstance(v, dict) else None) or str(k) for k, v in values.items() if str(k).lower() not in ABOUT_FIELDS]
+    if isinstance(values, list):
+        found = (_field(v, SEQUENCE_FIELDS) if isinstance(v, dict) else _field({"id": v}, ("id",)) for v in values)
+        return [f for f in found if f is not None]
+    return []
+
+
+def split_rows(payload: object) -> list[tuple[str, str]]:
+    """(sequence_id, split) of a manifest: rows with both fields, splits with their sequences, either of them under ``splits`` or ``sequences``."""
+    if isinstance(payload, list):
+        rows = [(_field(r, SEQUENCE_FIELDS), _field(r, SPLIT_FIELDS)) for r in payload if isinstance(r, dict)]
+        return list(dict.fromkeys((a, b) for a, b in rows if a is not None and b is not None))
+    if not isinstance(payload, dict):
+        return []
+    low = {str(k).lower(): v for k, v in payload.items()}
+    for inner in ([payload], low.get("splits"), low.get("sequences")):
+        if isinstance(inner, (list, dict)) and (found := split_rows(inner) if isinstance(inner, list) else _of_splits(inner)):
+            return found
+    return _of_splits(payload)
+
+
+def _of_splits(splits: dict) -> list[tuple[str, str]]:
+    return list(dict.fromkeys((i, str(k)) for k, v in splits.items() if str(k).lower() not in ABOUT_FIELDS for i in _ids(v)))
+
+
+def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest in CSV, JSON or YAML -> (sequence_id, split); a manifest is one small file.  One without any sequence fails."""
+    if path.lower().endswith((".json", ".yaml", ".yml")):
+        text = spark.read.text(path, wholetext=True).first()[0]
+        if path.lower().endswith(".json"):
+            payload = json.loads(text)
+        else:
+            import yaml
+
+            payload = yaml.safe_load(text)
+    else:
+        payload = [r.asDict() for r in stripped(spark.read.csv(path, header=True)).collect()]
+    rows = split_rows(payload)
+    if not rows:
+        raise ValueError(f"{path} names no sequences of a split")
+    return normalize.split_manifest(spark.createDataFrame(rows, "sequence_id string, split string"))
+
+
+#: Names of the folder that holds a data set's flights.
+ROOT_NAMES = ("RF Sensor and Radar", "RF_Sensor_and_Radar")
+
+
+def find_root(spark: SparkSession, path: str) -> str:
+    """The folder of one of ``ROOT_NAMES`` at or below a path: the shortest, then the first; it fails if no file lies in one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    names = "|".join(ROOT_NAMES)
+    root = F.regexp_extract("path", f"^(.*?/(?:{names}))/", 1)
+    found = files.select(root.alias("root")).where("root <> ''").agg(F.min(F.struct(F.length("root").alias("n"), "root"))).first()[0]
+    if found is None:
+        raise FileNotFoundError(f"no folder {ROOT_NAMES[0]!r} at or below {path}")
+    return found.root
+
+
+def discover_flights(spark: SparkSession, path: str, variant: str = "auto") -> DataFrame:
+    """Folders with an RF CSV, a radar JSON log or a truth text: one row per flight, with its files of a variant.
+
+    A file whose name has ``rerun`` is of that variant, any other of ``original``; ``auto`` takes reruns where there are some.
+    Of several files the first in the alphabet counts.  ``<kind>_variant`` says what was taken.
+    """
+    if variant not in ("auto", "original", "rerun"):
+        raise ValueError(f"unknown variant {variant!r}")
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)
     low = F.lower(name)
-    pick = lambda ok: F.min(F.when(ok, F.col("path")))
-    return d.groupBy(folder.alias("flight")).agg(pick(low.endswith(".csv")).alias("rf"), pick(low.rlike(r"\.(json|jsonl|ndjson)$")).alias("radar"), pick(low.endswith(".txt")).alias("truth")).where("rf IS NOT NULL OR radar IS NOT NULL OR truth IS NOT NULL")
+    again = low.contains("rerun")
+    kinds = {"rf": low.endswith(".csv"), "radar": low.rlike(r"\.(json|jsonl|ndjson)$"), "truth": low.endswith(".txt")}
+    wanted = F.lit(True) if variant == "auto" else again if variant == "rerun" else ~again
+    first = [F.min(F.when(ok & wanted, F.struct((~again).alias("o"), F.col("path")))).alias(k) for k, ok in kinds.items()]
+    g = d.groupBy(folder.alias("flight")).agg(*first, *[F.max(ok.cast("int")).alias(f"_{k}") for k, ok in kinds.items()]).where("_rf + _radar + _truth > 0")
+    kind = lambda k: F.when(F.col(f"{k}.o"), "original").when(~F.col(f"{k}.o"), "rerun").alias(f"{k}_variant")
+    return g.select("flight", *[F.col(f"{k}.path").alias(k) for k in kinds], *[kind(k) for k in kinds])
 
 
 def select_flight(flights: DataFrame, name: str) -> DataFrame:
