@@ -60,6 +60,43 @@ def _weighted(items: Column, axis: str, low: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, x: s + (x["score"] - low + 1) * x[axis])
 
 
+def center_statistics(rows: DataFrame, candidates: DataFrame, tolerance: float, top: int = 5, score: str = "score", axes: list[str] = AXES) -> DataFrame:
+    """rows (sequence_id, time_s, axes) with centres of the candidates within the tolerance, by falling score (then key): ``candidate_count``, ``top1_<axis>``,
+    score-weighted means of the best 5 and 10, the median of the best 10, the candidate nearest to the row, ``dispersion5``, ``top_score``, ``top_score_margin``.
+
+    Only the best 4 * ``top`` of a row are looked at; a negative or null score counts as 0; rows without candidates have nulls.
+    """
+    from .joins import band_join
+
+    fine = " AND ".join(f"{a} IS NOT NULL AND NOT isnan({a})" for a in (*axes, "time_s"))
+    c = candidates.where(fine).select("sequence_id", "time_s", "key", F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w"), *axes)
+    at = rows.select("sequence_id", "time_s", *axes)
+    near = band_join(at, c, ["sequence_id"], tolerance)
+    own = Window.partitionBy("sequence_id", "time_s")
+    near = near.withColumn("_i", F.row_number().over(own.orderBy(F.col("w_r").desc(), "key_r"))).withColumn("_n", F.count(F.lit(1)).over(own)).where(F.col("_i") <= 4 * top)
+    item = F.struct(F.col("_i").alias("i"), F.col("w_r").alias("w"), *[F.col(f"{a}_r").alias(a) for a in axes], F.sqrt(sum(((F.col(f"{a}_r") - F.col(a)) * (F.col(f"{a}_r") - F.col(a)) for a in axes), F.lit(0.0))).alias("d"))
+    g = near.groupBy("sequence_id", "time_s").agg(F.sort_array(F.collect_list(item)).alias("c"), F.first("_n").alias("candidate_count"))
+    five, ten = F.slice("c", 1, min(top, 5)), F.slice("c", 1, max(top, 10))
+    total = lambda items, f: F.aggregate(items, F.lit(0.0), lambda s, x: s + f(x))
+
+    def mean(items: Column, a: str) -> Column:
+        w = total(items, lambda x: x["w"])
+        return F.when(w > 1e-12, total(items, lambda x: x["w"] * x[a]) / w).otherwise(total(items, lambda x: x[a]) / F.size(items))
+
+    def median(a: str) -> Column:
+        v, n = F.sort_array(F.transform(F.slice("c", 1, 10), lambda x: x[a])), F.least(F.size("c"), F.lit(10))
+        return (F.get(v, ((n - 1) / 2).cast("int")) + F.get(v, (n / 2).cast("int"))) / 2
+
+    nearest = F.array_min(F.transform("c", lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"), x.alias("x"))))["x"]
+    g = g.withColumn("_near", nearest).select(
+        "sequence_id", "time_s", "c", "candidate_count", *[F.col("c")[0][a].alias(f"top1_{a}") for a in axes], *[mean(five, a).alias(f"weighted5_{a}") for a in axes], *[mean(ten, a).alias(f"weighted10_{a}") for a in axes],
+        *[median(a).alias(f"median10_{a}") for a in axes], *[F.col(f"_near.{a}").alias(f"nearest_{a}") for a in axes], F.col("c")[0]["w"].alias("top_score"), (F.col("c")[0]["w"] - F.coalesce(F.get("c", F.lit(1))["w"], F.lit(0.0))).alias("top_score_margin"),
+    )
+    far = total(F.slice("c", 1, 5), lambda x: F.sqrt(sum(((x[a] - F.col(f"weighted5_{a}")) * (x[a] - F.col(f"weighted5_{a}")) for a in axes), F.lit(0.0))))
+    g = g.withColumn("dispersion5", far / F.least(F.size("c"), F.lit(5))).drop("c")
+    return rows.join(g, ["sequence_id", "time_s"], "left")
+
+
 def candidate_pull(rows: DataFrame, weights: DataFrame, axes: list[str] = AXES) -> DataFrame:
     """Rows with top_<axis> move towards it: by alpha_xy in the first two axes, alpha_z in the third; weights are per sequence, none means 0."""
     d = rows.join(weights, "sequence_id", "left").fillna(0.0, ["alpha_xy", "alpha_z"])

@@ -441,3 +441,21 @@ def template_snap(spark, sf):
     grid = g.select("sequence_id", F.explode(F.sequence("a", "b")).alias("k")).select("sequence_id", (F.col("k") * 90).cast("double").alias("time_s"))
     results = t.where(F.col("sequence_id").cast("long") % 3 != 0).withColumn("label", F.col("source"))
     return rounded(R.snapped(results, grid, ["x_m"], 200.0).select("sequence_id", "time_s", "label", "x_m", "mode"), "x_m", n=9)
+
+
+# --- centres of candidates around result rows
+
+
+@query(f"""WITH {CANDIDATES}, f AS (SELECT sequence_id, time_s, avg(x_m) AS x, avg(y_m) AS y, avg(z_m) AS z FROM cand GROUP BY 1, 2),
+n AS MATERIALIZED (SELECT f.sequence_id, f.time_s, c.score, c.x_m, c.y_m, c.z_m, sqrt((c.x_m - f.x) ** 2 + (c.y_m - f.y) ** 2 + (c.z_m - f.z) ** 2) AS d, row_number() OVER w AS rn, count(*) OVER (PARTITION BY f.sequence_id, f.time_s) AS n
+  FROM f JOIN cand c ON c.sequence_id = f.sequence_id AND abs(c.time_s - f.time_s) <= 1 WINDOW w AS (PARTITION BY f.sequence_id, f.time_s ORDER BY c.score DESC, c.key)), k AS (SELECT * FROM n WHERE rn <= 20),
+g AS (SELECT sequence_id, time_s, any_value(n) AS candidate_count, sum(score * x_m) FILTER (rn <= 5) / sum(score) FILTER (rn <= 5) AS w5, sum(score * y_m) FILTER (rn <= 5) / sum(score) FILTER (rn <= 5) AS v5, sum(score * z_m) FILTER (rn <= 5) / sum(score) FILTER (rn <= 5) AS u5,
+  sum(score * x_m) FILTER (rn <= 10) / sum(score) FILTER (rn <= 10) AS w10, quantile_cont(x_m, 0.5) FILTER (rn <= 10) AS m10, arg_min(x_m, (d, rn)) AS nx, max(x_m) FILTER (rn = 1) AS t1, max(score) FILTER (rn = 1) - coalesce(max(score) FILTER (rn = 2), 0) AS margin FROM k GROUP BY 1, 2)
+SELECT sequence_id, time_s, any_value(candidate_count) AS candidate_count, any_value(t1) AS top1_x_m, round(any_value(w5), 6) AS weighted5_x_m, round(any_value(w10), 6) AS weighted10_x_m, any_value(m10) AS median10_x_m, any_value(nx) AS nearest_x_m, round(any_value(margin), 4) AS top_score_margin,
+  round(avg(sqrt((x_m - w5) ** 2 + (y_m - v5) ** 2 + (z_m - u5) ** 2)) FILTER (rn <= 5), 6) AS dispersion5 FROM k JOIN g USING (sequence_id, time_s) GROUP BY 1, 2""")
+def candidate_centers(spark, sf):
+    c = candidates(spark, sf)
+    rows = c.groupBy(*FRAME).agg(*[F.avg(a).alias(a) for a in ("x_m", "y_m", "z_m")])
+    out = R.center_statistics(rows, c, 1.0)
+    names = ("weighted5_x_m", "weighted10_x_m", "dispersion5")
+    return rounded(rounded(out.select(*FRAME, "candidate_count", "top1_x_m", *names, "median10_x_m", "nearest_x_m", "top_score_margin"), *names), "top_score_margin", n=4)
