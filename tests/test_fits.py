@@ -105,3 +105,35 @@ def test_time_order_is_checked_or_said_not_to_be(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 0.5), ("b", 1, 0.1)], "k string, i int, time_s double")
     by = lambda **how: {r.check: (r.value, r.ok) for r in evaluate.artifact_checks(df, ["time_s"], ["k"], **how).collect()}
     assert by()["time_order"] == (None, None) and by(ordinal="i")["time_order"] == (1.0, False) and by()["missing:time_s"] == (0.0, True)
+
+
+def test_speed_gate_and_local_fit(spark):
+    from tracklume.operators import repair
+
+    xs = [0.0, 1.0, 50.0, 3.0, 4.0, 90.0, 95.0, 7.0, 8.0]
+    rows = [("s", float(k), k, x, 2.0) for k, x in enumerate(xs)] + [("t", 0.0, 100, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sequence_id string, time_s double, key long, x_m double, y_m double")
+    got = {r.key: (r.outlier, r.replaced, r.x_m) for r in repair.speed_gated(df, ["sequence_id"], 5.0, ["x_m", "y_m"], max_gap=2.0).collect()}
+    assert got[2] == (True, True, 2.0) and got[3] == (False, False, 3.0) and got[100] == (False, False, 1.0)
+    # a pair of wild rows: neither is fast to the other side alone, so the test sees none; wider gates see them
+    assert [got[k][0] for k in range(9)] == [False, False, True, False, False, False, False, False, False]
+    fit = {r.key: r.x_m for r in repair.locally_fitted(df.where("key < 2 OR key = 100"), ["sequence_id"], 1, ["x_m"]).collect()}
+    assert fit[0] == pytest.approx(0.0) and fit[1] == pytest.approx(1.0) and fit[100] == 1.0
+
+
+def test_center_statistics(spark):
+    from tracklume.operators import repair
+
+    rng = np.random.default_rng(5)
+    c = [("s", float(t), k, float(w), *map(float, rng.normal(size=3) * 5)) for k, (t, w) in enumerate(zip(rng.integers(0, 3, 60), rng.random(60)))] + [("s", 0.0, 900, None, 0.0, 0.0, 0.0), ("s", 0.0, 901, 5.0, None, 0.0, 0.0)]
+    rows = [("s", 0.0, 0.0, 0.0, 0.0), ("s", 9.0, 1.0, 1.0, 1.0)]
+    got = {r.time_s: r for r in repair.center_statistics(spark.createDataFrame(rows, "sequence_id string, time_s double, x_m double, y_m double, z_m double"), spark.createDataFrame(c, "sequence_id string, time_s double, key long, score double, x_m double, y_m double, z_m double"), 0.5).collect()}
+    own = sorted(((-(r[3] or 0.0), r[2], r[4:]) for r in c if r[1] == 0.0 and r[4] is not None))
+    w, x = np.array([-o[0] for o in own][:20]), np.array([o[2] for o in own][:20])
+    g = got[0.0]
+    assert g.candidate_count == len(own) and got[9.0].candidate_count is None
+    five = (w[:5, None] * x[:5]).sum(0) / w[:5].sum()
+    assert np.allclose([g.weighted5_x_m, g.weighted5_y_m, g.weighted5_z_m], five) and np.isclose(g.median10_y_m, np.median(x[:10, 1]))
+    assert np.isclose(g.weighted10_z_m, (w[:10] * x[:10, 2]).sum() / w[:10].sum()) and np.isclose(g.dispersion5, np.linalg.norm(x[:5] - five, axis=1).mean())
+    near = x[np.linalg.norm(x, axis=1).argmin()]
+    assert np.allclose([g.nearest_x_m, g.nearest_y_m, g.nearest_z_m], near) and np.isclose(g.top_score_margin, w[0] - w[1])

@@ -60,6 +60,46 @@ def _weighted(items: Column, axis: str, low: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, x: s + (x["score"] - low + 1) * x[axis])
 
 
+def speed_gated(rows: DataFrame, keys: list[str], gate: float, axes: list[str] = AXES, replace: bool = True, max_gap: float | None = None) -> DataFrame:
+    """rows (keys, time_s, key, axes; times of a key differ) with ``outlier`` and ``replaced``.
+
+    A row between two others is an outlier if it is faster than the gate from the one and to the other, and further from the line between
+    them than half the gate times the shorter of its two gaps.  It is then put on the line between the nearest rows that are none, if they are
+    no further apart than ``max_gap``.
+    """
+    w = Window.partitionBy(*keys).orderBy("time_s", "key")
+    at = F.struct("time_s", *axes)
+    d = rows.withColumn("_p", F.lag(at).over(w)).withColumn("_q", F.lead(at).over(w))
+    t, t0, t1 = F.col("time_s"), F.col("_p.time_s"), F.col("_q.time_s")
+    norm = lambda f: F.sqrt(sum((f(a) * f(a) for a in axes), F.lit(0.0)))
+    left, right = F.greatest(t - t0, F.lit(1e-9)), F.greatest(t1 - t, F.lit(1e-9))
+    share = (t - t0) / F.greatest(t1 - t0, F.lit(1e-9))
+    off = norm(lambda a: F.col(a) - F.col(f"_p.{a}") - share * (F.col(f"_q.{a}") - F.col(f"_p.{a}")))
+    fast = (norm(lambda a: F.col(a) - F.col(f"_p.{a}")) / left > gate) & (norm(lambda a: F.col(f"_q.{a}") - F.col(a)) / right > gate)
+    d = d.withColumn("outlier", F.coalesce(fast & (off > 0.5 * gate * F.least(left, right)), F.lit(False)))
+    if not replace:
+        return d.withColumn("replaced", F.lit(False)).drop("_p", "_q")
+    good = F.when(~F.col("outlier"), at)
+    d = d.withColumn("_p", F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_q", F.first(good, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    gap = F.col("_q.time_s") - F.col("_p.time_s")
+    ok = F.col("outlier") & (gap > 0)
+    if max_gap is not None:
+        ok = ok & (gap <= max_gap)
+    d = d.withColumn("replaced", F.coalesce(ok, F.lit(False)))
+    share = (t - F.col("_p.time_s")) / gap
+    return d.withColumns({a: F.when(F.col("replaced"), F.col(f"_p.{a}") + share * (F.col(f"_q.{a}") - F.col(f"_p.{a}"))).otherwise(F.col(a)) for a in axes}).drop("_p", "_q")
+
+
+def locally_fitted(rows: DataFrame, keys: list[str], lag: int, axes: list[str] = AXES, blend: float = 1.0) -> DataFrame:
+    """rows (keys, time_s, axes) moved by ``blend`` to the line fitted to the rows within ``lag`` of their time; a row alone stays."""
+    w = Window.partitionBy(*keys).orderBy("time_s").rangeBetween(-lag, lag)
+    t = F.col("time_s")
+    n, mean_t, var_t = F.count(F.lit(1)).over(w), F.avg(t).over(w), F.var_pop(t).over(w)
+    fit = {a: F.when((n >= 2) & (var_t > 0), F.avg(a).over(w) + F.covar_pop("time_s", a).over(w) / var_t * (t - mean_t)).otherwise(F.col(a)) for a in axes}
+    out = rows.withColumns({f"_f_{a}": v for a, v in fit.items()})
+    return out.withColumns({a: (1 - blend) * F.col(a) + blend * F.col(f"_f_{a}") for a in axes}).drop(*[f"_f_{a}" for a in axes])
+
+
 def center_statistics(rows: DataFrame, candidates: DataFrame, tolerance: float, top: int = 5, score: str = "score", axes: list[str] = AXES) -> DataFrame:
     """rows (sequence_id, time_s, axes) with centres of the candidates within the tolerance, by falling score (then key): ``candidate_count``, ``top1_<axis>``,
     score-weighted means of the best 5 and 10, the median of the best 10, the candidate nearest to the row, ``dispersion5``, ``top_score``, ``top_score_margin``.

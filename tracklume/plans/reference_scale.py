@@ -459,3 +459,20 @@ def candidate_centers(spark, sf):
     out = R.center_statistics(rows, c, 1.0)
     names = ("weighted5_x_m", "weighted10_x_m", "dispersion5")
     return rounded(rounded(out.select(*FRAME, "candidate_count", "top1_x_m", *names, "median10_x_m", "nearest_x_m", "top_score_margin"), *names), "top_score_margin", n=4)
+
+
+# --- speed gate and local fit
+
+_ONE = "one AS (SELECT sequence_id, time_s, key, x_m FROM traj QUALIFY row_number() OVER (PARTITION BY sequence_id, time_s ORDER BY key DESC) = 1)"
+
+
+@query(f"""WITH {TRAJECTORIES}, {_ONE}, nb AS (SELECT *, lag(time_s) OVER w AS t0, lag(x_m) OVER w AS x0, lead(time_s) OVER w AS t1, lead(x_m) OVER w AS x1 FROM one WINDOW w AS (PARTITION BY sequence_id ORDER BY time_s)),
+o AS (SELECT *, coalesce(abs(x_m - x0) / (time_s - t0) > 1 AND abs(x1 - x_m) / (t1 - time_s) > 1 AND abs(x_m - x0 - (time_s - t0) / (t1 - t0) * (x1 - x0)) > 0.5 * least(time_s - t0, t1 - time_s), false) AS outlier FROM nb),
+g AS (SELECT *, last_value(CASE WHEN NOT outlier THEN time_s END IGNORE NULLS) OVER b AS pt, last_value(CASE WHEN NOT outlier THEN x_m END IGNORE NULLS) OVER b AS px, first_value(CASE WHEN NOT outlier THEN time_s END IGNORE NULLS) OVER a AS qt, first_value(CASE WHEN NOT outlier THEN x_m END IGNORE NULLS) OVER a AS qx FROM o
+  WINDOW b AS (PARTITION BY sequence_id ORDER BY time_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY sequence_id ORDER BY time_s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT *, coalesce(outlier AND qt - pt <= 300, false) AS replaced FROM g), v AS (SELECT sequence_id, time_s, key, outlier, replaced, CASE WHEN replaced THEN px + (time_s - pt) / (qt - pt) * (qx - px) ELSE x_m END AS x FROM r)
+SELECT key, outlier, replaced, round(CASE WHEN count(*) OVER w >= 2 AND var_pop(time_s) OVER w > 0 THEN avg(x) OVER w + covar_pop(x, time_s) OVER w / var_pop(time_s) OVER w * (time_s - avg(time_s) OVER w) ELSE x END, 7) AS x_m
+FROM v WINDOW w AS (PARTITION BY sequence_id ORDER BY time_s RANGE BETWEEN 120 PRECEDING AND 120 FOLLOWING)""")
+def speed_gated_smoothing(spark, sf):
+    d = R.speed_gated(_single(spark, sf).select("sequence_id", "time_s", "key", "x_m"), ["sequence_id"], 1.0, ["x_m"], max_gap=300.0)
+    return R.locally_fitted(d, ["sequence_id"], 120, ["x_m"]).select("key", "outlier", "replaced", r6("x_m", 7).alias("x_m"))
