@@ -523,11 +523,6 @@ def assigned_temporal_support(spark, sf):
     return Q.assigned_support(candidates(spark, sf), 2.0, 5.0)
 
 
-@query()
-def rts_ensemble(spark, sf):
-    return Q.rts_ensemble(candidates(spark, sf).withColumn("weight", 1 + F.col("z_m")), FRAME, ["x_m", "y_m", "z_m"], 10.0, 5.0)
-
-
 @query()
 def robust_map_smoothing(spark, sf):
     return Q.robust_map(_single(spark, sf), ["x_m"], 1e4, 100.0, 200.0)

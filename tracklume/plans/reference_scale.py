@@ -63,20 +63,24 @@ def _long(spark, sf):
     return W.keep_last_time(trajectories(spark, sf).withColumn("sequence_id", F.col("phase")), ["sequence_id"], "time_s", "key")
 
 
-@query(f"WITH RECURSIVE {LONG}, {cv_sql(None)} SELECT sequence_id, key, round(x, 5) AS state_x_m, round(nis, 5) AS nis FROM kf")
-def cv_filter_scan(spark, sf):
-    d = scan.cv_filter(_long(spark, sf), ["x_m"], 25.0, 0.5, slices=16, least=100)
-    return d.select("sequence_id", "key", r6("state_x_m", 5).alias("state_x_m"), r6("nis", 5).alias("nis"))
-
-
-@query(f"""WITH RECURSIVE {LONG}, {cv_sql(None)}, sm AS (
+#: The smoother as a recursion over the filter's rows.
+SMOOTH = """sm AS (
   SELECT sequence_id, i, key, time_s, x, v FROM kf WHERE (sequence_id, i) IN (SELECT (sequence_id, max(i)) FROM kf GROUP BY sequence_id)
   UNION ALL
   SELECT f.sequence_id, f.i, f.key, f.time_s, f.x + ((u0 * pc - f.b * pb) * dx + (f.b * pa - u0 * pb) * dv) / det, f.v + ((u1 * pc - f.c * pb) * dx + (f.c * pa - u1 * pb) * dv) / det
   FROM (SELECT *, pa * pc - pb * pb AS det, a + dt * b AS u0, b + dt * c AS u1, nx - x - dt * v AS dx, nv - v AS dv FROM (
     SELECT f.*, s.time_s - f.time_s AS dt, s.x AS nx, s.v AS nv, f.a + 2 * (s.time_s - f.time_s) * f.b + (s.time_s - f.time_s) ** 2 * f.c + 0.25 * (s.time_s - f.time_s) ** 3 / 3 + 1e-12 AS pa,
            f.b + (s.time_s - f.time_s) * f.c + 0.25 * (s.time_s - f.time_s) ** 2 / 2 AS pb, f.c + 0.25 * (s.time_s - f.time_s) + 1e-12 AS pc
-    FROM sm s JOIN kf f ON f.sequence_id = s.sequence_id AND f.i = s.i - 1)) f)
+    FROM sm s JOIN kf f ON f.sequence_id = s.sequence_id AND f.i = s.i - 1)) f)"""
+
+
+@query(f"WITH RECURSIVE {LONG}, {cv_sql(None)} SELECT sequence_id, key, round(x, 5) AS state_x_m, round(nis, 5) AS nis FROM kf")
+def cv_filter_scan(spark, sf):
+    d = scan.cv_filter(_long(spark, sf), ["x_m"], 25.0, 0.5, slices=16, least=100)
+    return d.select("sequence_id", "key", r6("state_x_m", 5).alias("state_x_m"), r6("nis", 5).alias("nis"))
+
+
+@query(f"""WITH RECURSIVE {LONG}, {cv_sql(None)}, {SMOOTH}
 SELECT sequence_id, key, round(x, 4) AS state_x_m FROM sm""")
 def cv_smooth_scan(spark, sf):
     return scan.cv_smooth(_long(spark, sf), ["x_m"], 25.0, 0.5, slices=16, least=100).select("sequence_id", "key", r6("state_x_m", 4).alias("state_x_m"))
@@ -476,3 +480,17 @@ FROM v WINDOW w AS (PARTITION BY sequence_id ORDER BY time_s RANGE BETWEEN 120 P
 def speed_gated_smoothing(spark, sf):
     d = R.speed_gated(_single(spark, sf).select("sequence_id", "time_s", "key", "x_m"), ["sequence_id"], 1.0, ["x_m"], max_gap=300.0)
     return R.locally_fitted(d, ["sequence_id"], 120, ["x_m"]).select("key", "outlier", "replaced", r6("x_m", 7).alias("x_m"))
+
+
+# --- ensembles of one time, then the smoother
+
+#: The same recursions for another noise: std 10, acceleration 5.
+_ENSEMBLE = f"{cv_sql(None)}, {SMOOTH}".replace("625.0", "100.0").replace("0.25", "25.0")
+
+
+@query(f"""WITH RECURSIVE {CANDIDATES}, traj AS (SELECT sequence_id, time_s, min(key) AS key, sum((1 + z_m) * x_m) / sum(1 + z_m) AS x_m FROM cand GROUP BY 1, 2), {_ENSEMBLE}
+SELECT sequence_id, time_s, round(x, 5) AS state_x_m FROM sm""")
+def rts_ensemble(spark, sf):
+    c, w = candidates(spark, sf), 1 + F.col("z_m")
+    mean = c.groupBy(*FRAME).agg((F.sum(w * F.col("x_m")) / F.sum(w)).alias("x_m"), F.min("key").alias("key"))
+    return scan.cv_smooth(mean, ["x_m"], 10.0, 5.0, slices=16, least=1000).select(*FRAME, r6("state_x_m", 5).alias("state_x_m"))
