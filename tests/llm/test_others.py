@@ -286,6 +286,19 @@ def test_url_rules(spark):
     assert by[10][2:] == (None, "allow") and by[11][:3] == ("x.com", "", None) and by[12][0] == "y:" and by[13][2] is None
 
 
+def test_standing_rules_are_those_of_the_contract(spark):
+    """Each rule's word, alone and beside the longer rule within it."""
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {host + path: verdict for verdict, host, path in url_filter.RULES} == contract
+    urls = {"http://x.com/en/7": "com/en/", "http://www.example.com/en/7": "example.com/en/7", "http://example.com/en/8": "com/en/", "http://x.net/de/8": "net/de/", "http://example.net/de/7": "net/de/", "http://example.net/de/88": "example.net/de/8", "http://example.org/es/": "org/es/"}
+    # labels that would block every page: a rule of the contract comes first
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(list(urls) * 20)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(20 * len(urls))], "doc_id long, quality int, toxic int")
+    got = url_filter.filter_urls(pages, labels).collect()
+    want = {i: (r, contract[r]) for i, r in enumerate(list(urls.values()) * 20)}
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == want
+
+
 def test_mined_rules(spark):
     rnd = random.Random(2)
     rows, labels = [], []
