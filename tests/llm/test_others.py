@@ -537,3 +537,97 @@ def test_html_matching_is_the_largest():
         assert html_extract._matched(a, b) == len(pairs) <= size(a, b)
         assert len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == len(pairs) and all(p.tag == q.tag for p, q in pairs)
         assert len(pairs) >= 0.9 * size(a, b)  # runs of one structure are matched one by one
+
+
+def in_order(weight, n, m):
+    """Totals and pairs of the heaviest matching in order, cell by cell."""
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            t[i + 1][j + 1] = max(t[i][j] + weight(i, j), t[i][j + 1], t[i + 1][j])
+    i, j, pairs = n, m, []
+    while i and j:
+        if t[i][j] == t[i - 1][j]:
+            i -= 1
+        elif t[i][j] == t[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return t[n][m], pairs
+
+
+KINDS = ["<p>{}</p>", "<div><p>{}</p></div>", "<ul><li>{}</li></ul>"]
+
+
+def kinds(rnd, n):
+    """Numbers of KINDS, no two neighbours equal."""
+    out = [rnd.randrange(3)]
+    while len(out) < n:
+        out.append((out[-1] + rnd.randint(1, 2)) % 3)
+    return out
+
+
+@pytest.mark.parametrize("n", [30, 400])
+def test_html_matching_is_the_largest_at_any_size(n):
+    """Parents of few and of many kids (160,000 pairs and more) are matched by one rule: rows put in at both ends do not mislead it."""
+    rnd = random.Random(n)
+    common = kinds(rnd, n)
+    x = [0, *kinds(rnd, n // 2), *common, *kinds(rnd, n // 3), 1]
+    y = [1, *kinds(rnd, n // 3), *common, *kinds(rnd, n // 2), 2]
+    x, y = ([k for k, last in zip(z, [None, *z]) if k != last] for z in (x, y))
+    a, b = (html_extract._tree("".join(KINDS[k].format(f"t{i}") for i, k in enumerate(z))) for z in (x, y))
+    want, _ = in_order(lambda i, j: (x[i] == y[j]) * (1 + (x[i] > 0)), len(x), len(y))
+    assert len(html_extract._aligned(a, b)) == html_extract._matched(a, b) == 1 + want
+
+
+@pytest.mark.parametrize("n", [12, 400])
+def test_html_template_is_found_at_any_size(n):
+    """A box that all pages share is template in short and in long articles."""
+    common = kinds(random.Random(1), n)
+
+    def page(k):
+        rnd = random.Random(10 + k)
+        row = lambda kind: KINDS[kind].format(varied(rnd.random(), 4))
+        rows = [[row(kind) for kind in z] for z in ([k % 3, *kinds(rnd, 1 + k * n // 6)], common[: n // 2], common[n // 2 :], [*kinds(rnd, 1 + (2 - k) * n // 6), k % 3])]
+        return rows, "<article>" + "".join(rows[0] + rows[1]) + "<section><p>Get our letter</p></section>" + "".join(rows[2] + rows[3]) + "</article>"
+
+    own, others = page(1), [html_extract._tree(page(k)[1]) for k in (0, 2)]
+    got = html_extract.main_text(html_extract._tree(own[1]), others)
+    assert got.split("\n") == [re.sub("<[^>]*>", "", row) for part in own[0] for row in part]
+
+
+def test_html_sizes_are_those_of_the_pairs():
+    """Trees of equal tags and sizes, but of other runs."""
+    a, b = html_extract._tree("<div></div><div></div><section></section>"), html_extract._tree("<div></div><section></section><section></section>")
+    assert html_extract._matched(a, b) == len(html_extract._aligned(a, b)) == 3
+
+
+def test_html_matching_by_parts(monkeypatch):
+    """Totals on few lines, whole lines of a wide row, and totals in arrays give the pairs of the plain table."""
+    rnd = np.random.default_rng(3)
+    for held, parts, n, m in [(12, 2, 40, 50), (12, 3, 61, 17), (50, 16, 33, 90), (40_000, 16, 30, 30), (40_000, 16, 14, 4500), (1000, 4, 9, 5000)]:
+        monkeypatch.setattr(html_extract, "HELD", held)
+        monkeypatch.setattr(html_extract, "PARTS", parts)
+        for most in (1, 7, 10**11):
+            sizes = rnd.integers(0, most, (5, 4), endpoint=True) * rnd.integers(0, 2, (5, 4))
+            (x, p), (y, q) = ((rnd.integers(0, k, z), rnd.integers(1, 4, z)) for k, z in ((5, n), (4, m)))
+            total, pairs = in_order(lambda i, j: int(sizes[x[i], y[j]] * min(p[i], q[j])), n, m)
+            got = html_extract._InOrder(sizes, (x, p), (y, q))
+            assert got.total() == total and got.pairs() == pairs
+
+
+def test_html_bounds_do_not_change_results(spark, monkeypatch):
+    """Hosts dealt over many tasks, sizes worked off one by one, totals in arrays: the texts and the pairs are the same."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", F.concat(F.lit("http://h/"), "page_id").alias("url"), "html")
+    rnd = random.Random(6)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rnd.choices(("div", "section", "ul"), k=rnd.randint(0, 5))) if depth else ""
+
+    trees = [(html_extract._tree(tree(3)), html_extract._tree(tree(3))) for _ in range(60)]
+    seen = lambda: (sorted(html_extract.extract(pages).collect()), [[(id(p), id(q)) for p, q in html_extract._aligned(a, b)] for a, b in trees])
+    want = seen()
+    for name, few in (("FEW", 2), ("HOT", 1000), ("MISSING", 1), ("FEW_PAIRS", 0), ("HELD", 4), ("PARTS", 2)):
+        monkeypatch.setattr(html_extract, name, few)
+    assert seen() == want

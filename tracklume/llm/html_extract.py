@@ -4,8 +4,8 @@ A page is parsed into a tree of block elements; inline elements belong to their
 block.  Per host a few reference pages are chosen (those of least hash, one in
 each slot: a bounded sample that each task folds before the shuffle), and every
 page is aligned with them by simple tree matching: the matching of two trees'
-children, in order, that pairs most nodes of equal tags; runs of kids of one structure are matched one by one, and
-very wide parents span by span (:class:`Matching`), so the work is bounded.  A node whose text stands at the
+children, in order, that pairs most nodes of equal tags; runs of kids of one structure are matched one by one.  Pages of
+any size are matched in this one way (:class:`Matching`); two parents' work is the product of their runs.  A node whose text stands at the
 aligned place of two or more references is template and goes; the other nodes are slots
 that vary.  That holds inside an ``article`` too, but there a reference that says mostly the same
 as the page is a copy of it and has no say, and a constant block of running text without attributes (a heading, a
@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,9 @@ SLOTS = 4
 HOT, FEW = 2000, 256
 #: References in which a node recurs at the aligned place; least share of a page's text that recurs in a copy.
 RECURS, COPY = 2, 0.6
-#: Pairs of kids' runs that are compared exactly: of one parent, of two pages; runs compared at once beyond that.
-WIDE, WORK, SPAN = 40_000, 1_000_000, 64
+#: Pairs of kids' runs whose totals are held at once, parts that a larger matching is cut into, missing sizes that are
+#: worked off at once, pairs from which on totals are taken in arrays: they bound memory and time and do not change a result.
+HELD, PARTS, MISSING, FEW_PAIRS = 40_000, 16, 10_000, 200
 
 # Element names of HTML and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,7 +76,7 @@ HOLDERS = frozenset("div section ul ol dl table td span figure header details fi
 
 
 class Node:
-    __slots__ = ("tag", "apart", "plain", "kids", "sign", "size")
+    __slots__ = ("tag", "apart", "plain", "kids", "sign", "shape", "size")
 
     def __init__(self, tag: str, apart: bool, plain: bool = False):
         self.tag, self.apart, self.plain, self.kids = tag, apart, plain, []
@@ -242,17 +245,19 @@ def _preorder(root: Node) -> list[Node]:
 
 
 def _signed(root: Node) -> None:
-    """Structure of each subtree (tags alone) and its number of nodes."""
+    """Structure of each subtree (tags alone; its shape counts repeated kids, its sign does not) and its number of nodes."""
     for node in reversed(_preorder(root)):
-        runs, last = [], None
+        runs, shapes, last = [], [], None
         node.size = 1
         for k in node.kids:
             if isinstance(k, Node):
                 node.size += k.size
+                shapes.append(k.shape)
                 if k.sign != last:
                     runs.append(k.sign)
                     last = k.sign
         node.sign = hash((node.tag, tuple(runs)))
+        node.shape = hash((node.tag, tuple(shapes)))
 
 
 def _runs(node: Node) -> list[list[Node]]:
@@ -278,91 +283,192 @@ def _trimmed(x: list, y: list) -> tuple[int, int]:
     return head, tail
 
 
-def _likely(x: list, y: list) -> list[tuple[int, int]]:
-    """Pairs (i, j) of two long lists of runs, in order: an exact matching of the next ``SPAN`` runs of each side by
-    structure and tag, of which the first half counts; then on from there.  The work grows with the length alone."""
-    out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        a, b = x[i : i + SPAN], y[j : j + SPAN]
-        m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for k in range(len(a) - 1, -1, -1):
-            p = a[k][0]
-            for n in range(len(b) - 1, -1, -1):
-                q = b[n][0]
-                w = (1 + p.size if p.sign == q.sign else 1) * min(len(a[k]), len(b[n])) if p.tag == q.tag else -1
-                m[k][n] = max(m[k + 1][n + 1] + w, m[k + 1][n], m[k][n + 1])
-        k = n = 0
-        ends = i + len(a) == len(x) and j + len(b) == len(y)
-        while k < len(a) and n < len(b) and (ends or (k < SPAN // 2 and n < SPAN // 2)):
-            if m[k][n] == m[k + 1][n]:
-                k += 1
-            elif m[k][n] == m[k][n + 1]:
-                n += 1
+class _InOrder:
+    """The heaviest matching, in order, of n and m runs.  A pair weighs ``sizes`` of its runs' kinds times the shorter run's length.
+
+    Totals are worked off row by row.  Of a matching beyond ``HELD`` pairs of runs only the totals on ``PARTS`` lines each way are
+    held, and the parts that the way back meets are worked off again, so memory grows with n + m.
+    """
+
+    def __init__(self, sizes: np.ndarray, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]):
+        self.sizes, (self.x, self.x_len), (self.y, self.y_len) = sizes, x, y
+        most = int((sizes.max(axis=1)[self.x] * self.x_len).sum())
+        self.kind = np.int32 if most < 1 << 31 else np.int64
+
+    def _rows(self, i0: int, i1: int, j0: int, j1: int, top: np.ndarray, left: np.ndarray):
+        """Totals of columns j0 + 1 to j1 after each row from i0 + 1 to i1, from those above and to the left.
+
+        Column c stands at [c % deep, c // deep], so that most of the running maximum is taken of whole lines.
+        """
+        m = j1 - j0
+        deep = min(12, 1 + m // 2048)
+        wide = -(-m // deep)
+
+        def laid(a: np.ndarray) -> np.ndarray:
+            if deep == 1:
+                return a.astype(self.kind).reshape(1, m)
+            return np.ascontiguousarray(np.pad(a, (0, deep * wide - m), "edge").reshape(wide, deep).T.astype(self.kind))
+
+        kinds, lens, known = self.y[j0:j1], self.y_len[j0:j1], {}
+        row, new = laid(top[1:]), np.empty((deep, wide), self.kind)
+        for i in range(i0, i1):
+            at = (self.x[i], self.x_len[i])
+            if at not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[at] = laid(self.sizes[at[0]][kinds] * np.minimum(at[1], lens))
+            w = known[at]
+            np.add(row[:-1], w[1:], out=new[1:])
+            np.add(row[-1, :-1], w[0, 1:], out=new[0, 1:])
+            new[0, 0] = max(left[i - i0] + w[0, 0], left[i - i0 + 1])
+            np.maximum(new, row, out=new)
+            for k in range(1, deep):
+                np.maximum(new[k], new[k - 1], out=new[k])
+            last = np.maximum.accumulate(new[-1])
+            if deep > 1:
+                np.maximum(new[:, 1:], last[:-1], out=new[:, 1:])
             else:
-                out.append((i + k, j + n))
-                k, n = k + 1, n + 1
-        i, j = i + k, j + n
-    return out
+                new[0] = last
+            yield new
+            row, new = new, row
+
+    def total(self) -> int:
+        n, m = len(self.x), len(self.y)
+        for row in self._rows(0, n, 0, m, np.zeros(m + 1, self.kind), np.zeros(n + 1, self.kind)):
+            pass
+        return int(row[-1, -1])  # the last column is repeated up to the end
+
+    def pairs(self) -> list[tuple[int, int]]:
+        n, m = len(self.x), len(self.y)
+        out: list[tuple[int, int]] = []
+        self._back(0, n, 0, m, np.zeros(m + 1, self.kind), np.zeros(n + 1, self.kind), out)
+        return out
+
+    def _back(self, i0: int, i1: int, j0: int, j1: int, top: np.ndarray, left: np.ndarray, out: list) -> tuple[int, int]:
+        """Append the pairs on the way back from (i1, j1); where it meets row i0 or column j0."""
+        n, m, i, j = i1 - i0, j1 - j0, i1, j1
+        if n * m <= HELD or max(n, m) <= PARTS:
+            rows = [top.tolist()]
+            for k, row in enumerate(self._rows(i0, i1, j0, j1, top, left), 1):
+                rows.append([int(left[k]), *row.T.ravel()[:m].tolist()])
+            while i > i0 and j > j0:
+                here = rows[i - i0][j - j0]
+                if here == rows[i - i0 - 1][j - j0]:
+                    i -= 1
+                elif here == rows[i - i0][j - j0 - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+            return i, j
+        tall, wide = -(-n // PARTS), -(-m // PARTS)
+        at = np.arange(wide, m, wide) - 1  # columns of the lines, as the rows count them
+        lines, sides = [top], np.empty((n + 1, 1 + len(at)), self.kind)
+        sides[:, 0], sides[0, 1:] = left, top[at + 1]
+        for k, row in enumerate(self._rows(i0, i1, j0, j1, top, left), 1):
+            sides[k, 1:] = row[at % len(row), at // len(row)]
+            if k % tall == 0:
+                lines.append(np.concatenate([left[k : k + 1], row.T.ravel()[:m]]))
+        while i > i0 and j > j0:
+            a, b = (i - 1 - i0) // tall, (j - 1 - j0) // wide
+            i, j = self._back(i0 + a * tall, i, j0 + b * wide, j, lines[a][b * wide : j - j0 + 1], sides[a * tall : i - i0 + 1, b], out)
+        return i, j
 
 
 class Matching:
     """Simple tree matching of a page and a reference: sizes of the largest matchings of node pairs, and its pairs.
 
-    Runs of one structure are matched one by one.  Kids are matched exactly by dynamic programming while the
-    pairs of runs met so far are at most ``WORK``; then, and in parents of over ``WIDE`` pairs, by spans (:func:`_likely`).
+    Runs of one structure are matched one by one, all others by :class:`_InOrder`.  A size depends on the two shapes alone
+    and is worked out once for them; ``table`` holds it by shape and by the other shape's number.
     """
 
     def __init__(self):
-        self.known: dict[tuple[int, int], int] = {}
-        self.chosen: dict[tuple[int, int], list] = {}
-        self.work = 0
-
-    def _middle(self, p: Node, q: Node):
-        """(pairs of runs at both ends, runs between them, pairs chosen of those where they are too many)."""
-        x, y = _runs(p), _runs(q)
+        self.number: dict[int, int] = {}
+        self.table: dict[int, array] = {}
+        self.runs: dict[int, list] = {}
+
+    def _known(self, p: Node, q: Node) -> int:
+        """Nodes in the matching of two trees of equal tags, 0 if not known yet."""
+        if p.size == 1 or q.size == 1:
+            return 1
+        if p.shape == q.shape:
+            return p.size
+        row, j = self.table.get(p.shape, ()), self.number.get(q.shape, len(self.number))
+        return row[j] if j < len(row) else 0
+
+    def _learn(self, p: Node, q: Node, size: int) -> None:
+        row, j = self.table.setdefault(p.shape, array("q")), self.number.setdefault(q.shape, len(self.number))
+        if j >= len(row):
+            row.extend([0] * (len(self.number) - len(row)))
+        row[j] = size
+
+    def _like(self, node: Node) -> list[list[Node]]:
+        """Runs of some node of that shape: enough for sizes."""
+        if node.shape not in self.runs:
+            self.runs[node.shape] = _runs(node)
+        return self.runs[node.shape]
+
+    @staticmethod
+    def _middle(x: list, y: list):
+        """Pairs of runs at both ends, and the runs between them that have one of their tag on the other side."""
         head, tail = _trimmed(x, y)
         ends = [(x[i], y[i]) for i in range(head)] + [(x[-1 - i], y[-1 - i]) for i in range(tail)]
         x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-        at = (id(p), id(q))
-        if at not in self.chosen:
-            n = len(x) * len(y)
-            wide = n > WIDE or self.work + n > WORK
-            self.work += 0 if wide else n
-            self.chosen[at] = _likely(x, y) if wide else None
-        if self.chosen[at] is not None:
-            return ends + [(x[i], y[j]) for i, j in self.chosen[at]], [], []
-        return ends, x, y
+        if not x or not y:
+            return ends, [], []
+        tags = {r[0].tag for r in x} & {t[0].tag for t in y}
+        return ends, [r for r in x if r[0].tag in tags], [t for t in y if t[0].tag in tags]
+
+    def _missing(self, ends: list, x: list, y: list) -> list[tuple[Node, Node]]:
+        """Some of the pairs whose sizes are needed and not known; none if all are known."""
+        out = [(r[0], t[0]) for r, t in ends if not self._known(r[0], t[0])]
+        kinds = {t[0].shape: t[0] for t in y}
+        for p in {r[0].shape: r[0] for r in x}.values():
+            out += [(p, q) for q in kinds.values() if p.tag == q.tag and not self._known(p, q)]
+            if len(out) >= MISSING:
+                break
+        return out
+
+    def _in_order(self, x: list, y: list) -> _InOrder:
+        def numbered(runs: list):
+            first = {r[0].shape: r[0] for r in runs}
+            number = {s: k for k, s in enumerate(first)}
+            return list(first.values()), (np.array([number[r[0].shape] for r in runs]), np.array([len(r) for r in runs]))
+
+        (p, kx), (q, ky) = numbered(x), numbered(y)
+        sizes = np.zeros((len(p), len(q)), np.int64)
+        for i, a in enumerate(p):
+            sizes[i] = [self._known(a, b) if a.tag == b.tag else 0 for b in q]
+        return _InOrder(sizes, kx, ky)
+
+    def _total(self, x: list, y: list) -> int:
+        if len(x) * len(y) > FEW_PAIRS:
+            return self._in_order(x, y).total()
+        row = [0] * (len(y) + 1)
+        for r in x:
+            p, n, new = r[0], len(r), [0]
+            for j, t in enumerate(y):
+                w = min(n, len(t)) * self._known(p, t[0]) if p.tag == t[0].tag else 0
+                new.append(max(row[j] + w, row[j + 1], new[j]))
+            row = new
+        return row[-1]
 
     def size(self, a: Node, b: Node) -> int:
         """Nodes in the matching of two trees; pairs below are worked off from a stack."""
-        known, todo = self.known, [(a, b)]
+        if a.tag != b.tag:
+            return 0
+        todo = [(a, b)]
         while todo:
             p, q = todo[-1]
-            at = (id(p), id(q))
-            if at in known:
+            if self._known(p, q):
                 todo.pop()
                 continue
-            if p.tag != q.tag:
-                known[at] = 0
-                continue
-            if p.sign == q.sign and p.size == q.size:
-                known[at] = p.size
-                continue
-            ends, x, y = self._middle(p, q)
-            need = [(r[0], t[0]) for r, t in ends] + [(r[0], t[0]) for r in x for t in y if r[0].tag == t[0].tag]
-            need = [(r, t) for r, t in need if (id(r), id(t)) not in known]
-            if need:
+            ends, x, y = self._middle(self._like(p), self._like(q))
+            if need := self._missing(ends, x, y):
                 todo += need
                 continue
-            row = [0] * (len(y) + 1)
-            for r in x:
-                new = [0]
-                for j, t in enumerate(y):
-                    w = min(len(r), len(t)) * known[id(r[0]), id(t[0])] if r[0].tag == t[0].tag else 0
-                    new.append(max(row[j] + w, row[j + 1], new[j]))
-                row = new
-            known[at] = 1 + sum(min(len(r), len(t)) * known[id(r[0]), id(t[0])] for r, t in ends) + row[-1]
-        return known[id(a), id(b)]
+            self._learn(p, q, 1 + sum(min(len(r), len(t)) * self._known(r[0], t[0]) for r, t in ends) + self._total(x, y))
+        return self._known(a, b)
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
         """The pairs of that matching."""
@@ -370,22 +476,17 @@ class Matching:
         while todo:
             p, q = todo.pop()
             pairs.append((p, q))
-            both, x, y = self._middle(p, q)
-            m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for i, r in enumerate(x):
-                for j, t in enumerate(y):
-                    w = min(len(r), len(t)) * self.size(r[0], t[0]) if r[0].tag == t[0].tag else 0
-                    m[i + 1][j + 1] = max(m[i][j] + w, m[i][j + 1], m[i + 1][j])
-            i, j = len(x), len(y)
-            while i and j:
-                if m[i][j] == m[i - 1][j]:
-                    i -= 1
-                elif m[i][j] == m[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    both.append((x[i], y[j]))
-            todo += [pair for r, t in both for pair in zip(r, t) if pair[0].tag == pair[1].tag]
+            if p.size == 1 or q.size == 1:
+                continue
+            both, x, y = self._middle(_runs(p), _runs(q))
+            if len(x) == len(y) == 1:
+                both += zip(x, y)
+            elif x:
+                while need := self._missing([], x, y):
+                    for r, t in need:
+                        self.size(r, t)
+                both += [(x[i], y[j]) for i, j in self._in_order(x, y).pairs()]
+            todo += [pair for r, t in both for pair in zip(r, t)]
         return pairs
 
 
