@@ -105,3 +105,15 @@ def test_elimination_equals_the_dense_solution(spark, cut, huber):
         want = kernels.regularized(np.array([r[1] for r in own]), np.array([r[3:] for r in own]), 3.0, np.inf if huber is None else huber, rounds=2)
         for r, x in zip(own, want):
             assert np.allclose(got[r[2]], x, rtol=1e-6, atol=1e-6), (s, r, got[r[2]], x)
+
+
+def _frames_to_the_end(df):
+    return "currentrow$(), unboundedfollowing$()" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interpolation_has_no_window_worked_out_anew_for_every_row(spark):
+    a = spark.createDataFrame([("p", float(k), k) for k in range(40)], "sequence_id string, time_s double, key long")
+    b = a.selectExpr("sequence_id", "time_s + 0.25 AS time_s", "time_s AS x_m")
+    d = joins.interpolated(a, b, ["sequence_id"], ["x_m"], slices=4, least=10)
+    assert not _frames_to_the_end(d)
+    assert {r.key: r.x_m_at for r in d.collect()} == {0: None, **{k: k - 0.25 for k in range(1, 40)}}

@@ -42,7 +42,8 @@ def brackets(left: DataFrame, right: DataFrame, keys: list[str], time: str = "ti
         parts.append("_slice")
     w = Window.partitionBy(*parts).orderBy(time, "_tag")
     prev = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*parts).orderBy(F.col(time).desc(), F.col("_tag").desc())  # running from the end: a frame up to the end is worked out anew for every row
+    nxt = F.last("_r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("prev", prev).withColumn("next", nxt).where("_tag = 1")
     if slices:
         of_right = F.when(F.col("_tag") == 0, F.col(time))
