@@ -117,3 +117,11 @@ def test_interpolation_has_no_window_worked_out_anew_for_every_row(spark):
     d = joins.interpolated(a, b, ["sequence_id"], ["x_m"], slices=4, least=10)
     assert not _frames_to_the_end(d)
     assert {r.key: r.x_m_at for r in d.collect()} == {0: None, **{k: k - 0.25 for k in range(1, 40)}}
+
+
+def test_nearest_match_has_no_window_worked_out_anew_for_every_row(spark):
+    a = spark.createDataFrame([("p", float(k), k) for k in range(40)], "sequence_id string, time_s double, key long")
+    b = a.where("key % 3 = 0").selectExpr("sequence_id", "time_s", "key AS other")
+    d = joins.asof_nearest(a, b, ["sequence_id"], payload=["other"], slices=4, least=10)
+    assert not _frames_to_the_end(d)
+    assert {r.key: r.match.other for r in d.collect()} == {k: min(39, k + (0, -1, 1)[k % 3]) for k in range(40)}
