@@ -64,3 +64,28 @@ def test_cross_sensor_clusters(spark):
                 w = [max(1.0 if r[7] is None else r[7], 1e-6) for r in own]
                 want.add((s, t, len(own), round(sum(a * r[4] for a, r in zip(w, own)) / sum(w), 6), round(sum(w), 6)))
     assert got == want
+
+
+def test_voxels_in_tasks_and_by_joins_are_the_same(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["s", "t", None]), f"k{k}", *(rnd.choice([None, float("nan"), *(rnd.uniform(-12, 12) for _ in range(30))]) for _ in range(3))) for k in range(300)]
+    df = spark.createDataFrame(rows, "sequence_id string, key string, x_m double, y_m double, z_m double")
+    got = [sorted((str(tuple(r)) for r in components.voxel_clusters(df, ["sequence_id"], 2.0, 3, few=few).collect())) for few in (0, 90, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 300 and sum("None)" not in r for r in got[0]) > 30
+
+
+def test_sensors_in_tasks_and_by_joins_are_the_same(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["p", "q", "q", None]), round(rnd.uniform(-9, 30), 1), rnd.choice(["A", "B", None]), k, *(round(rnd.uniform(0, 6), 1) for _ in range(3)), rnd.choice([None, 0.0, 1.0, 2.5])) for k in range(240)]
+    df = spark.createDataFrame([*rows, ("p", None, "A", 900, 1.0, 1.0, 1.0, 1.0), ("p", float("nan"), "B", 901, 1.0, 1.0, 1.0, 1.0)], "sequence_id string, time_s double, source string, key long, x_m double, y_m double, z_m double, score double")
+    fixed = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    for window in (0.0, 0.1, 0.7):
+        got = [sorted((fixed(r) for r in components.cross_sensor_clusters(df, window, 1.6, few=few).collect()), key=str) for few in (0, 60, 1000)]
+        assert got[0] == got[1] == got[2] and (len(got[0]) > 3 or window < 0.7)
+
+
+def test_small_frames_take_one_shuffle_of_their_rows(spark):
+    df = spark.range(200).selectExpr("CAST(id % 40 AS string) AS sequence_id", "CAST(id % 3 AS double) AS time_s", "CAST(id % 2 AS string) AS source", "id AS key", "CAST(id % 7 AS double) AS x_m", "1.0D AS y_m", "2.0D AS z_m", "1.0D AS score")
+    for out in (components.voxel_clusters(df, ["sequence_id", "time_s"], 1.0, 2), components.cross_sensor_clusters(df, 1.0, 2.0)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Generate explode(array" not in plan and "Join" not in plan
