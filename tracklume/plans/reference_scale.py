@@ -99,7 +99,7 @@ link AS MATERIALIZED (SELECT a.v AS a, b.v AS b FROM vox a JOIN vox b ON a.seque
 size AS (SELECT root, sum(n) AS points, min(least) AS cluster FROM vox JOIN root USING (v) GROUP BY root HAVING sum(n) >= 3)
 SELECT p.key, s.cluster, CAST(s.points AS BIGINT) AS points FROM p JOIN vox USING (sequence_id, time_s, cx, cy, cz) JOIN root USING (v) LEFT JOIN size s ON s.root = root.root""")
 def voxel_clusters(spark, sf):
-    return N.voxel_clusters(candidates(spark, sf), FRAME, 3.0, 3).select("key", "cluster", F.col("cluster_points").alias("points"))
+    return N.voxel_clusters(candidates(spark, sf).select(*FRAME, "key", "x_m", "y_m", "z_m"), FRAME, 3.0, 3).select("key", "cluster", F.col("cluster_points").alias("points"))
 
 
 @query(f"""WITH RECURSIVE {CANDIDATES}, c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY key) AS v FROM cand), tm AS (SELECT DISTINCT sequence_id, time_s AS anchor_s FROM cand),
