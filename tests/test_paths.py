@@ -54,6 +54,26 @@ def test_top_paths_are_exact(seed):
     assert P.fixed_lag_path(times, frames, scores, 2.0, 1e9, 1.5, 2)[0] == got[0][1][0]
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_top_paths_of_many_sequences_are_those_of_each(ties, monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = [frames_of(rng, rng.integers(1, 5, rng.integers(1, 9))) for _ in range(60)]
+    if ties:
+        seqs = [(t, [np.round(x / 4) for x in f], [np.round(v) for v in s]) for t, f, s in seqs]
+    t = np.concatenate([np.repeat(t, [len(x) for x in f]) for t, f, _ in seqs])
+    x, v = (np.concatenate([y for q in seqs for y in q[i]]) for i in (1, 2))
+    sizes = np.array([len(y) for q in seqs for y in q[1]])
+    frames, first = np.cumsum(sizes) - sizes, np.cumsum([0] + [len(q[1]) for q in seqs])[:-1]
+    for most, k, pairs in ((3, 2, 1 << 22), (1, 3, 500)):
+        monkeypatch.setattr(K, "PAIRS", pairs)
+        rows, number, value = P.top_paths_many(t, x, v, frames, first, 2.0, k, 1.5, most)
+        want = set()
+        for (a, f, s), at in zip(seqs, first):
+            for n, (total_, path) in enumerate(P.top_paths(a, f, s, 2.0, k, 1.5, most), 1):
+                want |= {(int(frames[at + i]) + j, n, total_) for i, j in enumerate(path) if j >= 0}
+        assert set(zip(rows.tolist(), number.tolist(), value.tolist())) == want and len(rows) == len(want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pair_posteriors_are_exact(seed):
     rng = np.random.default_rng(seed)

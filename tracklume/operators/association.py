@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from . import kernels as K
 from . import paths as P
-from .sequence import AXES, ID, _each, _frame_rows, _numbers, _with, streamed
+from .sequence import AXES, ID, MANY, _each, _frame_rows, _numbers, _with, streamed
 
 FRAME = ["sequence_id", "time_s"]
 
@@ -126,16 +126,11 @@ def top_k_paths(df: DataFrame, score: str, scale: float, speed: float, k: int, m
     """The k best paths of every sequence: (sequence_id, time_s, key, path, path_score)."""
 
     def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
-        rows, number, value = [], [], []
-        for _, cut, *seq in _by_sequence(p, starts, score, scale):
-            for n, (total, path) in enumerate(P.top_paths(*seq, speed, k, miss, most_misses), 1):
-                got = [c.start + j for c, j in zip(cut, path) if j >= 0]
-                rows += got
-                number += [n] * len(got)
-                value += [total] * len(got)
+        frames, first = _frame_rows(p, starts)
+        rows, number, value = P.top_paths_many(_numbers(p, "time_s"), _numbers(p, *AXES), _numbers(p, score) / scale, frames, first, speed, k, miss, most_misses)
         return _with(p.take(pa.array(rows, pa.int64())), ID, path=pa.array(number, pa.int64()), path_score=pa.array(value, pa.float64()))
 
-    return streamed(df, ["sequence_id"], ["time_s", "key"], f"{_kind(df)}, path long, path_score double", kernel)
+    return streamed(df.select(*ID, *AXES, score), ["sequence_id"], ["time_s", "key"], f"{_kind(df)}, path long, path_score double", kernel, MANY)
 
 
 def fixed_lag_path(df: DataFrame, score: str, scale: float, speed: float, lag_s: float, miss: float) -> DataFrame:

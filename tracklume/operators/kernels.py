@@ -289,10 +289,10 @@ def forward_backward(times: np.ndarray, frames: list[np.ndarray], scores: list[n
 PAIRS = 1 << 22
 
 
-def _frame_steps(frames: np.ndarray, first: np.ndarray, n: int):
+def _frame_steps(frames: np.ndarray, first: np.ndarray, n: int, factor: int = 1):
     """Blocks of sequences; of each block a list of steps: (sequences of the block that reach it, rows of their candidates, mask).
 
-    A block's padded transitions hold at most ``PAIRS`` numbers (one sequence may exceed it alone).
+    A block's padded transitions, ``factor`` for each pair of candidates, hold at most ``PAIRS`` numbers (one sequence may exceed it alone).
     """
     ends = np.append(frames[1:], n)
     sizes, lengths = ends - frames, np.diff(np.append(first, len(frames)))
@@ -301,7 +301,7 @@ def _frame_steps(frames: np.ndarray, first: np.ndarray, n: int):
     at = 0
     while at < len(order):
         last = at + 1
-        while last < len(order) and (last + 1 - at) * int(widest[order[last]]) ** 2 <= PAIRS:
+        while last < len(order) and factor * (last + 1 - at) * int(widest[order[last]]) ** 2 <= PAIRS:
             last += 1
         block = order[at:last]
         block = block[np.argsort(-lengths[block], kind="stable")]

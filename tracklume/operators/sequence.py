@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 AXES = ["x_m", "y_m", "z_m"]
+#: Rows of a call of a kernel whose steps cost the same for one sequence and for many.
+MANY = 50_000
 
 
 def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -31,8 +33,11 @@ def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def streamed(df: DataFrame, keys: list[str], order: list[str], schema: str, kernel: Callable[[pa.Table, np.ndarray], pa.Table]) -> DataFrame:
-    """kernel(table, first rows of its sequences) over whole sequences, sorted; it gives the columns of ``schema``."""
+def streamed(df: DataFrame, keys: list[str], order: list[str], schema: str, kernel: Callable[[pa.Table, np.ndarray], pa.Table], many: int = 0) -> DataFrame:
+    """kernel(table, first rows of its sequences) over whole sequences, sorted; it gives the columns of ``schema``.
+
+    Batches are put together until a call has ``many`` rows.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -43,14 +48,23 @@ def streamed(df: DataFrame, keys: list[str], order: list[str], schema: str, kern
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some: list[pa.RecordBatch] = []
+            for b in batches:
+                if b.num_rows:
+                    some.append(b)
+                if some and sum(s.num_rows for s in some) >= many:
+                    yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+                    some = []
+            if some:
+                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
         def done(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
             table = pa.concat_tables(parts).combine_chunks()
             out = kernel(table, starts_of(table, keys))
             yield from out.select(made.names).cast(made).to_batches()
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in joined(batches):
             table = pa.Table.from_batches([b])
             cut = int(starts_of(table, keys)[-1])
             if held and cut == 0 and len(starts_of(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table.slice(0, 1)]), keys)) == 1:
