@@ -141,3 +141,37 @@ def test_repairs():
 def test_suppression():
     xyz = np.array([[0.0, 0, 0], [1, 0, 0], [9, 0, 0]])
     assert K.spatial_nms(xyz, np.array([1.0, 2, 0]), 3.0, 5) == [1, 2]
+
+
+def _sequences(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 20, 40)
+    t = [np.cumsum(rng.integers(1, 200, n)).astype(float) for n in sizes]
+    return np.cumsum(sizes) - sizes, t, [rng.normal(size=(n, 2)) * 200 for n in sizes]
+
+
+def test_smoothing_of_many_sequences_is_that_of_each(monkeypatch):
+    def by_rows(t, x, weight, huber):  # the plain solve, sequence by sequence
+        n, y = len(t), x
+        if n < 3:
+            return x
+        d = np.zeros((n - 2, n))
+        a, b = np.diff(t)[:-1], np.diff(t)[1:]
+        for k in range(n - 2):
+            d[k, k : k + 3] = 2 / (a[k] * (a[k] + b[k])), -2 / (a[k] * b[k]), 2 / (b[k] * (a[k] + b[k]))
+        for _ in range(5):
+            w = np.minimum(1.0, huber / np.maximum(np.sqrt(((x - y) ** 2).sum(1)), 1e-12))
+            new = np.linalg.solve(np.diag(w) + weight * d.T @ d, w[:, None] * x)
+            if np.allclose(new, y, atol=1e-9):
+                return new
+            y = new
+        return y
+
+    starts, t, x = _sequences(1)
+    seen = [np.searchsorted(s, s + 200.0, "right") for s in t]
+    lagged = [np.stack([by_rows(s[:e], z[:e], 1e4, 100.0)[i] for i, e in enumerate(ends)]) for s, z, ends in zip(t, x, seen)]
+    for alone, prefixes in ((4096, 1 << 18), (8, 50)):
+        monkeypatch.setattr(K, "LONG", alone)
+        monkeypatch.setattr(K, "PREFIXES", prefixes)
+        assert np.allclose(K.regularized_many(np.concatenate(t), np.concatenate(x), starts, 1e4, 100.0), np.concatenate([by_rows(s, z, 1e4, 100.0) for s, z in zip(t, x)]))
+        assert np.allclose(K.lagged_many(np.concatenate(t), np.concatenate(x), starts, 1e4, 100.0, 200.0), np.concatenate(lagged))

@@ -419,37 +419,111 @@ def banded_solve(band: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     return y
 
 
+#: Rows of the prefixes that are solved at a time.
+PREFIXES = 1 << 18
+#: Rows from which a sequence is solved alone: along a step arrays over few sequences cost more than numbers.
+LONG = 4096
+
+
+def banded_solve_many(band: np.ndarray, rhs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """:func:`banded_solve` for the sequences that begin at ``starts``, step by step for all of them; no band may cross a start."""
+    n = band.shape[1]
+    sizes = np.diff(np.append(starts, n))
+    out = np.empty(rhs.shape)
+    for a, b in zip(starts[sizes > LONG].tolist(), (starts + sizes)[sizes > LONG].tolist()):
+        out[a:b] = banded_solve(band[:, a:b], rhs[a:b])
+    few = sizes <= LONG
+    rows = np.flatnonzero(np.repeat(few, sizes))
+    if not len(rows):
+        return out
+    band, y = band[:, rows], rhs[rows].astype(float)
+    at = np.cumsum(sizes[few]) - sizes[few]
+    steps = list(_steps_of(at, len(rows)))
+    d, l1, l2 = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+    for k, r in enumerate(steps):
+        v, u = band[0, r], band[1, r]
+        if k:
+            v, u = v - l1[r - 1] ** 2 * d[r - 1], u - l1[r - 1] * l2[r - 1] * d[r - 1]
+            y[r] -= l1[r - 1, None] * y[r - 1]
+        if k > 1:
+            v = v - l2[r - 2] ** 2 * d[r - 2]
+            y[r] -= l2[r - 2, None] * y[r - 2]
+        d[r], l1[r], l2[r] = v, u / v, band[2, r] / v
+    y /= d[:, None]
+    for k in range(len(steps) - 2, -1, -1):
+        r = steps[k][: len(steps[k + 1])]
+        y[r] -= l1[r, None] * y[r + 1]
+        if k + 2 < len(steps):
+            r = r[: len(steps[k + 2])]
+            y[r] -= l2[r, None] * y[r + 2]
+    out[rows] = y
+    return out
+
+
 def regularized(t: np.ndarray, x: np.ndarray, weight: float, huber: float = np.inf, rounds: int = 5) -> np.ndarray:
     """Penalised second differences with Huber weights on the data: a system of five bands, linear in the rows."""
+    return regularized_many(t, x, np.zeros(min(len(t), 1), int), weight, huber, rounds)
+
+
+def regularized_many(t: np.ndarray, x: np.ndarray, starts: np.ndarray, weight: float, huber: float = np.inf, rounds: int = 5) -> np.ndarray:
+    """:func:`regularized` for the sequences that begin at ``starts``; one that no longer moves, or has fewer than three rows, stays."""
     n = len(t)
-    if n < 3:
-        return x.copy()
-    a, b = np.diff(t)[:-1], np.diff(t)[1:]
-    a, b = np.maximum(a, 1e-9), np.maximum(b, 1e-9)
+    sizes = np.diff(np.append(starts, n))
+    number = np.repeat(np.arange(len(starts)), sizes)
+    i = np.flatnonzero(number[2:] == number[:-2])  # three rows of one sequence from here
+    a, b = np.maximum(t[i + 1] - t[i], 1e-9), np.maximum(t[i + 2] - t[i + 1], 1e-9)
     p, q, r = 2 / (a * (a + b)), -2 / (a * b), 2 / (b * (a + b))
     band = np.zeros((3, n))
-    band[0, :-2] += p * p
-    band[0, 1:-1] += q * q
-    band[0, 2:] += r * r
-    band[1, : n - 2] += p * q
-    band[1, 1 : n - 1] += q * r
-    band[2, : n - 2] += p * r
+    band[0, i] += p * p
+    band[0, i + 1] += q * q
+    band[0, i + 2] += r * r
+    band[1, i] += p * q
+    band[1, i + 1] += q * r
+    band[2, i] += p * r
     band *= weight
-    y = x.copy()
+    y, moving = x.astype(float), sizes >= 3
     for _ in range(rounds):
-        off = np.sqrt(((x - y) ** 2).sum(1))
-        w = np.minimum(1.0, huber / np.maximum(off, 1e-12)) if np.isfinite(huber) else np.ones(n)
-        new = banded_solve(band + np.stack([w, np.zeros(n), np.zeros(n)]), w[:, None] * x)
-        if np.allclose(new, y, atol=1e-9):
-            return new
-        y = new
+        rows = np.flatnonzero(np.repeat(moving, sizes))
+        if not len(rows):
+            break
+        first = np.cumsum(sizes[moving]) - sizes[moving]
+        was, data, own = y[rows], x[rows], band[:, rows]
+        off = np.sqrt(((data - was) ** 2).sum(1))
+        w = np.minimum(1.0, huber / np.maximum(off, 1e-12)) if np.isfinite(huber) else np.ones(len(rows))
+        own[0] += w
+        new = banded_solve_many(own, w[:, None] * data, first)
+        near = np.logical_and.reduceat(np.isclose(new, was, atol=1e-9).all(1), first)
+        y[rows] = new
+        moving[np.flatnonzero(moving)[near]] = False
     return y
 
 
 def lagged(t: np.ndarray, x: np.ndarray, weight: float, huber: float, lag_s: float) -> np.ndarray:
     """:func:`regularized` where each row sees the rows up to ``lag_s`` behind it."""
-    ends = np.searchsorted(t, t + lag_s, "right")
-    return np.stack([regularized(t[: int(e)], x[: int(e)], weight, huber)[i] for i, e in enumerate(ends)]) if len(t) else x
+    return lagged_many(t, x, np.zeros(min(len(t), 1), int), weight, huber, lag_s)
+
+
+def lagged_many(t: np.ndarray, x: np.ndarray, starts: np.ndarray, weight: float, huber: float, lag_s: float) -> np.ndarray:
+    """:func:`lagged` for the sequences that begin at ``starts``: what a row sees is a sequence of its own, solved once for the rows that see the same.
+
+    Those of about ``PREFIXES`` rows are solved at a time; the rows of all of them grow with the square of a sequence.
+    """
+    n = len(t)
+    ends = np.concatenate([a + np.searchsorted(t[a:b], t[a:b] + lag_s, "right") for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n])]) if n else starts
+    begin = np.repeat(starts, np.diff(np.append(starts, n)))
+    new = np.ones(n, bool)
+    new[1:] = (ends[1:] != ends[:-1]) | (begin[1:] != begin[:-1])
+    of_row = np.cumsum(new) - 1
+    begin, sizes = begin[new], (ends - begin)[new]
+    y = np.empty(x.shape)
+    total = np.cumsum(sizes)
+    for c in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(total // PREFIXES)) + 1):
+        first = np.cumsum(sizes[c]) - sizes[c]
+        seen = np.repeat(begin[c] - first, sizes[c]) + np.arange(sizes[c].sum())
+        got = regularized_many(t[seen], x[seen], first, weight, huber)
+        rows = np.arange(*np.searchsorted(of_row, [c[0], c[-1] + 1])) if len(c) else c
+        y[rows] = got[first[of_row[rows] - c[0]] + rows - begin[of_row[rows]]] if len(c) else y[rows]
+    return y
 
 
 def jerk_limited(t: np.ndarray, x: np.ndarray, most: float, weight: float = 10.0, least_m: float = 1.0, most_m: float | None = None, rounds: int = 1, blend: float = 1.0) -> np.ndarray:
@@ -571,6 +645,33 @@ def matched_frames(truth: list[np.ndarray], guess: list[np.ndarray], gate: float
     return out
 
 
+def matched_rows(truth: np.ndarray, guess: np.ndarray, frame: np.ndarray, x: np.ndarray, gate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`matched_frames` of many frames: rows of truth and guess (both sorted by ``frame``) that are pairs, and their distances.
+
+    Pairs within the gate of which neither row has another partner stand; only frames with others are assigned.
+    """
+    low = np.searchsorted(frame[guess], frame[truth], "left")
+    i, j, k = np.arange(len(truth)), low, 0
+    parts = []
+    while len(i := i[low[i] + k < len(guess)]) and len(i := i[frame[guess[low[i] + k]] == frame[truth[i]]]):
+        j = low[i] + k
+        d = np.sqrt(((x[truth[i]] - x[guess[j]]) ** 2).sum(1))
+        ok = d <= gate
+        parts.append((i[ok], j[ok], d[ok]))
+        k += 1
+    i, j, d = (np.concatenate([q[c] for q in parts] or [np.zeros(0, int)]) for c in range(3))
+    shared = (np.bincount(i, minlength=len(truth))[i] > 1) | (np.bincount(j, minlength=len(guess))[j] > 1)
+    hard = np.unique(frame[truth[i[shared]]])
+    easy = ~np.isin(frame[truth[i]], hard)
+    out = [(truth[i[easy]], guess[j[easy]], d[easy])]
+    cut = [(np.searchsorted(frame[r], hard, "left"), np.searchsorted(frame[r], hard, "right")) for r in (truth, guess)]
+    for a0, a1, b0, b1 in zip(*[c.tolist() for side in cut for c in side]):
+        a, b = truth[a0:a1], guess[b0:b1]
+        got = matched_frames([x[a]], [x[b]], gate)[0]
+        out.append((a[[g[0] for g in got]], b[[g[1] for g in got]], np.array([g[2] for g in got])))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(3))  # type: ignore[return-value]
+
+
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Boxes (left, top, width, height)."""
     lo = np.maximum(a[:, None, :2], b[None, :, :2])

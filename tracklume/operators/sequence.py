@@ -208,7 +208,13 @@ def local_linear(df: DataFrame, axes: list[str], window_s: float = 15.0, blend:
 
 def robust_map(df: DataFrame, axes: list[str], weight: float, huber: float, lag_s: float | None = None) -> DataFrame:
     """Smoothing by reweighted least squares; with a lag each row sees no further ahead than that."""
-    return per_sequence(df, axes, lambda t, x: K.regularized(t, x, weight, huber) if lag_s is None else K.lagged(t, x, weight, huber, lag_s))
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        t, x = _numbers(p, "time_s"), _numbers(p, *axes).reshape(p.num_rows, len(axes))
+        y = K.regularized_many(t, x, starts, weight, huber) if lag_s is None else K.lagged_many(t, x, starts, weight, huber, lag_s)
+        return _with(p, ID, **{a: y[:, i] for i, a in enumerate(axes)})
+
+    return streamed(df.select(*ID, *axes), ["sequence_id"], ["time_s", "key"], f"{_id_schema(df)}, " + ", ".join(f"{a} double" for a in axes), kernel, MANY)
 
 
 def rts_ensemble(df: DataFrame, keys: list[str], axes: list[str], std_m: float, accel_std: float, weight: str = "weight") -> DataFrame:
@@ -314,24 +320,33 @@ def two_sided(a: DataFrame, b: DataFrame, order: list[str], schema: str, kernel:
 def mot_scores(truth: DataFrame, guess: DataFrame, gate: float) -> DataFrame:
     """Truth and estimates (sequence_id, time_s, track, axes) -> matches, misses, false alarms, switches, MOTA per sequence."""
     schema = "sequence_id string, frames long, truth_n long, guess_n long, matches long, misses long, false_alarms long, switches long, mean_distance double, mota double"
-
-    def kernel(key: str, a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
-        times = sorted(set(a["time_s"]) | set(b["time_s"]))
-        at, bt = dict(list(a.groupby("time_s"))), dict(list(b.groupby("time_s")))
-        fa, fb = [at.get(t, a.iloc[:0]) for t in times], [bt.get(t, b.iloc[:0]) for t in times]
-        got = K.matched_frames([g[AXES].to_numpy(float) for g in fa], [g[AXES].to_numpy(float) for g in fb], gate)
-        last, switches, dist = {}, 0, []
-        for x, y, pairs in zip(fa, fb, got):
-            for i, j, d in pairs:
-                tt, tp = x["track"].iloc[i], y["track"].iloc[j]
-                switches += last.get(tt, tp) != tp
-                last[tt] = tp
-                dist.append(d)
-        misses, extra = len(a) - len(dist), len(b) - len(dist)
-        return [(key, len(times), len(a), len(b), len(dist), misses, extra, switches, float(np.mean(dist)) if dist else None, 1 - (misses + extra + switches) / len(a) if len(a) else None)]
-
     columns = ["sequence_id", "time_s", "track", *AXES]
-    return two_sided(truth.select(columns), guess.select(columns), ["time_s", "track"], schema, kernel)
+    both = truth.select(*columns, F.lit(0).alias("_side")).unionByName(guess.select(*columns, F.lit(1).alias("_side")))
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        n, m = p.num_rows, len(starts)
+        number = np.searchsorted(starts, np.arange(n), "right") - 1
+        t, x, side = _numbers(p, "time_s"), _numbers(p, *AXES), p.column("_side").to_numpy()
+        track = p.column("track").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((side, t, number))  # stable: tracks stay sorted
+        new = np.ones(n, bool)
+        new[1:] = (number[order][1:] != number[order][:-1]) | (t[order][1:] != t[order][:-1])
+        frame = np.empty(n, np.int64)
+        frame[order] = np.cumsum(new) - 1
+        a, b, d = K.matched_rows(order[side[order] == 0], order[side[order] == 1], frame, x, gate)
+        at = np.lexsort((a, frame[a], track[a], number[a]))  # a track's matches along its sequence
+        a, b, d = a[at], b[at], d[at]
+        same = (number[a][1:] == number[a][:-1]) & (track[a][1:] == track[a][:-1])
+        count = lambda v: np.bincount(v, minlength=m)
+        switches = count(number[a][1:][same & (track[b][1:] != track[b][:-1])])
+        frames, truth_n, guess_n, hits = count(number[order][new]), count(number[side == 0]), count(number[side == 1]), count(number[a])
+        misses, extra = truth_n - hits, guess_n - hits
+        total = np.bincount(number[a], d, m)
+        cols = {"frames": frames, "truth_n": truth_n, "guess_n": guess_n, "matches": hits, "misses": misses, "false_alarms": extra, "switches": switches}
+        cols |= {"mean_distance": pa.array(total / np.maximum(hits, 1), mask=hits == 0), "mota": pa.array(1 - (misses + extra + switches) / np.maximum(truth_n, 1), mask=truth_n == 0)}
+        return _with(p.take(pa.array(starts)), ["sequence_id"], **cols)
+
+    return streamed(both, ["sequence_id"], ["_side", "time_s", "track"], schema, kernel, MANY)
 
 
 def hota_scores(truth: DataFrame, guess: DataFrame) -> DataFrame:
