@@ -282,6 +282,35 @@ def segment_source_gate(df: DataFrame, switch: float, label: str = "source", cos
     return streamed(df, ["sequence_id"], ["time_s", label, "key"], f"{_kind(df)}, {label} string", kernel)
 
 
+def _mixtures(p: pa.Table, starts: np.ndarray, scores: list[np.ndarray], smoothness: float, sigma: str, rounds: int, huber: float, balance: float, floor: float):
+    """Of each score: rows of the frames' dominant candidates, states, effective counts; objectives and rounds by sequence.  And the frames' first rows and sequences."""
+    t, x, s = _numbers(p, "time_s"), _numbers(p, *AXES), _numbers(p, sigma)
+    labels = [p.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(int) for c in ("candidate_branch", "source") if balance > 0]
+    frames, first = _frame_rows(p, starts)
+    n = len(frames)
+    f = np.searchsorted(frames, np.arange(len(t)), "right") - 1
+    runs = []
+    for v in scores:
+        state, w, objective, done = P.mixture_map_many(t[frames], first, x, s, v, f, smoothness, rounds, labels=tuple(labels), balance=balance, huber=huber, floor=floor)
+        chosen = np.lexsort((np.arange(len(f)), -w, f))[frames]  # rows are sorted by frame, so a frame's first place is its first row's
+        entropy = -np.bincount(f, w * np.log(np.maximum(w, 1e-300)), n)
+        runs.append((chosen, state, np.exp(entropy), objective, done))
+    return runs, frames, np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+
+
+def _mixture_rows(p: pa.Table, names: list[str], frames: np.ndarray, number: np.ndarray, run) -> pa.Table:
+    chosen, state, count, objective, done = run
+    out = p.select([*names, "time_s"]).take(pa.array(frames)).append_column("key", p.column("key").take(pa.array(chosen)))
+    for i, axis in enumerate(AXES):
+        out = out.append_column(f"state_{axis}", pa.array(state[:, i]))
+    return out.append_column("effective_n", pa.array(count)).append_column("objective", pa.array(objective[number])).append_column("iterations", pa.array(done[number].astype(np.int64)))
+
+
+def _mixture_schema(df: DataFrame, more: str = "") -> str:
+    kind = df.schema["key"].dataType.simpleString()
+    return f"sequence_id string{more}, time_s double, key {kind}, state_x_m double, state_y_m double, state_z_m double, effective_n double, objective double, iterations long"
+
+
 def mixture_map(df: DataFrame, smoothness: float, sigma: str = "sigma_m", score: str = "score", scale: float = 1.0, rounds: int = 5, huber: float = 3.0, balance: float = 0.0, floor: float = 0.0, by: str | None = None) -> DataFrame:
     """One smooth trajectory per sequence through mixtures of candidates: a row per frame with position, dominant candidate, effective count and the sequence's objective.
 
@@ -290,38 +319,35 @@ def mixture_map(df: DataFrame, smoothness: float, sigma: str = "sigma_m", score:
     keys = ["sequence_id", *([by] if by else [])]
 
     def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
-        t, x, s, v = _numbers(p, "time_s"), _numbers(p, *AXES), _numbers(p, sigma), _numbers(p, score) / scale
-        labels = [p.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(int) for c in ("candidate_branch", "source") if balance > 0]
-        frames, first = _frame_rows(p, starts)
-        heads, chosen, parts = [], [], []
-        for c, a, b in zip(_each(starts, len(t)), first.tolist(), [*first[1:].tolist(), len(frames)]):
-            f = np.searchsorted(frames[a:b], np.arange(c.start, c.stop), "right") - 1
-            state, w, objective, done = P.mixture_map(t[frames[a:b]], x[c], s[c], v[c], f, smoothness, rounds, labels=tuple(k[c] for k in labels), balance=balance, huber=huber, floor=floor)
-            n = b - a
-            order = np.lexsort((np.arange(len(f)), -w, f))
-            chosen += (c.start + order[np.searchsorted(f[order], np.arange(n))]).tolist()
-            heads += frames[a:b].tolist()
-            entropy = -np.bincount(f, w * np.log(np.maximum(w, 1e-300)), n)
-            parts.append((state, np.exp(entropy), np.full(n, objective), np.full(n, done)))
-        state, count, objective, done = (np.concatenate([q[i] for q in parts]) for i in range(4))
-        out = p.select([*keys, "time_s"]).take(pa.array(heads)).append_column("key", p.column("key").take(pa.array(chosen)))
-        for i, axis in enumerate(AXES):
-            out = out.append_column(f"state_{axis}", pa.array(state[:, i]))
-        return out.append_column("effective_n", pa.array(count)).append_column("objective", pa.array(objective)).append_column("iterations", pa.array(done.astype(np.int64)))
-
-    more = f", {by} string" if by else ""
-    kind = df.schema["key"].dataType.simpleString()
-    schema = f"sequence_id string{more}, time_s double, key {kind}, state_x_m double, state_y_m double, state_z_m double, effective_n double, objective double, iterations long"
-    return streamed(df, keys, ["time_s", "key"], schema, kernel)
+        (run,), frames, number = _mixtures(p, starts, [_numbers(p, score) / scale], smoothness, sigma, rounds, huber, balance, floor)
+        return _mixture_rows(p, keys, frames, number, run)
+
+    return streamed(df, keys, ["time_s", "key"], _mixture_schema(df, f", {by} string" if by else ""), kernel, MANY)
 
 
 def mixture_restarts(df: DataFrame, smoothness: float, restarts: dict[str, Column], per_sequence: bool = True, **options) -> DataFrame:
     """Mixture trajectories from several starts (a score column each); the run of least objective stays, per sequence or for all sequences together."""
     score = options.pop("score", "score")
-    runs = F.explode(F.array(*[F.struct(F.lit(n).alias("restart"), c.cast("double").alias("_score")) for n, c in restarts.items()])).alias("_r")
-    d = df.select(*[c for c in df.columns if c != score], runs).select(*[c for c in df.columns if c != score], "_r.restart", F.col("_r._score").alias(score))
-    out = mixture_map(d, smoothness, score=score, by="restart", **options)
-    return _least(out, "restart", per_sequence)
+    if not per_sequence:
+        runs = F.explode(F.array(*[F.struct(F.lit(n).alias("restart"), c.cast("double").alias("_score")) for n, c in restarts.items()])).alias("_r")
+        d = df.select(*[c for c in df.columns if c != score], runs).select(*[c for c in df.columns if c != score], "_r.restart", F.col("_r._score").alias(score))
+        return _least(mixture_map(d, smoothness, score=score, by="restart", **options), "restart", False)
+    names = sorted(restarts)  # ties go to the first name
+    o = {"sigma": "sigma_m", "rounds": 5, "huber": 3.0, "balance": 0.0, "floor": 0.0} | options
+    scale = o.pop("scale", 1.0)
+
+    def kernel(p: pa.Table, starts: np.ndarray) -> pa.Table:
+        runs, frames, number = _mixtures(p, starts, [_numbers(p, f"_score{k}") / scale for k in range(len(names))], smoothness, **o)
+        size = np.bincount(number, minlength=len(starts))
+        value = np.stack([r[3] / size for r in runs])
+        best = np.where(np.isnan(value), np.inf, value).argmin(0)
+        pick = lambda i, at: np.stack([r[i] for r in runs])[best[at], np.arange(len(at))]
+        run = (*(pick(i, number) for i in range(3)), *(pick(i, np.arange(len(starts))) for i in (3, 4)))
+        return _mixture_rows(p, ["sequence_id"], frames, number, run).append_column("restart", pa.array(np.array(names, object)[best[number]], pa.string()))
+
+    labels = ["candidate_branch", "source"] if o["balance"] > 0 else []
+    d = df.select(*ID, *AXES, o["sigma"], *labels, *[restarts[n].cast("double").alias(f"_score{k}") for k, n in enumerate(names)])
+    return streamed(d, ["sequence_id"], ["time_s", "key"], _mixture_schema(df, ", restart string"), kernel, MANY)
 
 
 def pool_selector(df: DataFrame, smoothness: float, pool: str, **options) -> DataFrame:
