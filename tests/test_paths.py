@@ -301,3 +301,48 @@ def test_lagged_smoothing_sees_no_further():
     y = x.copy()
     y[15:] += 50
     assert np.allclose(K.lagged(t, x, 5.0, np.inf, 3.0)[:12], K.lagged(t, y, 5.0, np.inf, 3.0)[:12])
+
+
+def test_mixtures_of_many_sequences_are_those_of_each():
+    rng = np.random.default_rng(5)
+    seqs = []
+    for n in rng.integers(1, 9, 30):
+        f = np.sort(np.append(np.arange(n), rng.integers(0, n, 2 * n)))
+        seqs.append((np.cumsum(rng.random(n) + 0.1), rng.normal(size=(3 * n, 3)) * 5, 1 + rng.random(3 * n), rng.random(3 * n), f, rng.integers(0, 2, 3 * n)))
+    first = np.cumsum([0] + [len(q[0]) for q in seqs])
+    t, x, sigma, score, label = (np.concatenate([q[i] for q in seqs]) for i in (0, 1, 2, 3, 5))
+    frame = np.concatenate([q[4] + a for q, a in zip(seqs, first)])
+    state, w, objective, done = P.mixture_map_many(t, first[:-1], x, sigma, score, frame, 20.0, labels=(label,), balance=0.2)
+    each = [P.mixture_map(*q[:5], 20.0, labels=(q[5],), balance=0.2) for q in seqs]
+    assert np.allclose(state, np.concatenate([e[0] for e in each])) and np.allclose(w, np.concatenate([e[1] for e in each]))
+    assert np.allclose(objective, [e[2] for e in each]) and done.tolist() == [e[3] for e in each] and len(set(done)) > 1
+
+
+def test_restarts_shuffle_the_rows_once(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"s{k % 5}", float(k // 10), f"k{k}", *rng.normal(size=3).tolist(), 1.0, float(rng.random())) for k in range(100)], "sequence_id string, time_s double, key string, x_m double, y_m double, z_m double, sigma_m double, score double")
+    starts = {"a": F.col("score"), "b": -F.col("score") * 5}
+    out = A.mixture_restarts(df, 5.0, starts)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    runs = {n: {(r.sequence_id, r.time_s): r for r in A.mixture_map(df.withColumn("score", c), 5.0).collect()} for n, c in starts.items()}
+    got = out.collect()
+    assert len(got) == len(runs["a"])
+    for r in got:
+        a, b = (runs[n][r.sequence_id, r.time_s] for n in "ab")
+        best = a if a.objective <= b.objective else b
+        assert r.restart == ("a" if best is a else "b") and (r.key, round(r.state_x_m, 9)) == (best.key, round(best.state_x_m, 9))
+
+
+def test_rows_are_matched_as_in_each_frame():
+    rng = np.random.default_rng(8)
+    frame = np.sort(rng.integers(0, 60, 400))
+    x, side = np.round(rng.random((400, 3)) * 4), rng.integers(0, 2, 400)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    got = set(zip(*[v.tolist() for v in K.matched_rows(a, b, frame, x, 1.5)]))
+    want = set()
+    for f in range(60):
+        i, j = a[frame[a] == f], b[frame[b] == f]
+        want |= {(int(i[p]), int(j[q]), d) for p, q, d in K.matched_frames([x[i]], [x[j]], 1.5)[0]}
+    assert got == want and len(got) > 40
+    none = np.zeros(0, int)
+    assert all(not len(v) for v in K.matched_rows(none, b, frame, x, 1.5)) and all(not len(v) for v in K.matched_rows(a, none, frame, x, 1.5))
