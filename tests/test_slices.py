@@ -125,3 +125,13 @@ def test_nearest_match_has_no_window_worked_out_anew_for_every_row(spark):
     d = joins.asof_nearest(a, b, ["sequence_id"], payload=["other"], slices=4, least=10)
     assert not _frames_to_the_end(d)
     assert {r.key: r.match.other for r in d.collect()} == {k: min(39, k + (0, -1, 1)[k % 3]) for k in range(40)}
+
+
+def test_bootstrap_numbers_a_hot_key_in_slices(spark):
+    from tracklume.operators import evaluate
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"), (F.hash("id") % 90).cast("double").alias("time_s"), "id", (F.hash("id") % 11).cast("double").alias("x"))
+    cut, whole = (evaluate.block_bootstrap(rows, ["k"], ["time_s", "id"], "x", 7, 20, slices=n, least=10) for n in (16, None))
+    fixed = lambda d: sorted((r.k, r.n, r.blocks, round(r.estimate, 9), round(r.lower, 9), round(r.upper, 9)) for r in d.collect())
+    assert fixed(cut) == fixed(whole)
+    assert "_slice" in cut._jdf.queryExecution().optimizedPlan().toString()
