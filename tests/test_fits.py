@@ -137,3 +137,11 @@ def test_center_statistics(spark):
     assert np.isclose(g.weighted10_z_m, (w[:10] * x[:10, 2]).sum() / w[:10].sum()) and np.isclose(g.dispersion5, np.linalg.norm(x[:5] - five, axis=1).mean())
     near = x[np.linalg.norm(x, axis=1).argmin()]
     assert np.allclose([g.nearest_x_m, g.nearest_y_m, g.nearest_z_m], near) and np.isclose(g.top_score_margin, w[0] - w[1])
+
+
+def test_nested_holdout_deals_the_pairs_of_groups(spark):
+    from tracklume.operators import fits
+
+    df = spark.range(400).selectExpr("CAST(id % 40 AS string) AS g", "CAST(id % 7 AS double) AS e")
+    plan = fits.nested_holdout(df, "g", "e", [0.0, 10.0])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
